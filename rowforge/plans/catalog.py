@@ -6,7 +6,7 @@ import importlib
 
 from rowforge.plans import registry
 
-MODULES = ("predicates",)
+MODULES = ("predicates", "scalar_queries")
 
 
 def load() -> tuple[dict, dict]:
