@@ -6,7 +6,7 @@ import importlib
 
 from rowforge.plans import registry
 
-MODULES = ("predicates", "scalar_queries")
+MODULES = ("predicates", "scalar_queries", "aggregates", "joins", "windows")
 
 
 def load() -> tuple[dict, dict]:
