@@ -6,7 +6,7 @@ import importlib
 
 from rowforge.plans import registry
 
-MODULES = ("predicates", "scalar_queries", "aggregates", "joins", "windows")
+MODULES = ("predicates", "scalar_queries", "aggregates", "joins", "windows", "jobs")
 
 
 def load() -> tuple[dict, dict]:
