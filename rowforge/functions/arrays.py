@@ -43,7 +43,7 @@ def var_pop(v: Col) -> Column:
 def cosine(a: Col, b: Col) -> Column:
     """Clipped to [-1, 1]; null for a zero or non-finite vector."""
     raw = F.try_divide(dot(a, b), norm(a) * norm(b))
-    return F.when(F.isnan(raw), None).otherwise(F.least(F.greatest(raw, F.lit(-1.0)), F.lit(1.0)))
+    return F.when(raw.isNull() | F.isnan(raw), None).otherwise(F.least(F.greatest(raw, F.lit(-1.0)), F.lit(1.0)))
 
 
 def squared_error(a: Col, b: Col) -> Column:
