@@ -247,3 +247,34 @@ def p32(spark, sf_dir):
     metrics = F.array(F.struct(F.lit("k").alias("name"), F.get_json_object("props", "$.k").alias("value")), F.struct(F.lit("kind").alias("name"), F.col("event_type").alias("value")))
     rows = table(spark, sf_dir, "events").select("event_id", F.inline(metrics))
     return rows.select("event_id", "name", F.col("value").try_cast("double").alias("value")).where("value is not null")
+
+
+@query("p2_registry", f"SELECT name, n FROM (SELECT unnest(['l2', 'avg', 'max', 'pooled']) AS name, count(*) AS n FROM {_E} WHERE len(v) > 0)")
+def p2(spark, sf_dir):
+    from rowforge.operators.derived import REGISTRY, add_columns
+
+    made = add_columns(vectors(spark, sf_dir), list(REGISTRY.values()))
+    counts = made.agg(*(F.count(name).alias(name) for name in REGISTRY))
+    return counts.unpivot([], list(REGISTRY), "name", "n")
+
+
+@query("p4_stamp_identity", f"SELECT 'l2' AS name, 'l2/1' AS made_by, count(*) AS n FROM {_E} UNION ALL SELECT 'avg', 'avg/1', count(*) FROM {_E}")
+def p4(spark, sf_dir):
+    from rowforge.operators.derived import IDENTITY, REGISTRY, add_columns
+
+    made = add_columns(vectors(spark, sf_dir), [REGISTRY["l2"], REGISTRY["avg"]])
+    stamps = [F.struct(F.lit(f.name).alias("name"), F.lit(f.metadata[IDENTITY]).alias(IDENTITY), F.count(f.name).alias("n")) for f in made.schema if IDENTITY in f.metadata]
+    return made.agg(F.array(*stamps).alias("s")).select(F.inline("s"))
+
+
+@query("p5_refuse_existing", "SELECT count(*) AS n, true AS refused FROM embeddings")
+def p5(spark, sf_dir):
+    from rowforge.operators.derived import REGISTRY, add_columns
+
+    made = add_columns(vectors(spark, sf_dir), [REGISTRY["l2"]])
+    try:
+        add_columns(made, [REGISTRY["l2"]])
+        refused = False
+    except ValueError:
+        refused = True
+    return made.agg(F.count("*").alias("n"), F.lit(refused).alias("refused"))
