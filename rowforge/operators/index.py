@@ -82,7 +82,7 @@ def build(vectors: DataFrame, config: IndexConfig | None = None, *, sample: int
     return VectorIndex(config, centers, books, vectors.select("vec_id", "v").mapInPandas(place, "vec_id long, cell int, code array<int>, v array<double>"))
 
 
-def search(index: VectorIndex, queries: DataFrame, k: int, *, probes: int = 8, refine: int = 10) -> DataFrame:
+def search(index: VectorIndex, queries: DataFrame, k: int, *, probes: int = 8, refine: int = 30) -> DataFrame:
     """(query_id, rank, vec_id, cosine) of (query_id, q): the nearest cells' rows by code distance, the best refine * k again by their vectors."""
     centers, books = index.centers, index.books
     width = books.shape[2]

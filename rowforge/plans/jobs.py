@@ -205,14 +205,14 @@ def _queries(v):
 def x3(spark, sf_dir):
     v = vectors(spark, sf_dir)
     built = index.build(v)
-    return index.search(built, _queries(v), 5, probes=max(1, built.config.cells // 2)).select("query_id", "rank", "vec_id", F.round("cosine", 6).alias("cosine"))
+    return index.search(built, _queries(v), 5, probes=max(1, built.config.cells * 3 // 4)).select("query_id", "rank", "vec_id", F.round("cosine", 6).alias("cosine"))
 
 
 @query("x3_ann_recall", "SELECT true AS enough, 5 * count(*) AS pairs FROM embeddings WHERE vec_id % 20 = 0")
 def x3_recall(spark, sf_dir):
     v = vectors(spark, sf_dir)
     built = index.build(v)
-    found = index.search(built, _queries(v), 5, probes=max(1, built.config.cells // 2))
+    found = index.search(built, _queries(v), 5, probes=max(1, built.config.cells * 3 // 4))
     return index.recall(found, matching.k_nearest(_queries(v), v, 5)).select((F.col("recall") >= 0.9).alias("enough"), "pairs")
 
 
