@@ -48,34 +48,51 @@ def native_value(u: Column, low: Column, high: Column, kind: Column, choices: Co
     return F.when(kind == "category", low + index).when(kind == "stepped", F.bround(lerp)).otherwise(lerp)
 
 
-def k_nearest(queries: DataFrame, vectors: DataFrame, k: int, *, block: int = 4096) -> DataFrame:
+def _best_k(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
+    """The k largest cosines of each query, ties to the smaller id."""
+    q, x = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (q, x))
+    out = []
+    for start in range(0, len(q), 512):
+        for query, scores in zip(query_ids[start : start + 512], np.round(q[start : start + 512] @ x.T, 12), strict=True):
+            near = np.argpartition(-scores, k - 1)[:k] if len(scores) > k else np.arange(len(scores))
+            near = np.flatnonzero(scores >= scores[near].min())  # ties with the last one too
+            best = near[np.lexsort((ids[near], -scores[near]))[:k]]
+            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "cosine": scores[best]}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "cosine": []}).astype({"query_id": "int64", "vec_id": "int64"})
+
+
+def k_nearest(queries: DataFrame, vectors: DataFrame, k: int, *, block: int = 4096, chunk: int = 65_536) -> DataFrame:
     """(query_id, rank, vec_id, cosine) of (query_id, q) in (vec_id, v), exact.
 
-    Each task compares all queries, in blocks of `block` that are shipped as rows, with its own
-    vectors and passes on k candidates a query; the best of them win. Ties go to the smaller id.
+    Up to `block` queries are broadcast and every task compares them with its own vectors.
+    More of them meet the vectors in blocks: each block of queries with each chunk of vectors
+    in a task, so rows of either side are sent once for every block of the other. Tasks pass
+    on k candidates a query; the best of them win. Ties go to the smaller id.
     """
-    n = F.pmod(F.xxhash64("query_id"), F.lit(max(1, queries.count() // block + 1)))
-    blocks = queries.groupBy(n.alias("part")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if f.empty:
-                continue
-            x = np.stack(f["v"].to_numpy())
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            ids = f["vec_id"].to_numpy()
-            for part in f["part"].unique():
-                rows = (f["part"] == part).to_numpy()
-                qs = f["qs"].to_numpy()[np.flatnonzero(rows)[0]]
-                q = np.stack([r["q"] for r in qs])
-                q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-                c = np.round(q @ x[rows].T, 12)
-                own = ids[rows]
-                for r, scores in zip(qs, c, strict=True):
-                    best = np.lexsort((own, -scores))[:k]
-                    yield pd.DataFrame({"query_id": r["query_id"], "vec_id": own[best], "cosine": scores[best]})
-
-    found = vectors.select("vec_id", "v").crossJoin(F.broadcast(blocks)).mapInPandas(run, "query_id long, vec_id long, cosine double")
+    schema = "query_id long, vec_id long, cosine double"
+    n = queries.count()
+    if n <= block:
+        asked = queries.agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
+
+        def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                if not f.empty and len(f["qs"].iloc[0]):
+                    qs = f["qs"].iloc[0]
+                    yield _best_k(np.array([r["query_id"] for r in qs]), np.stack([r["q"] for r in qs]), f["vec_id"].to_numpy(), np.stack(f["v"].to_numpy()), k)
+
+        found = vectors.select("vec_id", "v").crossJoin(F.broadcast(asked)).mapInPandas(near, schema)
+    else:
+        parts, chunks = -(-n // block), max(1, -(-vectors.count() // chunk))
+        every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        left = queries.select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"), every(chunks).alias("chunk"))
+        right = vectors.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"), every(parts).alias("part"))
+
+        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if a.empty or b.empty:
+                return _best_k(np.empty(0), np.empty((0, 1)), np.empty(0), np.empty((0, 1)), k)
+            return _best_k(a["query_id"].to_numpy(), np.stack(a["q"].to_numpy()), b["vec_id"].to_numpy(), np.stack(b["v"].to_numpy()), k)
+
+        found = left.groupBy("part", "chunk").cogroup(right.groupBy("part", "chunk")).applyInPandas(meet, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -181,6 +181,18 @@ def test_index_finds_rows_themselves_first(spark):
     assert index.build(v.where("vec_id < 10")) is None
 
 
+def test_nearest_by_blocks_equal_broadcast(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 6)).round(1)
+    x[50:60] = x[0]
+    v = vectors(spark, [(i, r.tolist()) for i, r in enumerate(x)])
+    q = v.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    one, many = matching.k_nearest(q, v, 4), matching.k_nearest(q, v, 4, block=7, chunk=33)
+    got = {(r.query_id, r["rank"], r.vec_id) for r in one.collect()}
+    assert got == {(r.query_id, r["rank"], r.vec_id) for r in many.collect()} and len(got) == 160
+    assert [r.vec_id for r in one.where("query_id = 0").orderBy("rank").collect()] == [0, 50, 51, 52]
+
+
 def test_equal_signals_score_zero(spark):
     x = np.sin(np.arange(64)).tolist()
     df = spark.createDataFrame([(1, 0, x, x)], "vec_id long, label int, pred array<double>, target array<double>")
