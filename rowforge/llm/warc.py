@@ -225,6 +225,7 @@ def _fields(data: bytes, payloads: bool) -> tuple:
 
 
 def archive_folder(spark: SparkSession) -> str:
-    """A new folder for archives in the shared one."""
-    folder = shared_folder(spark)
-    return f"{folder if '://' in folder else 'file://' + folder}/warc-{uuid.uuid4().hex}"
+    """A new folder for archives in the shared one, with the scheme that Hadoop resolves it to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getPath()}/warc-{uuid.uuid4().hex}"
