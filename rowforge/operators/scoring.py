@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowforge.functions import arrays as A
+from rowforge.operators.matching import assignment
 
 
 def per_position_mse(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -42,6 +47,36 @@ def group_swap(pairs: DataFrame, groups: DataFrame, key: str = "vec_id") -> Data
     return left.join(right, [key, "grp", "r"]).groupBy("pos").agg((F.sum(e) / F.count("*")).alias("mse"))
 
 
+def block_swap(pairs: DataFrame, groups: list[list[list[int]]]) -> DataFrame:
+    """(pos, mse) when whole blocks of positions may swap inside a group, at the lowest total error of each row.
+
+    A group is a list of blocks of equal width, a block a list of positions. Each batch of
+    rows gives a sum for every position; errors stay at the target's positions.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            pred, target = (b.column(i).flatten().to_numpy().reshape(b.num_rows, -1) for i in (0, 1))
+            total: dict[int, float] = {}
+            for blocks in groups:
+                at = np.array(blocks)
+                p, t = pred[:, at], target[:, at]  # (rows, blocks, width)
+                cost = ((p[:, :, None, :] - t[:, None, :, :]) ** 2).sum(axis=3)
+                for row in range(b.num_rows):
+                    for i, j in enumerate(assignment(cost[row])):
+                        for pos, e in zip(blocks[j], (p[row, i] - t[row, j]) ** 2, strict=True):
+                            total[pos] = total.get(pos, 0.0) + float(e)
+            rows = sorted(total.items())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in rows], pa.int32()), pa.array([v for _, v in rows]), pa.array([b.num_rows] * len(rows), pa.int64())], ["pos", "e", "n"]
+            )
+
+    sums = pairs.select("pred", "target").mapInArrow(run, "pos int, e double, n long")
+    return sums.groupBy("pos").agg((F.sum("e") / F.sum("n")).alias("mse"))
+
+
 def worst_pairs(df: DataFrame, group: str, key: str, measures: dict[str, tuple[Column, str]], block: int = 512) -> DataFrame:
     """(group, <name>, <name>_a, <name>_b): the worst value over all pairs in a group, with its pair.
 

@@ -159,6 +159,12 @@ def a17(spark, sf_dir):
     return _round(scoring.group_swap(pairs(spark, sf_dir), groups), "mse")
 
 
+@query("a17_block_swap")
+def a17_blocks(spark, sf_dir):
+    groups = [[[g * 16 + b * 4 + i for i in range(4)] for b in range(4)] for g in range(4)]
+    return _round(scoring.block_swap(pairs(spark, sf_dir), groups), "mse")
+
+
 @query("a18_number_groups", r"SELECT regexp_replace(p_brand, '[\s_.-]*\d+[\s_.-]*', '#', 'g') AS grp, count(DISTINCT p_brand) AS names, count(*) AS rows FROM part GROUP BY 1")
 def a18(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(S.number_group(F.col("p_brand")).alias("grp")).agg(F.countDistinct("p_brand").alias("names"), F.count("*").alias("rows"))

@@ -74,6 +74,18 @@ def test_best_swap_is_never_above_plain(spark, values):
     assert r.s <= r.e + 1e-12 and r.s == pytest.approx(best, abs=1e-12)
 
 
+def test_block_swap_is_the_best_order_of_blocks(spark):
+    rng = np.random.default_rng(2)
+    rows = [(rng.random(6).tolist(), rng.random(6).tolist()) for _ in range(5)]
+    got = {r.pos: r.mse for r in scoring.block_swap(spark.createDataFrame(rows, "pred array<double>, target array<double>"), [[[0, 1], [2, 3], [4, 5]]]).collect()}
+    want = np.zeros(6)
+    for p, t in rows:
+        p, t = np.reshape(p, (3, 2)), np.reshape(t, (3, 2))
+        order = min(itertools.permutations(range(3)), key=lambda o: ((p[list(o)] - t) ** 2).sum())
+        want += ((p[list(order)] - t) ** 2).ravel() / len(rows)
+    assert [got[i] for i in range(6)] == pytest.approx(want.tolist())
+
+
 def test_assignment_is_optimal():
     rng = np.random.default_rng(0)
     for n in range(1, 7):
