@@ -40,7 +40,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct()
     )
     state = None
-    while True:
+    while not e.isEmpty():
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             e.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
@@ -63,6 +63,36 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return pairs.unionByName(pairs.select(F.col("component").alias("node"), "component")).distinct()
 
 
+#: Bits of an id filter: 262,144 rows of a number and a mask at most, 4 MB, however many ids it stands for.
+FILTER_BITS = 1 << 24
+
+
+def id_filter(ids: DataFrame, column: str) -> DataFrame:
+    """(__word, __mask): a bitmap of hashed ids, small enough to broadcast by construction. Null ids aren't in it."""
+    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    words = ids.where(F.col(column).isNotNull()).select((bit / 64).cast("int").alias("__word"), F.expr("1L").alias("__one"), (bit % 64).cast("int").alias("__at"))
+    return materialize(words.select("__word", F.expr("shiftleft(__one, __at)").alias("m")).groupBy("__word").agg(F.bit_or("m").alias("__mask")))
+
+
+def filtered(df: DataFrame, column: str, words: DataFrame, *, inside: bool) -> DataFrame:
+    """The rows that may be in an id filter, or those that surely aren't, decided in place without a shuffle.
+
+    The more ids it stands for the more rows pass that needn't; what follows must be exact.
+    """
+    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    known = df.withColumn("__word", (bit / 64).cast("int")).join(F.broadcast(words), "__word", "left")
+    hit = F.coalesce(F.getbit(F.col("__mask"), (bit % 64).cast("int")) == 1, F.lit(False)) & F.col(column).isNotNull()
+    return known.where(hit if inside else ~hit).select(*(f"`{c}`" for c in df.columns))
+
+
+def without_ids(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:
+    """The rows whose id isn't in `gone` (one column of that name). Only rows that the id filter can't clear are shuffled."""
+    gone = materialize(gone.select(F.col(f"`{column}`").cast(dict(df.dtypes)[column]).alias(column)).distinct())
+    words = id_filter(gone, column)
+    doubtful = filtered(df, column, words, inside=True).join(gone.hint("merge"), column, "left_anti")
+    return filtered(df, column, words, inside=False).unionByName(doubtful.select(*(f"`{c}`" for c in df.columns)))
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
     """Consecutive rows of equal key, from batches that are sorted by it; only the open run is held."""
     held: list[pa.Table] = []

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowforge.llm._shared import connected_components, materialize, runs, shingle_set
+from rowforge.llm._shared import connected_components, filtered, id_filter, materialize, runs, shingle_set, without_ids
 
 #: Values of one hash function that a sketch retains.
 SKETCH = 32
@@ -157,7 +157,7 @@ def near_duplicates(
     sketched = materialize(sketches(docs, id_col, text_col, shingle))
     usable = sketched.where("n_shingles > 0 and doc_id is not null")
     reps = materialize(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    sets = usable.join(reps, "set_key").where("doc_id = rep").select("rep", "set_key", "sketch").dropDuplicates(["set_key"])
+    sets = usable.join(reps.hint("merge"), "set_key").where("doc_id = rep").select("rep", "set_key", "sketch").dropDuplicates(["set_key"])
     members = materialize(cells(sets, threshold).withColumn("of", F.xxhash64("rep")))
     sizes = members.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
     placed = materialize(
@@ -168,8 +168,9 @@ def near_duplicates(
         placed.where("leader = rep").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     )
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+    wanted = filtered(texts, "rep", id_filter(placed, "rep"), inside=True)
     found = materialize(
-        spread.join(texts, "rep")
+        spread.join(wanted.hint("merge"), "rep")
         .select("leader", "block", "rep", "blocks", "text")
         .repartition("leader", "block")
         .sortWithinPartitions("leader", "block", "rep")
@@ -180,10 +181,10 @@ def near_duplicates(
     if not far.isEmpty():
         links = links.unionByName(_across(found, far, texts, shingle, threshold, block))
     components = connected_components(links)
-    labels = reps.join(components, F.col("rep") == F.col("node"), "left").select(
+    labels = reps.join(components.hint("merge"), F.col("rep") == F.col("node"), "left").select(
         F.col("set_key"), F.coalesce("component", "rep").alias("component_id")
     )
-    return sketched.join(labels, "set_key", "left").select(
+    return sketched.drop("sketch").join(labels.hint("merge"), "set_key", "left").select(
         "doc_id",
         "n_shingles",
         F.coalesce("component_id", "doc_id").alias("component_id"),
@@ -284,9 +285,10 @@ def _across(found: DataFrame, far: DataFrame, texts: DataFrame, shingle: int, th
             if out:
                 yield _rows(out)
 
+    asked = materialize(left.unionByName(right))
+    wanted = filtered(texts, "rep", id_filter(asked, "rep"), inside=True)
     return (
-        left.unionByName(right)
-        .join(texts, "rep")
+        asked.join(wanted.hint("merge"), "rep")
         .select("leader", "block", "chunk", "far", "rep", "distance", "text")
         .repartition("leader", "block", "chunk")
         .sortWithinPartitions("leader", "block", "chunk")
@@ -297,5 +299,5 @@ def _across(found: DataFrame, far: DataFrame, texts: DataFrame, shingle: int, th
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """The input without documents that a smaller id of their group stands for; all its columns stay."""
-    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias(id_col))
+    return without_ids(docs, id_col, gone)
