@@ -221,6 +221,11 @@ def t1(spark, sf_dir):
     return ledger.replay(ledger.applyable(table(spark, sf_dir, "events")))
 
 
+@query("t1_lease_stream")
+def t1_stream(spark, sf_dir):
+    return ledger.follow(ledger.applyable(table(spark, sf_dir, "events")), tables.scratch(spark))
+
+
 @query("t2_fenced_completion")
 def t2(spark, sf_dir):
     rows = ledger.replay(ledger.applyable(table(spark, sf_dir, "events")))

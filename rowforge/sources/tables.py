@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import tempfile
 import uuid
 
@@ -10,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MARKER = "_COMPLETE"
-
 
 def scratch(spark: SparkSession) -> str:
     """A new folder for results: under spark.checkpoint.dir, which driver and executors share, or a temporary one where that is unset."""

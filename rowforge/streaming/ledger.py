@@ -86,6 +86,29 @@ def stream(events: DataFrame, lease: int = LEASE) -> DataFrame:
     return events.groupBy("shard").transformWithStateInPandas(LeaseProcessor(lease), outputStructType=OUT, outputMode="Append", timeMode="None")
 
 
+def follow(events: DataFrame, folder: str, slices: int = 3, lease: int = LEASE) -> DataFrame:
+    """Verdicts of a stream that finds the events in `slices` portions of time, one after another, with a restart between them.
+
+    What a shard's state is after one portion comes back from the checkpoint for the next.
+    """
+    spark = events.sparkSession
+    provider, key = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    bounds = events.agg(F.min("at").alias("a"), F.max("at").alias("b")).first()
+    width = ((bounds.b or 0) - (bounds.a or 0)) // slices + 1
+    spark.conf.set(key, provider)
+    try:
+        for i in range(slices):
+            low = (bounds.a or 0) + i * width
+            events.where((F.col("at") >= low) & (F.col("at") < low + width)).write.parquet(f"{folder}/in/{i}")
+            live = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+            query = stream(live, lease).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+            query.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.parquet(f"{folder}/out")
+
+
 def applyable(events: DataFrame) -> DataFrame:
     """Driver events as lease events: purchases complete, the rest claims; sixty shards by user, owners by kind."""
     return events.select(
