@@ -15,14 +15,17 @@ from rowforge.llm._shared import connected_components, filtered, id_filter, mate
 
 #: Values of one hash function that a sketch retains.
 SKETCH = 32
-#: Share of retained values that two linked sets have in common at least: 5 standard deviations below 0.8 for 32 values.
-LOOSE = 0.42
 #: Texts compared by one call in a task.
 BLOCK = 256
 _SKETCHED = "doc_id long, n_shingles long, set_key string, sketch array<long>"
 _FOUND = "kind string, leader long, block long, a long, b long, distance double"
 
 
+def loose(threshold: float, k: int = SKETCH) -> float:
+    """Share of retained values that two linked sets have in common at least: 5.4 standard deviations below the threshold."""
+    return max(1 / k, threshold - 5.4 * math.sqrt(threshold * (1 - threshold) / k))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, size: int = SKETCH) -> DataFrame:
     """(doc_id, n_shingles, set_key, sketch): set_key digests the whole set, sketch has its `size` smallest hashes."""
 
@@ -47,9 +50,9 @@ def _prefix(size: Column, threshold: float, k: int) -> Column:
     """How many of a sketch's values, rarest first, must meet those of any linked set.
 
     A set that is small enough to be, like all its partners, whole in its sketch shares at
-    least threshold * size values; others share at least LOOSE * size retained ones.
+    least threshold * size values; others share at least loose(threshold) * size retained ones.
     """
-    least = F.when(size <= F.lit(math.floor(threshold * k)), F.ceil(size * threshold - 1e-9)).otherwise(F.floor(size * LOOSE))
+    least = F.when(size <= F.lit(math.floor(threshold * k)), F.ceil(size * threshold - 1e-9)).otherwise(F.floor(size * loose(threshold, k)))
     return size - F.greatest(least, F.lit(1)) + 1
 
 
@@ -92,8 +95,8 @@ class _Sets:
     def of(self, i: int) -> np.ndarray:
         return self.flat[self.starts[i] : self.starts[i + 1]]
 
-    def similar(self, one: np.ndarray, rows: np.ndarray, loose: float) -> np.ndarray:
-        """Jaccard similarity of a set with those in rows; 0 where the union sketch puts it below `loose`."""
+    def similar(self, one: np.ndarray, rows: np.ndarray, least: float) -> np.ndarray:
+        """Jaccard similarity of a set with those in rows; 0 where the union sketch puts it below `least`."""
         out = np.zeros(len(rows))
         if not len(one) or not len(rows):
             return out
@@ -106,7 +109,7 @@ class _Sets:
             same = (at < self.k) & (mine[np.minimum(at, self.k - 1)] == theirs)
             before = np.arange(self.k) + 1 + at + same - np.cumsum(same, axis=1)  # rank in the union
             estimate = (same & (before <= self.k)).sum(axis=1) / self.k
-            keep = (estimate >= loose) | (self.n[rows] <= self.k)
+            keep = (estimate >= least) | (self.n[rows] <= self.k)
             near = rows[keep]
             slot = np.flatnonzero(keep)
         else:
@@ -151,7 +154,7 @@ def near_duplicates(
     columns may have any names. Texts are read whole; an empty table gives an empty result.
 
     Sets have 64-bit hashes of words for members. A pair with similarity of just `threshold`
-    is missed as a candidate with a probability of some millionths (LOOSE); any candidate is
+    is missed as a candidate with a probability of some millionths (`loose`); any candidate is
     decided on full sets.
     """
     sketched = materialize(sketches(docs, id_col, text_col, shingle))
@@ -198,7 +201,7 @@ def _within(shingle: int, threshold: float):
     Where a cell has more blocks, a row for each member gives its distance to the leader:
     'near' if it's in the leader's group, 'far' if not.
     """
-    loose = LOOSE
+    least = loose(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["leader", "block"]):
@@ -226,7 +229,7 @@ def _within(shingle: int, threshold: float):
                 # Jaccard distance is a metric: pairs whose distances to the leader differ by more than the limit can't link
                 others = rows[np.abs(distance - distance[i]) <= 1 - threshold + 1e-9]
                 others = others[others != i]
-                join(int(i), others[_linked(sets.similar(sets.of(int(i)), others, loose), threshold)])
+                join(int(i), others[_linked(sets.similar(sets.of(int(i)), others, least), threshold)])
             out = [("link", leader, block_no, int(a), int(b), 0.0) for a, b in links]
             if blocks > 1:
                 root = _root(up, first)
@@ -277,7 +280,7 @@ def _across(found: DataFrame, far: DataFrame, texts: DataFrame, shingle: int, th
             there = np.flatnonzero(~is_far)
             for i in np.flatnonzero(is_far):
                 rows = there[np.abs(distance[there] - distance[i]) <= 1 - threshold + 1e-9]
-                for j in rows[_linked(sets.similar(sets.of(int(i)), rows, LOOSE), threshold)]:
+                for j in rows[_linked(sets.similar(sets.of(int(i)), rows, loose(threshold)), threshold)]:
                     x, y = _root(up, int(i)), _root(up, int(j))
                     if x != y:
                         up[x] = y
