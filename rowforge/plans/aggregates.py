@@ -292,7 +292,7 @@ def a36(spark, sf_dir):
 
 
 @query("a37_shard_metrics", """
-SELECT user_id AS shard, sum(len(props)) AS bytes, date_diff('second', min(date_trunc('second', ts)), max(date_trunc('second', ts))) AS seconds, count(*) FILTER (event_type = 'error') AS rejected FROM events GROUP BY user_id""")
+SELECT user_id AS shard, CAST(sum(len(props)) AS BIGINT) AS bytes, date_diff('second', min(date_trunc('second', ts)), max(date_trunc('second', ts))) AS seconds, count(*) FILTER (event_type = 'error') AS rejected FROM events GROUP BY user_id""")
 def a37(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("shard")).agg(
         F.sum(F.octet_length("props")).alias("bytes"), (_seconds(F.max("ts")) - _seconds(F.min("ts"))).alias("seconds"),

@@ -47,7 +47,7 @@ def w5(spark, sf_dir):
     return ranking.shard_table(splits(spark), 1000, 42).join(there, "shard", "left_semi")
 
 
-@query("w6_split_ranges", "SELECT p_brand AS split, sum(count(*)) OVER (ORDER BY p_brand) - count(*) AS lo, sum(count(*)) OVER (ORDER BY p_brand) AS hi FROM part GROUP BY p_brand")
+@query("w6_split_ranges", "SELECT p_brand AS split, CAST(sum(count(*)) OVER (ORDER BY p_brand) - count(*) AS BIGINT) AS lo, CAST(sum(count(*)) OVER (ORDER BY p_brand) AS BIGINT) AS hi FROM part GROUP BY p_brand")
 def w6(spark, sf_dir):
     sizes = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("split")).agg(F.count("*").alias("shards")).withColumn("pos", F.col("split"))
     return ranking.split_ranges(sizes).select("split", "lo", "hi")
