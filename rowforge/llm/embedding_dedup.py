@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from rowforge.llm._shared import connected_components, materialize, runs
 
 #: Vectors of one block; two blocks meet in one task.
-BLOCK = 2048
-#: Directions that blocks of large labels are cut along.
+BLOCK = 8192
+#: Vectors that blocks of a larger group are cut around, at most.
 PIVOTS = 64
+#: Pivots of all groups together that the driver holds and broadcasts; groups beyond it are cut by hash alone.
+MAX_PIVOTS = 8192
 _ROWS = 1024
 
 
@@ -30,27 +32,32 @@ class CoverTree:
         self.smallest = smallest
         self.root = self._build(np.arange(len(x)), 2.0)
 
-    def _distance(self, i: int, rows: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(0.0, 2 - 2 * (self.x[rows] @ self.x[i])))
-
     def _build(self, rows: np.ndarray, radius: float) -> dict:
         """A node over rows, the first of which is its point."""
-        reach = float(self._distance(rows[0], rows).max())
+        reach = float(np.sqrt(np.maximum(0.0, 2 - 2 * (self.x[rows] @ self.x[rows[0]])).max()))
         node = {"at": int(rows[0]), "rows": rows, "reach": reach, "children": None}
         if len(rows) > 32 and radius > self.smallest and reach > self.smallest / 2:
             half = radius / 2
-            children, rest = [], rows
-            while len(rest):
-                d = self._distance(rest[0], rest)
-                d[0] = 0
-                near = d <= half
-                children.append(self._build(rest[near], half) if near.sum() > 1 else self._leaf(rest[0]))
-                rest = rest[~near]
-            node["children"] = children
-            node["points"] = np.array([c["at"] for c in children])
-            node["reaches"] = np.array([c["reach"] for c in children])
+            node["children"] = [self._build(rows[near], half) if len(near) > 1 else self._leaf(rows[near[0]]) for near in self._cover(rows, half)]
+            node["points"] = np.array([c["at"] for c in node["children"]])
+            node["reaches"] = np.array([c["reach"] for c in node["children"]])
         return node
 
+    def _cover(self, rows: np.ndarray, half: float) -> Iterator[np.ndarray]:
+        """Places in rows, by child: in their order, each point that no child holds yet takes all such points within `half` of it."""
+        x = self.x[rows]
+        free = np.ones(len(rows), dtype=bool)
+        for start in range(0, len(rows), 256):
+            some = start + np.flatnonzero(free[start : start + 256])
+            close = 2 - 2 * (x[some] @ x.T) <= half * half
+            for i, near in zip(some, close, strict=True):
+                if free[i]:
+                    near &= free
+                    near[i] = False
+                    free[near] = False
+                    free[i] = False
+                    yield np.concatenate([[i], np.flatnonzero(near)])
+
     @staticmethod
     def _leaf(i: int) -> dict:
         return {"at": int(i), "rows": np.array([i]), "reach": 0.0, "children": None}
@@ -112,46 +119,23 @@ def near_vectors(
     the pairs. Where no balls can be separated (random directions), work per label grows
     with the square of its blocks, as the exact result then demands.
     """
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), v.alias("v"))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    biggest = F.aggregate("v", F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x)))
-    scaled = base.withColumn("top", biggest).withColumn("u", F.transform("v", lambda x: x / F.col("top")))
-    norm = F.sqrt(F.aggregate("u", F.lit(0.0), lambda s, x: s + x * x))
-    usable = (
-        scaled.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & (F.size("v") > 0) & (F.col("top") > 0))
-        .withColumn("norm", norm)
-        .select("vec_id", F.xxhash64("vec_id", "v").alias("tie"), "label", F.transform("u", lambda x: x / F.col("norm")).alias("u"))
-    )
-    # labels of the same text and vectors of the same length make a group
-    usable = materialize(usable.withColumn("grp", F.concat_ws(":", F.size("u"), F.col("label").cast("string"))))
-    placed = materialize(_placed(usable, block))
-    balls = placed.groupBy("grp", "part").agg(F.max("dist").alias("reach"), F.first("center").alias("center"))
-    x, y = balls.alias("x"), balls.alias("y")
-    gap = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.aggregate(F.zip_with("x.center", "y.center", lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)))
-    limit = float(np.sqrt(2 - 2 * cosine))
-    meets = (
-        x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.part") <= F.col("y.part")))
-        .where(gap <= F.col("x.reach") + F.col("y.reach") + limit + 1e-6)
-        .select(F.xxhash64("x.grp", "x.part", "y.part").alias("task"), F.col("x.grp").alias("grp"), F.col("x.part").alias("p"), F.col("y.part").alias("q"))
-    )
-    sides = meets.select("task", "grp", F.col("p").alias("part"), F.lit(0).alias("side"), (F.col("p") == F.col("q")).cast("int").alias("own")).unionByName(
-        meets.where("p <> q").select("task", "grp", F.col("q").alias("part"), F.lit(1).alias("side"), F.lit(0).alias("own"))
-    )
-    tasks = (
-        placed.join(sides, ["grp", "part"])
-        .select("task", "grp", "side", "own", "vec_id", "tie", "u")
-        .repartition("task")
-        .sortWithinPartitions("task", "side", "vec_id")
+    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
+    base = base.select("vec_id", F.xxhash64("vec_id", "v").alias("tie"), F.concat_ws(":", F.size("v"), F.col("label").cast("string")).alias("grp"), "label", "v")
+    # vectors of equal length and label make a group
+    usable = materialize(base.where("vec_id is not null and label is not null and size(v) > 0").select("vec_id", "tie", "grp", "v").mapInArrow(_unit, _USABLE))
+    sizes = materialize(usable.groupBy("grp").agg(F.count("*").alias("rows")))
+    small = usable.join(sizes.where(F.col("rows") <= block), "grp", "left_semi").select(
+        F.xxhash64("grp").alias("task"), "grp", F.lit(0).alias("side"), F.lit(1).alias("own"), "vec_id", "tie", "u"
     )
+    large = sizes.where(F.col("rows") > block)
+    if not large.isEmpty():
+        small = small.unionByName(_met(usable, large, block, cosine))
+    # a fixed number of partitions: a few tasks' vectors are few bytes, but much work
+    tasks = small.repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "task").sortWithinPartitions("task", "side", "vec_id", "tie")
     found = materialize(tasks.mapInArrow(_compare(cosine), "kind string, vec_id long, tie long, grp string, n long"))
     links = found.where("kind = 'count'").groupBy("vec_id", "tie", "grp").agg(F.sum("n").alias("n_links"))
     components = connected_components(found.where("kind = 'link'").select(F.col("vec_id").alias("a"), F.col("n").alias("b")))
-    rows = base.select(
-        "vec_id",
-        F.xxhash64("vec_id", "v").alias("tie"),
-        F.concat_ws(":", F.size("v"), F.col("label").cast("string")).alias("grp"),
-    )
+    rows = base.select("vec_id", "tie", "grp")
     return (
         rows.join(links, ["vec_id", "tie", "grp"], "left")
         .join(components.withColumnRenamed("node", "vec_id"), "vec_id", "left")
@@ -164,37 +148,78 @@ def near_vectors(
     )
 
 
-def _placed(usable: DataFrame, block: int) -> DataFrame:
-    """(grp, part, vec_id, tie, u, center, dist): a group of at most `block` rows is one part with its first vector for center.
+_USABLE = "vec_id long, tie long, grp string, u array<double>"
+
+
+def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Unit vectors; those with nulls, non-finite components or no length are left out."""
+    for b in batches:
+        out, keep = [], []
+        for i, v in enumerate(b.column(3)):
+            x = v.values
+            if x.null_count:
+                continue
+            x = x.to_numpy(zero_copy_only=False)
+            top = np.abs(x).max()
+            if np.isfinite(top) and top > 0:
+                x = x / top
+                out.append(x / np.sqrt(x @ x))
+                keep.append(i)
+        ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(ends, np.concatenate(out) if out else np.empty(0))
+        rest = [b.column(k).take(pa.array(keep, pa.int64())) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([*rest, lists], ["vec_id", "tie", "grp", "u"])
+
 
-    A larger one is cut at the nearest of PIVOTS vectors (those with the smallest hashes, for
-    each group), and each cell evenly by hash into parts of about `block` rows.
+def _met(usable: DataFrame, large: DataFrame, block: int, cosine: float) -> DataFrame:
+    """(task, grp, side, own, vec_id, tie, u) of groups with more rows than a block: a task for each two blocks that may have links.
+
+    A vector goes to the nearest of its group's pivots; what a pivot has is cut evenly by hash.
+    A block's ball has its pivot for center and its farthest vector's distance for radius.
     """
-    sizes = usable.groupBy("grp").agg(F.count("*").alias("rows"))
-    ranked = usable.select("grp", F.struct(F.xxhash64("vec_id"), "vec_id", "tie").alias("o"), "u")
-    # the least few of each group, by partial aggregation: one candidate from each of PIVOTS hash ranges
-    pivots = (
-        ranked.withColumn("slot", F.pmod(F.xxhash64("o.vec_id", F.lit(1)), F.lit(PIVOTS)))
-        .groupBy("grp", "slot")
-        .agg(F.min_by("u", "o").alias("p"))
-        .groupBy("grp")
-        .agg(F.sort_array(F.collect_list(F.struct("slot", "p"))).alias("ps"))
-    )
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, t: s + t)
-    shape = sizes.join(pivots, "grp").select(
-        "grp", "rows", F.when(F.col("rows") > block, F.col("ps.p")).otherwise(F.slice(F.col("ps.p"), 1, 1)).alias("pivots")
-    )
-    near = usable.join(shape, "grp").withColumn(
-        "best", F.array_max(F.transform("pivots", lambda p, i: F.struct(dot(p, F.col("u")).alias("c"), (-i).alias("i"))))
-    )
-    near = near.select(
-        "grp", "vec_id", "tie", "u", (-F.col("best.i")).alias("cell"), F.element_at("pivots", 1 - F.col("best.i")).alias("center"),
-        F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("best.c"))).alias("dist"),
-    )
-    cells = near.groupBy("grp", "cell").agg(F.ceil(F.count("*") / block).alias("cuts"))
-    return near.join(cells, ["grp", "cell"]).select(
-        "grp", F.concat_ws(".", "cell", F.pmod(F.xxhash64("vec_id", F.lit(2)), "cuts")).alias("part"), "vec_id", "tie", "u", "center", "dist"
-    )
+    spark = usable.sparkSession
+    wanted = large.select("grp", F.least(F.ceil(F.col("rows") / block), F.lit(PIVOTS)).cast("int").alias("slots"))
+    rows = usable.join(wanted, "grp")
+    slot = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("slots")).alias("slot")
+    pivots = rows.groupBy("grp", slot).agg(F.min_by("u", F.struct(F.xxhash64("vec_id"), "tie")).alias("u")).orderBy("grp", "slot").limit(MAX_PIVOTS).collect()
+    by_group: dict[str, list] = {}
+    for r in pivots:
+        by_group.setdefault(r.grp, []).append(r.u)
+    shared = spark.sparkContext.broadcast({g: np.array(us) for g, us in by_group.items()})
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            grps = np.array(b.column(2).to_pylist(), dtype=object)
+            cell, dist = np.zeros(len(grps), dtype=np.int32), np.full(len(grps), 2.0)
+            for g in dict.fromkeys(grps):
+                if g in shared.value:
+                    at = np.flatnonzero(grps == g)
+                    u = b.column(3).take(pa.array(at)).flatten().to_numpy().reshape(len(at), -1)
+                    dot = u @ shared.value[g].T
+                    cell[at] = dot.argmax(axis=1)
+                    dist[at] = np.sqrt(np.maximum(0.0, 2 - 2 * dot.max(axis=1)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(dist)], [*b.schema.names, "cell", "dist"])
+
+    near = materialize(rows.select("vec_id", "tie", "grp", "u").mapInArrow(place, _USABLE + ", cell int, dist double"))
+    cuts = near.groupBy("grp", "cell").agg(F.ceil(F.count("*") / block).alias("cuts"))
+    placed = materialize(near.join(cuts, ["grp", "cell"]).withColumn("cut", F.pmod(F.xxhash64("vec_id", F.lit(2)), "cuts").cast("int")).drop("cuts"))
+    gaps = [
+        (g, i, j, float(np.sqrt(max(0.0, 2 - 2 * us[i] @ us[j])))) for g, us in shared.value.items() for i in range(len(us)) for j in range(len(us))
+    ]
+    gap = spark.createDataFrame(gaps, "grp string, ca int, cb int, gap double")
+    balls = materialize(placed.groupBy("grp", "cell", "cut").agg(F.max("dist").alias("reach")))
+    a = balls.select("grp", F.col("cell").alias("ca"), F.col("cut").alias("ka"), F.col("reach").alias("ra"))
+    b = balls.select("grp", F.col("cell").alias("cb"), F.col("cut").alias("kb"), F.col("reach").alias("rb"))
+    limit = float(np.sqrt(2 - 2 * cosine)) + 1e-6
+    meets = (
+        a.join(b, "grp").where("(ca, ka) <= (cb, kb)").join(gap, ["grp", "ca", "cb"], "left")
+        .where(F.coalesce("gap", F.lit(0.0)) <= F.col("ra") + F.col("rb") + limit)
+        .withColumn("task", F.xxhash64("grp", "ca", "ka", "cb", "kb")).withColumn("own", F.expr("cast(ca = cb and ka = kb as int)"))
+    )
+    meets = materialize(meets.select("task", "grp", "ca", "ka", "cb", "kb", "own"))
+    left = meets.select("task", "grp", F.col("ca").alias("cell"), F.col("ka").alias("cut"), F.lit(0).alias("side"), "own")
+    right = meets.where("own = 0").select("task", "grp", F.col("cb").alias("cell"), F.col("kb").alias("cut"), F.lit(1).alias("side"), "own")
+    return placed.join(left.unionByName(right), ["grp", "cell", "cut"]).select("task", "grp", "side", "own", "vec_id", "tie", "u")
 
 
 def _compare(cosine: float):
