@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowforge.llm._shared import materialize
+from rowforge.llm._shared import materialize, without_ids
 
 
 def exact_groups(
@@ -49,9 +49,5 @@ def exact_groups(
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """The input's rows that stay, with the input's columns. Ids must be unique for one row a group to stay."""
-    gone = exact_groups(docs, id_col, text_col, **options).where("not kept").select(_as(id_col))
-    return docs.join(gone, id_col, "left_anti")
-
-
-def _as(name: str) -> Column:
-    return F.col("doc_id").alias(name)
+    gone = exact_groups(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias(id_col))
+    return without_ids(docs, id_col, gone)
