@@ -8,7 +8,7 @@ import hashlib
 import itertools
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t\n\x0b\f\r \x85\xa0"
 LATIN = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Distinct pieces whose ids a worker keeps; beyond it the cache starts anew.
-CACHE = 300_000
+CACHE = 150_000
 _NONE = np.int64(2**62)
 
 
@@ -164,7 +164,7 @@ class Bpe:
         ends = np.cumsum(counts).tolist()
         return [tuple(flat[e - c : e]) for e, c in zip(ends, counts.tolist(), strict=True)]
 
-    def encode_batch(self, texts: list[str | None]) -> Iterator[list[int]]:
+    def encode_batch(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
         """Ids of each text (null: empty); special tokens in a text become their ids, none are added."""
         for group in _chunks(texts):
             split = [self._split(t or "") for t in group]
@@ -201,7 +201,7 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def _chunks(texts: list[str | None], most: int = 1 << 21) -> Iterator[list[str | None]]:
+def _chunks(texts: Iterable[str | None], most: int = 1 << 21) -> Iterator[list[str | None]]:
     """Runs of texts of about `most` characters, so that new pieces of many texts are merged together."""
     part, size = [], 0
     for t in texts:
@@ -264,7 +264,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             n, a, b = [], [], []
             gc.disable()  # millions of tuples, no cycles
             try:
-                for ids in bpe.encode_batch(batch.column(1).to_pylist()):
+                for ids in bpe.encode_batch(t.as_py() for t in batch.column(1)):
                     n.append(len(ids))
                     a.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
                     b.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,17 +46,20 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame, *columns: Column, text_col: str = "text") -> DataFrame:
-    """The given columns of each row and, behind them, the statistics of its text."""
-    rows = docs.select(*columns, F.col(text_col).cast("string").alias("__text"))
-    kept = rows.drop("__text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), *(f"s_{s} double" for s in STATISTICS)])
-    names = [*kept.columns, *(f"s_{s}" for s in STATISTICS)]
+def with_statistics(docs: DataFrame, *columns: Column, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """The given columns of each row, with `keep_text` the text behind them, then the statistics of the text."""
+    rows = docs.select(*columns, F.col(f"`{text_col}`").alias(f"{text_col}"))
+    kept = rows.schema[: len(columns) + keep_text]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"s_{s} double" for s in STATISTICS)])
+    names = [*(f.name for f in kept), *(f"s_{s}" for s in STATISTICS)]
+    at, first = len(columns), len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            stats = np.array([statistics(t.as_py()) for t in batch.column(batch.num_columns - 1)]).reshape(batch.num_rows, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(stats[:, j]) for j in range(len(STATISTICS)))], names)
+            for part in (batch.slice(k, 1000) for k in range(0, batch.num_rows, 1000)):
+                texts = part.column(at).cast(pa.string())
+                stats = np.array([statistics(t.as_py()) for t in texts]).reshape(part.num_rows, len(STATISTICS))
+                yield pa.RecordBatch.from_arrays([*part.columns[:first], *(pa.array(stats[:, j]) for j in range(len(STATISTICS)))], names)
 
     return rows.mapInArrow(run, schema)
 
@@ -108,13 +113,15 @@ def holds(rule: Rule, x: np.ndarray) -> np.ndarray:
 def lasso_logistic(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tuple[float, np.ndarray]:
     """Intercept and weights by accelerated proximal gradient; the intercept isn't penalised."""
     n, k = z.shape
-    rate = 4 / (np.linalg.norm(np.column_stack([np.ones(n), z]), 2) ** 2 / n)
+    total = z.sum(axis=0, dtype=np.float64)
+    gram = np.block([[np.array([[float(n)]]), total[None, :]], [total[:, None], (z.T @ z).astype(np.float64)]])
+    rate = 4 * n / float(np.linalg.eigvalsh(gram)[-1])
     b, w = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))), np.zeros(k)
     b2, w2, t = b, w.copy(), 1.0
     for _ in range(steps):
-        r = 1 / (1 + np.exp(-np.clip(b2 + z @ w2, -35, 35))) - y
+        r = 1 / (1 + np.exp(-np.clip(b2 + z @ w2.astype(z.dtype), -35, 35).astype(np.float64))) - y
         b1 = b2 - rate * r.mean()
-        w1 = w2 - rate * (z.T @ r) / n
+        w1 = w2 - rate * (r.astype(z.dtype) @ z).astype(np.float64) / n
         w1 = np.sign(w1) * np.maximum(np.abs(w1) - rate * penalty, 0)
         t1 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         b2, w2 = b1 + (t - 1) / t1 * (b1 - b), w1 + (t - 1) / t1 * (w1 - w)
@@ -128,6 +135,14 @@ class RuleModel:
     rules: list[Rule]
     weights: list[float]
 
+    def to_json(self) -> str:
+        return json.dumps([self.intercept, self.rules, self.weights])
+
+    @staticmethod
+    def from_json(text: str) -> RuleModel:
+        intercept, rules, weights = json.loads(text)
+        return RuleModel(intercept, [tuple(tuple(c) for c in r) for r in rules], weights)
+
     def column(self) -> Column:
         """The score as a Spark expression over the columns s_<statistic>."""
         total = F.lit(self.intercept)
@@ -155,10 +170,14 @@ def fit_rules(x: np.ndarray, y: np.ndarray, *, seed: int = 7, penalty: float = 0
     if not rules:
         p = float(np.clip(y.mean(), 0.01, 0.99))
         return RuleModel(float(np.log(p / (1 - p))), [], [])
-    z = np.column_stack([holds(r, x) for r in rules]).astype(float)
-    _, first = np.unique(z, axis=1, return_index=True)  # rules that hold for the same rows count once
-    first = np.sort(first)
-    b, w = lasso_logistic(z[:, first], y, penalty)
+    seen: dict[bytes, int] = {}  # rules that hold for the same rows count once
+    for i, r in enumerate(rules):
+        seen.setdefault(np.packbits(holds(r, x)).tobytes(), i)
+    first = list(seen.values())
+    z = np.empty((len(x), len(first)), dtype=np.float32)
+    for k, i in enumerate(first):
+        z[:, k] = holds(rules[i], x)
+    b, w = lasso_logistic(z, y, penalty)
     kept = np.flatnonzero(np.abs(w) > 1e-6)
     return RuleModel(float(b), [rules[first[i]] for i in kept], [float(w[i]) for i in kept])
 
@@ -166,14 +185,23 @@ def fit_rules(x: np.ndarray, y: np.ndarray, *, seed: int = 7, penalty: float = 0
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> RuleModel:
     """Fit on labelled rows that aren't held out, `sample` of them at most (by hash of the id, so any layout gives the same).
 
+    One task fits the model on the sample's statistics, a few numbers for each of at most
+    `sample` rows; the driver gets the rules.
+
     A document with several labels counts with the lowest; null labels and ids don't count.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.min(label_col).cast("double").alias("y"))
     chosen = known.orderBy(F.xxhash64("__id", F.lit(11)), "__id").limit(sample)
     train = docs.join(F.broadcast(chosen), F.col(id_col).cast("long") == F.col("__id"))  # at most `sample` rows of two numbers
-    rows = with_statistics(train, F.col("__id").alias("id"), F.col("y"), text_col=text_col).toPandas().drop_duplicates().sort_values("id", kind="stable")
-    return fit_rules(rows[[f"s_{s}" for s in STATISTICS]].to_numpy(float), rows["y"].to_numpy(float))
+    rows = with_statistics(train, F.col("__id").alias("id"), F.col("y"), text_col=text_col).distinct()
+
+    def solve(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["id", *(f"s_{s}" for s in STATISTICS)], kind="stable")
+        return pd.DataFrame({"model": [fit_rules(f[[f"s_{s}" for s in STATISTICS]].to_numpy(float), f["y"].to_numpy(float)).to_json()]})
+
+    found = rows.groupBy(F.lit(0).alias("all")).applyInPandas(solve, "model string").first()
+    return RuleModel.from_json(found.model) if found else fit_rules(np.empty((0, len(STATISTICS))), np.empty(0))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,5 +218,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 def keep_good(docs: DataFrame, labels: DataFrame, *, text_col: str = "text") -> DataFrame:
     """The rows that pass, with their columns as they are."""
     model = fit(docs, labels, text_col=text_col)
-    rows = with_statistics(docs, *(F.col(f"`{c}`") for c in docs.columns), text_col=text_col)
+    rest = [c for c in docs.columns if c != text_col]
+    rows = with_statistics(docs, *(F.col(f"`{c}`") for c in rest), text_col=text_col, keep_text=True)
     return rows.where(model.column() >= PASS).select(*(f"`{c}`" for c in docs.columns))
