@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Sources whose rates are broadcast; more of them are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
+#: Largest rate that one inversion draws: exp(-rate) underflows above 745 and loses digits from 708 on.
+LARGEST_RATE = 700.0
 
 
 def uniform(key: Column, seed: int, purpose: str) -> Column:
@@ -31,6 +33,25 @@ def poisson_count(u: Column, rate: Column, most: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), most), start, step)["k"]
 
 
+def _most(rate: Column) -> Column:
+    return F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
+
+
+def poisson_copies(key: Column, seed: int, rate: Column) -> Column:
+    """A Poisson draw for each key: one inversion up to LARGEST_RATE, beyond it the sum of independent draws of equal, smaller rates.
+
+    The parts' numbers are hashed from (seed, part, key). The work grows with the rate, as the copies do.
+    """
+    parts = F.ceil(rate / LARGEST_RATE).cast("int")
+    share = rate / parts
+
+    def add(n: Column, part: Column) -> Column:
+        return n + poisson_count(uniform(F.concat_ws(":", part.cast("string"), key.cast("string")), seed, "copies-part"), share, _most(share))
+
+    single = poisson_count(uniform(key, seed, "copies"), rate, _most(rate))
+    return F.when(rate > LARGEST_RATE, F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), add)).otherwise(single)
+
+
 def rates(docs: DataFrame, weights: dict[str | None, float] | None, total: float | None, source_col: str = "source") -> DataFrame:
     """(source, n, rate): mean copies of each document of a source.
 
@@ -64,8 +85,9 @@ def mix_sources(
 ) -> DataFrame:
     """Each row as often as a Poisson draw with its source's mean rate says, in a global random order.
 
-    The draw inverts the distribution function at a number hashed from (seed, id), so a rerun
-    or a lost executor gives the same copies. A null source is a source of its own; a null or
+    The draw inverts the distribution function at a number hashed from (seed, id), or adds up
+    such draws where the rate is above LARGEST_RATE, so a rerun or a lost executor gives the
+    same copies. A null source is a source of its own; a null or
     repeated id draws once per row, alike for equal ids. With `extras`: columns `replica` (from
     0) and `n_copies`, replacing input columns of these names. Rows go to partitions and are
     ordered within them by a hash of (seed, id, replica).
@@ -73,26 +95,24 @@ def mix_sources(
     The rates have a row per source. They are broadcast only after a count shows at most
     BROADCAST_SOURCES of them, and joined by a shuffle beyond it.
     """
-    table = rates(docs, weights, total, source_col).withColumn(
-        "most", F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 40).cast("int")
-    )
+    table = rates(docs, weights, total, source_col)
     few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    table = table.select(F.col("source").alias("__s"), F.col("rate").alias("__rate"), F.col("most").alias("__most"))
+    table = table.select(F.col("source").alias("__s"), F.col("rate").alias("__rate"))
     base = docs.drop("replica", "n_copies") if extras else docs
     joined = base.join(F.broadcast(table) if few else table, F.col(source_col).eqNullSafe(F.col("__s")), "left")
-    drawn = joined.withColumn("__u", uniform(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), seed, "copies")).withColumn(
-        "__n", poisson_count(F.col("__u"), F.col("__rate"), F.col("__most"))
-    )
+    drawn = joined.withColumn("__n", poisson_copies(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), seed, F.col("__rate")))
     copies = drawn.where("__n > 0").withColumn("__r", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     mixed = copies.withColumn("__o", F.xxhash64(F.lit(seed), F.col(id_col), F.col("__r"))).repartition(F.col("__o"))
     mixed = mixed.sortWithinPartitions("__o")
     if extras:
         mixed = mixed.withColumns({"replica": F.col("__r").cast("long"), "n_copies": F.col("__n").cast("long")})
-    return mixed.drop("__s", "__rate", "__most", "__u", "__n", "__r", "__o")
+    return mixed.drop("__s", "__rate", "__n", "__r", "__o")
 
 
 def expected_copies(rate: float, u: float) -> int:
-    """The same inversion for one number, for tests."""
+    """The same inversion for one number and a rate of at most LARGEST_RATE, for tests."""
+    if rate > LARGEST_RATE:
+        raise ValueError(f"rate {rate} is more than one inversion draws")
     p = cdf = math.exp(-rate)
     k = 0
     while u >= cdf and k < rate + 12 * rate**0.5 + 40:

@@ -407,6 +407,26 @@ def test_mixing_meets_weights_and_repeats_itself(spark):
     assert mixing.mix_sources(docs(spark, ODD)).count() >= 0
 
 
+@pytest.mark.parametrize(("rate", "rows"), [(700.0, 3000), (1000.0, 3000), (1_000_000.0, 16)])
+def test_large_rates_follow_the_poisson_distribution(spark, rate, rows):
+    key = F.col("id").cast("string")
+    df = spark.range(0, rows, 1, 8).withColumn("rate", F.lit(rate))
+    got = np.sort([r.n for r in df.select(mixing.poisson_copies(key, 17, F.col("rate")).alias("n")).collect()])
+    assert abs(got.mean() - rate) < 4 * math.sqrt(rate / rows)
+    ks = np.arange(int(rate - 12 * rate**0.5), int(rate + 12 * rate**0.5) + 1)
+    cdf = np.cumsum([math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in ks])
+    assert cdf[-1] == pytest.approx(1, abs=1e-6) and ks[0] <= got[0] and got[-1] <= ks[-1]
+    share = np.searchsorted(got, ks, side="right") / rows
+    assert np.abs(share - cdf).max() < 1.95 / math.sqrt(rows)
+
+
+def test_mixing_a_rare_source_beside_a_hot_one(spark):
+    df = spark.range(0, 100).selectExpr("id AS doc_id", "'t' AS text", "'en' AS lang", "if(id < 5, 'rare', 'hot') AS source", "1L AS n_chars")
+    got = mixing.mix_sources(df, {"rare": 1.0, "hot": 1.0}, total=10_000)
+    n = {r.source: r["count"] for r in got.groupBy("source").count().collect()}
+    assert abs(n["rare"] - 5000) < 300 and abs(n["hot"] - 5000) < 300
+
+
 # ------------------------------------------------------------------ vectors
 
 
