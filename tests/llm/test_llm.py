@@ -383,6 +383,39 @@ def test_kneser_ney_is_a_distribution():
         assert sum(p) == pytest.approx(1, abs=1e-4)
 
 
+def test_language_tables_hold_all_grams_of_all_languages(spark):
+    import pandas as pd
+
+    rng = random.Random(4)
+    letters = "abcdefghijklmnop"
+    rows = [(10 * i + j, " ".join("".join(rng.choices(letters[j : j + 6], k=5)) for _ in range(40)), f"x{j}") for i in range(12) for j in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = collections.Counter()
+    for _, text, lang in rows:
+        flat = "".join(map(chr, langid.normalized(text)))
+        counts.update((lang, flat[i : i + 4]) for i in range(len(flat) - 3))
+    whole = langid.kneser_ney(pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["lang", "gram", "n"]))
+    tables = langid.model_tables(df)
+    odd = [(9000, "abc zzz", "x1"), (9001, "é漢字 😀 abcd", "x2"), *rows[:8]]
+    new = spark.createDataFrame([(i, False, lang, text) for i, text, lang in odd], "doc_id long, held_out boolean, lang string, text string")
+    got = {r.doc_id: r for r in langid.scored(new, tables, (3.0,)).collect()}
+    for i, text, lang in odd:
+        s = whole.scores([langid.normalized(text)])[0]
+        r = got[i]
+        assert r.own == pytest.approx(s[whole.languages.index(lang)], abs=1e-5) and r.top == pytest.approx(s.max(), abs=1e-5)
+        assert r.best == s.argmax() and r.sums[0] == pytest.approx(np.exp(3 * (s - s.max())).sum(), abs=1e-4)
+
+
+def test_more_languages_than_a_hundred(spark):
+    names = [f"l{j:03d}" for j in range(130)]
+    word = lambda j: "".join(chr(ord("a") + int(c)) for c in f"{j * 7919 + 10007:07d}")
+    rows = [(1000 * i + j, f"{word(j)} {word(j)} " * 3 + "xyz", names[j]) for j in range(130) for i in range(3 if j else 40)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    want = {i: lang for i, _, lang in rows}
+    learnt = {want[r.doc_id] for r in got if not r.held_out}
+    assert len(learnt) > 100 and all(r.lang_pred == want[r.doc_id] for r in got if want[r.doc_id] in learnt)
+
+
 # ------------------------------------------------------------------ mixing
 
 
