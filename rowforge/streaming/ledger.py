@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
+import tempfile
 from collections.abc import Iterable, Iterator
-from typing import Any
+from typing import Any, NamedTuple
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,6 +17,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 #: Seconds that a claim holds.
 LEASE = 7200
 OUT = "shard long, event_id long, action string, owner string, accepted boolean, status string, attempts long, gen long, expiry long"
+#: Events of a shard that a streaming task sorts in memory, and rows that it passes on or reads back at once.
+RUN = 200_000
+BATCH = 10_000
 STATE = "status string, owner string, expiry long, attempts long, gen long"
 
 
@@ -48,17 +55,68 @@ def apply_events(ledger: Ledger, shard: int, events: Iterable[Any]) -> Iterator[
         yield shard, int(e.event_id), e.action, e.owner, ok, ledger.status, ledger.attempts, ledger.gen, ledger.expiry
 
 
-def _frame(rows: Iterable[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(list(rows), columns=[c.split()[0] for c in OUT.split(", ")])
+_FIELDS = ["event_id", "action", "owner", "at", "gen"]
+_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
 
 
-def replay(events: DataFrame, lease: int = LEASE) -> DataFrame:
-    """Each event with its verdict and the shard's state after it. A shard's events fit in a task: they are its history of leases."""
+class Event(NamedTuple):
+    event_id: int
+    action: str
+    owner: str | None
+    at: int
+    gen: int | None
+
 
-    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        return _frame(apply_events(Ledger(lease=lease), int(key[0]), f.sort_values(["at", "event_id"]).itertuples()))
+def _batched(rows: Iterable[tuple], size: int = BATCH) -> Iterator[list[tuple]]:
+    rows = iter(rows)
+    while part := list(itertools.islice(rows, size)):
+        yield part
 
-    return events.groupBy("shard").applyInPandas(run, OUT)
+
+def replay(events: DataFrame, lease: int = LEASE) -> DataFrame:
+    """Each event with its verdict and the shard's state after it. A task sorts its events by Spark, with spill, and holds one batch and one shard's lease."""
+    schema = pa.schema([(n, {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[t]) for n, t in (c.split() for c in OUT.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, ledger = None, Ledger(lease=lease)
+        for b in batches:
+            out: list[tuple] = []
+            for key, *fields in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if key != shard:
+                    shard, ledger = key, Ledger(lease=lease)
+                out += apply_events(ledger, shard, [Event(*fields)])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    rows = events.select("shard", *(F.col(c).cast("string" if c in ("action", "owner") else "long") for c in _FIELDS))
+    return rows.repartition("shard").sortWithinPartitions("shard", F.asc_nulls_last("at"), "event_id").mapInArrow(run, OUT)
+
+
+def in_order(frames: Iterable[pd.DataFrame], size: int = RUN) -> Iterator[Event]:
+    """Events by (at, event_id). Runs of about `size` rows are sorted and kept in a temporary folder, then merged; one run is in memory at a time."""
+    held: list[pd.DataFrame] = []
+    with tempfile.TemporaryDirectory() as folder:
+        files: list[str] = []
+
+        def sorted_run() -> pa.Table:
+            f = pd.concat(held).sort_values(["at", "event_id"])
+            held.clear()
+            return pa.table([pa.array(f[c], t, from_pandas=True) for c, t in zip(_FIELDS, _TYPES, strict=True)], names=_FIELDS)
+
+        def back(name: str) -> Iterator[Event]:
+            with pa.OSFile(name) as source:
+                for b in pa.ipc.open_stream(source):
+                    yield from map(Event, *(c.to_pylist() for c in b.columns))
+
+        for f in frames:
+            held.append(f)
+            if sum(map(len, held)) >= size:
+                t = sorted_run()
+                files.append(f"{folder}/{len(files)}")
+                with pa.OSFile(files[-1], "wb") as sink, pa.ipc.new_stream(sink, t.schema) as writer:
+                    writer.write_table(t, max_chunksize=max(1, min(1000, size)))
+        last = map(Event, *(c.to_pylist() for c in sorted_run().columns)) if held else iter(())
+        yield from heapq.merge(*map(back, files), last, key=lambda e: (e.at is None, e.at, e.event_id))
 
 
 class LeaseProcessor(StatefulProcessor):
@@ -72,10 +130,9 @@ class LeaseProcessor(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         ledger = Ledger(*self.state.get(), lease=self.lease) if self.state.exists() else Ledger(lease=self.lease)
-        f = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        out = _frame(apply_events(ledger, int(key[0]), f.itertuples()))
+        for part in _batched(apply_events(ledger, int(key[0]), in_order(rows))):
+            yield pd.DataFrame(part, columns=[c.split()[0] for c in OUT.split(", ")])
         self.state.update(ledger.row())
-        yield out
 
     def close(self) -> None:
         pass

@@ -237,6 +237,27 @@ def test_lease_stream_equals_batch(spark):
         assert got == sorted(map(tuple, ledger.replay(df).collect())) and got
 
 
+def test_lease_tasks_hold_batches_not_shards(spark, monkeypatch):
+    import pandas as pd
+
+    # one hot shard with more events than a batch: no operator that gathers a group in a frame, same verdicts as one fold
+    events = spark.range(0, 30_000).selectExpr(
+        "id AS event_id", "if(id % 3 = 0, id % 5, 7L) AS shard", "if(id % 4 = 3, 'complete', 'claim') AS action", "concat('w', id % 6) AS owner",
+        "(id * 7919) % 30011 * 50 AS at", "CAST(NULL AS LONG) AS gen",
+    )
+    replayed = ledger.replay(events)
+    plan = replayed._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "MapInArrow" in plan
+    rows = events.toPandas().sort_values(["shard", "at", "event_id"])
+    want = [x for key, f in rows.groupby("shard") for x in ledger.apply_events(ledger.Ledger(), key, f.itertuples())]
+    assert sorted(map(tuple, replayed.collect())) == sorted(want)
+    one = rows[rows["shard"] == 7].sample(frac=1, random_state=1)
+    largest, concat = [], pd.concat
+    monkeypatch.setattr(ledger.pd, "concat", lambda x: (largest.append(sum(map(len, x))), concat(x))[1])
+    got = [e.event_id for e in ledger.in_order((one[i : i + 300] for i in range(0, len(one), 300)), 1000)]
+    assert got == rows[rows["shard"] == 7]["event_id"].tolist() and max(largest) <= 1300 < len(one)
+
+
 def test_progress_is_a_stream_too(spark):
     import datetime as dt
 
