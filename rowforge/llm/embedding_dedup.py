@@ -134,6 +134,9 @@ def near_vectors(
     tasks = small.repartition(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), "task").sortWithinPartitions("task", "side", "vec_id", "tie")
     found = materialize(tasks.mapInArrow(_compare(cosine), "kind string, vec_id long, tie long, grp string, n long"))
     links = found.where("kind = 'count'").groupBy("vec_id", "tie", "grp").agg(F.sum("n").alias("n_links"))
+    # rows that repeat id and vector share a key, to which each adds the same count
+    repeats = usable.groupBy("vec_id", "tie", "grp").agg(F.count("*").alias("m")).where("m > 1")
+    links = links.join(repeats, ["vec_id", "tie", "grp"], "left").select("vec_id", "tie", "grp", F.expr("n_links div coalesce(m, 1)").alias("n_links"))
     components = connected_components(found.where("kind = 'link'").select(F.col("vec_id").alias("a"), F.col("n").alias("b")))
     rows = base.select("vec_id", "tie", "grp")
     return (

@@ -503,6 +503,13 @@ def test_near_vectors_equal_brute_force(spark, block):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [4, 8192])
+def test_repeated_rows_count_once_each(spark, block):
+    rows = [(1, [1.0, 0.0], 7)] * 3 + [(2, [1.0, 0.001], 7)] + [(i, [-1.0, float(i)], 7) for i in range(10, 16)]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), cosine=0.9999, block=block).collect()
+    assert sorted((r.vec_id, r.n_links) for r in got if r.vec_id < 10) == [(1, 3), (1, 3), (1, 3), (2, 3)]
+
+
 # ------------------------------------------------------------------ quality
 
 
