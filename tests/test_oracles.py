@@ -27,3 +27,14 @@ def test_entry_points(spark):
     assert set(QUERIES) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() > 0
+
+
+def test_entry_points_without_the_training_data_queries(monkeypatch):
+    import sys
+
+    import __spark_entry__ as e
+
+    for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("rowforge.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)  # an import of it fails
+    assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(ORACLES)
