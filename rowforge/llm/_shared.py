@@ -12,41 +12,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_local: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Unset, it's a temporary one on a local master and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        folder = _local[app]
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again: later jobs neither repeat this work nor lose it with an executor."""
+def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write to the shared folder and read again: later jobs neither repeat this work nor lose it with an executor.
+
+    What results still read from can't be deleted here; the folder is cleared by whoever owns it, as with checkpoints.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = path or f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node with a link; component is the smallest node reachable.
 
     Alternates the large-star and small-star steps until no link changes: a logarithmic
-    number of rounds, each of grouping by node with partial aggregation. Self links and
-    links with a null end are ignored; repeated links count once.
+    number of rounds, each of grouping by node with partial aggregation. Least neighbours are
+    written before they are joined, so that adaptive execution may split the rows of a hub.
+    Only the last round's table stays. Self links and links with a null end are ignored;
+    repeated links count once.
     """
-    e = materialize(
-        edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct()
-    )
-    state = None
+    spark = edges.sparkSession
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    e = materialize(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct(), f"{folder}/0")
+    state, turn = None, 0
     while not e.isEmpty():
-        both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
-            e.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
-        )
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        turn += 1
+        both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{folder}/least-{turn}")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        large = materialize(large, f"{folder}/large-{turn}")
+        down = materialize(large.groupBy("hi").agg(F.min("lo").alias("m")), f"{folder}/down-{turn}")
         small = (
             large.join(down, "hi")
             .select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
@@ -54,7 +71,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .unionByName(down.select("hi", F.col("m").alias("lo")))
             .distinct()
         )
-        e = materialize(small)
+        e = materialize(small, f"{folder}/{turn}")
+        for old in (f"{turn - 1}", f"least-{turn}", f"large-{turn}", f"down-{turn}"):
+            delete(spark, f"{folder}/{old}")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == state:
             break
@@ -63,6 +82,22 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return pairs.unionByName(pairs.select(F.col("component").alias("node"), "component")).distinct()
 
 
+#: Keys, at most, whose rows are joined in place because each has its share of all rows or more.
+HEAVY = 2048
+
+
+def joined_by_count(df: DataFrame, counted: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """df.join(counted, key) without a task for a hot key. `n` is how many rows of df have the key, so no more than HEAVY keys can have 1 / HEAVY of them.
+
+    These are broadcast; of the others only rows that an id filter can't rule out are shuffled. Both inputs are read more than once.
+    """
+    counted = materialize(counted)
+    least = (counted.agg(F.sum(n)).first()[0] or 0) / HEAVY
+    hot = counted.where(F.col(n) >= least)
+    rest = filtered(df, key, id_filter(counted, key), inside=True).join(F.broadcast(hot.select(key)), key, "left_anti")
+    return df.join(F.broadcast(hot), key).unionByName(rest.join(counted.where(F.col(n) < least).hint("merge"), key))
+
+
 #: Bits of an id filter: 262,144 rows of a number and a mask at most, 4 MB, however many ids it stands for.
 FILTER_BITS = 1 << 24
 
@@ -162,15 +197,17 @@ def word_hashes(data: bytes) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64)
 
 
-def shingle_set(text: str | None, n: int) -> np.ndarray:
-    """Sorted distinct hashes (int64) of the n-word shingles; A-Z count as a-z; fewer words make one shingle, none make none."""
-    if not text:
+def shingles_of(words: np.ndarray, n: int) -> np.ndarray:
+    """Sorted distinct hashes (int64) of the n-word shingles of hashed words; fewer words make one shingle, none make none."""
+    if not len(words):
         return np.empty(0, dtype=np.int64)
-    w = word_hashes(text.encode("utf-8", "surrogatepass").lower())
-    if not len(w):
-        return np.empty(0, dtype=np.int64)
-    width = min(n, len(w))
-    h = np.full(len(w) - width + 1, np.uint64(width), dtype=np.uint64)
+    width = min(n, len(words))
+    h = np.full(len(words) - width + 1, np.uint64(width), dtype=np.uint64)
     for i in range(width):
-        h = mix64(h * np.uint64(0xD6E8FEB86659FD93) + w[i : len(w) - width + 1 + i])
+        h = mix64(h * np.uint64(0xD6E8FEB86659FD93) + words[i : len(words) - width + 1 + i])
     return np.unique(h.view(np.int64))
+
+
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    """The shingles of a text (`shingles_of`); A-Z count as a-z, null as empty."""
+    return shingles_of(word_hashes((text or "").encode("utf-8", "surrogatepass").lower()), n)

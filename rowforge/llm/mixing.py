@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowforge.llm._shared import joined_by_count, materialize
+
 #: Sources whose rates are broadcast; more of them are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
 #: Largest rate that one inversion draws: exp(-rate) underflows above 745 and loses digits from 708 on.
@@ -90,23 +92,27 @@ def mix_sources(
     same copies. A null source is a source of its own; a null or
     repeated id draws once per row, alike for equal ids. With `extras`: columns `replica` (from
     0) and `n_copies`, replacing input columns of these names. Rows go to partitions and are
-    ordered within them by a hash of (seed, id, replica).
+    ordered within them by a hash of (seed, id, replica). A source without weight, or weights
+    that are all 0, give a rate of 0 and no rows; an empty table gives an empty result. Texts
+    aren't looked at. Input columns that begin with two underscores are reserved.
 
     The rates have a row per source. They are broadcast only after a count shows at most
-    BROADCAST_SOURCES of them, and joined by a shuffle beyond it.
+    BROADCAST_SOURCES of them; of more sources the common ones are broadcast and the rest joined
+    by a shuffle, so no task has all rows of a hot source.
     """
-    table = rates(docs, weights, total, source_col)
+    table = materialize(rates(docs, weights, total, source_col))
     few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    table = table.select(F.col("source").alias("__s"), F.col("rate").alias("__rate"))
-    base = docs.drop("replica", "n_copies") if extras else docs
-    joined = base.join(F.broadcast(table) if few else table, F.col(source_col).eqNullSafe(F.col("__s")), "left")
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    table = table.select(named("source").alias("__s"), F.col("n").alias("__m"), F.col("rate").alias("__rate"))
+    base = (docs.drop("replica", "n_copies") if extras else docs).withColumn("__s", named(f"`{source_col}`"))
+    joined = base.join(F.broadcast(table), "__s") if few else joined_by_count(base, table, "__s", "__m")
     drawn = joined.withColumn("__n", poisson_copies(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), seed, F.col("__rate")))
     copies = drawn.where("__n > 0").withColumn("__r", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     mixed = copies.withColumn("__o", F.xxhash64(F.lit(seed), F.col(id_col), F.col("__r"))).repartition(F.col("__o"))
     mixed = mixed.sortWithinPartitions("__o")
     if extras:
         mixed = mixed.withColumns({"replica": F.col("__r").cast("long"), "n_copies": F.col("__n").cast("long")})
-    return mixed.drop("__s", "__rate", "__n", "__r", "__o")
+    return mixed.drop("__s", "__m", "__rate", "__n", "__r", "__o")
 
 
 def expected_copies(rate: float, u: float) -> int:

@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowforge.llm._shared import connected_components, filtered, id_filter, materialize, runs, shingle_set, without_ids
+from rowforge.llm._shared import connected_components, filtered, id_filter, joined_by_count, materialize, runs, shingle_set, without_ids
 
 #: Values of one hash function that a sketch retains.
 SKETCH = 32
 #: Texts compared by one call in a task.
 BLOCK = 256
+#: Shingles of a block's texts together, about, at most.
+BLOCK_SHINGLES = 1 << 21
 _SKETCHED = "doc_id long, n_shingles long, set_key string, sketch array<long>"
 _FOUND = "kind string, leader long, block long, a long, b long, distance double"
 
@@ -57,26 +59,27 @@ def _prefix(size: Column, threshold: float, k: int) -> Column:
 
 
 def cells(sets: DataFrame, threshold: float, k: int = SKETCH) -> DataFrame:
-    """(leader, rep): every two linked sets are together in some cell; a cell has its leader too.
+    """(leader, rep, n): every two linked sets are together in some cell; a cell has its leader too. n is the set's size.
 
     Inverted lists hold the retained values that more than one set has. Of its own, a set
     keeps only the rarest, as many as the least overlap demands, so that passages which many
     documents share make no long lists. Lists with the same leader (the set with the most
-    shared values) are one cell. Rows grow with the input, not with the square of a list.
+    shared values) are one cell. Rows grow with the input, not with the square of a list; the
+    rows of a value that is common all the same are joined where they are.
     """
-    posts = sets.select("rep", F.size("sketch").alias("size"), F.explode("sketch").alias("v"))
-    counts = posts.groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
-    shared = posts.join(counts, "v").groupBy("rep", "size").agg(F.sort_array(F.collect_list(F.struct("n", "v"))).alias("found"))
+    posts = sets.select("rep", F.col("n_shingles").alias("n"), F.size("sketch").alias("size"), F.explode("sketch").alias("v"))
+    counts = posts.groupBy("v").agg(F.count("*").alias("c")).where("c > 1")
+    shared = joined_by_count(posts, counts, "v", "c").groupBy("rep", "n", "size").agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("found"))
     alone = F.col("size") - F.size("found")
-    keys = (
+    keys = materialize(
         shared.withColumn("alone", alone)
         .withColumn("left", (_prefix(F.col("size"), threshold, k) - F.col("alone")).cast("int"))
         .where("left > 0")
-        .select("rep", "alone", F.explode(F.slice("found", F.lit(1), F.col("left"))).alias("f"))
-        .select("rep", "alone", F.col("f.v").alias("v"))
+        .select("rep", "n", "alone", F.explode(F.slice("found", F.lit(1), F.col("left"))).alias("f"))
+        .select("rep", "n", "alone", F.col("f.v").alias("v"))
     )
     leaders = keys.groupBy("v").agg(F.min(F.struct("alone", "rep")).alias("m"), F.count("*").alias("c")).where("c > 1")
-    return keys.join(leaders, "v").select(F.col("m.rep").alias("leader"), "rep").distinct()
+    return joined_by_count(keys, leaders, "v", "c").select(F.col("m.rep").alias("leader"), "rep", "n").distinct()
 
 
 class _Sets:
@@ -160,11 +163,12 @@ def near_duplicates(
     sketched = materialize(sketches(docs, id_col, text_col, shingle))
     usable = sketched.where("n_shingles > 0 and doc_id is not null")
     reps = materialize(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    sets = usable.join(reps.hint("merge"), "set_key").where("doc_id = rep").select("rep", "set_key", "sketch").dropDuplicates(["set_key"])
+    sets = usable.join(reps.hint("merge"), "set_key").where("doc_id = rep").select("rep", "set_key", "n_shingles", "sketch").dropDuplicates(["set_key"])
     members = materialize(cells(sets, threshold).withColumn("of", F.xxhash64("rep")))
-    sizes = members.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    # a block has about `block` texts, or fewer that are long
+    sizes = members.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"), F.count("*").alias("c"))
     placed = materialize(
-        members.join(sizes, "leader").select("leader", "rep", "blocks", F.pmod("of", "blocks").alias("block"))
+        joined_by_count(members, sizes, "leader", "c").select("leader", "rep", "blocks", F.pmod("of", "blocks").alias("block"))
     )
     # the leader of a cell of several blocks goes to each of them
     spread = placed.where("leader <> rep").unionByName(
@@ -182,7 +186,7 @@ def near_duplicates(
     links = found.where("kind = 'link'").select("a", "b")
     far = found.where("kind = 'far'")
     if not far.isEmpty():
-        links = links.unionByName(_across(found, far, texts, shingle, threshold, block))
+        links = links.unionByName(_across(found, far, texts, shingle, threshold))
     components = connected_components(links)
     labels = reps.join(components.hint("merge"), F.col("rep") == F.col("node"), "left").select(
         F.col("set_key"), F.coalesce("component", "rep").alias("component_id")
@@ -251,9 +255,11 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _across(found: DataFrame, far: DataFrame, texts: DataFrame, shingle: int, threshold: float, block: int) -> DataFrame:
+def _across(found: DataFrame, far: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """Links between blocks of large cells: chunks of what is far from the leader against each other block."""
-    chunks = far.groupBy("leader").agg(F.ceil(F.count("*") / block).cast("long").alias("chunks"))
+    # chunks are as large as the blocks of their cell
+    is_far = F.count_if(F.col("kind") == "far")
+    chunks = found.where("kind <> 'link'").groupBy("leader").agg(F.ceil(is_far / (F.count("*") / F.max("b"))).cast("long").alias("chunks")).where("chunks > 0")
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = (
         far.join(chunks, "leader")
