@@ -14,12 +14,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowforge.llm._shared import materialize, runs, shared_folder
+from rowforge.llm._shared import filtered, id_filter, joined_by_count, materialize, runs, shared_folder
 
 # Fixed values of the seekable format: skippable frame, footer.
 _SKIPPABLE, _FOOTER = 0x184D2A5E, 0x8F92EAB1
 #: A frame is closed once its records have so many bytes; a longer record has a frame of its own.
 FRAME = 1 << 18
+#: Bytes of records, before compression, that a task reads back.
+READ = 32 << 20
 _INDEX = "page_id long, archive string, frame int, start long, length long"
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, payload binary"
 
@@ -112,9 +114,10 @@ class BundleReader:
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", smallest: int = 0) -> DataFrame:
-    """(id, refers_to) of the pages that revisit another: those whose payload, of `smallest` bytes or more, a smaller id has.
+    """(id, digest, refers_to) of the payloads that revisit another: those of `smallest` bytes or more that a smaller id has too.
 
-    Of rows with the same id and payload all count as that page. Null ids never revisit, nor are they revisited.
+    Rows that repeat an id are told apart by their payload's digest; those with the same id
+    and payload all count as that page. Null ids never revisit, nor are they revisited.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     digests = materialize(
@@ -123,7 +126,7 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", payload_col: str = "
         )
     )
     first = digests.groupBy("digest").agg(F.min("id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
-    return digests.join(first, "digest").where("id <> refers_to").select("id", "refers_to").distinct()
+    return joined_by_count(digests.select("id", "digest"), first, "digest").where("id <> refers_to").select("id", "digest", "refers_to").distinct()
 
 
 def write_archives(
@@ -134,14 +137,20 @@ def write_archives(
     The index has (page_id, archive, frame, start, length): start is relative to the frame. Each task
     writes one bundle under a name of its own and moves it into place when whole, so a lost
     or repeated task leaves no half bundle; the index names only bundles of tasks that
-    succeeded. Null payloads are empty; a null uri is written as an empty one. A null id is
-    written as an empty one and comes back null. Repeated ids get a record each. An empty
-    table gives an empty index.
+    succeeded. Payloads of ids that an id filter clears of being revisits are written where they
+    are read; only the others are shuffled. Null payloads are empty; a null uri is written as
+    an empty one. A null id is written as an empty one and comes back null. Repeated ids get a
+    record each, a revisit only for a payload that a smaller id has. An empty table gives an
+    empty index. Only the three columns are read, whatever others are named.
     """
-    again = plan_records(pages, id_col, payload_col, smallest)
+    again = materialize(plan_records(pages, id_col, payload_col, smallest))
     rows = pages.select(
         F.col(id_col).cast("long").alias("id"), F.col(uri_col).cast("string").alias("uri"), F.col(payload_col).cast("string").alias("payload")
-    ).join(again, "id", "left")
+    )
+    words = id_filter(again, "id")
+    surely = filtered(rows, "id", words, inside=False).withColumn("refers_to", F.lit(None).cast("long"))
+    digest = F.sha1(F.coalesce("payload", F.lit("")).cast("binary"))
+    doubtful = filtered(rows, "id", words, inside=True).withColumn("digest", digest).join(again.hint("merge"), ["id", "digest"], "left").select(surely.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pyarrow.fs.FileSystem.from_uri(folder)
@@ -168,7 +177,7 @@ def write_archives(
             kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["page_id", "archive", "frame", "start", "length"])
 
-    return materialize(rows.select("id", "uri", "payload", "refers_to").mapInArrow(run, _INDEX))
+    return materialize(surely.unionByName(doubtful).mapInArrow(run, _INDEX))
 
 
 def read_records(index: DataFrame, folder: str, *, payloads: bool = True) -> DataFrame:
@@ -176,7 +185,7 @@ def read_records(index: DataFrame, folder: str, *, payloads: bool = True) -> Dat
 
     payload_bytes and payload_digest are of the full payload, for revisits too; payload is
     null for revisits, or everywhere without `payloads`. A response whose payload doesn't
-    match its digest is an error.
+    match its digest is an error. Tasks get about READ bytes of records each, in runs of frames.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,10 +211,10 @@ def read_records(index: DataFrame, folder: str, *, payloads: bool = True) -> Dat
         if source is not None:
             source.close()
 
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
     keyed = index.select(F.xxhash64("archive").alias("key"), "archive", "frame", "start", "length")
-    return (
-        keyed.repartition("key", F.floor(F.col("frame") / 16)).sortWithinPartitions("key", "archive", "frame", "start").mapInArrow(run, _READ)
-    )
+    dealt = keyed.repartition(max(1, -(-size // READ)), "key", F.floor(F.col("frame") / 16))
+    return dealt.sortWithinPartitions("key", "archive", "frame", "start").mapInArrow(run, _READ)
 
 
 def _number(urn: str | None) -> int | None:
