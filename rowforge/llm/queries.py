@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from rowforge.llm._shared import shared_folder
 from rowforge.llm import bpe, embedding_dedup, exact_dedup, langid, mixing, near_dedup, pii, quality, resharding, warc
 
 #: Vocabulary of the BPE query.
@@ -36,7 +38,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resharding.reshard(_read(spark, sf_dir, "documents"), shards=24)
+    folder = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    return resharding.digest(resharding.reshard(_read(spark, sf_dir, "documents"), folder, shards=24))
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,13 +114,18 @@ FROM s JOIN c ON s.doc_id = c.node
     "op8_mixing": """
 WITH RECURSIVE r AS (
   SELECT source, CAST(sum(count(*)) OVER () AS DOUBLE) / (count(*) OVER () * CAST(count(*) AS DOUBLE)) AS rate FROM documents GROUP BY source),
+shares AS (
+  SELECT source, CASE WHEN rate > 700 THEN CAST(ceil(rate / 700) AS BIGINT) ELSE 1 END AS parts,
+         CASE WHEN rate > 700 THEN rate / ceil(rate / 700) ELSE rate END AS share FROM r),
 cdf AS (
-  SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS c FROM r
+  SELECT source, share, 0 AS k, exp(-share) AS p, exp(-share) AS c FROM shares
   UNION ALL
-  SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf WHERE k < ceil(rate + 12 * sqrt(rate) + 40)),
+  SELECT source, share, k + 1, p * share / (k + 1), c + p * share / (k + 1) FROM cdf WHERE k < ceil(share + 12 * sqrt(share) + 40)),
+keyed AS (
+  SELECT documents.*, parts, unnest(range(1, parts + 1)) AS part FROM documents JOIN shares ON documents.source IS NOT DISTINCT FROM shares.source),
 u AS (
-  SELECT *, CAST(CAST('0x' || substr(md5('copies:17:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
-  FROM documents),
+  SELECT *, CAST(CAST('0x' || substr(md5(CASE WHEN parts = 1 THEN 'copies:17:' ELSE 'copies-part:17:' || part || ':' END || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
+  FROM keyed),
 n AS (
   SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, count(*) AS n_copies
   FROM u JOIN cdf ON u.source IS NOT DISTINCT FROM cdf.source AND u.u >= cdf.c

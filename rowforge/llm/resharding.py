@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from rowforge.llm._shared import materialize
+from rowforge.llm._shared import delete, materialize
 
 #: Blocks of an old shard. Their number bounds what the driver plans with: old shards * BLOCKS rows, however large the data.
 BLOCKS = 4096
 #: Pieces that a group is cut into which is larger than a new shard, for each shard that it would fill.
 PIECES = 64
+#: Bytes of a shard, about, that one task writes.
+CHUNK = 32 << 20
 
 
 def old_shard(key: Column, shards: int) -> Column:
@@ -84,110 +86,135 @@ def min_cost_flow(have: list[int], room: list[int]) -> list[list[int]]:
 
 
 def assign_blocks(old: np.ndarray, size: np.ndarray, shards: int, olds: int) -> np.ndarray:
-    """New shard of each block: the flow's amounts, filled with whole blocks, the largest first, then evened out with small ones."""
+    """New shard of each block: the flow's amounts, filled with whole blocks, the largest first.
+
+    A block that fits in no amount left goes where most room is. Then blocks that move anyway
+    even out the loads. So each old shard moves less than one block more than the flow.
+    """
     have = np.bincount(old, weights=size, minlength=olds).astype(np.int64)
     total = int(size.sum())
     room = [total // shards + (j < total % shards) for j in range(shards)]
-    flow = np.array(min_cost_flow([int(h) for h in have], room), dtype=np.int64)
-    to = np.zeros(len(old), dtype=np.int64)
+    flow = np.array(min_cost_flow([int(h) for h in have], room), dtype=np.int64).reshape(olds, shards)
+    to = np.full(len(old), -1, dtype=np.int64)
     load = np.zeros(shards, dtype=np.int64)
-    target = np.array(room)
-    order = np.lexsort((np.arange(len(old)), old, -size))
-    for b in order:
-        left = flow[old[b]]
-        if left.max() >= size[b]:
-            stay = old[b] < shards and left[old[b]] >= size[b]
-            j = int(old[b]) if stay else int(left.argmax())
-        else:  # no amount takes the whole block: where most room is left
-            j = int((target - load).argmax())
+    for b in np.lexsort((np.arange(len(old)), old, -size)):
+        i, left = int(old[b]), flow[old[b]]
+        j = i if i < shards and left[i] >= size[b] else int(left.argmax())
+        if left[j] < size[b]:
+            j = int((np.array(room) - load).argmax())
+        else:
+            left[j] -= size[b]
         to[b] = j
-        left[j] -= min(left[j], size[b])
         load[j] += size[b]
-    # single blocks from the fullest to the emptiest shard, as long as that narrows the spread
-    blocks = [sorted(np.flatnonzero(to == j).tolist(), key=lambda b: size[b]) for j in range(shards)]
+    # single moved blocks from the fullest to the emptiest shard, as long as that narrows the spread
+    moved = [sorted(np.flatnonzero((to == j) & (old != j)).tolist(), key=lambda b: size[b]) for j in range(shards)]
     for _ in range(20 * shards):
-        hi, lo = int(load.argmax()), int(load.argmin())
-        gap = int(load[hi] - load[lo])
-        sizes = size[blocks[hi]] if blocks[hi] else np.empty(0)
-        k = int(np.searchsorted(sizes, gap / 2, side="right")) - 1
-        if k < 0 or sizes[k] <= 0:
+        lo = int(load.argmin())
+        for hi in np.argsort(-load):
+            gap = int(load[hi] - load[lo])
+            k = int(np.searchsorted(size[moved[hi]], gap / 2, side="right")) - 1 if moved[hi] else -1
+            if k >= 0 and size[moved[hi][k]] > 0:
+                break
+        else:
             break
-        b = blocks[hi].pop(k)
-        blocks[lo].append(b)
-        blocks[lo].sort(key=lambda b: size[b])
+        b = moved[hi].pop(k)
+        if old[b] != lo:
+            moved[lo].append(b)
+            moved[lo].sort(key=lambda b: size[b])
         to[b] = lo
         load[hi] -= size[b]
         load[lo] += size[b]
     return to
 
 
+def _laid(docs: DataFrame, olds: int, blocks: int, id_col: str, text_col: str, old: Column | None, *also: str) -> DataFrame:
+    """(doc_id, size, key, old_shard, block), with `also` the text, of every row; `block` is a hash range of texts."""
+    data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(data) + 8).cast("long").alias("size"), F.xxhash64(F.md5(data)).alias("key"),
+        F.col(text_col).alias("text"), *([] if old is None else [old.cast("int").alias("old_shard")]),
+    )
+    if old is None:
+        rows = rows.withColumn("old_shard", old_shard(F.col("key"), olds))
+    return rows.select("doc_id", "size", "key", "old_shard", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), *also)
+
+
+_KEYS = ["old_shard", "block", "unit", "giant"]
+
+
+def _pieces(laid: DataFrame, giants: DataFrame) -> DataFrame:
+    """Adds piece (0 outside giants), giant (the key of one, else 0) and unit, which the plan puts somewhere as a whole."""
+    out = laid.join(F.broadcast(giants), "key", "left")
+    is_giant = F.col("pieces").isNotNull()
+    return out.select(
+        *laid.columns, F.when(is_giant, F.pmod(F.xxhash64("doc_id"), F.col("pieces")) + 1).otherwise(0).cast("int").alias("piece"),
+        F.when(is_giant, F.col("key")).otherwise(0).alias("giant"), F.coalesce("cut", F.lit(False)).alias("cut"),
+    ).withColumn("unit", F.when(F.col("cut"), F.col("piece")).when(F.col("giant") != 0, 1).otherwise(0)).drop("cut")
+
+
 def reshard(
-    docs: DataFrame, *, shards: int = 24, olds: int = 20, id_col: str = "doc_id", text_col: str = "text", blocks: int = BLOCKS
-) -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard, moved), one row per input row. The law is `bytes`.
-
-    `size` is the text's UTF-8 bytes (null: none) plus 8; text_crc32 is 0 for null and empty
-    texts. Before, rows lie in `olds` shards by a hash of their text. Blocks (hash ranges of
-    texts in an old shard, so equal texts stay together) go to `shards` new shards of nearly
-    equal bytes; the blocks' sizes are all that the driver sees. A group of equal texts that
-    is larger than a new shard is cut by id, as it fits in none; one that has more than a
-    shard's share of rows is numbered in pieces. Slots are gapless from 0 in each shard,
-    block by block, by id within a block; repeated and null ids get a slot each. grown_shard
-    is null. An empty table gives an empty result; other columns aren't read.
+    docs: DataFrame, folder: str, *, shards: int = 24, olds: int = 20, id_col: str = "doc_id", text_col: str = "text", old: Column | None = None,
+    blocks: int = BLOCKS, live: bool = False,
+) -> DataFrame:
+    """Write the shards to `folder`/shard=N in slot order and read them back: (doc_id, text, slot, old_shard, shard), one row per input row. The law is `bytes`.
+
+    A row's size is its text's UTF-8 bytes (null: none) plus 8. Before, rows lie in `olds`
+    shards, by `old` or else by a hash of their text. Blocks (hash ranges of texts in an old
+    shard, so equal texts stay together) go to `shards` new shards of nearly equal bytes; the
+    blocks' sizes are all that the driver sees. A group of equal texts that is larger than a
+    new shard is cut by id, as it fits in none; one that has more than a shard's share of rows
+    is numbered in pieces. Slots are gapless from 0 in each shard, block by block, by id within
+    a block; repeated and null ids get a slot each. Texts are shuffled once, to about CHUNK
+    bytes for a task. An empty table gives an empty result; other columns aren't read.
+
+    `live`: the folder is in use and has the old shards. Only shards that gain or lose rows
+    are replaced, emptied ones deleted; other shards' files stay as they are, whatever their number.
+    The result then has the rows of the shards that were written.
     """
-    data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    base = materialize(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            (F.octet_length(data) + 8).cast("long").alias("size"),
-            F.crc32(data).alias("text_crc32"),
-            F.xxhash64(F.md5(data)).alias("key"),
-        )
-    )
-    laid = base.select("*", old_shard(F.col("key"), olds).alias("old_shard"), F.pmod(F.xxhash64("key", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
-    total = base.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b"), F.count("*").alias("r")).first()
+    spark = docs.sparkSession
+    schema = f"doc_id long, text {dict(docs.dtypes)[text_col]}, slot long, old_shard int"
+    laid = materialize(_laid(docs, olds, blocks, id_col, text_col, old))
+    total = laid.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b"), F.count("*").alias("r")).first()
+    if not total.r:
+        return spark.createDataFrame([], schema + ", shard int")
     # fewer than shards + shards groups are that large, as each takes its share of bytes or rows
-    giants = (
-        base.groupBy("key")
+    giants = materialize(
+        laid.groupBy("key")
         .agg(F.sum("size").alias("b"), F.count("*").alias("r"))
-        .where((F.col("b") * shards > F.lit(total.b)) | (F.col("r") * shards > F.lit(total.r)))
-        .select("key", (F.col("b") * shards > F.lit(total.b)).alias("cut"), (F.ceil(F.greatest(F.col("b") / total.b, F.col("r") / total.r) * shards) * PIECES).cast("int").alias("pieces"))
-    ) if total.r else base.select("key", F.lit(False).alias("cut"), F.lit(1).alias("pieces"))
-    laid = laid.join(F.broadcast(giants), "key", "left").withColumn(
-        "piece", F.when(F.col("pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("pieces")) + 1).cast("int")
+        .where((F.col("b") * shards > total.b) | (F.col("r") * shards > total.r))
+        .select("key", (F.col("b") * shards > total.b).alias("cut"), (F.ceil(F.greatest(F.col("b") / total.b, F.col("r") / total.r) * shards) * PIECES).cast("int").alias("pieces"))
     )
-    # a whole group that is only numbered in pieces is one unit for the plan
-    laid = laid.withColumn("unit", F.when(F.coalesce("cut", F.lit(False)), F.col("piece")).when(F.col("pieces").isNotNull(), F.lit(1)).otherwise(0))
-    per_piece = materialize(
-        laid.groupBy("old_shard", "block", "unit", "piece", F.coalesce(F.when(F.col("pieces").isNotNull(), F.col("key")), F.lit(0)).alias("giant"))
-        .agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
-    )
-    sizes = per_piece.groupBy("old_shard", "block", "unit", "giant").agg(F.sum("bytes").alias("bytes")).orderBy("old_shard", "block", "giant", "unit").toPandas()
-    to = assign_blocks(sizes["old_shard"].to_numpy(np.int64), sizes["bytes"].to_numpy(np.int64), shards, olds)
+    per_piece = materialize(_pieces(laid, giants).groupBy(*_KEYS, "piece").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")))
+    sizes = per_piece.groupBy(*_KEYS).agg(F.sum("bytes").alias("bytes")).orderBy(*_KEYS).toPandas()
+    was = sizes["old_shard"].to_numpy(np.int64)
+    to = assign_blocks(was, sizes["bytes"].to_numpy(np.int64), shards, max(olds, int(was.max()) + 1))
+    affected = sorted({*was[to != was].tolist(), *to[to != was].tolist()})
     sizes["shard"] = to.astype("int32")
-    spark = docs.sparkSession
-    plan = spark.createDataFrame(
-        sizes[["old_shard", "block", "unit", "giant", "shard"]].astype({"old_shard": "int32", "block": "int32", "unit": "int32"}),
-        "old_shard int, block int, unit int, giant long, shard int",
-    )
-    keys = ["old_shard", "block", "unit", "giant"]
+    plan = spark.createDataFrame(sizes[[*_KEYS, "shard"]].astype({"old_shard": "int32", "block": "int32", "unit": "int32"}), "old_shard int, block int, unit int, giant long, shard int")
     first = Window.partitionBy("shard").orderBy("old_shard", "block", "giant", "unit", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_piece.join(F.broadcast(plan), keys).withColumn("start", F.coalesce(F.sum("rows").over(first), F.lit(0)))
-    starts = starts.select(*keys, "piece", "shard", "start")
-    placed = laid.withColumn("giant", F.coalesce(F.when(F.col("pieces").isNotNull(), F.col("key")), F.lit(0))).join(F.broadcast(starts), [*keys, "piece"])
-    inside = Window.partitionBy("old_shard", "block", "giant", "unit", "piece").orderBy("doc_id", "key")
-    return placed.select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("start") + F.row_number().over(inside) - 1).cast("long").alias("slot"),
+    starts = per_piece.join(F.broadcast(plan), _KEYS).select(
+        *_KEYS, "piece", "shard", F.coalesce(F.sum("rows").over(first), F.lit(0)).alias("start"),
+        F.floor(F.coalesce(F.sum("bytes").over(first), F.lit(0)) / CHUNK).cast("int").alias("chunk"),
+    )
+    if live:
+        starts = starts.where(F.col("shard").isin(affected))
+    # starts has as many rows as the plan has blocks and pieces
+    rows = _pieces(_laid(docs, olds, blocks, id_col, text_col, old, "text"), giants).join(F.broadcast(starts), [*_KEYS, "piece"])
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total.b // CHUNK))
+    inside = Window.partitionBy("shard", "chunk", *_KEYS, "piece").orderBy("doc_id", "key")
+    slots = rows.repartition(tasks, "shard", "chunk").withColumn("slot", (F.col("start") + F.row_number().over(inside) - 1).cast("long"))
+    slots.select("doc_id", "text", "slot", "old_shard", "shard").write.partitionBy("shard").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(folder)
+    if live:
+        for n in set(affected) - set(to.tolist()):
+            delete(spark, f"{folder}/shard={n}")
+    back = spark.read.schema(schema + ", shard int").parquet(folder)
+    return back.where(F.col("shard").isin(affected)) if live else back
+
+
+def digest(rows: DataFrame) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard, moved) of the rows of written shards; text_crc32 is 0 for null and empty texts."""
+    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return rows.select(
+        "doc_id", (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "old_shard", (F.col("shard") != F.col("old_shard")).alias("moved"),
     )
-
-
-def rewrite(docs: DataFrame, assignment: DataFrame, folder: str, id_col: str = "doc_id") -> list[int]:
-    """Write the shards that gain or lose rows to `folder`/shard=N, each in slot order; return their numbers. Ids must be unique."""
-    lost = assignment.where("moved").select(F.col("old_shard").alias("n"))
-    gained = assignment.where("moved").select(F.col("shard").alias("n"))
-    affected = sorted(r.n for r in lost.unionByName(gained).distinct().collect())  # at most as many as there are shards
-    rows = docs.join(assignment.where(F.col("shard").isin(affected)).select(F.col("doc_id").alias(id_col), "shard", "slot"), id_col)
-    rows.repartition("shard", F.floor(F.col("slot") / 1_000_000)).sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").mode("overwrite").parquet(folder)
-    return affected
