@@ -8,19 +8,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowforge.llm._shared import materialize
+from rowforge.llm._shared import filtered, id_filter, joined_by_count, materialize
 
-#: Kinds in the order in which spans that start together are listed.
-KINDS = ("email", "ip", "card", "phone", "term")
-#: Characters to either side of protected data in which terms are looked for.
-WINDOW = 80
-#: Documents, at least, in which a term stands by the same protected value.
+#: Kinds in the order in which spans that start together are listed. Terms are generalised, secrets removed.
+KINDS = ("email", "ip", "card", "phone", "term", "secret")
+#: Documents, at least, that have both a protected value and a term, for an estimate of what the term discloses.
 SUPPORT = 3
-#: Share of a value's information that a term may disclose.
+#: Share of a value's information from which a term is generalised, and from which it's removed.
 THRESHOLD = 0.8
+REMOVE = 0.95
 _BITS = 1 << 23  # of the filter of terms that are counted: 1 MB, whatever the corpus
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -29,7 +29,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"\w+")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -77,58 +77,147 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def _key(x: str) -> int:
-    return xxhash.xxh64_intdigest(x.lower().encode("utf-8", "surrogatepass")) - (1 << 63)
+_KEYS_HELD = 300_000
+_keys: dict[str, int] = {}
 
 
-def context_terms(text: str, spans: list[tuple[int, int, int]], window: int = WINDOW) -> list[tuple[int, int, int, int]]:
-    """(value key, term key, start, end) of whole words beside protected values and outside all of them."""
-    out = []
-    for s, k, e in spans:
-        value = _key(f"{KINDS[k]}:{text[s:e]}")
-        for a, b in ((max(0, s - window), s), (e, min(len(text), e + window))):
-            for m in _WORD.finditer(text, a, b):
-                u, v = m.span()
-                cut = (u == a and a > 0 and _WORD.match(text[a - 1])) or (v == b and b < len(text) and _WORD.match(text[b]))
-                if not cut and not any(u < y and x < v for x, _, y in spans):
-                    out.append((value, _key(m.group()), u, v))
-    return out
+def word_key(word: str) -> int:
+    """A 64-bit hash of a word, whatever its case; a worker keeps some that it has met."""
+    k = _keys.get(word)
+    if k is None:
+        if len(_keys) >= _KEYS_HELD:
+            _keys.clear()
+        k = _keys[word] = xxhash.xxh64_intdigest(word.lower().encode("utf-8", "surrogatepass")) - (1 << 63)
+    return k
+
+
+def free_words(text: str, spans: list[tuple[int, int, int]]) -> Iterator[re.Match]:
+    """Words (letters, digits, underscores) that no span overlaps; spans by start."""
+    at, upto = 0, 0
+    for m in _WORD.finditer(text):
+        u, v = m.span()
+        while at < len(spans) and spans[at][0] < v:
+            upto = max(upto, spans[at][2])
+            at += 1
+        if u >= upto:
+            yield m
+
+
+def word_keys(text: str, spans: list[tuple[int, int, int]]) -> set[int]:
+    if spans:
+        return {word_key(m.group()) for m in free_words(text, spans)}
+    return set(map(word_key, set(_WORD.findall(text))))
+
 
+def own_words(value: str) -> list[str]:
+    """Words of three letters or more in the part of an address before the @."""
+    return [w for w in re.findall(r"[^\W\d_]+", value.partition("@")[0]) if len(w) > 2]
 
-_FOUND = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<value:long,term:long,start:int,stop:int>>"
 
+_FOUND = (
+    "row long, doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base string, values array<long>, words array<long>,"
+    " own array<struct<value:long,term:long>>, terms array<struct<term:long,df:long>>"
+)
+_NAMES = [c.split()[0] for c in _FOUND.split(", ")[:8]] + ["values", "words", "own", "terms"]
+_PAIR = pa.list_(pa.struct([("value", pa.int64()), ("term", pa.int64())]))
+_DF = pa.list_(pa.struct([("term", pa.int64()), ("df", pa.int64())]))
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW) -> DataFrame:
-    """Base spans of every whole text, and the terms beside them."""
+
+def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Base spans of every whole text, and what the corpus counts need, in one pass.
+
+    A row for each document has the hashes of its protected values and, if it has such, of its
+    other words. Rows without text_key have `terms`: in how many documents of a task's
+    portion each word stands.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("value", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]))
+        row = TaskContext.get().partitionId() << 40
+        seen: list[np.ndarray] = []
+
+        def portion() -> pa.RecordBatch:
+            term, df = np.unique(np.concatenate(seen), return_counts=True)
+            seen.clear()
+            lists = pa.ListArray.from_arrays(pa.array([0, len(term)], pa.int32()), pa.StructArray.from_arrays([pa.array(term), pa.array(df)], ["term", "df"]))
+            kinds = [*[pa.int64()] * 7, pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), _PAIR]
+            return pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds), lists.cast(_DF)], names=_NAMES)
+
         for batch in batches:
-            keys, counts, base, near = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
+            counts, base, values, words, own = [], [], [], [], []
+            for text in batch.column(2):
+                text = text.as_py() or ""
                 spans = base_spans(text)
-                keys.append(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63) if spans else 0)
+                keys = word_keys(text, spans)
+                seen.append(np.fromiter(keys, np.int64, len(keys)))
                 counts.append([sum(k == j for _, k, _ in spans) for j in range(4)])
                 base.append(joined(spans))
-                near.append([dict(zip(("value", "term", "start", "stop"), x, strict=True)) for x in context_terms(text, spans, window)] if spans else [])
+                named = {f"{KINDS[k]}:{text[s:e]}": k for s, k, e in spans}
+                values.append(list({word_key(x) for x in named}))
+                words.append(list(keys) if spans else [])
+                pairs = {(word_key(x), word_key(w)) for x, k in named.items() if k == 0 for w in own_words(x[6:])}
+                own.append([{"value": v, "term": w} for v, w in pairs if w in keys])
             c = np.array(counts, dtype=np.int64).reshape(-1, 4)
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.int64()), *(pa.array(c[:, j]) for j in range(4)), pa.array(base, pa.string()), pa.array(near, kind)],
-                ["doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base", "near"],
-            )
+                [
+                    pa.array(np.arange(row, row + len(base))), batch.column(0), batch.column(1), *(pa.array(c[:, j]) for j in range(4)), pa.array(base, pa.string()),
+                    pa.array(values, longs), pa.array(words, longs), pa.array(own, _PAIR), pa.nulls(len(base), _DF),
+                ],
+                names=_NAMES,
+            )
+            row += len(base)
+            if sum(map(len, seen)) > 1 << 20:
+                yield portion()
+        if seen:
+            yield portion()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _FOUND)
+    return _keyed(docs, id_col, text_col).mapInArrow(run, _FOUND)
 
 
-def term_frequency(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, df): documents of the whole corpus that have each of `terms` (hashes).
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
-    The scan passes on only words whose hash is in a bitmap of fixed size; what the bitmap
-    lets through by chance falls out in the join.
+
+def disclosing_terms(detected: DataFrame, *, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
+    """(value, term, share): terms that disclose at least `threshold` of a protected value's information.
+
+    With N documents, share = pmi(value, term) / -log p(value), where pmi is the logarithm of
+    N * both / (df(value) * df(term)). All counts are of whole documents of the whole corpus. A
+    pair must have `support` documents. Values in fewer documents than that can't have them:
+    of these only the words of an address itself are candidates, by the same share.
+
+    As `both` is at most df(value), a term with more than N ** (1 - threshold) *
+    df(value) ** threshold documents can't disclose it; such terms drop out before pairs are made.
     """
+    found = detected.where("text_key is not null")
+    total = float(found.count())
+    df_term = materialize(detected.select(F.explode("terms").alias("t")).groupBy(F.col("t.term").alias("term")).agg(F.sum("t.df").alias("df_term")))
+    values = found.where(F.size("values") > 0).select("row", F.explode("values").alias("value"))
+    df_value = materialize(values.groupBy("value").agg(F.count("*").alias("df_value")).where(F.col("df_value") < total))
+    most = F.pow(F.lit(total), F.lit(1 - threshold)) * F.pow(F.col("df_value"), F.lit(threshold)) * (1 + 1e-9)
+    often = df_value.where(F.col("df_value") >= support)
+    limit = often.agg(F.max(most)).first()[0]
+    seldom = df_value.where(F.col("df_value") < support)
+    own = found.where(F.size("own") > 0).select(F.explode("own").alias("p")).select("p.value", "p.term")
+    counted = own.join(seldom.hint("merge"), "value").groupBy("value", "term").agg(F.count("*").alias("both"), F.first("df_value").alias("df_value"))
+    counted = counted.join(df_term.hint("merge"), "term").select("value", "term", "both", "df_value", "df_term")
+    if limit is not None:
+        v = materialize(joined_by_count(values, often, "value", "df_value"))
+        rows = found.where(F.size("values") > 0).select("row", "words")
+        w = filtered(rows, "row", id_filter(v, "row"), inside=True).select("row", F.explode("words").alias("term"))
+        w = joined_by_count(w, df_term.where(F.col("df_term").between(support, limit)), "term", "df_term")
+        pairs = v.join(w.hint("merge"), "row").where(F.col("df_term") <= most)
+        pairs = pairs.groupBy("value", "term").agg(F.count("*").alias("both"), F.first("df_value").alias("df_value"), F.first("df_term").alias("df_term"))
+        counted = counted.unionByName(pairs.where(F.col("both") >= support).select(counted.columns))
+    share = F.log(F.lit(total) * F.col("both") / (F.col("df_value") * F.col("df_term"))) / F.log(F.lit(total) / F.col("df_value"))
+    return counted.select("value", "term", share.alias("share")).where(F.col("share") >= threshold - 1e-12)
+
+
+def key_bits(keys: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of fixed size of hashes, for tasks to rule out others with (`_in`)."""
     maps = (
-        terms.select(F.pmod("term", F.lit(_BITS)).alias("b"))
+        keys.select(F.pmod(column, F.lit(_BITS)).alias("b"))
         .distinct()
         .groupBy(F.bitmap_bucket_number("b").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
@@ -138,22 +227,7 @@ def term_frequency(docs: DataFrame, terms: DataFrame, text_col: str = "text") ->
     for r in maps:  # bucket 0 holds 0, bucket n + 1 holds n * 32768 + 1 to (n + 1) * 32768
         low = (r.bucket - 1) * 4096 if r.bucket else _BITS // 8
         filled[low : low + 4096] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(filled)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                words = {w.lower() for w in set(_WORD.findall(text or ""))}
-                if words:
-                    h = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.uint64, count=len(words))
-                    h = (h - np.uint64(1 << 63)).view(np.int64)
-                    out.append(h[_in(bits, h)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else np.empty(0, np.int64))], ["term"])
-
-    hits = docs.select(F.col(text_col).alias("text")).where("text is not null").mapInArrow(run, "term long")
-    return hits.groupBy("term").agg(F.count("*").alias("df")).join(terms, "term", "left_semi")
+    return filled
 
 
 def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -163,77 +237,97 @@ def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bits[byte] >> np.where(b == 0, 0, p % 8).astype(np.uint8)) & 1 == 1
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str = "text", *, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
-    """(value, term, share): terms that disclose at least `threshold` of a protected value's information.
+def occurrences(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_key, term, places): where each of `terms` (hashes) stands in each document, outside protected values.
 
-    With N documents, share = pmi(value, term) / -log p(value), where pmi is the logarithm of
-    N * both / (df(value) * df(term)). All counts are of documents of the whole corpus; pairs
-    that stand together in fewer than `support` documents say too little.
+    The scan passes on only words whose hash is in a bitmap of fixed size; what the bitmap
+    lets through by chance falls out in the join with the terms.
     """
-    near = found.where(F.size("near") > 0).select(F.array_distinct(F.transform("near", lambda x: F.struct(x["value"].alias("value"), x["term"].alias("term")))).alias("pairs"))
-    values = near.select(F.explode(F.array_distinct(F.transform("pairs", lambda x: x["value"]))).alias("value"))
-    near = near.select(F.explode("pairs").alias("x")).select("x.value", "x.term")
-    both = materialize(near.groupBy("value", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support))
-    # a value's documents: those in which a term stands beside it, which is all but those where it stands alone
-    df_value = values.groupBy("value").agg(F.count("*").alias("df_value"))
-    df_term = term_frequency(docs, both.select("term").distinct(), text_col)
-    total = float(found.count())
-    share = F.log(F.lit(total) * F.col("both") / (F.col("df_value") * F.col("df"))) / F.log(F.lit(total) / F.col("df_value"))
-    return (
-        both.join(df_value, "value").join(df_term, "term").where(F.col("df_value") < total)
-        .select("value", "term", share.alias("share")).where(F.col("share") >= threshold)
-    )
+    shared = docs.sparkSession.sparkContext.broadcast(key_bits(terms, "term"))
+    kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            ids, texts, found, places = [], [], [], []
+            for i, key, text in zip(*(batch.column(j) for j in range(3)), strict=True):
+                text = text.as_py() or ""
+                names = list(set(_WORD.findall(text)))
+                keys = np.fromiter(map(word_key, names), np.int64, len(names))
+                hit = set(keys[_in(bits, keys)].tolist()) if names else set()
+                if not hit:
+                    continue
+                at: dict[int, list[dict]] = {}
+                for m in free_words(text, base_spans(text)):
+                    if (k := word_key(m.group())) in hit:
+                        at.setdefault(k, []).append({"s": m.start(), "e": m.end()})
+                for k, p in at.items():
+                    ids.append(i.as_py())
+                    texts.append(key.as_py())
+                    found.append(k)
+                    places.append(p)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(x, pa.int64()) for x in (ids, texts, found)), pa.array(places, kind)], ["doc_id", "text_key", "term", "places"]
+            )
+
+    return _keyed(docs, id_col, text_col).where("text is not null").mapInArrow(run, "doc_id long, text_key long, term long, places array<struct<s:int,e:int>>")
 
 
 def find_personal_data(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, support: int = SUPPORT, threshold: float = THRESHOLD
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, support: int = SUPPORT, threshold: float = THRESHOLD, remove: float = REMOVE
 ) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base, spans), one row per input row.
-
-    `base` lists what the patterns find, `spans` that and the terms that disclose it, as
-    kind:start:end by start, then kind, comma-joined, in code points with the end exclusive.
-    Null texts count as empty and have none. Repeated rows are documents of their own. Only id
-    and text are read; an empty table gives an empty result.
+    """(doc_id, text_key, n_email, n_ip, n_card, n_phone, base, spans), one row per input row.
+
+    `base` lists what the patterns find, `spans` that and every occurrence, in any document, of
+    the terms that disclose a protected value (see `disclosing_terms`): kind `secret` from
+    `remove` of its information on, else `term`. Both are kind:start:end by start, then kind,
+    comma-joined, in code points with the end exclusive. Null texts count as empty and have none.
+    Repeated rows are documents of their own. Only id and text are read, so other columns may
+    have any names; an empty table gives an empty result.
     """
-    found = materialize(detect(docs, id_col, text_col))
-    told = disclosing_terms(found, docs, text_col, support=support, threshold=threshold)
-    near = found.where(F.size("near") > 0).select("doc_id", "text_key", F.explode("near").alias("x"))
-    terms = (
-        near.select("doc_id", "text_key", F.col("x.value").alias("value"), F.col("x.term").alias("term"), "x.start", "x.stop")
-        .join(told, ["value", "term"])
-        .groupBy("doc_id", "text_key")
-        .agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("terms"))
+    detected = materialize(detect(docs, id_col, text_col))
+    found = detected.where("text_key is not null").select("doc_id", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base")
+    told = materialize(disclosing_terms(detected, support=support, threshold=threshold).groupBy("term").agg(F.max("share").alias("share"), F.count("*").alias("n")))
+    if told.isEmpty():
+        return found.withColumn("spans", F.col("base"))
+    places = materialize(occurrences(docs, told, id_col, text_col))
+    counted = places.groupBy("term").agg(F.count("*").alias("c")).join(told.hint("merge"), "term").select("term", "share", "c")
+    level = F.when(F.col("share") >= remove, KINDS.index("secret")).otherwise(KINDS.index("term"))
+    marked = joined_by_count(places, counted, "term", "c").withColumn("k", level)
+    spots = F.transform("places", lambda p: F.struct(p["s"].alias("s"), F.col("k").alias("k"), p["e"].alias("e")))
+    terms = marked.select("doc_id", "text_key", spots.alias("spots")).groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("spots"))).alias("terms"))
+    rows = found.alias("f").join(
+        terms.hint("merge").alias("t"), F.col("f.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("f.text_key") == F.col("t.text_key")), "left"
     )
-    rows = found.drop("near").alias("f").join(
-        terms.alias("t"), F.col("f.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("f.text_key") == F.col("t.text_key")), "left"
-    )
-    order = lambda x: F.when(x.startswith("email"), 0).when(x.startswith("ip"), 1).when(x.startswith("card"), 2).otherwise(3)
+    names = F.array(*(F.lit(k) for k in KINDS))
+    part = lambda x, i: F.split_part(x, F.lit(":"), F.lit(i))
     listed = F.transform(
-        F.split("base", ","), lambda x: F.struct(F.split_part(x, F.lit(":"), F.lit(2)).cast("int").alias("s"), order(x).alias("k"), x.alias("x"))
-    )
-    extra = F.transform(
-        "t.terms", lambda p: F.struct(p["start"].alias("s"), F.lit(4).alias("k"), F.concat_ws(":", F.lit("term"), p["start"], p["stop"]).alias("x"))
-    )
-    both = F.array_join(F.transform(F.sort_array(F.concat(listed, extra)), lambda p: p["x"]), ",")
-    return rows.select(
-        "f.doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", F.when(F.col("t.terms").isNull(), F.col("base")).otherwise(both).alias("spans")
+        F.filter(F.split("base", ","), lambda x: x != ""),
+        lambda x: F.struct(part(x, 2).cast("int").alias("s"), (F.array_position(names, part(x, 1)) - 1).cast("int").alias("k"), part(x, 3).cast("int").alias("e")),
     )
+    text = lambda p: F.concat_ws(":", F.element_at(names, p["k"] + 1), p["s"], p["e"])
+    both = F.array_join(F.transform(F.sort_array(F.concat(listed, "t.terms")), text), ",")
+    return rows.select("f.*", F.when(F.col("t.terms").isNull(), F.col("base")).otherwise(both).alias("spans"))
 
 
-def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, support: int = SUPPORT, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, text): protected values give way to the name of their kind, disclosing terms to [term]. Ids must be unique."""
-    spans = find_personal_data(docs, id_col, text_col, support=support, threshold=threshold).select("doc_id", "spans")
+def sanitise(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, support: int = SUPPORT, threshold: float = THRESHOLD, remove: float = REMOVE
+) -> DataFrame:
+    """(doc_id, text), one row per input row: protected values give way to the name of their kind, terms to [word] or [number], secrets to nothing."""
+    found = find_personal_data(docs, id_col, text_col, support=support, threshold=threshold, remove=remove)
+    spans = found.where("spans <> ''").select("doc_id", "text_key", "spans").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [replaced(t, s) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(spans, "doc_id")
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, text string")
+    same = F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.text_key") == F.col("p.text_key"))
+    rows = _keyed(docs, id_col, text_col).alias("d").join(spans.alias("p"), same, "left")
+    return rows.select("d.doc_id", "text", "spans").mapInArrow(run, "doc_id long, text string")
 
 
-def replaced(text: str | None, spans: str) -> str | None:
+def replaced(text: str | None, spans: str | None) -> str | None:
     """Overlapping spans count as one, with the kind of the first."""
     if not text or not spans:
         return text
@@ -241,7 +335,8 @@ def replaced(text: str | None, spans: str) -> str | None:
     for kind, s, e in (x.split(":") for x in spans.split(",")):
         s, e = int(s), int(e)
         if s >= at:
-            out += [text[at:s], f"[{kind}]"]
+            general = "number" if text[s:e].isdigit() else "word"
+            out += [text[at:s], "" if kind == "secret" else f"[{general if kind == 'term' else kind}]"]
         at = max(at, e)
     return "".join([*out, text[at:]])
 
@@ -249,4 +344,3 @@ def replaced(text: str | None, spans: str) -> str | None:
 def digest(found: DataFrame) -> DataFrame:
     """The columns that stand for the spans of find_personal_data in a thin result."""
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
-
