@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowforge.llm._shared import shingle_set, word_hashes
+from rowforge.llm._shared import shingles_of, word_hashes
 from rowforge.llm.langid import held_out
 
 #: Labelled rows, at most, that a model is fitted on; those with the smallest hashes of their ids.
@@ -42,16 +42,24 @@ def statistics(text: str | None) -> list[float]:
     return [
         float(n), float(k), n * (1 - spaces) / max(k, 1), float(count[65:91].sum()) / n, float(count[48:58].sum()) / n, of(b"!"), of(b"#$%&*@^~=<>{}[]\\_+"),
         of(b"|"), of(b".,;:?'\"()-"), spaces, float(count[128:].sum()) / n, (len(each) if k else 0) / max(k, 1), float(each.max()) / max(k, 1),
-        len(shingle_set(text, 4)) / max(k - 3, 1) if k else 0.0, float(len(lines)), k / max(len(lines), 1), 1 - len(set(lines)) / max(len(lines), 1),
+        len(shingles_of(words, 4)) / max(k - 3, 1) if k else 0.0, float(len(lines)), k / max(len(lines), 1), 1 - len(set(lines)) / max(len(lines), 1),
     ]
 
 
-def with_statistics(docs: DataFrame, *columns: Column, text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """The given columns of each row, with `keep_text` the text behind them, then the statistics of the text."""
+def statistics_prefix(columns: list[str]) -> str:
+    """What the statistics' columns begin with: s_, or with more underscores where the input has such columns."""
+    prefix, taken = "s_", [c.lower() for c in columns]
+    while any(c.startswith(prefix) for c in taken):
+        prefix += "_"
+    return prefix
+
+
+def with_statistics(docs: DataFrame, *columns: Column, text_col: str = "text", keep_text: bool = False, prefix: str = "s_") -> DataFrame:
+    """The given columns of each row, with `keep_text` the text behind them, then the statistics of the text, named with `prefix`."""
     rows = docs.select(*columns, F.col(f"`{text_col}`").alias(f"{text_col}"))
     kept = rows.schema[: len(columns) + keep_text]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"s_{s} double" for s in STATISTICS)])
-    names = [*(f.name for f in kept), *(f"s_{s}" for s in STATISTICS)]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"{prefix}{s} double" for s in STATISTICS)])
+    names = [*(f.name for f in kept), *(f"{prefix}{s}" for s in STATISTICS)]
     at, first = len(columns), len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,30 +78,32 @@ Rule = tuple[tuple[int, str, float], ...]
 def tree_rules(x: np.ndarray, y: np.ndarray, rng: np.random.Generator, *, trees: int = 60, depth: int = 3) -> list[Rule]:
     """The paths of small trees, each grown on half of the rows and half of the statistics, as conjunctions."""
     found: dict[Rule, None] = {}
+    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0.01, 0.99, 99))) for j in range(x.shape[1])]
+    bins = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)  # value <= cut i: bin <= i
 
     def grow(rows: np.ndarray, path: Rule, features: np.ndarray, level: int) -> None:
         if level == depth or len(rows) < 20 or y[rows].min() == y[rows].max():
             return
         best = (1e-4, None, None)
-        base, p = len(rows), y[rows].mean()
-        gini = p * (1 - p)
+        base, ones = len(rows), y[rows].sum()
+        gini = ones / base * (1 - ones / base)
         for j in features:
-            v = x[rows, j]
-            for cut in np.unique(np.quantile(v, np.linspace(0.04, 0.96, 24))):
-                left = v <= cut
-                k = int(left.sum())
-                if k < 8 or base - k < 8:
-                    continue
-                a, b = y[rows][left].mean(), y[rows][~left].mean()
-                gain = gini - (k * a * (1 - a) + (base - k) * b * (1 - b)) / base
-                if gain > best[0]:
-                    best = (gain, j, float(cut))
+            k = np.cumsum(np.bincount(bins[rows, j], minlength=len(cuts[j]) + 1))[:-1]
+            p = np.cumsum(np.bincount(bins[rows, j], weights=y[rows], minlength=len(cuts[j]) + 1))[:-1]
+            ok = np.flatnonzero((k >= 8) & (base - k >= 8))
+            if not len(ok):
+                continue
+            k, p = k[ok], p[ok]
+            gain = gini - (p * (1 - p / k) + (ones - p) * (1 - (ones - p) / (base - k))) / base
+            i = int(gain.argmax())
+            if gain[i] > best[0]:
+                best = (float(gain[i]), int(j), float(cuts[j][ok[i]]))
         if best[1] is None:
             return
         _, j, cut = best
         v = x[rows, j]
         for side, part in (("<=", rows[v <= cut]), (">", rows[v > cut])):
-            rule = (*path, (int(j), side, cut))
+            rule = (*path, (j, side, cut))
             found[rule] = None
             grow(part, rule, features, level + 1)
 
@@ -143,11 +153,11 @@ class RuleModel:
         intercept, rules, weights = json.loads(text)
         return RuleModel(intercept, [tuple(tuple(c) for c in r) for r in rules], weights)
 
-    def column(self) -> Column:
-        """The score as a Spark expression over the columns s_<statistic>."""
+    def column(self, prefix: str = "s_") -> Column:
+        """The score as a Spark expression over the columns <prefix><statistic>."""
         total = F.lit(self.intercept)
         for rule, w in zip(self.rules, self.weights, strict=True):
-            each = [F.col(f"s_{STATISTICS[j]}") <= cut if side == "<=" else F.col(f"s_{STATISTICS[j]}") > cut for j, side, cut in rule]
+            each = [F.col(f"{prefix}{STATISTICS[j]}") <= cut if side == "<=" else F.col(f"{prefix}{STATISTICS[j]}") > cut for j, side, cut in rule]
             test = each[0]
             for e in each[1:]:
                 test = test & e
@@ -193,8 +203,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.min(label_col).cast("double").alias("y"))
     chosen = known.orderBy(F.xxhash64("__id", F.lit(11)), "__id").limit(sample)
-    train = docs.join(F.broadcast(chosen), F.col(id_col).cast("long") == F.col("__id"))  # at most `sample` rows of two numbers
-    rows = with_statistics(train, F.col("__id").alias("id"), F.col("y"), text_col=text_col).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"))
+    train = texts.join(F.broadcast(chosen), "__id")  # at most `sample` rows of two numbers
+    rows = with_statistics(train, F.col("__id").alias("id"), F.col("y")).distinct()
 
     def solve(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["id", *(f"s_{s}" for s in STATISTICS)], kind="stable")
@@ -216,8 +227,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """The rows that pass, with their columns as they are."""
+    """The rows that pass, with their columns as they are, whatever they are named.
+
+    Null and empty texts are scored as empty texts; repeated rows pass or go together. An empty
+    table gives an empty result; without labels every row has the same score of 0.5 and goes.
+    """
     model = fit(docs, labels, text_col=text_col)
     rest = [c for c in docs.columns if c != text_col]
-    rows = with_statistics(docs, *(F.col(f"`{c}`") for c in rest), text_col=text_col, keep_text=True)
-    return rows.where(model.column() >= PASS).select(*(f"`{c}`" for c in docs.columns))
+    prefix = statistics_prefix(docs.columns)
+    rows = with_statistics(docs, *(F.col(f"`{c}`") for c in rest), text_col=text_col, keep_text=True, prefix=prefix)
+    return rows.where(model.column(prefix) >= PASS).select(*(f"`{c}`" for c in docs.columns))
