@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -42,16 +43,34 @@ def add_columns(df: DataFrame, specs: list[Derived]) -> DataFrame:
 
 
 def missing(df: DataFrame, specs: list[Derived]) -> list[Derived]:
-    """The specs whose column isn't there. A column of another identity is an error; one without any is taken for good."""
-    out = []
-    for s in specs:
-        if s.name not in df.columns:
-            out.append(s)
-            continue
+    """The specs whose column isn't there: all of them or none. A part of them is an error, as is a column of another identity; one without any is a warning."""
+    there = [s for s in specs if s.name in df.columns]
+    for s in there:
         stamp = df.schema[s.name].metadata.get(IDENTITY)
-        if stamp is not None and stamp != s.identity:
+        if stamp is None:
+            warnings.warn(f"{s.name} doesn't say what made it", stacklevel=2)
+        elif stamp != s.identity:
             raise ValueError(f"{s.name} was made by {stamp}, not {s.identity}")
-    return out
+    if there and len(there) < len(specs):
+        raise ValueError(f"only a part is there: {', '.join(s.name for s in there)}")
+    return [] if there else specs
+
+
+def audit(df: DataFrame, specs: list[Derived]) -> DataFrame:
+    """(name, state, filled) of each spec: 'missing', 'unstamped', 'foreign' or 'made', and how many rows have a value.
+
+    Rows, unlike schemas, also tell a column that was made for a part of the table: its state is 'partial'.
+    """
+    columns, rows = [], F.count("*")
+    for s in specs:
+        if s.name not in df.columns:
+            state, filled = F.lit("missing"), F.expr("0L")
+        else:
+            stamp, filled = df.schema[s.name].metadata.get(IDENTITY), F.count(s.name)
+            known = "unstamped" if stamp is None else "made" if stamp == s.identity else "foreign"
+            state = F.when(filled < rows, "partial").otherwise(known)
+        columns.append(F.struct(F.lit(s.name).alias("name"), state.alias("state"), filled.alias("filled")))
+    return df.agg(F.array(*columns).alias("a")).select(F.inline("a"))
 
 
 def batch_columns(df: DataFrame, fn: Callable[[pa.Table], dict[str, pa.Array]], schema: T.StructType | None = None) -> DataFrame:

@@ -1,18 +1,24 @@
-"""An inverted-file index with product quantisation: tables of cells, codebooks and codes; searches join on the cell."""
+"""An inverted-file index with product quantisation: tables of cells, codebooks and codes; searches meet cell by cell."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows that cells and codebooks are fitted on, at most: those with the smallest hashes of their ids. All rows are indexed.
+from rowforge.sources.tables import is_complete
+
+#: Rows that cells and codebooks are fitted on: those with the smallest hashes of their ids, so many or PER_CELL for each cell. All rows are indexed.
 SAMPLE = 20_000
+PER_CELL = 16
 MIN_ROWS = 256
+METRICS = ("cosine", "l2", "dot")
 
 
 @dataclass(frozen=True)
@@ -22,6 +28,10 @@ class IndexConfig:
     codes: int = 16
     metric: str = "cosine"
 
+    def __post_init__(self) -> None:
+        if self.metric not in METRICS:
+            raise ValueError(f"metric {self.metric} is none of {', '.join(METRICS)}")
+
     def matches(self, other: IndexConfig) -> bool:
         """An index is used again only with the same metric, cells and parts."""
         return (self.metric, self.cells, self.parts) == (other.metric, other.cells, other.parts)
@@ -32,21 +42,20 @@ class VectorIndex:
     config: IndexConfig
     centers: np.ndarray  # (cells, dim)
     books: np.ndarray  # (parts, codes, dim / parts)
-    rows: DataFrame  # vec_id, cell, code, v
+    rows: DataFrame  # vec_id, cell, code
+    vectors: DataFrame  # vec_id, v
 
 
-def k_means(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
-    """Centers by Lloyd's rounds from a spread start; an empty center stays where it is."""
+def lloyd(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
+    """Centers of one part's values by Lloyd's rounds from a spread start; an empty center stays where it is."""
     rng = np.random.default_rng(seed)
     centers = x[rng.choice(len(x), min(k, len(x)), replace=False)].copy()
     for _ in range(rounds):
-        near = (centers**2).sum(axis=1)[None, :] - 2 * x @ centers.T
-        at = near.argmin(axis=1)
+        at = ((centers**2).sum(axis=1)[None, :] - 2 * x @ centers.T).argmin(axis=1)
         n = np.bincount(at, minlength=len(centers))
         total = np.zeros_like(centers)
         np.add.at(total, at, x)
-        some = n > 0
-        centers[some] = total[some] / n[some, None]
+        centers[n > 0] = total[n > 0] / n[n > 0, None]
     return centers
 
 
@@ -54,64 +63,131 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
+def affinity(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """How near rows of x are to rows of q: larger is nearer. Cosines are of unit vectors, which both must be."""
+    dot = q @ x.T
+    return dot if metric != "l2" else 2 * dot - (q**2).sum(axis=1)[:, None] - (x**2).sum(axis=1)[None, :]
+
+
 def build(vectors: DataFrame, config: IndexConfig | None = None, *, sample: int = SAMPLE) -> VectorIndex | None:
-    """Index all rows of (vec_id, v); None for fewer than MIN_ROWS. Cells default to the root of the row count."""
+    """Index all rows of (vec_id, v); None for fewer than MIN_ROWS. Cells default to the root of the row count.
+
+    Cells are clusters of Spark's k-means, the parts' codebooks are fitted side by side in
+    tasks, each on a few numbers of each sampled row. The driver holds cells and codebooks.
+    """
     n = vectors.count()
     if n < MIN_ROWS:
         return None
     config = config or IndexConfig(cells=max(1, round(n**0.5)))
-    train = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()
-    x = np.stack(train["v"].to_numpy())
-    if x.shape[1] % config.parts:
-        raise ValueError(f"{config.parts} parts don't divide {x.shape[1]} dimensions")
-    x = unit(x) if config.metric == "cosine" else x
-    centers = k_means(x, config.cells, 1)
-    width = x.shape[1] // config.parts
-    books = np.stack([k_means(x[:, p * width : (p + 1) * width], config.codes, 2 + p) for p in range(config.parts)])
+    dim = vectors.select(F.size("v")).first()[0]
+    if dim % config.parts:
+        raise ValueError(f"{config.parts} parts don't divide {dim} dimensions")
+    width, metric = dim // config.parts, config.metric
+    some = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(sample, PER_CELL * config.cells)).select("vec_id", "v")
+    if metric == "cosine":
+        length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+        some = some.withColumn("v", F.transform("v", lambda x: x / F.greatest(length, F.lit(1e-300))))
+    some = some.cache()
+    fitted = KMeans(k=config.cells, seed=1, maxIter=8, featuresCol="f").fit(some.select(array_to_vector("v").alias("f")))
+    centers = np.array(fitted.clusterCenters())
+
+    def book(f: pd.DataFrame) -> pd.DataFrame:
+        p = int(f["part"].iloc[0])
+        c = lloyd(np.stack(f.sort_values("vec_id")["x"].to_numpy()), config.codes, 2 + p)
+        return pd.DataFrame({"part": p, "code": np.arange(len(c)), "x": list(c)})
+
+    parts = some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select(
+        "vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(config.parts - 1)), lambda p: F.slice("v", p * width + 1, width))).alias("part", "x")
+    )
+    found = parts.groupBy("part").applyInPandas(book, "part int, code int, x array<double>").orderBy("part", "code").toPandas()
+    some.unpersist()
+    books = np.stack([np.stack(g["x"].to_numpy()) for _, g in found.groupby("part")])
+    shared = vectors.sparkSession.sparkContext.broadcast((centers, books))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centers, books = shared.value
         for f in frames:
             if f.empty:
                 continue
-            v = np.stack(f["v"].to_numpy())
-            u = unit(v) if config.metric == "cosine" else v
-            cell = ((centers**2).sum(axis=1)[None, :] - 2 * u @ centers.T).argmin(axis=1)
-            parts = [((b**2).sum(axis=1)[None, :] - 2 * u[:, p * width : (p + 1) * width] @ b.T).argmin(axis=1) for p, b in enumerate(books)]
-            yield pd.DataFrame({"vec_id": f["vec_id"], "cell": cell, "code": list(np.stack(parts, axis=1)), "v": f["v"]})
+            u = np.stack(f["v"].to_numpy())
+            u = unit(u) if metric == "cosine" else u
+            cell = affinity(u, centers, "l2").argmax(axis=1)
+            code = np.stack([affinity(u[:, p * width : (p + 1) * width], b, "l2").argmax(axis=1) for p, b in enumerate(books)], axis=1)
+            yield pd.DataFrame({"vec_id": f["vec_id"], "cell": cell, "code": list(code)})
+
+    rows = vectors.select("vec_id", "v")
+    return VectorIndex(config, centers, books, rows.mapInPandas(place, "vec_id long, cell int, code array<int>"), rows)
 
-    return VectorIndex(config, centers, books, vectors.select("vec_id", "v").mapInPandas(place, "vec_id long, cell int, code array<int>, v array<double>"))
+
+def save(index: VectorIndex, folder: str) -> None:
+    """Tables of codes, cells and codebooks, then the configuration, which makes the index whole."""
+    spark = index.rows.sparkSession
+    index.rows.write.mode("overwrite").parquet(f"{folder}/rows")
+    for name, x in (("centers", index.centers), ("books", index.books.reshape(-1, index.books.shape[2]))):
+        spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i int, x array<double>").write.mode("overwrite").parquet(f"{folder}/{name}")
+    spark.createDataFrame([tuple(asdict(index.config).values())], "cells int, parts int, codes int, metric string").write.mode("overwrite").parquet(f"{folder}/config")
+
+
+def load(spark: SparkSession, folder: str, config: IndexConfig, vectors: DataFrame) -> VectorIndex | None:
+    """The stored index of `vectors`; None where none is whole or it has another metric, cells or parts."""
+    if not is_complete(spark, f"{folder}/config"):
+        return None
+    stored = IndexConfig(**spark.read.parquet(f"{folder}/config").first().asDict())
+    if not stored.matches(config):
+        return None
+    centers, books = (np.stack(spark.read.parquet(f"{folder}/{n}").orderBy("i").toPandas()["x"].to_numpy()) for n in ("centers", "books"))
+    return VectorIndex(stored, centers, books.reshape(stored.parts, -1, books.shape[1]), spark.read.parquet(f"{folder}/rows"), vectors.select("vec_id", "v"))
 
 
 def search(index: VectorIndex, queries: DataFrame, k: int, *, probes: int = 8, refine: int = 30) -> DataFrame:
-    """(query_id, rank, vec_id, cosine) of (query_id, q): the nearest cells' rows by code distance, the best refine * k again by their vectors."""
-    centers, books = index.centers, index.books
-    width = books.shape[2]
+    """(query_id, rank, vec_id, score) of (query_id, q): the best refine * k rows of the nearest cells by their codes, then by their vectors.
+
+    A cell's codes meet the queries that probe it in one task, as matrices, and each query takes
+    refine * k rows of a cell on. Only vectors of what is left are read. score is the metric's:
+    a cosine, a dot product or a negative squared distance.
+    """
+    metric, width, keep = index.config.metric, index.books.shape[2], refine * k
+    shared = queries.sparkSession.sparkContext.broadcast((index.centers, index.books))
 
     def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centers = shared.value[0]
         for f in frames:
             if f.empty:
                 continue
-            q = unit(np.stack(f["q"].to_numpy()))
-            near = np.argsort((centers**2).sum(axis=1)[None, :] - 2 * q @ centers.T, axis=1)[:, :probes]
+            q = np.stack(f["q"].to_numpy())
+            q = unit(q) if metric == "cosine" else q
+            near = np.argsort(-affinity(q, centers, metric), axis=1, kind="stable")[:, :probes]
             n = near.shape[1]
             yield pd.DataFrame({"query_id": np.repeat(f["query_id"].to_numpy(), n), "cell": near.ravel(), "q": [x for x in q for _ in range(n)]})
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rough(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or there.empty:
+            return pd.DataFrame({"query_id": [], "vec_id": [], "about": []}).astype({"query_id": "int64", "vec_id": "int64"})
+        books = shared.value[1]
+        q, code = np.stack(asked["q"].to_numpy()), np.stack(there["code"].to_numpy())
+        about = sum(affinity(q[:, p * width : (p + 1) * width], b, metric)[:, code[:, p]] for p, b in enumerate(books))
+        ids, out = there["vec_id"].to_numpy(), []
+        for query, scores in zip(asked["query_id"].to_numpy(), about, strict=True):
+            best = np.lexsort((ids, -scores))[:keep]
+            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "about": scores[best]}))
+        return pd.concat(out)
+
+    def fine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if f.empty:
                 continue
-            q, code = np.stack(f["q"].to_numpy()), np.stack(f["code"].to_numpy())
-            about = sum((books[p][code[:, p]] * q[:, p * width : (p + 1) * width]).sum(axis=1) for p in range(len(books)))
-            exact = (unit(np.stack(f["v"].to_numpy())) * q).sum(axis=1)
-            yield pd.DataFrame({"query_id": f["query_id"], "vec_id": f["vec_id"], "about": about, "cosine": np.round(exact, 12)})
+            q, v = np.stack(f["q"].to_numpy()), np.stack(f["v"].to_numpy())
+            score = (unit(q) * unit(v)).sum(axis=1) if metric == "cosine" else (q * v).sum(axis=1) if metric == "dot" else -((q - v) ** 2).sum(axis=1)
+            yield pd.DataFrame({"query_id": f["query_id"], "vec_id": f["vec_id"], "score": np.round(score, 12)})
 
     asked = queries.select("query_id", "q").mapInPandas(probe, "query_id long, cell int, q array<double>")
-    met = asked.join(index.rows, "cell").select("query_id", "q", "vec_id", "code", "v")
-    scored = met.mapInPandas(score, "query_id long, vec_id long, about double, cosine double")
-    rough = Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id")
-    best = scored.withColumn("r", F.row_number().over(rough)).where(F.col("r") <= refine * k)
-    fine = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(fine)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "cosine")
+    met = asked.groupBy("cell").cogroup(index.rows.groupBy("cell")).applyInPandas(rough, "query_id long, vec_id long, about double")
+    first = Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id")
+    left = met.withColumn("r", F.row_number().over(first)).where(F.col("r") <= keep).select("query_id", "vec_id")
+    full = left.join(index.vectors, "vec_id").join(queries.select("query_id", "q"), "query_id").select("query_id", "vec_id", "q", "v")
+    scored = full.mapInPandas(fine, "query_id long, vec_id long, score double")
+    last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowforge.functions import arrays as A
+from rowforge.functions.scalars import normal_label
+from rowforge.operators.ranking import positions
 
 
 def resolve_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -19,21 +21,31 @@ def resolve_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(counted, key, "left").withColumn("problem", problem).drop("__n")
 
 
-def identity_join(base: DataFrame, others: dict[str, DataFrame], key: str) -> DataFrame:
-    """(key, source, problem): for every source whose rows don't match one to one on a normalised key. Keys of `base` must be unique."""
-    out = None
-    for name, df in others.items():
-        n = df.groupBy(key).agg(F.count("*").alias("n"))
-        bad = base.select(key).join(n, key, "left").select(
-            key, F.lit(name).alias("source"), F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "ambiguous").alias("problem")
-        ).where("problem is not null")
-        out = bad if out is None else out.unionByName(bad)
+def identity_join(base: DataFrame, others: dict[str, DataFrame], index: str, name: str, versions: str = "version") -> DataFrame:
+    """(name, source, problem) of what doesn't agree between `base` and each source of (index, name, version), all with a row for each parameter.
+
+    Rows meet on the normalised name, never on the index: 'missing' (only in base), 'unknown'
+    (only in the source), 'ambiguous' (more rows of a name), else 'index drift' and 'version
+    drift' where the two differ. Names of `base` that normalise alike are ambiguous there.
+    """
+    key = normal_label(F.col(name)).alias("__k")
+    left = base.groupBy(key).agg(F.min(name).alias("__n"), F.count("*").alias("__c"), F.min(index).alias("__i"), F.min(versions).alias("__v"))
+    out = left.where("__c > 1").select(F.col("__n").alias("name"), F.lit("base").alias("source"), F.lit("ambiguous").alias("problem"))
+    for source, df in others.items():
+        right = df.groupBy(key).agg(F.min(name).alias("__m"), F.count("*").alias("__d"), F.min(index).alias("__j"), F.min(versions).alias("__w"))
+        problem = (
+            F.when(F.col("__d").isNull(), F.array(F.lit("missing"))).when(F.col("__c").isNull(), F.array(F.lit("unknown"))).when(F.col("__d") > 1, F.array(F.lit("ambiguous")))
+            .otherwise(F.array_compact(F.array(F.when(~F.col("__i").eqNullSafe(F.col("__j")), "index drift"), F.when(~F.col("__v").eqNullSafe(F.col("__w")), "version drift"))))
+        )
+        met = left.join(right, "__k", "full").select(F.coalesce("__n", "__m").alias("name"), F.lit(source).alias("source"), F.explode(problem).alias("problem"))
+        out = out.unionByName(met)
     return out
 
 
 def in_range(df: DataFrame, x: str, ranges: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
-    """Join with half-open ranges lo <= x < hi. `ranges` has a row for each split or parameter and is broadcast."""
-    return df.join(F.broadcast(ranges), (F.col(x) >= F.col(lo)) & (F.col(x) < F.col(hi)))
+    """Join with half-open ranges lo <= x < hi; rows in no range stay, with nulls and the `problem` 'outside'. `ranges` has a row for each split or parameter and is broadcast."""
+    met = df.join(F.broadcast(ranges), (F.col(x) >= F.col(lo)) & (F.col(x) < F.col(hi)), "left")
+    return met.withColumn("problem", F.when(F.col(lo).isNull(), "outside"))
 
 
 def insert_absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -61,26 +73,31 @@ def _best_k(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "cosine": []}).astype({"query_id": "int64", "vec_id": "int64"})
 
 
+#: Bytes of queries that are broadcast, at most.
+QUERY_BYTES = 64 << 20
+
+
 def k_nearest(queries: DataFrame, vectors: DataFrame, k: int, *, block: int = 4096, chunk: int = 65_536) -> DataFrame:
     """(query_id, rank, vec_id, cosine) of (query_id, q) in (vec_id, v), exact.
 
-    Up to `block` queries are broadcast and every task compares them with its own vectors.
-    More of them meet the vectors in blocks: each block of queries with each chunk of vectors
-    in a task, so rows of either side are sent once for every block of the other. Tasks pass
-    on k candidates a query; the best of them win. Ties go to the smaller id.
+    Up to `block` queries, of QUERY_BYTES together, are broadcast and every task compares them
+    with its own vectors. More of them meet the vectors in blocks: each block of queries with
+    each chunk of vectors in a task, so rows of either side are sent once for every block of the
+    other. Tasks pass on k candidates a query; the best of them win. Ties go to the smaller id.
     """
     schema = "query_id long, vec_id long, cosine double"
-    n = queries.count()
-    if n <= block:
-        asked = queries.agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
+    n, values = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("q")), F.lit(0))).first()
+    if n <= block and 8 * values <= QUERY_BYTES:
+        asked = queries.select("query_id", "q").toPandas()
+        ids, q = asked["query_id"].to_numpy(), np.stack(asked["q"].to_numpy()) if n else np.empty((0, 1))
+        shared = queries.sparkSession.sparkContext.broadcast((ids, q))
 
         def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for f in frames:
-                if not f.empty and len(f["qs"].iloc[0]):
-                    qs = f["qs"].iloc[0]
-                    yield _best_k(np.array([r["query_id"] for r in qs]), np.stack([r["q"] for r in qs]), f["vec_id"].to_numpy(), np.stack(f["v"].to_numpy()), k)
+                if not f.empty and len(shared.value[0]):
+                    yield _best_k(*shared.value, f["vec_id"].to_numpy(), np.stack(f["v"].to_numpy()), k)
 
-        found = vectors.select("vec_id", "v").crossJoin(F.broadcast(asked)).mapInPandas(near, schema)
+        found = vectors.select("vec_id", "v").mapInPandas(near, schema)
     else:
         parts, chunks = -(-n // block), max(1, -(-vectors.count() // chunk))
         every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
@@ -145,14 +162,22 @@ def pair_batches(df: DataFrame, batch: str, key: str, left: str, right: str) ->
 
 
 def sinkhorn(costs: DataFrame, iterations: int, reg: float) -> DataFrame:
-    """(g, i, j, cost, p): soft assignments of each group g by alternating normalisation of rows and columns, in logarithms."""
-    out = costs.withColumn("l", -F.col("cost") / reg)
-    for _ in range(iterations):
-        for side in ("i", "j"):
-            w = Window.partitionBy("g", side)
-            top = F.max("l").over(w)
-            out = out.withColumn("m", top).withColumn("l", F.col("l") - F.col("m") - F.log(F.sum(F.exp(F.col("l") - F.col("m"))).over(w)))
-    return out.withColumn("p", F.exp("l")).drop("l", "m")
+    """(g, i, j, cost, p): soft assignments of each group g by alternating normalisation of rows and columns, in logarithms.
+
+    A group is a full table of costs for i and j; it is one matrix in a task.
+    """
+
+    def solve(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["i", "j"])
+        x = -f["cost"].to_numpy().reshape(f["i"].nunique(), -1) / reg
+        for _ in range(iterations):
+            for axis in (1, 0):
+                top = x.max(axis=axis, keepdims=True)
+                x = x - top - np.log(np.exp(x - top).sum(axis=axis, keepdims=True))
+        return f.assign(p=np.exp(x).ravel())
+
+    kinds = dict(costs.dtypes)
+    return costs.select("g", "i", "j", "cost").groupBy("g").applyInPandas(solve, f"g {kinds['g']}, i {kinds['i']}, j {kinds['j']}, cost double, p double")
 
 
 def shuffled_partner(df: DataFrame, key: str, seed: int) -> DataFrame:
@@ -160,14 +185,36 @@ def shuffled_partner(df: DataFrame, key: str, seed: int) -> DataFrame:
 
     Rows follow one another in a circle by their hash; each gets the key of the next one.
     """
-    from rowforge.operators.ranking import positions
-
-    ordered = positions(df.select(key, F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)).alias("__h")), "__h", per=1 << 30)
+    ordered = positions(df.select(key, F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)).alias("__h")), "__h")
     n = ordered.agg(F.count("*").alias("__n"))
     nxt = ordered.select(F.col(key).alias("partner"), F.col("i").alias("__to"))
     at = ordered.crossJoin(F.broadcast(n)).withColumn("__to", F.pmod(F.col("i") + 1, F.col("__n")))
     return at.join(nxt, "__to").select(key, "partner")
 
 
+def shuffle_probe(df: DataFrame, group: str, key: str, settings: str, seed: int) -> DataFrame:
+    """(group, key, partner, skipped): the seeded permutation of each group that may be probed, null partners and the reason for the others.
+
+    A group is probed if it has two rows or more and all its rows have the same settings: only
+    then a score must not depend on which prediction meets which target.
+    """
+    facts = df.groupBy(group).agg(F.count("*").alias("__n"), F.min(settings).alias("__lo"), F.max(settings).alias("__hi"), F.count(settings).alias("__s"))
+    uniform = (F.col("__lo") == F.col("__hi")) & (F.col("__s") == F.col("__n")) | (F.col("__s") == 0)
+    reason = F.when(F.col("__n") < 2, "too few rows").when(~F.coalesce(uniform, F.lit(False)), "settings differ")
+    marked = df.select(group, key).join(facts.select(group, reason.alias("skipped")), group)
+    h = F.xxhash64(key, F.lit(seed))
+    # a group's rows in a circle by hash: the next one's key, and for the last one the first one's
+    w = Window.partitionBy(group).orderBy(h, key)
+    ends = marked.groupBy(group).agg(F.min_by(key, F.struct(h, F.col(key))).alias("__first"))
+    nxt = marked.withColumn("__next", F.lead(key).over(w)).join(ends, group)
+    return nxt.select(group, key, F.when(F.col("skipped").isNull(), F.coalesce("__next", "__first")).alias("partner"), "skipped")
+
+
+def checked_probe(probe: DataFrame) -> DataFrame:
+    """The rows of a probe that was asked for by a seed: a reason to skip is an error when rows are read."""
+    refused = F.raise_error(F.concat(F.lit("no shuffle probe: "), F.col("skipped"))).cast(dict(probe.dtypes)["partner"])
+    return probe.withColumn("partner", F.when(F.col("skipped").isNotNull(), refused).otherwise(F.col("partner")))
+
+
 def euclid(a: str, b: str) -> Column:
     return F.sqrt(A.total(A.squared_error(a, b)))

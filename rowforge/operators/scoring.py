@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowforge.functions import arrays as A
@@ -36,15 +38,28 @@ def best_swap(pairs: DataFrame, batch: str | None = None) -> DataFrame:
     return long.groupBy("pos").agg((F.sum("e") / F.count("*")).alias("mse"))
 
 
-def group_swap(pairs: DataFrame, groups: DataFrame, key: str = "vec_id") -> DataFrame:
-    """(pos, mse) when values may swap only inside a group of positions: (pos, grp), a row for each position."""
-    long = pairs.select(key, F.posexplode(F.arrays_zip("pred", "target")).alias("pos", "z")).join(F.broadcast(groups), "pos")
-    rank = lambda c: F.row_number().over(Window.partitionBy(key, "grp").orderBy(c, "pos"))
-    ranked = long.select(key, "grp", "pos", F.col("z.pred").alias("p"), F.col("z.target").alias("t"))
-    left = ranked.select(key, "grp", "p", rank("p").alias("r"))
-    right = ranked.select(key, "grp", "pos", "t", rank("t").alias("r"))
-    e = (F.col("p") - F.col("t")) * (F.col("p") - F.col("t"))
-    return left.join(right, [key, "grp", "r"]).groupBy("pos").agg((F.sum(e) / F.count("*")).alias("mse"))
+def group_swap(pairs: DataFrame, groups: list[list[int]]) -> DataFrame:
+    """(pos, mse) when values may swap only inside a group, a list of positions. Groups are sorted in their row, which isn't shuffled."""
+    errors = []
+    for at in groups:
+        pick = lambda c, at=at: F.array(*(F.get(c, F.lit(i)) for i in at))
+        e = A.best_swap_error(pick("pred"), pick("target"))
+        errors.append(F.arrays_zip(F.array(*map(F.lit, at)).alias("pos"), e.alias("e")))
+    long = pairs.select(F.explode(F.concat(*errors)).alias("x")).select("x.pos", "x.e")
+    return long.groupBy("pos").agg((F.sum("e") / F.count("*")).alias("mse"))
+
+
+#: Blocks of a group, at most, whose orders are all compared for many rows at once (720).
+ORDERS = 6
+
+
+def _orders(cost: np.ndarray) -> np.ndarray:
+    """(rows, blocks): the target's block of each block, at the lowest total cost, of (rows, blocks, blocks)."""
+    n = cost.shape[1]
+    if n > ORDERS:
+        return np.array([assignment(c) for c in cost])
+    every = np.array(list(itertools.permutations(range(n))))
+    return every[cost[:, np.arange(n), every].sum(axis=2).argmin(axis=1)]
 
 
 def block_swap(pairs: DataFrame, groups: list[list[list[int]]]) -> DataFrame:
@@ -59,43 +74,74 @@ def block_swap(pairs: DataFrame, groups: list[list[list[int]]]) -> DataFrame:
             if not b.num_rows:
                 continue
             pred, target = (b.column(i).flatten().to_numpy().reshape(b.num_rows, -1) for i in (0, 1))
-            total: dict[int, float] = {}
+            total = np.zeros(pred.shape[1])
             for blocks in groups:
                 at = np.array(blocks)
                 p, t = pred[:, at], target[:, at]  # (rows, blocks, width)
-                cost = ((p[:, :, None, :] - t[:, None, :, :]) ** 2).sum(axis=3)
-                for row in range(b.num_rows):
-                    for i, j in enumerate(assignment(cost[row])):
-                        for pos, e in zip(blocks[j], (p[row, i] - t[row, j]) ** 2, strict=True):
-                            total[pos] = total.get(pos, 0.0) + float(e)
-            rows = sorted(total.items())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in rows], pa.int32()), pa.array([v for _, v in rows]), pa.array([b.num_rows] * len(rows), pa.int64())], ["pos", "e", "n"]
-            )
+                to = _orders(((p[:, :, None, :] - t[:, None, :, :]) ** 2).sum(axis=3))
+                e = (p - np.take_along_axis(t, to[:, :, None], axis=1)) ** 2
+                np.add.at(total, at[to], e)
+            pos = np.unique(np.concatenate([np.ravel(g) for g in groups]))
+            yield pa.RecordBatch.from_arrays([pa.array(pos, pa.int32()), pa.array(total[pos]), pa.array([b.num_rows] * len(pos), pa.int64())], ["pos", "e", "n"])
 
     sums = pairs.select("pred", "target").mapInArrow(run, "pos int, e double, n long")
     return sums.groupBy("pos").agg((F.sum("e") / F.sum("n")).alias("mse"))
 
 
-def worst_pairs(df: DataFrame, group: str, key: str, measures: dict[str, tuple[Column, str]], block: int = 512) -> DataFrame:
-    """(group, <name>, <name>_a, <name>_b): the worst value over all pairs in a group, with its pair.
+def _euclid(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * a @ b.T, 0))
+
+
+def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    return np.clip(unit(a) @ unit(b).T, -1, 1)
+
+
+#: Measures of two blocks of vectors, and which value is the worst.
+MEASURES = {"far": (_euclid, "max"), "cosine": (_cosine, "min")}
+
+
+def worst_pairs(df: DataFrame, group: str, key: str, vector: str = "v", *, block: int = 2048, digits: int = 6) -> DataFrame:
+    """(group, <name>, <name>_a, <name>_b) for each of MEASURES: the worst value, rounded, over all pairs in a group, with its pair, ties to the smallest keys.
 
-    Measures are over columns of sides `a` and `b`; 'max' for distances, 'min' for similarities.
     All pairs are what is asked for, so the work is quadratic in a group: rows are dealt to
-    blocks by a hash, so that a group's pairs spread over tasks by pairs of blocks.
+    blocks by a hash, two blocks meet in a task as matrices, and each meeting passes on one row for each measure.
     """
     sizes = df.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("__n"))
-    d = df.join(sizes, group).withColumn("__b", F.pmod(F.xxhash64(key), F.col("__n")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
-    a = d.withColumn("__o", every).alias("a")
-    b = d.withColumnRenamed("__b", "__o").withColumn("__b", every).alias("b")
-    both = a.join(b, [group, "__b", "__o"]).where(F.col(f"a.{key}") < F.col(f"b.{key}"))
-    out = []
-    for name, (c, how) in measures.items():
-        order = F.struct(c if how == "max" else -c, -F.col(f"a.{key}"), -F.col(f"b.{key}"))
-        best = F.max_by(F.struct(c.alias("v"), F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")), order)
-        out += [best["v"].alias(name), best["a"].alias(f"{name}_a"), best["b"].alias(f"{name}_b")]
-    return both.groupBy(group).agg(*out)
+    d = df.select(group, F.col(key).alias("__k"), F.col(vector).alias("__v")).join(sizes, group).withColumn("__b", F.pmod(F.xxhash64("__k"), F.col("__n")).cast("int"))
+    # block x of a pair (x, y) is on side 0, block y >= x on side 1
+    up = d.select(group, "__k", "__v", F.col("__b").alias("x"), F.explode(F.sequence(F.col("__b"), F.col("__n") - 1)).alias("y"), F.lit(0).alias("side"))
+    down = d.where("__b > 0").select(group, "__k", "__v", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)).alias("x"), F.col("__b").alias("y"), F.lit(1).alias("side"))
+
+    def meet(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("__k", kind="stable")
+        x, y = int(f["x"].iloc[0]), int(f["y"].iloc[0])
+        left = f[f["side"] == 0]
+        right = left if x == y else f[f["side"] == 1]
+        out = []
+        if len(left) and len(right):
+            a, b = (np.stack(s["__v"].to_numpy()) for s in (left, right))
+            ka, kb = left["__k"].to_numpy(), right["__k"].to_numpy()
+            for name, (measure, how) in MEASURES.items():
+                m = np.round(measure(a, b), digits) * (1 if how == "max" else -1)
+                if x == y:
+                    m[np.tril_indices(len(m))] = -np.inf
+                if not np.isfinite(m.max()):
+                    continue
+                i, j = np.nonzero(m == m.max())
+                lo, hi = np.minimum(ka[i], kb[j]), np.maximum(ka[i], kb[j])
+                first = np.lexsort((hi, lo))[0]
+                out.append((f[group].iloc[0], name, float(m.max()), int(lo[first]), int(hi[first])))
+        return pd.DataFrame(out, columns=["g", "name", "m", "a", "b"])
+
+    kind = dict(df.dtypes)[group]
+    found = up.unionByName(down).groupBy(group, "x", "y").applyInPandas(meet, f"g {kind}, name string, m double, a long, b long")
+    best = F.max_by(F.struct("m", "a", "b"), F.struct(F.col("m"), -F.col("a"), -F.col("b")))
+    worst = found.groupBy("g", "name").agg(best.alias("w"))
+    one = lambda n, c: F.max(F.when(F.col("name") == n, F.col(f"w.{c}")))
+    columns = [(one(n, "m") * (1 if how == "max" else -1)).alias(n) for n, (_, how) in MEASURES.items()]
+    columns += [one(n, side).alias(f"{n}_{side}") for n in MEASURES for side in ("a", "b")]
+    return worst.groupBy(F.col("g").alias(group)).agg(*columns)
 
 
 def column_means(df: DataFrame, columns: list[str]) -> DataFrame:

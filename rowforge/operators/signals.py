@@ -29,10 +29,19 @@ def spectrum(x: np.ndarray, window: int, hop: int) -> np.ndarray:
     return np.abs(np.fft.rfft(framed(x, window, hop) * np.hanning(window + 1)[:-1], axis=2))
 
 
-def banded(power: np.ndarray, bands: int) -> np.ndarray:
-    """Bins summed into bands of nearly equal width, at least one bin each."""
-    edges = np.unique(np.linspace(0, power.shape[2], min(bands, power.shape[2]) + 1).astype(int))
-    return np.add.reduceat(power, edges[:-1], axis=2)
+def hertz(mel: np.ndarray) -> np.ndarray:
+    """Frequencies of mels: linear up to 1,000 Hz (15 mels), then 27 mels for a factor of 6.4."""
+    return np.where(mel < 15, mel * 200 / 3, 1000 * np.exp((mel - 15) * np.log(6.4) / 27))
+
+
+def mel_bands(window: int, bands: int, rate: int) -> np.ndarray:
+    """(bands, bins): triangles of unit area between edges that are equally far apart in mels, from 0 to half the rate."""
+    top = rate / 2
+    last = top * 3 / 200 if top < 1000 else 15 + 27 * np.log(top / 1000) / np.log(6.4)
+    edges = hertz(np.linspace(0, last, bands + 2))
+    at = np.arange(window // 2 + 1) * rate / window
+    low, mid, high = edges[:-2, None], edges[1:-1, None], edges[2:, None]
+    return np.maximum(0, np.minimum((at - low) / (mid - low), (high - at) / (high - mid))) * 2 / (high - low)
 
 
 def score_pairs(pairs: DataFrame, name: str, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], keys: tuple[str, ...] = ("vec_id", "label")) -> DataFrame:
@@ -58,16 +67,22 @@ def spectral_transport(pairs: DataFrame, window: int, hop: int) -> DataFrame:
     return score_pairs(pairs, "sot", kernel).select("vec_id", F.round("sot", 6).alias("sot"))
 
 
-def multi_scale(pairs: DataFrame, scales: tuple[tuple[int, int, int], ...]) -> DataFrame:
-    """(vec_id, mss): mean absolute difference of band powers in dB below the row's peak, floor 80 dB, averaged over scales."""
+def scales_at(rate: int, scales: tuple[tuple[float, float, int], ...] = ((10, 5, 32), (25, 10, 64), (100, 50, 128))) -> tuple[tuple[int, int, int], ...]:
+    """(window, hop, bands) in samples, of milliseconds."""
+    return tuple((round(w * rate / 1000), round(h * rate / 1000), bands) for w, h, bands in scales)
+
+
+def multi_scale(pairs: DataFrame, scales: tuple[tuple[int, int, int], ...] | None = None, *, rate: int = 44_100) -> DataFrame:
+    """(vec_id, mss): mean absolute difference of mel band powers in dB below the row's peak, floor 80 dB, averaged over scales (`scales_at` by default)."""
+    used = [(w, h, mel_bands(w, bands, rate)) for w, h, bands in scales or scales_at(rate)]
 
-    def decibels(x: np.ndarray, window: int, hop: int, bands: int) -> np.ndarray:
-        power = banded(spectrum(x, window, hop) ** 2, bands)
+    def decibels(x: np.ndarray, window: int, hop: int, filters: np.ndarray) -> np.ndarray:
+        power = spectrum(x, window, hop) ** 2 @ filters.T
         top = power.max(axis=(1, 2), keepdims=True)
         return np.maximum(10 * np.log10(np.maximum(power, 1e-10)) - 10 * np.log10(np.maximum(top, 1e-10)), -80)
 
     def kernel(a: np.ndarray, t: np.ndarray) -> np.ndarray:
-        return np.mean([np.abs(decibels(a, *s) - decibels(t, *s)).mean(axis=(1, 2)) for s in scales], axis=0)
+        return np.mean([np.abs(decibels(a, *s) - decibels(t, *s)).mean(axis=(1, 2)) for s in used], axis=0)
 
     return score_pairs(pairs, "mss", kernel).select("vec_id", F.round("mss", 6).alias("mss"))
 

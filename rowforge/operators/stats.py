@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowforge.functions import arrays as A
+from rowforge.operators.ranking import positions
+
 
 def long_form(df: DataFrame, keys: list[str], vector: str = "v") -> DataFrame:
     """(keys, pos, v): a row for each component."""
@@ -28,10 +33,30 @@ def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def finalise(state: DataFrame, *, mask: bool = False, least: float = 0.0) -> DataFrame:
-    """Population std of each state; null for fewer than two rows. `mask`: 1.0 in place of a std that isn't above `least`."""
+def refusals(state: DataFrame) -> DataFrame:
+    """The states that have no usable std, with `problem`: 'too few rows' (one or none) or 'no variance'."""
+    return state.withColumn("problem", F.when(F.col("n") <= 1, "too few rows").when(F.col("m2") <= 0, "no variance")).where("problem is not null")
+
+
+def finalise(state: DataFrame, *, mask: bool = False, least: float = 0.0, strict: bool = False) -> DataFrame:
+    """Population std of each state; null for fewer than two rows.
+
+    `mask`: 1.0 in place of a std that isn't above `least`. `strict`: without a mask, a state
+    without variance or with fewer than two rows is an error when rows are read.
+    """
     sd = F.when(F.col("n") > 1, F.sqrt(F.col("m2") / F.col("n")))
-    return state.withColumn("std", F.when(sd <= least, 1.0).otherwise(sd) if mask else sd)
+    if mask:
+        sd = F.when(sd <= least, 1.0).otherwise(sd)
+    if strict:
+        problem = F.when(sd.isNull(), "too few rows").when(sd <= 0, "no variance")
+        sd = F.when(problem.isNotNull(), F.raise_error(F.concat(F.lit("no std: "), problem)).cast("double")).otherwise(sd)
+    return state.withColumn("std", sd)
+
+
+def shard_states(long: DataFrame, shard: str, keys: list[str], expected: DataFrame, value: str = "v") -> tuple[DataFrame, DataFrame]:
+    """Partial states of each shard, and (shard, problem) of the expected ones that have no rows."""
+    empty = expected.select(shard).join(long.where(F.col(value).isNotNull()).select(shard).distinct(), shard, "left_anti").withColumn("problem", F.lit("empty shard"))
+    return partials(long, [shard, *keys], value), empty
 
 
 def degenerate(final: DataFrame, pos: str = "pos", shown: int = 20) -> DataFrame:
@@ -43,32 +68,67 @@ def degenerate(final: DataFrame, pos: str = "pos", shown: int = 20) -> DataFrame
     ).select("n", "positions", F.greatest(F.col("n") - shown, F.lit(0)).alias("more"))
 
 
-def standardised(long: DataFrame, final: DataFrame, key: str = "pos") -> DataFrame:
-    """z of each row by the statistics of its position."""
-    return long.join(final.select(key, F.col("mean").alias("__m"), F.col("std").alias("__s")), key).withColumn(
-        "z", (F.col("v") - F.col("__m")) / F.col("__s")
-    ).drop("__m", "__s")
+def standardised(df: DataFrame, final: DataFrame, vector: str = "v") -> DataFrame:
+    """Adds `z`, the vector standardised by the statistics (pos, mean, std) of its positions.
 
+    The statistics are one row of two arrays, as long as a vector, that goes to every task; rows stay where they are.
+    """
+    one = final.agg(F.array_sort(F.collect_list(F.struct("pos", "mean", "std"))).alias("__s"))
+    z = F.zip_with(vector, "__s", lambda x, s: (x - s["mean"]) / s["std"])
+    return df.crossJoin(F.broadcast(one)).withColumn("z", z).drop("__s")
 
-def column_profile(df: DataFrame, vector: str = "v", *, dead: float = 1e-6, extra: list[str] | None = None) -> DataFrame:
-    """One row for each group of `extra`: spread of channel means and stds, global moments, dead channels, row L2."""
+
+def column_profile(df: DataFrame, vector: str = "v", *, dead: float = 1e-6, extra: list[str] | None = None, frames: int | None = None) -> DataFrame:
+    """One row for each group of `extra`: spread of channel means and stds, global moments, dead channels, row L2.
+
+    `frames`: a row is a (channels, frames) tensor in C order. Then frame_cv is the mean over
+    rows of std / mean of its frames' L2 norms; a row whose mean is zero makes it NaN.
+    """
     keys = extra or []
     long = long_form(df, keys, vector)
     channel = finalise(partials(long, [*keys, "pos"]))
     three = lambda c: [F.min(c).alias(f"{c}_min"), F.percentile(c, 0.5).alias(f"{c}_median"), F.max(c).alias(f"{c}_max")]
     left = channel.groupBy(*keys).agg(*three("mean"), *three("std"), F.count_if(F.col("std") < dead).alias("dead"))
     whole = long.groupBy(*keys).agg(F.avg("v").alias("global_mean"), F.stddev_pop("v").alias("global_std"), F.min("v").alias("low"), F.max("v").alias("high"))
-    l2 = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
-    rows = df.groupBy(*keys).agg(F.count("*").alias("rows"), F.avg(l2).alias("l2_mean"), F.stddev_pop(l2).alias("l2_std"))
+    l2 = A.norm(vector)
+    more = []
+    if frames is not None:
+        square = F.transform(vector, lambda x: x * x)
+        at = F.sequence(F.lit(0), F.lit(frames - 1))
+        norms = F.transform(at, lambda f: F.sqrt(A.total(F.filter(square, lambda _, i: i % frames == f))))
+        cv = F.when(A.mean(norms) == 0, float("nan")).otherwise(F.sqrt(A.var_pop(norms)) / A.mean(norms))
+        more = [F.avg(cv).alias("frame_cv")]
+    rows = df.groupBy(*keys).agg(F.count("*").alias("rows"), F.avg(l2).alias("l2_mean"), F.stddev_pop(l2).alias("l2_std"), *more)
     if not keys:
         return left.crossJoin(whole).crossJoin(rows)
     return left.join(whole, keys).join(rows, keys)
 
 
+#: Rows up to which quantiles are taken from one table of distinct values; beyond it rows are ranked by ranges.
+SMALL = 1_000_000
+
+
+def exact_quantiles(df: DataFrame, x: str, shares: list[float]) -> list[float]:
+    """Quantiles with linear interpolation between the two ranks around each, from positions by ranges; nulls don't count."""
+    values = df.where(F.col(x).isNotNull()).select(F.col(x).cast("double").alias("x"))
+    ranked = positions(values, "x")
+    n = values.count()
+    if not n:
+        return [None] * len(shares)
+    at = [(n - 1) * q for q in shares]
+    wanted = sorted({r for p in at for r in (math.floor(p), math.ceil(p))})
+    found = {r.i: r.x for r in ranked.where(F.col("i").isin(wanted)).collect()}  # two ranks a quantile
+    return [found[math.floor(p)] + (found[math.ceil(p)] - found[math.floor(p)]) * (p - math.floor(p)) for p in at]
+
+
 def distance_summary(df: DataFrame, x: str) -> DataFrame:
     """Count, mean, population std, min, quartiles and max; exact quantiles with linear interpolation."""
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), q[0].alias("p25"), q[1].alias("median"),
-        q[2].alias("p75"), F.max(x).alias("max"),
-    )
+    shares = [0.25, 0.5, 0.75]
+    moments = [F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")]
+    if df.limit(SMALL + 1).count() <= SMALL:
+        q = F.percentile(x, F.array(*map(F.lit, shares)))
+        cuts = [q[i] for i in range(3)]
+    else:
+        cuts = [F.lit(v).cast("double") for v in exact_quantiles(df, x, shares)]
+    found = df.agg(*moments, *(c.alias(n) for n, c in zip(("p25", "median", "p75"), cuts, strict=True)))
+    return found.select("n", "mean", "std", "min", "p25", "median", "p75", "max")

@@ -57,6 +57,17 @@ def schema_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
+def table_differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(name, difference, left_values, right_values): schema differences, each with how many values (not null) either side has there."""
+
+    def values(df: DataFrame, name: str) -> DataFrame:
+        counts = F.array(*(F.struct(F.lit(c).alias("name"), F.count(F.col(f"`{c}`")).alias(name)) for c in df.columns))
+        return df.agg(counts.alias("a")).select(F.inline("a"))
+
+    found = schema_differences(left, right).join(values(left, "left_values"), "name", "left").join(values(right, "right_values"), "name", "left")
+    return found.select("name", "difference", "left_values", "right_values")
+
+
 def verdict(findings: DataFrame, severity: str = "severity") -> DataFrame:
     """One row: BLOCK if any finding blocks, else WARN if any warns, else CLEAN."""
     rank = F.max(F.when(F.col(severity) == "BLOCK", 2).when(F.col(severity) == "WARN", 1).otherwise(0))

@@ -67,10 +67,13 @@ def s8(spark, sf_dir):
     return spark.read.parquet(out)
 
 
-@query("s9_publish_shards", "SELECT CAST(o_orderkey % 8 AS INTEGER) AS shard, count(*) AS rows FROM orders GROUP BY 1")
+@query("s9_publish_shards", "SELECT CAST(o_orderkey % 8 AS INTEGER) AS shard, count(*) * CASE WHEN o_orderkey % 8 = 3 THEN 2 ELSE 1 END AS rows FROM orders GROUP BY o_orderkey % 8")
 def s9(spark, sf_dir):
     out = tables.scratch(spark)
-    tables.publish_shards(table(spark, sf_dir, "orders").withColumn("shard", F.pmod("o_orderkey", F.lit(8)).cast("int")), out, "shard")
+    rows = table(spark, sf_dir, "orders").withColumn("shard", F.pmod("o_orderkey", F.lit(8)).cast("int"))
+    tables.publish_shards(rows, out, "shard", pieces=4)
+    again = rows.where("shard = 3")
+    tables.publish_shards(again.unionAll(again), out, "shard", pieces=4)  # one shard anew, the others stay
     return spark.read.parquet(out).groupBy("shard").agg(F.count("*").alias("rows"))
 
 
@@ -190,46 +193,74 @@ def x1(spark, sf_dir):
     return built.rows.agg(F.count("*").alias("rows"), F.lit(float(built.config.cells)).alias("cells"))
 
 
-@query("x2_config_match", "SELECT count(*) AS rows, true AS same, false AS other FROM embeddings")
+@query("x2_config_match", "SELECT count(*) AS rows, round(sqrt(count(*))) AS cells, 'cosine' AS metric, true AS reused FROM embeddings UNION ALL SELECT count(*), round(sqrt(count(*))), 'l2', false FROM embeddings")
 def x2(spark, sf_dir):
-    rows = vectors(spark, sf_dir)
-    c = index.IndexConfig(cells=max(1, round(rows.count() ** 0.5)))
-    return rows.agg(F.count("*").alias("rows"), F.lit(c.matches(index.IndexConfig(c.cells))).alias("same"), F.lit(c.matches(index.IndexConfig(c.cells, metric="l2"))).alias("other"))
+    v, folder = vectors(spark, sf_dir), tables.scratch(spark)
+    built = index.build(v)
+    index.save(built, folder)
+    out = None
+    for metric in ("cosine", "l2"):
+        config = index.IndexConfig(built.config.cells, metric=metric)
+        stored = index.load(spark, folder, config, v)
+        rows = (stored or index.build(v, config)).rows.agg(F.count("*").alias("rows"), F.lit(float(config.cells)).alias("cells"), F.lit(metric).alias("metric"), F.lit(stored is not None).alias("reused"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def _queries(v):
     return v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
 
 
+def _probes(cells):
+    return max(1, cells * 3 // 4)
+
+
 @query("x3_ann_search")
 def x3(spark, sf_dir):
     v = vectors(spark, sf_dir)
     built = index.build(v)
-    return index.search(built, _queries(v), 5, probes=max(1, built.config.cells * 3 // 4)).select("query_id", "rank", "vec_id", F.round("cosine", 6).alias("cosine"))
+    return index.search(built, _queries(v), 5, probes=_probes(built.config.cells)).select("query_id", "rank", "vec_id", F.round("score", 6).alias("cosine"))
 
 
 @query("x3_ann_recall", "SELECT true AS enough, 5 * count(*) AS pairs FROM embeddings WHERE vec_id % 20 = 0")
 def x3_recall(spark, sf_dir):
     v = vectors(spark, sf_dir)
     built = index.build(v)
-    found = index.search(built, _queries(v), 5, probes=max(1, built.config.cells * 3 // 4))
+    found = index.search(built, _queries(v), 5, probes=_probes(built.config.cells))
     return index.recall(found, matching.k_nearest(_queries(v), v, 5)).select((F.col("recall") >= 0.9).alias("enough"), "pairs")
 
 
-@query("t1_lease_ledger")
+#: The fold of each shard's events in order, one event a step.
+_FOLD = """
+WITH RECURSIVE ev AS MATERIALIZED (
+ SELECT user_id AS shard, event_id, CASE WHEN event_type = 'purchase' THEN 'complete' ELSE 'claim' END AS action, 'w' || event_id % 2 AS owner, CAST(floor(epoch(ts)) AS BIGINT) AS sec,
+  CASE WHEN event_type = 'purchase' THEN event_id // 2 % 2 + 1 END AS gen, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS rn FROM events),
+st AS (
+ SELECT DISTINCT shard, 0::BIGINT AS rn, 0::BIGINT AS event_id, '' AS action, '' AS owner, false AS accepted, 'available' AS status, '' AS holder, 0::BIGINT AS expiry, 0::BIGINT AS attempts, 0::BIGINT AS gen FROM ev
+ UNION ALL
+ SELECT shard, rn, event_id, action, owner, ok, CASE WHEN NOT ok THEN status WHEN action = 'claim' THEN 'claimed' ELSE 'done' END, CASE WHEN ok AND action = 'claim' THEN owner ELSE holder END,
+  CASE WHEN ok AND action = 'claim' THEN sec + 7200 ELSE expiry END, attempts + CASE WHEN ok AND action = 'claim' THEN 1 ELSE 0 END, gen + CASE WHEN ok AND action = 'claim' THEN 1 ELSE 0 END
+ FROM (SELECT ev.shard, ev.rn, ev.event_id, ev.action, ev.owner, ev.sec, st.status, st.holder, st.expiry, st.attempts, st.gen,
+   CASE WHEN ev.action = 'claim' THEN st.status = 'available' OR (st.status = 'claimed' AND st.expiry < ev.sec) ELSE st.status = 'claimed' AND st.holder = ev.owner AND st.gen = ev.gen END AS ok
+  FROM st JOIN ev ON ev.shard = st.shard AND ev.rn = st.rn + 1))
+SELECT {0} FROM st WHERE rn > 0"""
+_VERDICT = ["shard", "event_id", "action", "owner", "accepted", "status", "attempts", "gen"]
+
+
+@query("t1_lease_ledger", _FOLD.format(", ".join(_VERDICT)))
 def t1(spark, sf_dir):
-    return ledger.replay(ledger.applyable(table(spark, sf_dir, "events")))
+    return ledger.replay(ledger.applyable(table(spark, sf_dir, "events"))).select(*_VERDICT)
 
 
-@query("t1_lease_stream")
+@query("t1_lease_stream", _FOLD.format(", ".join(_VERDICT)))
 def t1_stream(spark, sf_dir):
-    return ledger.follow(ledger.applyable(table(spark, sf_dir, "events")), tables.scratch(spark))
+    return ledger.follow(ledger.applyable(table(spark, sf_dir, "events")), tables.scratch(spark)).select(*_VERDICT)
 
 
-@query("t2_fenced_completion")
+@query("t2_fenced_completion", _FOLD.format("shard, event_id, owner, gen, accepted") + " AND action = 'complete'")
 def t2(spark, sf_dir):
     rows = ledger.replay(ledger.applyable(table(spark, sf_dir, "events")))
-    return rows.where("action = 'complete' and not accepted").select("shard", "event_id", "owner", "gen")
+    return rows.where("action = 'complete'").select("shard", "event_id", "owner", "gen", "accepted")
 
 
 @query("t3_claimable", """

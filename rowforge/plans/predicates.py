@@ -30,13 +30,15 @@ def p1(spark, sf_dir):
     return made.select("vec_id", F.round("l2", 6).alias("l2"), F.round("avg", 6).alias("avg"))
 
 
-@query("p3_missing_derived", "SELECT unnest(['avg', 'max']) AS name")
+@query("p3_missing_derived", """
+SELECT * FROM (SELECT 'l2' AS name, 'made' AS state, count(*) AS filled FROM embeddings UNION ALL SELECT 'avg', CASE WHEN count(*) FILTER (label < 5) < count(*) THEN 'partial' ELSE 'made' END, count(*) FILTER (label < 5) FROM embeddings
+ UNION ALL SELECT 'max', 'unstamped', count(*) FROM embeddings UNION ALL SELECT 'pooled', 'missing', 0)""")
 def p3(spark, sf_dir):
-    from rowforge.operators.derived import REGISTRY, add_columns, missing
+    from rowforge.operators.derived import IDENTITY, REGISTRY, add_columns, audit
 
     df = add_columns(vectors(spark, sf_dir), [REGISTRY["l2"]])
-    names = [s.name for s in missing(df, [REGISTRY["l2"], REGISTRY["avg"], REGISTRY["max"]])]
-    return df.limit(1).select(F.explode(F.array(*map(F.lit, names))).alias("name"))
+    half = F.when(F.col("label") < 5, REGISTRY["avg"].build("v")).alias("avg", metadata={IDENTITY: "avg/1"})
+    return audit(df.select("*", half, F.array_max("v").alias("max")), [REGISTRY[n] for n in ("l2", "avg", "max", "pooled")])
 
 
 @query("p6_nested_path", "SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
@@ -146,20 +148,22 @@ def p17(spark, sf_dir):
 
 
 @query("p18_schema_differences", """
-SELECT * FROM (VALUES ('vec_id', 'only left'), ('embedding', 'only left'), ('label', 'type int is string'), ('doc_id', 'only right')) t(name, difference)""")
+SELECT 'vec_id' AS name, 'only left' AS difference, count(vec_id) AS left_values, NULL AS right_values FROM embeddings UNION ALL SELECT 'embedding', 'only left', count(embedding), NULL FROM embeddings
+UNION ALL SELECT 'doc_id', 'only right', NULL, count(doc_id) FROM labels UNION ALL SELECT 'label', 'type int is string', (SELECT count(label) FROM embeddings), count(quality) FROM labels""")
 def p18(spark, sf_dir):
     left = table(spark, sf_dir, "embeddings")
     right = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("label"))
-    return validation.schema_differences(left, right)
+    return validation.table_differences(left, right)
 
 
 @query("p19_partial_rules", f"""
 SELECT 'count' AS rule, 'n' AS "column", count(*) FILTER (n <= 0) AS n_bad FROM (SELECT label, pos, count(*) AS n, var_pop(v) * count(*) AS m2, avg(v) AS mean FROM {LONG} GROUP BY label, pos)
 UNION ALL SELECT 'finite', 'mean', count(*) FILTER (isnan(mean)) FROM (SELECT avg(v) AS mean FROM {LONG} GROUP BY label, pos)
-UNION ALL SELECT 'negative', 'm2', 0""")
+UNION ALL SELECT 'negative', 'm2', count(*) FILTER (m2 < 0) FROM (SELECT var_pop(v) * count(*) AS m2 FROM {LONG} GROUP BY label, pos)
+UNION ALL SELECT 'small', 'm2', count(*) FILTER (m2 < 0.5) FROM (SELECT var_pop(v) * count(*) AS m2 FROM {LONG} GROUP BY label, pos)""")
 def p19(spark, sf_dir):
     part = stats.partials(stats.long_form(vectors(spark, sf_dir), ["label"], "v"), ["label", "pos"])
-    return validation.checks(part, {("count", "n"): F.col("n") <= 0, ("finite", "mean"): A.not_finite(F.col("mean")), ("negative", "m2"): F.col("m2") < 0})
+    return validation.checks(part, {("count", "n"): F.col("n") <= 0, ("finite", "mean"): A.not_finite(F.col("mean")), ("negative", "m2"): F.col("m2") < 0, ("small", "m2"): F.col("m2") < 0.5})
 
 
 @query("p20_batch_contract", f"""
@@ -174,13 +178,17 @@ def p20(spark, sf_dir):
 WITH s AS (SELECT pos, avg(v) AS m, stddev_pop(v) AS sd FROM {LONG} GROUP BY pos)
 SELECT vec_id, CAST(l.pos AS INTEGER) AS pos, round((v - m) / sd, 6) AS z FROM {LONG} l JOIN s USING (pos)""")
 def p21(spark, sf_dir):
-    long = stats.long_form(vectors(spark, sf_dir), ["vec_id"], "v")
-    return stats.standardised(long, stats.finalise(stats.partials(long, ["pos"]))).select("vec_id", "pos", F.round("z", 6).alias("z"))
+    rows = vectors(spark, sf_dir)
+    done = stats.standardised(rows, stats.finalise(stats.partials(stats.long_form(rows, []), ["pos"])))
+    return done.select("vec_id", F.posexplode("z").alias("pos", "z")).select("vec_id", "pos", F.round("z", 6).alias("z"))
 
 
-@query("p22_rescale", f"SELECT vec_id, list_transform(v, lambda x: round(least(greatest((x + 1) / 2, 0), 1), 6)) AS encoded FROM {_E}")
+@query("p22_rescale", f"""
+SELECT vec_id, list_transform(v, lambda x: round(least(greatest((x * 4 + 1) / 2, 0), 1), 6)) AS encoded, list_transform(v, lambda x: round(least(greatest(x * 4, -1), 1), 6)) AS back FROM {_E}""")
 def p22(spark, sf_dir):
-    return vectors(spark, sf_dir).select("vec_id", F.transform("v", lambda x: F.round(F.least(F.greatest((x + 1) / 2, F.lit(0.0)), F.lit(1.0)), 6)).alias("encoded"))
+    clipped = lambda x, lo, hi: F.least(F.greatest(x, F.lit(lo)), F.lit(hi))
+    rows = vectors(spark, sf_dir).select("vec_id", F.transform("v", lambda x: clipped((x * 4 + 1) / 2, 0.0, 1.0)).alias("encoded"))
+    return rows.select("vec_id", _rounded("encoded").alias("encoded"), _rounded(F.transform("encoded", lambda x: clipped(x * 2 - 1, -1.0, 1.0))).alias("back"))
 
 
 @query("p23_threshold", f"SELECT vec_id, list_transform(v, lambda x: CASE WHEN x >= 0.1 THEN round(x, 6) ELSE 0 END) AS v FROM {_E}")

@@ -20,10 +20,14 @@ def w1(spark, sf_dir):
     return ranking.earliest(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"]).select("user_id", "event_id")
 
 
-@query("w2_preferred_winner", "SELECT user_id, arg_min(event_id, (event_type <> 'purchase', ts, event_id)) AS event_id FROM events WHERE event_type <> 'error' GROUP BY user_id")
+@query("w2_preferred_winner", """
+WITH e AS (SELECT user_id, event_id, ts, event_type = 'view' AND value > 60 AS ok, event_id = max(event_id) OVER (PARTITION BY user_id) AS recorded FROM events)
+SELECT user_id, arg_min(event_id, (NOT recorded, ts, event_id)) FILTER (ok) AS winner, count(*) FILTER (NOT ok) AS unhealthy, CASE WHEN count(*) FILTER (ok) = 0 THEN 'no healthy candidate' END AS problem FROM e GROUP BY user_id""")
 def w2(spark, sf_dir):
-    healthy = table(spark, sf_dir, "events").where("event_type <> 'error'")
-    return ranking.earliest(healthy, "user_id", ["ts", "event_id"], F.col("event_type") == "purchase").select("user_id", "event_id")
+    ev = table(spark, sf_dir, "events")
+    recorded = ev.groupBy("user_id").agg(F.max("event_id").alias("event_id"))
+    healthy = (F.col("event_type") == "view") & (F.col("value") > 60)
+    return ranking.winners(ev.select("user_id", "event_id", "ts", "event_type", "value"), "user_id", "event_id", ["ts", "event_id"], healthy, recorded)
 
 
 @query("w3_latest", "SELECT event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY event_type")
@@ -39,12 +43,20 @@ def w4(spark, sf_dir):
 
 
 @query("w5_shard_table", """
-WITH s AS (SELECT DISTINCT o_orderkey // 1000 AS shard FROM orders WHERE o_orderkey // 1000 < 15)
-SELECT shard, 'shard-' || lpad(CAST(shard AS VARCHAR), 6, '0') AS filename, CASE WHEN shard < 10 THEN 'train' WHEN shard < 13 THEN 'val' ELSE 'test' END AS split,
- CASE WHEN shard < 10 THEN 42 + shard WHEN shard < 13 THEN 7 ELSE 9 END AS seed, CASE WHEN shard < 10 THEN 0 WHEN shard < 13 THEN (shard - 10) * 1000 ELSE (shard - 13) * 1000 END AS "offset" FROM s""")
+WITH m AS (SELECT max(o_orderkey // 1000) + 1 AS n FROM orders), r AS (SELECT n - 2 * (n // 5) AS a, n - n // 5 AS b, unnest(range(n)) AS shard FROM m)
+SELECT shard, 'shard-' || lpad(CAST(shard AS VARCHAR), 6, '0') AS filename, CASE WHEN shard < a THEN 'train' WHEN shard < b THEN 'val' ELSE 'test' END AS split,
+ CASE WHEN shard < a THEN 42 + shard WHEN shard < b THEN 7 ELSE 9 END AS seed, CASE WHEN shard < a THEN 0 WHEN shard < b THEN (shard - a) * 1000 ELSE (shard - b) * 1000 END AS "offset" FROM r""")
 def w5(spark, sf_dir):
-    there = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 1000).alias("shard")).distinct()
-    return ranking.shard_table(splits(spark), 1000, 42).join(there, "shard", "left_semi")
+    n = table(spark, sf_dir, "orders").agg(F.floor(F.max("o_orderkey") / 1000) + 1).first()[0]
+    return ranking.shard_table(splits(spark, n), 1000, 42)
+
+
+@query("w5_split_problems", """
+WITH s AS (SELECT p_brand AS split, count(*) AS rows, min(p_partkey) % 4 AS seed FROM part GROUP BY p_brand)
+SELECT split, 'size is no multiple' AS problem FROM s WHERE rows % 3 <> 0 UNION ALL SELECT split, 'seed is not its own' FROM s WHERE seed IN (SELECT seed FROM s GROUP BY seed HAVING count(*) > 1)""")
+def w5_problems(spark, sf_dir):
+    s = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("split")).agg(F.count("*").alias("rows"), (F.min("p_partkey") % 4).alias("split_seed"))
+    return ranking.split_problems(s, "rows", 3)
 
 
 @query("w6_split_ranges", "SELECT p_brand AS split, CAST(sum(count(*)) OVER (ORDER BY p_brand) - count(*) AS BIGINT) AS lo, CAST(sum(count(*)) OVER (ORDER BY p_brand) AS BIGINT) AS hi FROM part GROUP BY p_brand")
@@ -54,13 +66,14 @@ def w6(spark, sf_dir):
 
 
 @query("w7_first_accepted", """
-WITH a AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 'clipped' WHEN value < 20 THEN 'silent' END AS reason FROM events),
+WITH a AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN 'clipped' WHEN value < 60 THEN 'silent' END AS reason FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 4),
 w AS (SELECT user_id, min(event_id) FILTER (reason IS NULL) AS accepted FROM a GROUP BY user_id)
 SELECT a.user_id, any_value(accepted) AS accepted, count(*) FILTER (reason = 'clipped' AND (accepted IS NULL OR event_id < accepted)) AS rejected_clipped,
- count(*) FILTER (reason = 'silent' AND (accepted IS NULL OR event_id < accepted)) AS rejected_silent FROM a JOIN w USING (user_id) GROUP BY a.user_id""")
+ count(*) FILTER (reason = 'silent' AND (accepted IS NULL OR event_id < accepted)) AS rejected_silent, CASE WHEN any_value(accepted) IS NULL THEN 'budget used up' END AS problem FROM a JOIN w USING (user_id) GROUP BY a.user_id""")
 def w7(spark, sf_dir):
-    reason = F.when(F.col("event_type") == "error", "clipped").when(F.col("value") < 20, "silent")
-    return ranking.first_accepted(table(spark, sf_dir, "events").withColumn("reason", reason), "user_id", "event_id", "reason", ["clipped", "silent"])
+    reason = F.when(F.col("event_type") == "error", "clipped").when(F.col("value") < 60, "silent")
+    attempts = table(spark, sf_dir, "events").withColumn("reason", reason)
+    return ranking.first_accepted(attempts, "user_id", "event_id", "reason", ["clipped", "silent"], budget=4)
 
 
 _POS = "(SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)"
@@ -135,22 +148,65 @@ def w17(spark, sf_dir):
     return pairs(spark, sf_dir).select("vec_id", F.round(guarded, 6).alias("cosine"))
 
 
-@query("w18_spectral_transport")
+def _frames_sql(rows: str, name: str, window: int, hop: int) -> str:
+    """CTE `name` (vec_id, f, k, m): Hann-windowed magnitudes of centered frames of (vec_id, pos, v), by the definition of the transform."""
+    at = f"(pos - (f * {hop} - {window // 2}))"
+    part = lambda fn: f"pow(sum(v * (0.5 - 0.5 * cos(2 * pi() * {at} / {window})) * {fn}(2 * pi() * k * {at} / {window})), 2)"
+    return f"""{name} AS MATERIALIZED (SELECT vec_id, f, k, sqrt({part('cos')} + {part('sin')}) AS m FROM {rows}, range({64 // hop + 1}) a(f), range({window // 2 + 1}) b(k)
+ WHERE {at} >= 0 AND {at} < {window} GROUP BY vec_id, f, k)"""
+
+
+_SIDES = f"""p AS (SELECT vec_id, label, generate_subscripts(pred, 1) - 1 AS pos, unnest(pred) AS v FROM {PAIRS}),
+t AS (SELECT vec_id, label, generate_subscripts(target, 1) - 1 AS pos, unnest(target) AS v FROM {PAIRS})"""
+_TRANSPORT = f"""
+WITH {_SIDES}, {_frames_sql('p', 'sp', 16, 8)}, {_frames_sql('t', 'st', 16, 8)},
+d AS (SELECT vec_id, f, k, p.m / greatest(sum(p.m) OVER (PARTITION BY vec_id, f), 1e-6) - t.m / greatest(sum(t.m) OVER (PARTITION BY vec_id, f), 1e-6) AS x FROM sp p JOIN st t USING (vec_id, f, k)),
+c AS (SELECT vec_id, f, abs(sum(x) OVER (PARTITION BY vec_id, f ORDER BY k)) AS y FROM d)
+SELECT vec_id, round(avg(w), 6) AS sot FROM (SELECT vec_id, f, sum(y) / 9 AS w FROM c GROUP BY vec_id, f) GROUP BY vec_id"""
+
+
+@query("w18_spectral_transport", _TRANSPORT)
 def w18(spark, sf_dir):
     return signals.spectral_transport(pairs(spark, sf_dir), window=16, hop=8)
 
 
-@query("w19_multi_scale")
+_RATE, _SCALES = 4000, ((16, 8, 6), (32, 16, 8), (64, 32, 10))
+_HZ = "(CASE WHEN {0} < 15 THEN {0} * 200 / 3.0 ELSE 1000 * exp(({0} - 15) * ln(6.4) / 27) END)"
+
+
+def _mel_sql() -> str:
+    top = f"(15 + 27 * ln({_RATE / 2} / 1000) / ln(6.4))"
+    steps = []
+    for n, (window, hop, bands) in enumerate(_SCALES):
+        edge = lambda o, bands=bands: _HZ.format(f"((b + {o}) * {top} / {bands + 1})")
+        hz = f"(k * {_RATE}.0 / {window})"
+        weight = f"greatest(0, least(({hz} - {edge(0)}) / ({edge(1)} - {edge(0)}), ({edge(2)} - {hz}) / ({edge(2)} - {edge(1)}))) * 2 / ({edge(2)} - {edge(0)})"
+        steps.append(f"w{n} AS (SELECT b, k, {weight} AS w FROM range({bands}) x(b), range({window // 2 + 1}) y(k))")
+        for side in ("p", "t"):
+            steps.append(_frames_sql(side, f"s{side}{n}", window, hop))
+            steps.append(f"""m{side}{n} AS (SELECT vec_id, f, b, 10 * log10(greatest(sum(m * m * w), 1e-10)) AS db FROM s{side}{n} JOIN w{n} USING (k) GROUP BY vec_id, f, b)""")
+            steps.append(f"d{side}{n} AS (SELECT vec_id, f, b, greatest(db - max(db) OVER (PARTITION BY vec_id), -80) AS db FROM m{side}{n})")
+        steps.append(f"r{n} AS (SELECT vec_id, avg(abs(p.db - t.db)) AS x FROM dp{n} p JOIN dt{n} t USING (vec_id, f, b) GROUP BY vec_id)")
+    return f"WITH {_SIDES}, " + ",\n".join(steps) + "\nSELECT vec_id, round((r0.x + r1.x + r2.x) / 3, 6) AS mss FROM r0 JOIN r1 USING (vec_id) JOIN r2 USING (vec_id)"
+
+
+@query("w19_multi_scale", _mel_sql())
 def w19(spark, sf_dir):
-    return signals.multi_scale(pairs(spark, sf_dir), scales=((8, 4, 4), (16, 8, 6), (32, 16, 8)))
+    return signals.multi_scale(pairs(spark, sf_dir), _SCALES, rate=_RATE)
+
+
+_DFT = """SELECT vec_id, label, k, sqrt(pow(sum(v * cos(2 * pi() * k * pos / 64)), 2) + pow(sum(v * sin(2 * pi() * k * pos / 64)), 2)) AS m FROM {0}, range(33) b(k) GROUP BY vec_id, label, k"""
+_BOTH = f"WITH {_SIDES}, sp AS ({_DFT.format('p')}), st AS ({_DFT.format('t')}) "
 
 
-@query("a20_log_spectral")
+@query("a20_log_spectral", _BOTH + """SELECT round(avg(l), 6) AS lsd, count(*) AS batches FROM (SELECT label, avg(x) AS l FROM (
+ SELECT vec_id, label, sqrt(avg(pow(10 * log10(greatest(pow(p.m / 64, 2), 1e-8)) - 10 * log10(greatest(pow(t.m / 64, 2), 1e-8)), 2))) AS x FROM sp p JOIN st t USING (vec_id, label, k) GROUP BY vec_id, label) GROUP BY label)""")
 def a20(spark, sf_dir):
     return signals.log_spectral(pairs(spark, sf_dir), batch="label")
 
 
-@query("a21_spectral_l1")
+@query("a21_spectral_l1", _BOTH + """SELECT round(avg(l), 6) AS l1, count(*) AS batches FROM (SELECT label, avg(x) AS l FROM (
+ SELECT vec_id, label, avg(abs(p.m - t.m)) AS x FROM sp p JOIN st t USING (vec_id, label, k) GROUP BY vec_id, label) GROUP BY label)""")
 def a21(spark, sf_dir):
     return signals.spectral_l1(pairs(spark, sf_dir), batch="label")
 
@@ -168,12 +224,16 @@ def w21(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", rounded(A.adaptive_pool("v", 5)).alias("mean"), rounded(A.adaptive_pool("v", 5, F.array_max)).alias("top"))
 
 
-@query("w22_loudness")
+_FRAMES = f"WITH {_frames_sql(LONG, 's', 16, 8)} "
+
+
+@query("w22_loudness", _FRAMES + """, d AS (SELECT vec_id, f, 20 * log10(greatest(sqrt(avg(m * m)), 1e-10)) AS db FROM s GROUP BY vec_id, f)
+SELECT vec_id, CAST(f AS INTEGER) AS frame, round((greatest(db - max(db) OVER (PARTITION BY vec_id), -80) + 80) / 80, 6) AS loudness FROM d""")
 def w22(spark, sf_dir):
     return signals.frames(vectors(spark, sf_dir), window=16, hop=8).select("vec_id", "frame", "loudness")
 
 
-@query("w23_spectral_centroid")
+@query("w23_spectral_centroid", _FRAMES + "SELECT vec_id, CAST(f AS INTEGER) AS frame, round(log2(greatest(sum(m * k) / greatest(sum(m), 1e-12), 1)), 6) AS centroid FROM s GROUP BY vec_id, f")
 def w23(spark, sf_dir):
     return signals.frames(vectors(spark, sf_dir), window=16, hop=8).select("vec_id", "frame", "centroid")
 
@@ -186,5 +246,3 @@ def w24(spark, sf_dir):
     control = o.where("vec_id % 2 = 0 and onset >= 0").groupBy("label").agg(F.min("onset").alias("e"))
     late = o.where("vec_id % 2 = 1").join(control, "label").where(F.col("onset") > F.col("e") + 4)
     return late.select("vec_id", "onset", (F.col("onset") - F.col("e")).alias("lag"))
-
-

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +20,21 @@ def snapshot(spark: SparkSession, source: str, root: str, *, columns: list[str],
 
     The folder's name and its manifest come from source, version, columns, order and limit. A
     folder without manifest or completion marker, or with another manifest, is an error,
-    never rewritten.
+    never rewritten. Rows and manifest are staged and renamed together, so a writer that dies
+    leaves nothing under the folder's name; of two writers the later one uses what the first put there.
     """
     request = {"source": source, "version": version, "columns": columns, "order": order, "limit": limit}
     digest = request_digest(request)
     path = f"{root}/{digest[:16]}"
+    if not _exists(spark, path):
+        df = spark.read.parquet(source).select(*columns)
+        if limit is not None:
+            df = df.orderBy(*order).limit(limit)
+        staged = f"{root}/_staged-{uuid.uuid4().hex}"
+        df.write.parquet(f"{staged}/rows")
+        spark.createDataFrame([(digest, source, version)], "digest string, source string, version string").write.parquet(f"{staged}/manifest")
+        if _renamed(spark, staged, path):
+            return path, False
     if _exists(spark, path):
         if not is_complete(spark, f"{path}/manifest") or not is_complete(spark, f"{path}/rows"):
             raise SnapshotMismatch(f"{path} isn't whole")
@@ -30,12 +42,7 @@ def snapshot(spark: SparkSession, source: str, root: str, *, columns: list[str],
         if stored["digest"] != digest:
             raise SnapshotMismatch(f"{path} holds another subset")
         return path, True
-    df = spark.read.parquet(source).select(*columns)
-    if limit is not None:
-        df = df.orderBy(*order).limit(limit)
-    df.write.parquet(f"{path}/rows")
-    spark.createDataFrame([(digest, source, version)], "digest string, source string, version string").write.parquet(f"{path}/manifest")
-    return path, False
+    raise SnapshotMismatch(f"{path} couldn't be put in place")
 
 
 def materialise_splits(spark: SparkSession, sources: dict[str, str], root: str, projections: dict[str, list[str]], order: list[str], limit: int | None = None) -> dict[str, str]:
@@ -60,3 +67,13 @@ def with_request(df: DataFrame, **request: str) -> DataFrame:
 def _exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def _renamed(spark: SparkSession, old: str, new: str) -> bool:
+    """Whether `old` now has the name `new`, which nothing may have had."""
+    a, b = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (old, new))
+    fs = a.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = not fs.exists(b) and fs.rename(a, b)
+    if not done:
+        fs.delete(a, True)
+    return done

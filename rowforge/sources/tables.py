@@ -11,8 +11,12 @@ from pyspark.sql import types as T
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for results: under spark.checkpoint.dir, which driver and executors share, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")
+    """A new folder for results: under spark.checkpoint.dir, which driver and executors share. Unset, it's a temporary one on a local master and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -60,9 +64,13 @@ def overwrite(df: DataFrame, path: str, *, rows_per_file: int = 0) -> None:
     (writer.option("maxRecordsPerFile", rows_per_file) if rows_per_file else writer).parquet(path)
 
 
-def publish_shards(df: DataFrame, path: str, shard: str) -> None:
-    """A folder for each shard, written by the tasks that the shard's rows are dealt to; the job's commit publishes all at once."""
-    df.repartition(shard).write.mode("overwrite").partitionBy(shard).parquet(path)
+def publish_shards(df: DataFrame, path: str, shard: str, *, pieces: int = 1) -> None:
+    """Replace the folders of the shards that df has; others stay. Tasks write to a staging folder and the job's commit moves whole folders into place.
+
+    A shard that is too large for one task is written by as many as `pieces`, dealt by a hash of its rows.
+    """
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(pieces))
+    df.repartition(shard, salt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(shard).parquet(path)
 
 
 def publish_splits(df: DataFrame, path: str, split: str = "split") -> None:
@@ -108,5 +116,3 @@ def markdown(df: DataFrame, columns: list[str]) -> DataFrame:
     head = df.sparkSession.createDataFrame([(0, "| " + " | ".join(columns) + " |"), (1, "|" + "---|" * len(columns))], "n int, line string")
     cells = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.col(c).cast("string") for c in columns)), F.lit(" |"))
     return head.unionByName(df.select(F.lit(2).alias("n"), cells.alias("line"))).orderBy("n", "line").select("line")
-
-

@@ -37,7 +37,7 @@ class Ledger:
         self.gen += 1
         return True
 
-    def complete(self, owner: str, gen: int) -> bool:
+    def complete(self, owner: str, gen: int | None) -> bool:
         if self.status != "claimed" or self.owner != owner or self.gen != gen:
             return False
         self.status = "done"
@@ -48,9 +48,9 @@ class Ledger:
 
 
 def apply_events(ledger: Ledger, shard: int, events: Iterable[Any]) -> Iterator[tuple]:
-    """Events with event_id, action, owner, at (seconds) and gen (null: the generation of the owner's last claim), in order."""
+    """Events with event_id, action, owner, at (seconds) and gen, in order. A completion without a generation is rejected: it can't be told from a late one."""
     for e in events:
-        gen = ledger.gen if pd.isna(e.gen) else int(e.gen)
+        gen = None if pd.isna(e.gen) else int(e.gen)
         ok = ledger.claim(e.owner, int(e.at)) if e.action == "claim" else ledger.complete(e.owner, gen)
         yield shard, int(e.event_id), e.action, e.owner, ok, ledger.status, ledger.attempts, ledger.gen, ledger.expiry
 
@@ -167,10 +167,13 @@ def follow(events: DataFrame, folder: str, slices: int = 3, lease: int = LEASE)
 
 
 def applyable(events: DataFrame) -> DataFrame:
-    """Driver events as lease events: purchases complete, the rest claims; sixty shards by user, owners by kind."""
+    """Driver events as lease events: a shard for each user, so that shards grow with the data; purchases complete, the rest claims.
+
+    A completion names the generation that its worker thinks it has: the first or the second.
+    """
+    complete = F.col("event_type") == "purchase"
     return events.select(
-        F.pmod("user_id", F.lit(60)).cast("long").alias("shard"), "event_id",
-        F.when(F.col("event_type") == "purchase", "complete").otherwise("claim").alias("action"),
-        F.concat(F.lit("w"), F.pmod("user_id", F.lit(7)).cast("string")).alias("owner"),
-        F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.lit(None).cast("long").alias("gen"),
+        F.col("user_id").cast("long").alias("shard"), "event_id", F.when(complete, "complete").otherwise("claim").alias("action"),
+        F.concat(F.lit("w"), F.pmod("event_id", F.lit(2)).cast("string")).alias("owner"),
+        F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.when(complete, F.pmod(F.floor(F.col("event_id") / 2), F.lit(2)) + 1).cast("long").alias("gen"),
     )

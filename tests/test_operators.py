@@ -60,8 +60,7 @@ def test_cosine_of_zero_is_null(spark):
 
 def test_group_swap_example(spark):
     df = spark.createDataFrame([(1, [0.0, 1.0, 0.5], [1.0, 0.0, 1.0])], "vec_id long, pred array<double>, target array<double>")
-    groups = spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "pos int, grp int")
-    assert [r.mse for r in scoring.group_swap(df, groups).orderBy("pos").collect()] == [0.0, 0.0, 0.25]
+    assert [r.mse for r in scoring.group_swap(df, [[0, 1], [2]]).orderBy("pos").collect()] == [0.0, 0.0, 0.25]
 
 
 @settings(max_examples=15, deadline=None)
@@ -126,7 +125,108 @@ def test_first_accepted(spark):
     rows = [(1, 0, "clipped"), (1, 1, None), (1, 2, "silent"), (2, 0, "silent"), (2, 1, "silent")]
     got = {r.s: r for r in ranking.first_accepted(spark.createDataFrame(rows, "s int, a int, r string"), "s", "a", "r", ["clipped", "silent"]).collect()}
     assert (got[1].accepted, got[1].rejected_clipped, got[1].rejected_silent) == (1, 1, 0)
-    assert (got[2].accepted, got[2].rejected_silent) == (None, 2)
+    assert (got[2].accepted, got[2].rejected_silent, got[2].problem) == (None, 2, "none accepted") and got[1].problem is None
+    one = {r.s: r for r in ranking.first_accepted(spark.createDataFrame(rows, "s int, a int, r string"), "s", "a", "r", ["clipped"], budget=1).collect()}
+    assert (one[1].accepted, one[1].problem, one[1].rejected_clipped) == (None, "budget used up", 1)
+
+
+def test_winners_keep_the_record_and_name_what_is_lost(spark):
+    df = spark.createDataFrame([(1, "a", 1, True), (1, "b", 2, True), (2, "c", 1, False), (2, "d", 2, True), (3, "e", 1, False)], "k int, n string, t int, ok boolean")
+    recorded = spark.createDataFrame([(1, "b"), (2, "c")], "k int, n string")
+    got = {r.k: (r.winner, r.unhealthy, r.problem) for r in ranking.winners(df, "k", "n", ["t"], F.col("ok"), recorded).collect()}
+    assert got == {1: ("b", 0, None), 2: ("d", 1, None), 3: (None, 1, "no healthy candidate")}
+
+
+def test_positions_of_sparse_and_of_repeated_keys(spark):
+    sparse = spark.range(5000).select(F.xxhash64("id").alias("k"), "id")
+    placed = ranking.positions(sparse, "k", per=100)
+    got = placed.orderBy("k").select("i").collect()
+    assert [r.i for r in got] == list(range(5000)) and placed.columns == ["k", "id", "i"]
+    windows = [x for x in placed._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in x and "row_number" in x]
+    assert len(windows) == 1 and "__b" in windows[0] and "__t" in windows[0]
+    ranges = sparse.groupBy("k").count().count()
+    assert ranges == 5000  # as many values as rows, but a running sum over some 50 ranges only
+    hot = spark.range(4000).select(F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id")).alias("k"), "id")
+    rows = sorted((r.i, r.k) for r in ranking.positions(hot, "k", per=100).collect())
+    assert [i for i, _ in rows] == list(range(4000)) and [k for _, k in rows] == sorted(k for _, k in rows)
+    assert ranking.positions(sparse.limit(0), "k").count() == 0 and ranking.positions(sparse.limit(1), "k").first().i == 0
+
+
+def test_strict_statistics_refuse(spark):
+    state = spark.createDataFrame([(0, 3, 1.0, 2.0), (1, 3, 1.0, 0.0), (2, 1, 1.0, 0.0)], "pos int, n long, mean double, m2 double")
+    assert {r.pos: r.problem for r in stats.refusals(state).collect()} == {1: "no variance", 2: "too few rows"}
+    for pos, what in ((1, "no variance"), (2, "too few rows")):
+        with pytest.raises(Exception, match=what):
+            stats.finalise(state.where(F.col("pos") == pos), strict=True).collect()
+    assert stats.finalise(state.where("pos = 0"), strict=True).first()["std"] > 0
+
+
+def test_quantiles_by_rank_are_percentiles(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=500), np.zeros(300)])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "d double")
+    small = stats.distance_summary(df, "d").first()
+    monkeypatch.setattr(stats, "SMALL", 10)
+    large = stats.distance_summary(df, "d").first()
+    assert [large[c] for c in large.__fields__] == pytest.approx([small[c] for c in small.__fields__])
+    assert large["p25"] == pytest.approx(np.quantile(x, 0.25)) and large["n"] == 800
+
+
+def test_frame_variation_is_nan_for_silent_rows(spark):
+    df = vectors(spark, [(1, [3.0, 1.0, 4.0, 1.0]), (2, [0.0] * 4)])
+    cv = stats.column_profile(df.where("vec_id = 1"), frames=2).first()["frame_cv"]
+    assert cv == pytest.approx(np.std([5, 2**0.5]) / np.mean([5, 2**0.5])) and np.isnan(stats.column_profile(df, frames=2).first()["frame_cv"])
+
+
+def test_published_shards_leave_others(spark):
+    path = tables.scratch(spark)
+    rows = spark.range(100).select("id", (F.col("id") % 4).cast("int").alias("shard"))
+    tables.publish_shards(rows, path, "shard", pieces=3)
+    tables.publish_shards(rows.where("shard = 2 and id < 50"), path, "shard")
+    got = {r.shard: r["count"] for r in spark.read.parquet(path).groupBy("shard").count().collect()}
+    assert got == {0: 25, 1: 25, 2: 12, 3: 25}
+
+
+def test_split_problems_are_errors(spark):
+    kind = "pos int, split string, shards int, split_seed long"
+    assert ranking.shard_table(spark.createDataFrame([(0, "a", 2, 1), (1, "b", 1, 2), (2, "c", 0, None)], kind), 10, 5).count() == 3
+    with pytest.raises(ValueError, match="seed is not its own"):
+        ranking.shard_table(spark.createDataFrame([(0, "a", 2, 1), (1, "b", 1, 1)], kind), 10, 5)
+    with pytest.raises(ValueError, match="all are empty"):
+        ranking.shard_table(spark.createDataFrame([(0, "a", 0, None)], kind), 10, 5)
+    sizes = spark.createDataFrame([("a", 12, None), ("b", 10, None)], "split string, rows long, split_seed long")
+    assert [(r.split, r.problem) for r in ranking.split_problems(sizes, "rows", 4).collect()] == [("b", "size is no multiple")]
+
+
+def test_probe_refuses_when_a_seed_asks_for_it(spark):
+    df = spark.createDataFrame([(1, 1, "x"), (1, 2, "x"), (2, 3, "x"), (2, 4, "y"), (3, 5, "x"), (4, 6, None), (4, 7, None)], "g int, k int, s string")
+    p = matching.shuffle_probe(df, "g", "k", "s", 9)
+    got = {r.k: (r.partner, r.skipped) for r in p.collect()}
+    assert got == {1: (2, None), 2: (1, None), 3: (None, "settings differ"), 4: (None, "settings differ"), 5: (None, "too few rows"), 6: (7, None), 7: (6, None)}
+    assert matching.checked_probe(p.where("g = 1")).count() == 2
+    with pytest.raises(Exception, match="settings differ"):
+        matching.checked_probe(p).collect()
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_worst_pairs_are_the_worst(spark, block):
+    rng = np.random.default_rng(block)
+    x = rng.normal(size=(40, 5)).round(2)
+    x[7] = x[3]
+    df = spark.createDataFrame([(i, i % 3, r.tolist()) for i, r in enumerate(x)], "k long, g int, v array<double>")
+    for r in scoring.worst_pairs(df, "g", "k", block=block).collect():
+        pairs = list(itertools.combinations([i for i in range(40) if i % 3 == r.g], 2))
+        far = {p: round(float(np.linalg.norm(x[p[0]] - x[p[1]])), 6) for p in pairs}
+        cos = {p: round(float(x[p[0]] @ x[p[1]] / np.linalg.norm(x[p[0]]) / np.linalg.norm(x[p[1]])), 6) for p in pairs}
+        assert (r.far, (r.far_a, r.far_b)) == (max(far.values()), min(p for p in pairs if far[p] == max(far.values())))
+        assert (r.cosine, (r.cosine_a, r.cosine_b)) == (min(cos.values()), min(p for p in pairs if cos[p] == min(cos.values())))
+
+
+def test_mel_bands_cover_the_range():
+    w = signals.mel_bands(512, 20, 16_000)
+    assert w.shape == (20, 257) and (w >= 0).all() and (w.sum(axis=0)[2:-2] > 0).all()
+    assert signals.scales_at(44_100)[1] == (1102, 441, 64)
+    assert signals.hertz(np.array([0.0, 15.0, 42.0])) == pytest.approx([0, 1000, 6400])
 
 
 def test_uuid5_is_pythons(spark):
@@ -165,6 +265,13 @@ def test_derived_columns_keep_their_identity(spark):
     other = derived.Derived("l2", ("v",), "l2/2", A.norm)
     with pytest.raises(ValueError, match="l2/1"):
         derived.missing(df, [other])
+    both = [derived.REGISTRY["l2"], derived.REGISTRY["avg"]]
+    with pytest.raises(ValueError, match="only a part is there: l2"):
+        derived.missing(df, both)
+    plain = df.select("vec_id", "v", F.col("l2").alias("l2", metadata={}))
+    with pytest.warns(UserWarning, match="l2"):
+        assert derived.missing(plain, both[:1]) == []
+    assert derived.missing(df, both[1:]) == both[1:] and derived.missing(df, both[:1]) == []
 
 
 def test_snapshot_is_reused_and_damage_is_an_error(spark):
@@ -180,6 +287,7 @@ def test_snapshot_is_reused_and_damage_is_an_error(spark):
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, False)
     with pytest.raises(snapshots.SnapshotMismatch):
         snapshots.snapshot(spark, src, root, **ask)
+    assert not [r.path for r in tables.listing(spark, root).collect() if "_staged" in r.path]
 
 
 def test_index_finds_rows_themselves_first(spark):
@@ -191,6 +299,26 @@ def test_index_finds_rows_themselves_first(spark):
     assert found.where("rank = 1 and query_id <> vec_id").count() == 0
     assert index.recall(found, matching.k_nearest(q, v, 5)).first().recall >= 0.9
     assert index.build(v.where("vec_id < 10")) is None
+    folder = tables.scratch(spark)
+    assert index.load(spark, folder, built.config, v) is None
+    index.save(built, folder)
+    again = index.load(spark, folder, built.config, v)
+    assert sorted(map(tuple, index.search(again, q, 3).collect())) == sorted(map(tuple, index.search(built, q, 3).collect()))
+    assert index.load(spark, folder, index.IndexConfig(built.config.cells, metric="dot"), v) is None
+    with pytest.raises(ValueError, match="metric"):
+        index.IndexConfig(4, metric="other")
+
+
+@pytest.mark.parametrize("metric", ["l2", "dot"])
+def test_index_ranks_by_its_metric(spark, metric):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 16)) * rng.uniform(0.2, 3, (300, 1))
+    v = vectors(spark, [(i, r.tolist()) for i, r in enumerate(x)])
+    built = index.build(v, index.IndexConfig(8, parts=4, metric=metric))
+    q = v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    for r in index.search(built, q, 3, probes=8, refine=100).collect():
+        score = x[r.query_id] @ x.T if metric == "dot" else -((x[r.query_id] - x) ** 2).sum(axis=1)
+        assert r.vec_id == np.argsort(-score)[r["rank"] - 1] and r.score == pytest.approx(np.sort(score)[-r["rank"]])
 
 
 def test_nearest_by_blocks_equal_broadcast(spark):
@@ -224,6 +352,9 @@ EVENTS = "event_id long, shard long, action string, owner string, at long, gen l
 def test_lease_rules(spark):
     got = [r.accepted for r in ledger.replay(spark.createDataFrame(LOG, EVENTS)).orderBy("event_id").collect()]
     assert got == [True, False, True, False, False, True, False]
+    # the owner claims again: what it finished under its first lease comes too late, and without a generation nothing is accepted
+    twice = [(1, 0, "claim", "a", 0, None), (2, 0, "claim", "a", 8000, None), (3, 0, "complete", "a", 8001, 1), (4, 0, "complete", "a", 8002, None), (5, 0, "complete", "a", 8003, 2)]
+    assert [r.accepted for r in ledger.replay(spark.createDataFrame(twice, EVENTS)).orderBy("event_id").collect()] == [True, True, False, False, True]
     now = F.lit(10)
     df = spark.createDataFrame([("available", 0), ("claimed", 9), ("claimed", 10), ("done", 0)], "s string, e long")
     assert [r.c for r in df.select(production.claimable(F.col("s"), F.col("e"), now).alias("c")).collect()] == [True, True, False, False]
