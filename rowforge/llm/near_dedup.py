@@ -82,6 +82,50 @@ def cells(sets: DataFrame, threshold: float, k: int = SKETCH) -> DataFrame:
     return joined_by_count(keys, leaders, "v", "c").select(F.col("m.rep").alias("leader"), "rep", "n").distinct()
 
 
+_NO_VALUE = np.iinfo(np.int64).max
+
+
+def estimated(sketches: np.ndarray, n: np.ndarray, i: int, rows: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of set i with those in rows by the sketch of their union; exact where both sets are whole in their sketches.
+
+    Row i of `sketches` has the smallest values of a set of n[i], filled up with _NO_VALUE.
+    """
+    k = sketches.shape[1]
+    mine, theirs = sketches[i], sketches[rows]
+    # the k smallest of the union end at the k-th smallest of both; shared values up to there estimate the similarity
+    at = np.searchsorted(mine, theirs)
+    same = (at < k) & (mine[np.minimum(at, k - 1)] == theirs) & (theirs < _NO_VALUE)
+    before = np.arange(k) + 1 + at + same - np.cumsum(same, axis=1)  # rank in the union
+    both = same.sum(axis=1)
+    whole = (n[i] <= k) & (n[rows] <= k)
+    return np.where(whole, both / np.maximum(n[i] + n[rows] - both, 1), (same & (before <= k)).sum(axis=1) / k)
+
+
+def _screened(threshold: float):
+    """The members of a cell that may be linked to another one there. Cells of several blocks pass whole, as their blocks meet later."""
+    least = loose(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, ["leader", "block"]):
+            m, n = t.num_rows, t["n"].to_numpy()
+            keep = np.full(m, t["blocks"][0].as_py() > 1)
+            if not keep.any():
+                lists = t["sketch"].combine_chunks()
+                size = np.diff(lists.offsets.to_numpy())
+                sketches = np.full((m, SKETCH), _NO_VALUE)
+                sketches[np.arange(SKETCH) < size[:, None]] = lists.flatten().to_numpy()
+                for i in range(m - 1):
+                    rows = np.arange(i + 1, m)
+                    exact = (n[i] <= SKETCH) & (n[rows] <= SKETCH)
+                    hit = rows[estimated(sketches, n, i, rows) >= np.where(exact, threshold - 1e-12, least)]
+                    keep[hit] = True
+                    keep[i] |= len(hit) > 0
+            if keep.any():
+                yield from t.select(["leader", "block", "rep", "blocks"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return run
+
+
 class _Sets:
     """The shingle sets of some texts, side by side, with their sketches."""
 
@@ -90,7 +134,7 @@ class _Sets:
         self.n = np.array([len(p) for p in parts])
         self.starts = np.concatenate([[0], np.cumsum(self.n)])
         self.flat = np.concatenate(parts)
-        self.sketch = np.full((len(parts), k), np.iinfo(np.int64).max)
+        self.sketch = np.full((len(parts), k), _NO_VALUE)
         for row, p in zip(self.sketch, parts, strict=True):
             row[: min(k, len(p))] = p[:k]
         self.k = k
@@ -98,25 +142,16 @@ class _Sets:
     def of(self, i: int) -> np.ndarray:
         return self.flat[self.starts[i] : self.starts[i + 1]]
 
-    def similar(self, one: np.ndarray, rows: np.ndarray, least: float) -> np.ndarray:
-        """Jaccard similarity of a set with those in rows; 0 where the union sketch puts it below `least`."""
-        out = np.zeros(len(rows))
+    def similar(self, i: int, rows: np.ndarray, least: float) -> np.ndarray:
+        """Jaccard similarity of set i with those in rows; 0 where the union sketch puts it below `least`."""
+        one, out = self.of(i), np.zeros(len(rows))
         if not len(one) or not len(rows):
             return out
-        near = rows
-        if len(one) > self.k:
-            mine = one[: self.k]
-            theirs = self.sketch[rows]
-            # the k smallest of the union end at the k-th smallest of both; shared values up to there estimate the similarity
-            at = np.searchsorted(mine, theirs)
-            same = (at < self.k) & (mine[np.minimum(at, self.k - 1)] == theirs)
-            before = np.arange(self.k) + 1 + at + same - np.cumsum(same, axis=1)  # rank in the union
-            estimate = (same & (before <= self.k)).sum(axis=1) / self.k
-            keep = (estimate >= least) | (self.n[rows] <= self.k)
-            near = rows[keep]
-            slot = np.flatnonzero(keep)
-        else:
-            slot = np.arange(len(rows))
+        slot = np.arange(len(rows))
+        if least > 0:
+            may = estimated(self.sketch, self.n, i, rows)
+            slot = np.flatnonzero((may >= least) | ((self.n[rows] <= self.k) & (self.n[i] <= self.k)))
+        near = rows[slot]
         if not len(near):
             return out
         n = self.n[near]
@@ -174,10 +209,19 @@ def near_duplicates(
     spread = placed.where("leader <> rep").unionByName(
         placed.where("leader = rep").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     )
+    # sketches first: texts are fetched only for members that some other one of their cell may be linked to
+    known = filtered(sets.select("rep", F.col("n_shingles").alias("n"), "sketch"), "rep", id_filter(placed, "rep"), inside=True)
+    hopeful = materialize(
+        spread.join(known.hint("merge"), "rep")
+        .select("leader", "block", "rep", "blocks", "n", "sketch")
+        .repartition("leader", "block")
+        .sortWithinPartitions("leader", "block", "rep")
+        .mapInArrow(_screened(threshold), "leader long, block long, rep long, blocks long")
+    )
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
-    wanted = filtered(texts, "rep", id_filter(placed, "rep"), inside=True)
+    wanted = filtered(texts, "rep", id_filter(hopeful, "rep"), inside=True)
     found = materialize(
-        spread.join(wanted.hint("merge"), "rep")
+        hopeful.join(wanted.hint("merge"), "rep")
         .select("leader", "block", "rep", "blocks", "text")
         .repartition("leader", "block")
         .sortWithinPartitions("leader", "block", "rep")
@@ -213,9 +257,9 @@ def _within(shingle: int, threshold: float):
             ids = t["rep"].to_numpy()
             sets = _Sets(t["text"].to_pylist(), shingle, SKETCH)
             up, links = list(range(len(ids))), []
-            first = int(np.flatnonzero(ids == leader)[0])
             rows = np.arange(len(ids))
-            full = sets.similar(sets.of(first), rows, -1.0)
+            first = int(np.flatnonzero(ids == leader)[0]) if (ids == leader).any() else -1  # a leader that nothing may be linked to isn't there
+            full = sets.similar(first, rows, -1.0) if first >= 0 else np.zeros(len(ids))
             full[ids == leader] = 1.0
 
             def join(i: int, hits: np.ndarray, up: list[int] = up, links: list = links, ids: np.ndarray = ids) -> None:
@@ -225,15 +269,16 @@ def _within(shingle: int, threshold: float):
                         up[x] = y
                         links.append((ids[i], ids[j]))
 
-            join(first, np.flatnonzero(_linked(full, threshold)))
+            if first >= 0:
+                join(first, np.flatnonzero(_linked(full, threshold)))
             distance = 1 - full
             for i in rows:
-                if _root(up, int(i)) == _root(up, first):
+                if first >= 0 and _root(up, int(i)) == _root(up, first):
                     continue
                 # Jaccard distance is a metric: pairs whose distances to the leader differ by more than the limit can't link
                 others = rows[np.abs(distance - distance[i]) <= 1 - threshold + 1e-9]
                 others = others[others != i]
-                join(int(i), others[_linked(sets.similar(sets.of(int(i)), others, least), threshold)])
+                join(int(i), others[_linked(sets.similar(int(i), others, least), threshold)])
             out = [("link", leader, block_no, int(a), int(b), 0.0) for a, b in links]
             if blocks > 1:
                 root = _root(up, first)
@@ -286,7 +331,7 @@ def _across(found: DataFrame, far: DataFrame, texts: DataFrame, shingle: int, th
             there = np.flatnonzero(~is_far)
             for i in np.flatnonzero(is_far):
                 rows = there[np.abs(distance[there] - distance[i]) <= 1 - threshold + 1e-9]
-                for j in rows[_linked(sets.similar(sets.of(int(i)), rows, loose(threshold)), threshold)]:
+                for j in rows[_linked(sets.similar(int(i), rows, loose(threshold)), threshold)]:
                     x, y = _root(up, int(i)), _root(up, int(j))
                     if x != y:
                         up[x] = y
