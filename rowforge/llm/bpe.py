@@ -34,11 +34,17 @@ def byte_letters() -> dict[str, int]:
 
 
 class Bpe:
-    """A vocabulary file of the tokenizers library (model BPE, pre-tokenizer and decoder ByteLevel)."""
+    """A vocabulary file of the tokenizers library (model BPE, pre-tokenizer and decoder ByteLevel).
+
+    A piece of n bytes takes some 80 n bytes of arrays, all of it at once; texts are cut into
+    pieces at white space and changes of kind, so only a run of one kind is a long piece.
+    """
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if unknown := _unsupported(spec):
+            raise ValueError(f"{path} has settings that aren't supported: {', '.join(unknown)}")
         letters = byte_letters()
         vocab = spec["model"]["vocab"]
         raw = lambda token: bytes(letters[c] for c in token)
@@ -201,6 +207,20 @@ class Bpe:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def _unsupported(spec: dict) -> list[str]:
+    """Settings of a file that would give other ids than this encoder. Truncation and padding are left unused."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    found = [k for k in ("normalizer", "post_processor") if spec.get(k)]
+    found += [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    if model.get("type", "BPE") != "BPE" or (spec.get("decoder") or {}).get("type") != "ByteLevel":
+        found.append("model or decoder")
+    if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+        found.append("pre_tokenizer")
+    if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        found.append("added_tokens")
+    return found
+
+
 def _chunks(texts: Iterable[str | None], most: int = 1 << 21) -> Iterator[list[str | None]]:
     """Runs of texts of about `most` characters, so that new pieces of many texts are merged together."""
     part, size = [], 0
@@ -221,7 +241,10 @@ def tokenizer(path: str) -> Bpe:
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>) of every whole text, in the row order of the input; null counts as empty and gives no ids."""
+    """(doc_id, ids array<int>) of every whole text, in the row order of the input; null counts as empty and gives no ids.
+
+    Null and repeated ids stay; an empty table gives an empty result. Only the two columns are read, whatever others are named.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
@@ -254,7 +277,8 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text is encoded, its ids decoded again, and both digested.
 
     One row per input row, repeated and null ids too. Null texts count as empty: no tokens,
-    digests of the empty string. Ids stay within the task that made them.
+    digests of the empty string. An empty table gives an empty result. Only the two columns are
+    read, whatever others are named. Token ids stay within the task that made them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,14 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowforge.llm._shared import connected_components, materialize, runs
+from rowforge.llm._shared import connected_components, joined_by_count, materialize, runs
 
 #: Vectors of one block; two blocks meet in one task.
 BLOCK = 8192
 #: Vectors that blocks of a larger group are cut around, at most.
 PIVOTS = 64
-#: Pivots of all groups together that the driver holds and broadcasts; groups beyond it are cut by hash alone.
-MAX_PIVOTS = 8192
+#: Bytes of pivots of all groups together that the driver holds and broadcasts; groups beyond it are cut by hash alone.
+PIVOT_BYTES = 16 << 20
+#: Groups with more rows than a block whose names are broadcast; more of them are joined by their counts.
+MAX_GROUPS = 10_000
 _ROWS = 1024
 
 
@@ -181,10 +183,12 @@ def _met(usable: DataFrame, large: DataFrame, block: int, cosine: float) -> Data
     A block's ball has its pivot for center and its farthest vector's distance for radius.
     """
     spark = usable.sparkSession
-    wanted = large.select("grp", F.least(F.ceil(F.col("rows") / block), F.lit(PIVOTS)).cast("int").alias("slots"))
-    rows = usable.join(wanted, "grp")
+    few = large.limit(MAX_GROUPS + 1).count() <= MAX_GROUPS
+    wanted = large.select("grp", F.least(F.ceil(F.col("rows") / block), F.lit(PIVOTS)).cast("int").alias("slots"), F.col("rows").alias("__m"))
+    rows = (usable.join(F.broadcast(wanted), "grp") if few else joined_by_count(usable, wanted, "grp", "__m")).drop("__m")
+    longest = usable.agg(F.max(F.size("u"))).first()[0] or 1
     slot = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("slots")).alias("slot")
-    pivots = rows.groupBy("grp", slot).agg(F.min_by("u", F.struct(F.xxhash64("vec_id"), "tie")).alias("u")).orderBy("grp", "slot").limit(MAX_PIVOTS).collect()
+    pivots = rows.groupBy("grp", slot).agg(F.min_by("u", F.struct(F.xxhash64("vec_id"), "tie")).alias("u")).orderBy("grp", "slot").limit(max(1, PIVOT_BYTES // (8 * longest))).collect()
     by_group: dict[str, list] = {}
     for r in pivots:
         by_group.setdefault(r.grp, []).append(r.u)

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import io
 import itertools
+import json
 import math
 import random
 import re
@@ -208,10 +209,21 @@ def test_bpe_frames(spark, library):
         assert by[i].n_tokens == len(ids)
         assert by[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert by[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
+    assert bpe.round_trip(df.limit(0), PATH).count() == bpe.encode(df.limit(0), PATH).count() == 0
     back = bpe.decode(bpe.encode(df, PATH), PATH)
     assert collections.Counter((r.doc_id, r.text) for r in back.collect()) == collections.Counter((i, t or "") for i, t in ODD)
 
 
+def test_bpe_refuses_other_files(tmp_path):
+    spec = json.load(open(PATH, encoding="utf-8"))
+    for where, key, value in (("", "normalizer", {"type": "Lowercase"}), ("model", "ignore_merges", True), ("pre_tokenizer", "add_prefix_space", True)):
+        other = json.loads(json.dumps({k: v for k, v in spec.items() if k != "model"} | {"model": spec["model"] | {"vocab": {}, "merges": []}}))
+        (other[where] if where else other)[key] = value
+        (tmp_path / "t.json").write_text(json.dumps(other))
+        with pytest.raises(ValueError, match="aren't supported"):
+            bpe.Bpe(str(tmp_path / "t.json"))
+
+
 # ------------------------------------------------------------------ PII
 
 EMAIL, IP = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
@@ -723,3 +735,28 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, library):
     got = collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256) for r in p.run(spark, SMALL).collect())
     assert got == +want
     assert [name for name, _ in p.STAGES] == ["quality", "exact_dedup", "near_dedup", "mixing", "bpe"]
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark):
+    import corpus_pipeline as p
+
+    odd = docs(spark, [*ODD, (4, "other"), (11, "word " * 30_000)]).withColumn("y", F.lit(1)).withColumn("s_chars", F.lit(1))
+    for table in (odd, odd.limit(0)):
+        for name, stage in p.STAGES[1:]:
+            got = stage(spark, table, SMALL)
+            rows = got.collect()
+            assert len(rows) <= 100 and (rows or table is not odd)
+            if name != "bpe":
+                assert got.columns == table.columns
+    assert p.STAGES[0][1](spark, odd, SMALL).columns == odd.columns and p.STAGES[0][1](spark, odd.limit(0), SMALL).count() == 0
+    assert {r.text for r in p.drop_exact_copies(spark, odd, SMALL).where("doc_id in (6, 11) or doc_id = 4").collect()} == {"word " * 30_000, "other", "a"}
+
+
+def test_vectors_of_many_large_groups(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(i, int(i % 5), rng.normal(size=4).round(1).tolist()) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    monkeypatch.setattr(embedding_dedup, "MAX_GROUPS", 2)
+    monkeypatch.setattr(embedding_dedup, "PIVOT_BYTES", 100)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df, cosine=0.98, block=12).collect()}
+    assert got == vector_brute(rows, 0.98)
