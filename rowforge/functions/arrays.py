@@ -78,6 +78,11 @@ def downmix(v: Col, channels: int) -> Column:
     return F.transform(first, lambda x: x / channels)
 
 
+def stereo(v: Col) -> Column:
+    """A mono signal twice, as (2, samples) in C order."""
+    return F.concat(_c(v), _c(v))
+
+
 def delayed(v: Col, by: Column | int) -> Column:
     """Shifted right with zeros in front, length kept."""
     by = F.lit(by) if isinstance(by, int) else by

@@ -42,15 +42,26 @@ def s4(spark, sf_dir):
     return tables.shards(spark, out, first=1, last=6).select("shard").distinct()
 
 
-@query("s5_listing", "SELECT * FROM (VALUES ('region.parquet'), ('nation.parquet')) t(name)")
+@query("s5_listing", "SELECT 'nation.parquet' AS name, count(*) AS rows, true AS agrees FROM nation UNION ALL SELECT 'region.parquet', count(*), true FROM region")
 def s5(spark, sf_dir):
-    found = tables.listing(spark, sf_dir, "{region,nation}.parquet").where("length > 0")
-    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"))
-
-
-@query("s6_fit_signals", f"SELECT vec_id, list_transform(range(1, 61), lambda i: CASE WHEN i <= 4 THEN 0 ELSE round(v[i - 4], 6) END) AS signal FROM {_E}")
+    found = tables.listing(spark, sf_dir, "{region,nation}.parquet")
+    out = None
+    for name in ("nation", "region"):
+        # what readers say of the file that each row comes from must be what the listing says
+        of = table(spark, sf_dir, name).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("at"))
+        counts = of.groupBy("path", "size", "at").agg(F.count("*").alias("rows"))
+        out = counts if out is None else out.unionByName(counts)
+    bare = lambda c: F.regexp_extract(c, "([^/]+)$", 1)
+    met = found.select(bare("path").alias("name"), "length", "modificationTime").join(out.select(bare("path").alias("name"), "size", "at", "rows"), "name")
+    agrees = (F.col("length") == F.col("size")) & (F.unix_seconds("modificationTime") == F.unix_seconds("at"))
+    return met.select("name", "rows", agrees.alias("agrees"))
+
+
+@query("s6_fit_signals", f"""
+SELECT vec_id, flatten(list_transform(range(2), lambda c: list_transform(range(1, 61), lambda i: CASE WHEN i <= 4 THEN 0 ELSE round(v[i - 4] * 0.5, 6) END))) AS signal FROM {_E}""")
 def s6(spark, sf_dir):
-    return vectors(spark, sf_dir).select("vec_id", F.transform(A.padded("v", 4, 60), lambda x: F.round(x, 6)).alias("signal"))
+    fitted = F.transform(A.padded("v", 4, 60), lambda x: F.round(x * 0.5, 6))
+    return vectors(spark, sf_dir).select("vec_id", A.stereo(fitted).alias("signal"))
 
 
 @query("s7_typed_batches", "SELECT event_id, CAST(value AS FLOAT)::DOUBLE AS value, '{}' AS debug FROM events")
