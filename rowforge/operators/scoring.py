@@ -156,3 +156,16 @@ def bucket_means(df: DataFrame, value: str, at: str, n: int) -> DataFrame:
     means = df.groupBy(bucket.alias("bucket")).agg(F.avg(value).alias("mean"))
     every = df.sparkSession.range(n).select(F.col("id").cast("int").alias("bucket"))
     return every.join(means, "bucket", "left").select("bucket", F.coalesce("mean", F.lit(float("nan"))).alias("mean"))
+
+
+def identity_digest(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, identity): a digest of the distinct values of a group, whatever their order in the table.
+
+    Values meet in 4,096 buckets by the first digits of their MD5, in order and framed by their
+    lengths; the identity is a digest of the buckets' digests. So a row holds a bucket's values, or a group's 4,096 digests.
+    """
+    distinct = df.select(group, F.col(value).alias("__k")).distinct()
+    framed = F.array_join(F.transform(F.array_sort(F.collect_list("__k")), lambda x: F.concat_ws(":", F.length(x), x)), "|")
+    parts = distinct.groupBy(group, F.substring(F.md5("__k"), 1, 3).alias("__b")).agg(F.sha2(framed, 256).alias("__d"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__b", "__d"))), lambda s: s["__d"]), "|")
+    return parts.groupBy(group).agg(F.sha2(joined, 256).alias("identity"))

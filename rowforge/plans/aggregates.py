@@ -299,12 +299,12 @@ def a33(spark, sf_dir):
 
 
 @query("a34_run_identity", """
-SELECT l_returnflag, sha256(string_agg(len(k) || ':' || k, '|' ORDER BY k)) AS identity FROM (SELECT DISTINCT l_returnflag, l_linestatus || l_quantity::INT AS k FROM lineitem) GROUP BY l_returnflag""")
+WITH d AS (SELECT DISTINCT l_returnflag, l_orderkey || ':' || l_linenumber || ':' || l_linestatus AS k FROM lineitem),
+b AS (SELECT l_returnflag, substr(md5(k), 1, 3) AS bucket, sha256(string_agg(len(k) || ':' || k, '|' ORDER BY k)) AS part FROM d GROUP BY 1, 2)
+SELECT l_returnflag, sha256(string_agg(part, '|' ORDER BY bucket)) AS identity FROM b GROUP BY l_returnflag""")
 def a34(spark, sf_dir):
-    k = F.concat("l_linestatus", F.col("l_quantity").cast("int").cast("string"))
-    distinct = table(spark, sf_dir, "lineitem").select("l_returnflag", k.alias("k")).distinct()
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda x: F.concat_ws(":", F.length(x), x)), "|")
-    return distinct.groupBy("l_returnflag").agg(F.sha2(joined, 256).alias("identity"))
+    k = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_linestatus")
+    return scoring.identity_digest(table(spark, sf_dir, "lineitem").select("l_returnflag", k.alias("k")), "l_returnflag", "k")
 
 
 @query("a35_stored_counts", """
