@@ -23,6 +23,9 @@ _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t\n\x0b\f\r \x
 LATIN = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 #: Distinct pieces whose ids a worker keeps; beyond it the cache starts anew.
 CACHE = 150_000
+#: Width of the trees from which as many as FEW pieces are merged one by one: so few rows don't pay for array steps.
+LONG = 2048
+FEW = 16
 _NONE = np.int64(2**62)
 
 
@@ -36,7 +39,7 @@ def byte_letters() -> dict[str, int]:
 class Bpe:
     """A vocabulary file of the tokenizers library (model BPE, pre-tokenizer and decoder ByteLevel).
 
-    A piece of n bytes takes some 80 n bytes of arrays, all of it at once; texts are cut into
+    A piece of n bytes takes some 80 n bytes of arrays or 160 n of lists, all of it at once; texts are cut into
     pieces at white space and changes of kind, so only a run of one kind is a long piece.
     """
 
@@ -58,7 +61,8 @@ class Bpe:
         keys = np.array([(vocab[a] << 32) | vocab[b] for a, b in merges], dtype=np.int64)
         merged = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
         _, first = np.unique(keys, return_index=True)  # of equal pairs the first rank counts
-        self._index(keys[first], first.astype(np.int64), merged[first])
+        self.merges = keys[first], first.astype(np.int64), merged[first]
+        self._index(*self.merges)
         self.numbers = list(range(max(self.bytes_of) + 1))  # one object for each id, however many pieces have it
         self.pieces = regex.compile(PATTERN)
         self.specials = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
@@ -106,6 +110,10 @@ class Bpe:
         order = sorted(range(len(pieces)), key=size.__getitem__)
         for depth, group in itertools.groupby(order, size.__getitem__):
             rows = list(group)
+            if 1 << depth >= LONG and len(rows) <= FEW:
+                for i in rows:
+                    out[i] = self._merge_long(pieces[i], 1 << depth)
+                continue
             step = max(1, (1 << 18) >> depth)
             for k in range(0, len(rows), step):
                 part = rows[k : k + step]
@@ -170,6 +178,52 @@ class Bpe:
         ends = np.cumsum(counts).tolist()
         return [tuple(flat[e - c : e]) for e, c in zip(ends, counts.tolist(), strict=True)]
 
+    @functools.cached_property
+    def ranks(self) -> dict[int, tuple[int, int]]:
+        """Rank and merged id of each pair that merges."""
+        keys, rank, made = (x.tolist() for x in self.merges)
+        return dict(zip(keys, zip(rank, made, strict=True), strict=True))
+
+    def _merge_long(self, piece: bytes, width: int) -> tuple[int, ...]:
+        """The same tree for one long piece, which has no other rows to share a step with."""
+        ranks, none, n = self.ranks, int(_NONE), len(piece)
+        ids = self.byte_id[np.frombuffer(piece, dtype=np.uint8)].tolist()
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        tree = [none] * (2 * width)
+
+        def leaf(i: int, a: int, b: int) -> int:
+            found = ranks.get(a << 32 | b)
+            return found[0] * width + i if found else none
+
+        def put(i: int, value: int) -> None:
+            node = width + i
+            tree[node] = value
+            while node > 1:
+                node >>= 1
+                low = min(tree[2 * node], tree[2 * node + 1])
+                if tree[node] == low:
+                    break
+                tree[node] = low
+
+        for i in range(n - 1):
+            tree[width + i] = leaf(i, ids[i], ids[i + 1])
+        for node in range(width - 1, 0, -1):
+            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+        while tree[1] < none:
+            at = tree[1] % width
+            gone = after[at]
+            made = ranks[ids[at] << 32 | ids[gone]][1]
+            ids[at], ids[gone] = made, -1
+            nxt, prv = after[gone], before[at]
+            after[at] = nxt
+            put(gone, none)
+            put(at, leaf(at, made, ids[nxt]) if nxt >= 0 else none)
+            if nxt >= 0:
+                before[nxt] = at
+            if prv >= 0:
+                put(prv, leaf(prv, ids[prv], made))
+        return tuple(x for x in ids if x >= 0)
+
     def encode_batch(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
         """Ids of each text (null: empty); special tokens in a text become their ids, none are added."""
         for group in _chunks(texts):

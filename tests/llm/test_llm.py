@@ -192,6 +192,15 @@ def test_bpe_odd_texts(library):
     assert all(mine.decode(x) == library.decode(x, skip_special_tokens=False) for x in ids)
 
 
+def test_bpe_long_pieces_one_by_one_and_together(monkeypatch, library):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcdeth", k=rng.randrange(1500, 9000))) for _ in range(6)] + ["ab" * 3000, "é" * 2500]
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert list(bpe.Bpe(PATH).encode_batch(texts)) == want
+    monkeypatch.setattr(bpe, "FEW", 0)
+    assert list(bpe.Bpe(PATH).encode_batch(texts)) == want
+
+
 def test_bpe_cache_starts_anew(monkeypatch, library):
     monkeypatch.setattr(bpe, "CACHE", 50)
     mine = bpe.Bpe(PATH)
