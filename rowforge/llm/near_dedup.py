@@ -103,21 +103,15 @@ def estimated(sketches: np.ndarray, n: np.ndarray, i: int, rows: np.ndarray) ->
 
 def _screened(threshold: float):
     """The members of a cell that may be linked to another one there. Cells of several blocks pass whole, as their blocks meet later."""
-    least = loose(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, ["leader", "block"]):
             m, n = t.num_rows, t["n"].to_numpy()
             keep = np.full(m, t["blocks"][0].as_py() > 1)
             if not keep.any():
-                lists = t["sketch"].combine_chunks()
-                size = np.diff(lists.offsets.to_numpy())
-                sketches = np.full((m, SKETCH), _NO_VALUE)
-                sketches[np.arange(SKETCH) < size[:, None]] = lists.flatten().to_numpy()
+                sketches = _matrix(t["sketch"])
                 for i in range(m - 1):
-                    rows = np.arange(i + 1, m)
-                    exact = (n[i] <= SKETCH) & (n[rows] <= SKETCH)
-                    hit = rows[estimated(sketches, n, i, rows) >= np.where(exact, threshold - 1e-12, least)]
+                    hit = _may_link(sketches, n, i, np.arange(i + 1, m), threshold)
                     keep[hit] = True
                     keep[i] |= len(hit) > 0
             if keep.any():
@@ -230,7 +224,7 @@ def near_duplicates(
     links = found.where("kind = 'link'").select("a", "b")
     far = found.where("kind = 'far'")
     if not far.isEmpty():
-        links = links.unionByName(_across(found, far, texts, shingle, threshold))
+        links = links.unionByName(_across(found, far, known, texts, shingle, threshold))
     components = connected_components(links)
     labels = reps.join(components.hint("merge"), F.col("rep") == F.col("node"), "left").select(
         F.col("set_key"), F.coalesce("component", "rep").alias("component_id")
@@ -300,8 +294,22 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _across(found: DataFrame, far: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """Links between blocks of large cells: chunks of what is far from the leader against each other block."""
+def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
+    """Sketches as rows of SKETCH values, filled up with _NO_VALUE."""
+    lists = lists.combine_chunks()
+    out = np.full((len(lists), SKETCH), _NO_VALUE)
+    out[np.arange(SKETCH) < np.diff(lists.offsets.to_numpy())[:, None]] = lists.flatten().to_numpy()
+    return out
+
+
+def _may_link(sketches: np.ndarray, n: np.ndarray, i: int, rows: np.ndarray, threshold: float) -> np.ndarray:
+    """Those of rows whose sets may be linked to set i."""
+    exact = (n[i] <= SKETCH) & (n[rows] <= SKETCH)
+    return rows[estimated(sketches, n, i, rows) >= np.where(exact, threshold - 1e-12, loose(threshold))]
+
+
+def _across(found: DataFrame, far: DataFrame, known: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
+    """Links between blocks of large cells: chunks of what is far from the leader against each other block, by sketches first, then by texts."""
     # chunks are as large as the blocks of their cell
     is_far = F.count_if(F.col("kind") == "far")
     chunks = found.where("kind <> 'link'").groupBy("leader").agg(F.ceil(is_far / (F.count("*") / F.max("b"))).cast("long").alias("chunks")).where("chunks > 0")
@@ -339,7 +347,24 @@ def _across(found: DataFrame, far: DataFrame, texts: DataFrame, shingle: int, th
             if out:
                 yield _rows(out)
 
-    asked = materialize(left.unionByName(right))
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, ["leader", "block", "chunk"]):
+            is_far, distance, n = t["far"].to_numpy() == 1, t["distance"].to_numpy(), t["n"].to_numpy()
+            sketches, keep, there = _matrix(t["sketch"]), np.zeros(t.num_rows, dtype=bool), np.flatnonzero(~is_far)
+            for i in np.flatnonzero(is_far):
+                hit = _may_link(sketches, n, int(i), there[np.abs(distance[there] - distance[i]) <= 1 - threshold + 1e-9], threshold)
+                keep[hit] = True
+                keep[i] = len(hit) > 0
+            if keep.any():
+                yield from t.select(["leader", "block", "chunk", "far", "rep", "distance"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    asked = materialize(
+        left.unionByName(right).join(known.hint("merge"), "rep")
+        .select("leader", "block", "chunk", "far", "rep", "distance", "n", "sketch")
+        .repartition("leader", "block", "chunk")
+        .sortWithinPartitions("leader", "block", "chunk")
+        .mapInArrow(screen, "leader long, block long, chunk long, far int, rep long, distance double")
+    )
     wanted = filtered(texts, "rep", id_filter(asked, "rep"), inside=True)
     return (
         asked.join(wanted.hint("merge"), "rep")
