@@ -377,6 +377,24 @@ def _across(found: DataFrame, far: DataFrame, known: DataFrame, texts: DataFrame
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
-    """The input without documents that a smaller id of their group stands for; all its columns stay."""
-    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias(id_col))
-    return without_ids(docs, id_col, gone)
+    """The input without documents that a smaller id of their group stands for; all its columns stay.
+
+    Rows that repeat an id with other texts are documents of their own here, which come after
+    all others: such a row goes only if its own text has a copy that stays. Rows that repeat id
+    and text stay or go together, and null ids stay.
+    """
+    key, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    repeated = materialize(docs.select(key.alias("doc_id")).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1"))
+    if repeated.isEmpty():
+        gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias(id_col))
+        return without_ids(docs, id_col, gone)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("doc_id"), text.alias("text"))
+    words, last = id_filter(repeated, "doc_id"), rows.agg(F.max("doc_id")).first()[0]
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    doubtful = filtered(rows, "doc_id", words, inside=True).withColumn("digest", digest)
+    own = doubtful.join(repeated.select("doc_id").hint("merge"), "doc_id").select("doc_id", "digest").distinct()
+    own = materialize(own.withColumn("rid", F.lit(last + 1) + F.monotonically_increasing_id()))
+    marked = doubtful.join(own.hint("merge"), ["doc_id", "digest"], "left").select("row", F.coalesce("rid", "doc_id").alias("rid"), "text")
+    every = filtered(rows, "doc_id", words, inside=False).select("row", F.col("doc_id").alias("rid"), "text").unionByName(marked)
+    gone = near_duplicates(every, "rid", "text", **options).where("not kept").select(F.col("doc_id").alias("rid"))
+    return without_ids(every, "rid", gone).select("row.*")

@@ -476,6 +476,16 @@ def test_near_duplicates_of_odd_texts(spark):
     assert near_dedup.drop_near_copies(docs(spark, ODD)).columns == docs(spark, ODD).columns
 
 
+def test_near_copies_of_repeated_ids_lose_no_text(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (5, base + " more"), (5, "a text of its own that no other row has at all"), (7, "x y z"), (7, "x y z"), (None, base), (9, base + " again"), (8, "seven words that are here only once"), (8, "X Y Z")]
+    left = near_dedup.drop_near_copies(docs(spark, rows), shingle=5, threshold=0.8)
+    assert left.columns == docs(spark, rows).columns
+    kept = collections.Counter((r.doc_id, r.text) for r in left.collect())
+    own = [(1, base), rows[2], rows[7], (None, base)]
+    assert kept in (collections.Counter([*own, (7, "x y z"), (7, "x y z")]), collections.Counter([*own, (8, "X Y Z")]))
+
+
 # ------------------------------------------------------------------ language
 
 
