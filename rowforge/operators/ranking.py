@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,14 +42,15 @@ def positions(df: DataFrame, order: str, name: str = "i", per: int = 100_000) ->
     Approximate quantiles cut the rows, however their values are spread, into ranges of about
     `per` rows. Rows are counted by range; a running sum over these counts gives each range
     its start, and rows are numbered within their range. A range of a single value, as often
-    as it may be, is numbered in TIES parts by the rows' hashes.
+    as it may be, is numbered in TIES parts by the rows' hashes. Null and NaN come last.
     """
     rows = df.count()
     n = min(RANGES, max(1, -(-rows // per)))
     value = F.col(order).cast("double")
     cuts = []
     if n > 1:
-        cuts = sorted(set(df.agg(F.percentile_approx(value, [k / n for k in range(1, n)], 100 * n)).first()[0]))
+        found = df.agg(F.percentile_approx(value, [k / n for k in range(1, n)], 100 * n)).first()[0] or []
+        cuts = sorted({c for c in found if math.isfinite(c)})
     ranged = df.withColumn("__v", value).withColumn("__h", F.pmod(F.xxhash64(*df.columns), F.lit(1 << 40)))
     cut = Bucketizer(splits=[float("-inf"), *cuts, float("inf")] if cuts else [float("-inf"), 0.0, float("inf")], inputCol="__v", outputCol="__b", handleInvalid="keep")
     ranged = cut.transform(ranged)
