@@ -62,6 +62,23 @@ def test_without_ids(spark):
     assert left.columns == df.columns and left.count() == 47
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    conf = N(get=lambda key, default: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        _shared.shared_folder(N(conf=conf, sparkContext=N(master="spark://host:7077", applicationId="a")))
+    assert _shared.shared_folder(N(conf=N(get=lambda key, default: "hdfs://x/y/"))) == "hdfs://x/y"
+
+
+def test_hot_keys_are_joined_in_place(spark, monkeypatch):
+    monkeypatch.setattr(_shared, "HEAVY", 2)
+    df = spark.createDataFrame([(k, i) for i in range(90) for k in ([7] if i % 3 else [i, None])], "k long, x long")
+    counted = df.where("k is not null").groupBy("k").agg(F.count("*").alias("n")).where("n > 1 or k < 30").withColumn("z", F.col("k") * 2)
+    got = sorted(map(tuple, _shared.joined_by_count(df, counted, "k").collect()))
+    assert got == sorted(map(tuple, df.join(counted, "k").collect())) and len(got) > 60
+
+
 def test_word_hashes_do_not_depend_on_windows(monkeypatch):
     text = " ".join(f"w{i % 97}" for i in range(3000)).encode()
     whole = _shared.word_hashes(text)
