@@ -187,6 +187,14 @@ def test_published_shards_leave_others(spark):
     assert got == {0: 25, 1: 25, 2: 12, 3: 25}
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    conf = N(get=lambda key, default: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        tables.scratch(N(conf=conf, sparkContext=N(master="yarn")))
+
+
 def test_split_problems_are_errors(spark):
     kind = "pos int, split string, shards int, split_seed long"
     assert ranking.shard_table(spark.createDataFrame([(0, "a", 2, 1), (1, "b", 1, 2), (2, "c", 0, None)], kind), 10, 5).count() == 3
