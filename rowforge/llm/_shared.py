@@ -44,20 +44,26 @@ def delete(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def _settled(e: DataFrame) -> bool:
+    """Whether links (hi, lo) are stars: no hi has two lo, and no lo is a hi too."""
+    ends = e.select(F.col("hi").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("lo").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node with a link; component is the smallest node reachable.
 
-    Alternates the large-star and small-star steps until no link changes: a logarithmic
-    number of rounds, each of grouping by node with partial aggregation. Least neighbours are
-    written before they are joined, so that adaptive execution may split the rows of a hub.
-    Only the last round's table stays. Self links and links with a null end are ignored;
-    repeated links count once.
+    Alternates the large-star and small-star steps until all links are stars around their
+    smallest node: a logarithmic number of rounds, each of grouping by node with partial
+    aggregation. Least neighbours are written before they are joined, so that adaptive
+    execution may split the rows of a hub. Only the last round's table stays. Self links and
+    links with a null end are ignored; repeated links count once.
     """
     spark = edges.sparkSession
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     e = materialize(edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).where("hi <> lo").distinct(), f"{folder}/0")
-    state, turn = None, 0
-    while not e.isEmpty():
+    turn = 0
+    while not _settled(e):
         turn += 1
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{folder}/least-{turn}")
@@ -74,27 +80,23 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         e = materialize(small, f"{folder}/{turn}")
         for old in (f"{turn - 1}", f"least-{turn}", f"large-{turn}", f"down-{turn}"):
             delete(spark, f"{folder}/{old}")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    pairs = e.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
-    return pairs.unionByName(pairs.select(F.col("component").alias("node"), "component")).distinct()
+    return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
 
 
 #: Keys, at most, whose rows are joined in place because each has its share of all rows or more.
 HEAVY = 2048
 
 
-def joined_by_count(df: DataFrame, counted: DataFrame, key: str, n: str = "n") -> DataFrame:
+def joined_by_count(df: DataFrame, counted: DataFrame, key: str, n: str = "n", *, prune: bool = True) -> DataFrame:
     """df.join(counted, key) without a task for a hot key. `n` is how many rows of df have the key, so no more than HEAVY keys can have 1 / HEAVY of them.
 
-    These are broadcast; of the others only rows that an id filter can't rule out are shuffled. Both inputs are read more than once.
+    These are broadcast; of the others only rows that an id filter can't rule out are shuffled
+    (all of them without `prune`, for when every row has its match). Both inputs are read more than once.
     """
     counted = materialize(counted)
     least = (counted.agg(F.sum(n)).first()[0] or 0) / HEAVY
     hot = counted.where(F.col(n) >= least)
-    rest = filtered(df, key, id_filter(counted, key), inside=True).join(F.broadcast(hot.select(key)), key, "left_anti")
+    rest = (filtered(df, key, id_filter(counted, key), inside=True) if prune else df).join(F.broadcast(hot.select(key)), key, "left_anti")
     return df.join(F.broadcast(hot), key).unionByName(rest.join(counted.where(F.col(n) < least).hint("merge"), key))
 
 

@@ -185,7 +185,7 @@ def _met(usable: DataFrame, large: DataFrame, block: int, cosine: float) -> Data
     spark = usable.sparkSession
     few = large.limit(MAX_GROUPS + 1).count() <= MAX_GROUPS
     wanted = large.select("grp", F.least(F.ceil(F.col("rows") / block), F.lit(PIVOTS)).cast("int").alias("slots"), F.col("rows").alias("__m"))
-    rows = (usable.join(F.broadcast(wanted), "grp") if few else joined_by_count(usable, wanted, "grp", "__m")).drop("__m")
+    rows = (usable.join(F.broadcast(wanted), "grp") if few else joined_by_count(usable, wanted, "grp", "__m", prune=False)).drop("__m")
     longest = usable.agg(F.max(F.size("u"))).first()[0] or 1
     slot = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("slots")).alias("slot")
     pivots = rows.groupBy("grp", slot).agg(F.min_by("u", F.struct(F.xxhash64("vec_id"), "tie")).alias("u")).orderBy("grp", "slot").limit(max(1, PIVOT_BYTES // (8 * longest))).collect()

@@ -105,7 +105,7 @@ def mix_sources(
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     table = table.select(named("source").alias("__s"), F.col("n").alias("__m"), F.col("rate").alias("__rate"))
     base = (docs.drop("replica", "n_copies") if extras else docs).withColumn("__s", named(f"`{source_col}`"))
-    joined = base.join(F.broadcast(table), "__s") if few else joined_by_count(base, table, "__s", "__m")
+    joined = base.join(F.broadcast(table), "__s") if few else joined_by_count(base, table, "__s", "__m", prune=False)
     drawn = joined.withColumn("__n", poisson_copies(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), seed, F.col("__rate")))
     copies = drawn.where("__n > 0").withColumn("__r", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
     mixed = copies.withColumn("__o", F.xxhash64(F.lit(seed), F.col(id_col), F.col("__r"))).repartition(F.col("__o"))

@@ -197,7 +197,7 @@ def near_duplicates(
     # a block has about `block` texts, or fewer that are long
     sizes = members.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"), F.count("*").alias("c"))
     placed = materialize(
-        joined_by_count(members, sizes, "leader", "c").select("leader", "rep", "blocks", F.pmod("of", "blocks").alias("block"))
+        joined_by_count(members, sizes, "leader", "c", prune=False).select("leader", "rep", "blocks", F.pmod("of", "blocks").alias("block"))
     )
     # the leader of a cell of several blocks goes to each of them
     spread = placed.where("leader <> rep").unionByName(
