@@ -192,7 +192,8 @@ def near_duplicates(
     sketched = materialize(sketches(docs, id_col, text_col, shingle))
     usable = sketched.where("n_shingles > 0 and doc_id is not null")
     reps = materialize(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    sets = usable.join(reps.hint("merge"), "set_key").where("doc_id = rep").select("rep", "set_key", "n_shingles", "sketch").dropDuplicates(["set_key"])
+    # written once: every step over the sketches would shuffle them again
+    sets = materialize(usable.join(reps.hint("merge"), "set_key").where("doc_id = rep").select("rep", "set_key", "n_shingles", "sketch").dropDuplicates(["set_key"]))
     members = materialize(cells(sets, threshold).withColumn("of", F.xxhash64("rep")))
     # a block has about `block` texts, or fewer that are long
     sizes = members.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"), F.count("*").alias("c"))
