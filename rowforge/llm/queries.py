@@ -7,12 +7,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rowforge.llm._shared import shared_folder
-from rowforge.llm import bpe, embedding_dedup, exact_dedup, langid, mixing, near_dedup, pii, quality, resharding, warc
+from rowforge.llm import bpe, embedding_dedup, exact_dedup, hard_negatives, langid, mixing, near_dedup, pii, quality, resharding, spelling, url_filter, warc
 
 #: Vocabulary of the BPE query.
 TOKENIZER = "byte_bpe_50k.json"
+#: Host, path and verdict of the rules of the URL query, fixed by its contract.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,10 +65,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_read(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return hard_negatives.hard_negatives(vectors.withColumn("label", F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = [op1_warc, op2_exact_dedup, op3_bpe, op4_pii, op5_resharding, op6_near_dedup, op7_langid, op8_mixing, op9_embedding_dedup, op10_quality]
+    own = [op1_warc, op2_exact_dedup, op3_bpe, op4_pii, op5_resharding, op6_near_dedup, op7_langid, op8_mixing, op9_embedding_dedup, op10_quality, op11_url_filter, op12_hard_negatives, op13_spelling]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -131,6 +147,70 @@ n AS (
   FROM u JOIN cdf ON u.source IS NOT DISTINCT FROM cdf.source AND u.u >= cdf.c
   GROUP BY ALL)
 SELECT doc_id, text, lang, source, n_chars, n_copies, unnest(range(0, n_copies)) AS replica FROM n
+""",
+    "op11_url_filter": r"""
+WITH rules(host, path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+p AS (
+  SELECT page_id, row_number() OVER () AS r,
+         translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u),
+m AS (
+  SELECT p.r, arg_max(rules.host || rules.path, length(rules.host || rules.path)) AS rule, arg_max(rules.verdict, length(rules.host || rules.path)) AS verdict
+  FROM p JOIN rules ON (p.host = rules.host OR ends_with(p.host, '.' || rules.host)) AND starts_with(p.path, rules.path)
+  GROUP BY p.r)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN m ON p.r = m.r
+""",
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e, len(embedding) AS dim
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND a.dim = b.dim),
+p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)
+QUALIFY row_number() OVER w <= 5
+""",
+    "op13_spelling": r"""
+WITH RECURSIVE steps AS (
+  SELECT k, 0 AS turn, k AS c FROM range(0, 256) t(k)
+  UNION ALL
+  SELECT k, turn + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE turn < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY k) AS t FROM steps WHERE turn = 8),
+r AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+d AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY ALL),
+h AS (
+  SELECT run, n, xor(list_reduce(
+           list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR) || ':' || run, ''),
+             lambda x: CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)] ELSE [195, CAST(unicode(x) AS BIGINT) - 64] END))),
+           lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) AS h
+  FROM d, crc),
+w AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+k AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS MATERIALIZED (
+  SELECT a.word AS a, b.word AS b, b.n FROM k a JOIN k b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT k.word, v.word, v.n FROM k JOIN v ON k.rest = v.word
+  UNION SELECT v.word, k.word, k.n FROM k JOIN v ON k.rest = v.word),
+best AS (
+  SELECT a, count(*) AS n_near, min(b) FILTER (WHERE n = m) AS b, any_value(m) AS m FROM (SELECT *, max(n) OVER (PARTITION BY a) AS m FROM near) GROUP BY a),
+f AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * v.n THEN b END AS form, CASE WHEN m >= 10 * v.n THEN m END AS form_n
+  FROM v LEFT JOIN best ON v.word = best.a),
+up AS (
+  SELECT word, word AS root, form AS next FROM f
+  UNION ALL
+  SELECT up.word, f.word, f.form FROM up JOIN f ON up.next = f.word)
+SELECT f.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM f JOIN up ON f.word = up.word AND up.next IS NULL
 """,
     "op9_embedding_dedup": """
 WITH RECURSIVE v AS (
