@@ -4,16 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowforge.functions import arrays as A
+from rowforge.operators import moments
 from rowforge.operators.ranking import positions
-
-
-def long_form(df: DataFrame, keys: list[str], vector: str = "v") -> DataFrame:
-    """(keys, pos, v): a row for each component."""
-    return df.select(*keys, F.posexplode(vector).alias("pos", "v"))
+from rowforge.sources.tables import kept
 
 
 def partials(long: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
@@ -53,10 +50,17 @@ def finalise(state: DataFrame, *, mask: bool = False, least: float = 0.0, strict
     return state.withColumn("std", sd)
 
 
-def shard_states(long: DataFrame, shard: str, keys: list[str], expected: DataFrame, value: str = "v") -> tuple[DataFrame, DataFrame]:
-    """Partial states of each shard, and (shard, problem) of the expected ones that have no rows."""
-    empty = expected.select(shard).join(long.where(F.col(value).isNotNull()).select(shard).distinct(), shard, "left_anti").withColumn("problem", F.lit("empty shard"))
-    return partials(long, [shard, *keys], value), empty
+def channel_states(df: DataFrame, keys: list[str], vector: str = "v") -> DataFrame:
+    """(keys, pos, n, mean, m2) of every position of a vector column, without a row for each component."""
+    done = moments.merged(moments.states(df, keys, vector), keys)
+    return moments.by_position(done, keys).drop("low", "high")
+
+
+def shard_states(df: DataFrame, shard: str, expected: DataFrame, vector: str = "v") -> tuple[DataFrame, DataFrame]:
+    """Array states of each shard, and (shard, problem) of the expected ones that have no vectors."""
+    there = df.where(F.col(vector).isNotNull()).select(shard).distinct()
+    empty = expected.select(shard).join(there, shard, "left_anti").withColumn("problem", F.lit("empty shard"))
+    return moments.merged(moments.states(df, [shard], vector), [shard]), empty
 
 
 def degenerate(final: DataFrame, pos: str = "pos", shown: int = 20) -> DataFrame:
@@ -78,30 +82,51 @@ def standardised(df: DataFrame, final: DataFrame, vector: str = "v") -> DataFram
     return df.crossJoin(F.broadcast(one)).withColumn("z", z).drop("__s")
 
 
-def column_profile(df: DataFrame, vector: str = "v", *, dead: float = 1e-6, extra: list[str] | None = None, frames: int | None = None) -> DataFrame:
-    """One row for each group of `extra`: spread of channel means and stds, global moments, dead channels, row L2.
+def column_profile(df: DataFrame, vector: str = "v", *, keys: list[str] | None = None, dead: float = 1e-6, bands: int | None = None, frames: int | None = None) -> DataFrame:
+    """One row for each group of `keys`: spread of channel means and stds, global moments, dead channels, row L2.
 
-    `frames`: a row is a (channels, frames) tensor in C order. Then frame_cv is the mean over
-    rows of std / mean of its frames' L2 norms; a row whose mean is zero makes it NaN.
+    One pass over the rows folds all of it into array states. `bands`: a row for each run of so
+    many positions, with `band`. `frames`: a row is a (channels, frames) tensor in C order. Then
+    frame_cv is the mean over rows of std / mean of its frames' L2 norms; a row whose mean is
+    zero makes it NaN. Without rows there is no profile.
     """
-    keys = extra or []
-    long = long_form(df, keys, vector)
-    channel = finalise(partials(long, [*keys, "pos"]))
+    by = keys or []
+
+    def row_numbers(x: np.ndarray) -> np.ndarray:
+        square = x * x
+        if bands:
+            return np.sqrt(np.add.reduceat(square, np.arange(0, x.shape[1], bands), axis=1)) if x.shape[1] else square
+        norm = np.sqrt(square.sum(axis=1))
+        if frames is None:
+            return norm[:, None]
+        energy = np.zeros((len(x), frames))
+        for k in range(0, x.shape[1], frames):
+            energy[:, : len(square[0, k : k + frames])] += square[:, k : k + frames]
+        frame = np.sqrt(energy)
+        mean = frame.mean(axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.stack([norm, np.where(mean == 0, np.nan, frame.std(axis=1) / mean)], axis=1)
+
+    state = kept(moments.merged(moments.states(df, by, vector, derive=row_numbers), by))
+    group = [*by, "band"] if bands else by
+    channel = finalise(moments.by_position(state, by).where("n > 0"))
+    if bands:
+        channel = channel.withColumn("band", (F.col("pos") / bands).cast("int"))
     three = lambda c: [F.min(c).alias(f"{c}_min"), F.percentile(c, 0.5).alias(f"{c}_median"), F.max(c).alias(f"{c}_max")]
-    left = channel.groupBy(*keys).agg(*three("mean"), *three("std"), F.count_if(F.col("std") < dead).alias("dead"))
-    whole = long.groupBy(*keys).agg(F.avg("v").alias("global_mean"), F.stddev_pop("v").alias("global_std"), F.min("v").alias("low"), F.max("v").alias("high"))
-    l2 = A.norm(vector)
-    more = []
-    if frames is not None:
-        square = F.transform(vector, lambda x: x * x)
-        at = F.sequence(F.lit(0), F.lit(frames - 1))
-        norms = F.transform(at, lambda f: F.sqrt(A.total(F.filter(square, lambda _, i: i % frames == f))))
-        cv = F.when(A.mean(norms) == 0, float("nan")).otherwise(F.sqrt(A.var_pop(norms)) / A.mean(norms))
-        more = [F.avg(cv).alias("frame_cv")]
-    rows = df.groupBy(*keys).agg(F.count("*").alias("rows"), F.avg(l2).alias("l2_mean"), F.stddev_pop(l2).alias("l2_std"), *more)
-    if not keys:
-        return left.crossJoin(whole).crossJoin(rows)
-    return left.join(whole, keys).join(rows, keys)
+    left = channel.groupBy(*group).agg(*three("mean"), *three("std"), F.count_if(F.col("std") < dead).alias("dead"))
+    total = moments.whole(state, by, bands=bands).select(*group, F.col("mean").alias("global_mean"), F.sqrt(F.col("m2") / F.col("n")).alias("global_std"), "low", "high")
+    at = F.col("band") if bands else F.lit(0)
+    of = lambda c, i: F.get(c, i)
+    rows = moments.derived(state, by)
+    if bands:
+        rows = total.select(*group).join(rows, by) if by else total.select("band").crossJoin(F.broadcast(rows))
+    rows = rows.select(
+        *group, of("n", at).alias("rows"), of("mean", at).alias("l2_mean"), F.sqrt(of("m2", at) / of("n", at)).alias("l2_std"),
+        *([of("mean", F.lit(1)).alias("frame_cv")] if frames is not None else []),
+    )
+    if not group:
+        return left.crossJoin(total).crossJoin(rows).where("rows is not null")
+    return left.join(total, group).join(rows, group)
 
 
 #: Rows up to which quantiles are taken from one table of distinct values; beyond it rows are ranked by ranges.

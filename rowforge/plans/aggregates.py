@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rowforge.functions import arrays as A
 from rowforge.functions import scalars as S
-from rowforge.operators import scoring, stats
+from rowforge.operators import moments, scoring, stats
 from rowforge.plans.predicates import vectors
 from rowforge.plans.registry import LONG, PAIRS, query
 from rowforge.plans.scalar_queries import pairs
@@ -26,25 +26,29 @@ def _seconds(ts):
     return F.unix_seconds(ts.cast("timestamp"))
 
 
-def _long(spark, sf_dir, *keys):
-    return stats.long_form(vectors(spark, sf_dir), list(keys))
+def _by_label(spark, sf_dir):
+    """The states of each label's vectors, one for each block of positions."""
+    return moments.merged(moments.states(vectors(spark, sf_dir), ["label"]), ["label"])
+
+
+def _all(states):
+    return stats.finalise(moments.by_position(moments.merged(states, []), []))
 
 
 @query("a1_channel_stats", _STATS + " GROUP BY pos")
 def a1(spark, sf_dir):
-    return _round(stats.finalise(stats.partials(_long(spark, sf_dir), ["pos"])).drop("m2"), "mean", "std")
+    return _round(stats.finalise(stats.channel_states(vectors(spark, sf_dir), [])).drop("m2"), "mean", "std")
 
 
 @query("a2_merge_partials", _STATS + " GROUP BY pos")
 def a2(spark, sf_dir):
-    parts = stats.partials(_long(spark, sf_dir, "label"), ["label", "pos"])
-    return _round(stats.finalise(stats.merged(parts, ["pos"])).drop("m2"), "mean", "std")
+    return _round(_all(_by_label(spark, sf_dir)).select("pos", "n", "mean", "std"), "mean", "std")
 
 
 @query("a3_finalise_masked", f"""
 SELECT CAST(pos AS INTEGER) AS pos, CASE WHEN sd <= 0.127 THEN 1 ELSE round(sd, 6) END AS std FROM (SELECT pos, stddev_pop(v) AS sd FROM {LONG} GROUP BY pos)""")
 def a3(spark, sf_dir):
-    done = stats.finalise(stats.partials(_long(spark, sf_dir), ["pos"]), mask=True, least=0.127)
+    done = stats.finalise(stats.channel_states(vectors(spark, sf_dir), []), mask=True, least=0.127)
     return done.select("pos", F.round("std", 6).alias("std"))
 
 
@@ -52,8 +56,9 @@ def a3(spark, sf_dir):
 SELECT label, CAST(pos AS INTEGER) AS pos, CASE WHEN n <= 1 THEN 'too few rows' ELSE 'no variance' END AS problem FROM (
  SELECT label, pos, count(*) AS n, var_pop(CASE WHEN pos % 3 = 0 THEN 0 ELSE v END) AS s FROM {LONG} WHERE pos % 5 <> 0 OR vec_id < 10 GROUP BY label, pos) WHERE n <= 1 OR s <= 0""")
 def a3_refusals(spark, sf_dir):
-    long = _long(spark, sf_dir, "vec_id", "label").where("pos % 5 <> 0 or vec_id < 10").withColumn("v", F.when(F.col("pos") % 3 == 0, 0.0).otherwise(F.col("v")))
-    return stats.refusals(stats.partials(long, ["label", "pos"])).select("label", "pos", "problem")
+    there = F.transform("v", lambda x, i: F.when((i % 5 != 0) | (F.col("vec_id") < 10), F.when(i % 3 == 0, 0.0).otherwise(x)))
+    rows = vectors(spark, sf_dir).select("label", there.alias("v"))
+    return stats.refusals(stats.channel_states(rows, ["label"]).where("n > 0")).select("label", "pos", "problem")
 
 
 @query("a4_degenerate", f"""
@@ -61,32 +66,29 @@ WITH z AS (SELECT CAST(pos AS INTEGER) AS pos FROM (SELECT pos, stddev_pop(CASE
 SELECT count(*) AS n, list_sort(list(pos))[1:20] AS positions, greatest(count(*) - 20, 0) AS more FROM z""")
 def a4(spark, sf_dir):
     half = F.transform("v", lambda x, i: F.when(i % 2 == 0, 0.0).otherwise(x))
-    long = stats.long_form(vectors(spark, sf_dir).withColumn("v", half), [])
-    return stats.degenerate(stats.finalise(stats.partials(long, ["pos"])))
+    return stats.degenerate(stats.finalise(stats.channel_states(vectors(spark, sf_dir).withColumn("v", half), [])))
 
 
 @query("a5_shard_partials", f"SELECT label, CAST(pos AS INTEGER) AS pos, count(*) AS n, round(avg(v), 6) AS mean, round(var_pop(v) * count(*), 5) AS m2 FROM {LONG} GROUP BY label, pos")
 def a5(spark, sf_dir):
-    return _round(_round(stats.partials(_long(spark, sf_dir, "label"), ["label", "pos"]), "mean"), "m2", digits=5)
+    return _round(_round(stats.channel_states(vectors(spark, sf_dir), ["label"]), "mean"), "m2", digits=5)
 
 
 @query("a5_empty_shards", """
 SELECT CAST(s AS INTEGER) AS shard, 'empty shard' AS problem FROM range(14) t(s) WHERE s NOT IN (SELECT label FROM embeddings WHERE vec_id % 3 <> 0 OR label <> 4)""")
 def a5_empty(spark, sf_dir):
-    long = stats.long_form(vectors(spark, sf_dir).where("vec_id % 3 <> 0 or label <> 4").withColumnRenamed("label", "shard"), ["shard"])
-    return stats.shard_states(long, "shard", ["pos"], spark.range(14).select(F.col("id").cast("int").alias("shard")))[1]
+    rows = vectors(spark, sf_dir).where("vec_id % 3 <> 0 or label <> 4").withColumnRenamed("label", "shard")
+    return stats.shard_states(rows, "shard", spark.range(14).select(F.col("id").cast("int").alias("shard")))[1]
 
 
 @query("a6_many_shards", _STATS + " GROUP BY pos")
 def a6(spark, sf_dir):
-    part = stats.partials(_long(spark, sf_dir, "label"), ["label", "pos"])
-    return _round(stats.finalise(stats.merged(part, ["pos"])).drop("m2"), "mean", "std")
+    return _round(_all(_by_label(spark, sf_dir)).select("pos", "n", "mean", "std"), "mean", "std")
 
 
 @query("a7_train_split_stats", _STATS + " WHERE label < 7 GROUP BY pos")
 def a7(spark, sf_dir):
-    part = stats.partials(_long(spark, sf_dir, "label"), ["label", "pos"]).where("label < 7")
-    return _round(stats.finalise(stats.merged(part, ["pos"])).drop("m2"), "mean", "std")
+    return _round(_all(_by_label(spark, sf_dir).where("label < 7")).select("pos", "n", "mean", "std"), "mean", "std")
 
 
 _PROFILE = """
@@ -112,14 +114,12 @@ def a8(spark, sf_dir):
 
 @query("a9_batch_moments", f"SELECT label, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM {LONG} GROUP BY label")
 def a9(spark, sf_dir):
-    part = stats.partials(_long(spark, sf_dir, "label"), ["label", "pos"])
-    return _round(stats.finalise(stats.merged(part, ["label"])).drop("m2"), "mean", "std")
+    return _round(stats.finalise(moments.whole(_by_label(spark, sf_dir), ["label"])).select("label", "n", "mean", "std"), "mean", "std")
 
 
 @query("a10_band_profiles", _PROFILE.format(key="CAST(pos // 16 AS INTEGER)", long=LONG, out="g AS band,"))
 def a10(spark, sf_dir):
-    bands = vectors(spark, sf_dir).select(F.posexplode(A.bands("v", 16)).alias("band", "v"))
-    p = stats.column_profile(bands, extra=["band"])
+    p = stats.column_profile(vectors(spark, sf_dir), bands=16)
     return _round(p.select("band", *_SHOWN), *(c for c in _SHOWN if c != "dead"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowforge.functions import arrays as A
-from rowforge.operators import derived, index, matching, production, ranking, scoring, stats
+from rowforge.operators import derived, index, matching, moments, production, ranking, scoring, stats
 from rowforge.plans.predicates import vectors
 from rowforge.plans.registry import LONG, PAIRS, query
 from rowforge.plans.scalar_queries import pairs
@@ -100,7 +100,7 @@ def s10(spark, sf_dir):
 @query("s11_stats_sink", f"SELECT CAST(pos AS INTEGER) AS pos, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM {LONG} GROUP BY pos")
 def s11(spark, sf_dir):
     out = tables.scratch(spark)
-    done = stats.finalise(stats.partials(stats.long_form(vectors(spark, sf_dir), []), ["pos"])).select("pos", "mean", "std")
+    done = stats.finalise(stats.channel_states(vectors(spark, sf_dir), [])).select("pos", "mean", "std")
     tables.overwrite(done, out)
     return spark.read.parquet(out).select("pos", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
@@ -115,7 +115,7 @@ def s12(spark, sf_dir):
 
 @query("s13_checked_stats", f"SELECT label, round(stddev_pop(v), 6) AS std FROM {LONG} GROUP BY label")
 def s13(spark, sf_dir):
-    state = stats.finalise(stats.partials(stats.long_form(vectors(spark, sf_dir), ["label"]), ["label"]))
+    state = stats.finalise(moments.whole(moments.merged(moments.states(vectors(spark, sf_dir), ["label"]), ["label"]), ["label"]))
     return tables.checked_stats(state).select("label", F.round("std", 6).alias("std"))
 
 
@@ -295,7 +295,7 @@ def t5(spark, sf_dir):
     source = tables.scratch(spark)
     vectors(spark, sf_dir).repartition(4, "label").write.parquet(source)
     live = spark.readStream.schema("vec_id long, label int, v array<double>").option("maxFilesPerTrigger", 1).parquet(source)
-    state = stats.finalise(incremental.incremental_stats(live, ["pos"]))
+    state = stats.finalise(incremental.incremental_stats(live))
     return state.select("pos", "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 

@@ -162,7 +162,7 @@ UNION ALL SELECT 'finite', 'mean', count(*) FILTER (isnan(mean)) FROM (SELECT av
 UNION ALL SELECT 'negative', 'm2', count(*) FILTER (m2 < 0) FROM (SELECT var_pop(v) * count(*) AS m2 FROM {LONG} GROUP BY label, pos)
 UNION ALL SELECT 'small', 'm2', count(*) FILTER (m2 < 0.5) FROM (SELECT var_pop(v) * count(*) AS m2 FROM {LONG} GROUP BY label, pos)""")
 def p19(spark, sf_dir):
-    part = stats.partials(stats.long_form(vectors(spark, sf_dir), ["label"], "v"), ["label", "pos"])
+    part = stats.channel_states(vectors(spark, sf_dir), ["label"])
     return validation.checks(part, {("count", "n"): F.col("n") <= 0, ("finite", "mean"): A.not_finite(F.col("mean")), ("negative", "m2"): F.col("m2") < 0, ("small", "m2"): F.col("m2") < 0.5})
 
 
@@ -179,7 +179,7 @@ WITH s AS (SELECT pos, avg(v) AS m, stddev_pop(v) AS sd FROM {LONG} GROUP BY pos
 SELECT vec_id, CAST(l.pos AS INTEGER) AS pos, round((v - m) / sd, 6) AS z FROM {LONG} l JOIN s USING (pos)""")
 def p21(spark, sf_dir):
     rows = vectors(spark, sf_dir)
-    done = stats.standardised(rows, stats.finalise(stats.partials(stats.long_form(rows, []), ["pos"])))
+    done = stats.standardised(rows, stats.finalise(stats.channel_states(rows, [])))
     return done.select("vec_id", F.posexplode("z").alias("pos", "z")).select("vec_id", "pos", F.round("z", 6).alias("z"))
 
 

@@ -20,6 +20,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Written once to a new folder and read again, for what several jobs need."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def open_table(spark: SparkSession, uri: str, fmt: str = "parquet", **options: str) -> DataFrame:
     """A table at a path or URI; Hadoop's file systems resolve the scheme."""
     return spark.read.format(fmt).options(**options).load(uri)

@@ -7,26 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowforge.operators import stats
+from rowforge.operators import moments
 from rowforge.sources.tables import is_complete, scratch
 
 
 def merge_batch(folder: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: each micro-batch's partial states in a folder of its own, so a repeated batch replaces itself."""
+    """For foreachBatch: each micro-batch's array states in a folder of its own, so a repeated batch replaces itself."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        part = stats.partials(stats.long_form(batch, [k for k in keys if k != "pos"]), keys)
-        part.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        moments.states(batch, keys).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
     return write
 
 
 def merged_state(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
-    return stats.merged(spark.read.parquet(folder).drop("batch"), keys)
+    """(keys, pos, n, mean, m2, low, high) of all micro-batches."""
+    return moments.by_position(moments.merged(spark.read.parquet(folder).drop("batch"), keys), keys)
 
 
-def incremental_stats(vectors: DataFrame, keys: list[str], checkpoint: str | None = None) -> DataFrame:
-    """Run a stream of (vec_id, label, v) to its end and merge its states."""
+def incremental_stats(vectors: DataFrame, keys: list[str] | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Run a stream of vectors `v` to its end and merge its states."""
+    keys = keys or []
     spark = vectors.sparkSession
     folder = scratch(spark)
     query = vectors.writeStream.foreachBatch(merge_batch(f"{folder}/state", keys)).option("checkpointLocation", checkpoint or f"{folder}/checkpoint").trigger(availableNow=True).start()

@@ -32,15 +32,15 @@ def test_merge_keeps_digits_far_from_zero(spark):
 
 
 def test_constant_position_is_degenerate_or_masked(spark):
-    long = stats.long_form(vectors(spark, [(i, [1.0] * 25 + [float(i)]) for i in range(4)]), [])
-    done = stats.finalise(stats.partials(long, ["pos"]))
+    state = stats.channel_states(vectors(spark, [(i, [1.0] * 25 + [float(i)]) for i in range(4)]), [])
+    done = stats.finalise(state)
     r = stats.degenerate(done).first()
     assert (r["n"], r["positions"], r["more"]) == (25, list(range(20)), 5)
-    assert stats.finalise(stats.partials(long, ["pos"]), mask=True).where("std = 1").count() == 25
+    assert stats.finalise(state, mask=True).where("std = 1").count() == 25
 
 
 def test_one_row_has_no_std(spark):
-    assert stats.finalise(stats.partials(stats.long_form(vectors(spark, [(1, [2.0])]), []), ["pos"])).first()["std"] is None
+    assert stats.finalise(stats.channel_states(vectors(spark, [(1, [2.0])]), [])).first()["std"] is None
 
 
 def test_checked_stats_refuse_zero(spark):
