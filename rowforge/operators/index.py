@@ -1,4 +1,4 @@
-"""An inverted-file index with product quantisation: tables of cells, codebooks and codes; searches meet cell by cell."""
+"""An inverted-file index with residual product quantisation: cells in pieces of bounded size, searched as far as bounds ask."""
 
 from __future__ import annotations
 
@@ -7,17 +7,26 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rowforge.sources.tables import is_complete
+from rowforge.sources.tables import is_complete, kept
 
 #: Rows that cells and codebooks are fitted on: those with the smallest hashes of their ids, so many or PER_CELL for each cell. All rows are indexed.
 SAMPLE = 20_000
 PER_CELL = 16
 MIN_ROWS = 256
+#: Cells, at most, so that their centers can go to every task (32 MB of 64 numbers each); with more rows cells have more pieces.
+MAX_CELLS = 65_536
+#: Rows and bytes of vectors that a piece of a cell holds, at most.
+PIECE = 4096
+PIECE_BYTES = 4 << 20
+#: Queries that meet a piece together, at most, and bytes of queries that are broadcast.
+ASKED = 256
+QUERY_BYTES = 64 << 20
 METRICS = ("cosine", "l2", "dot")
 
 
@@ -41,9 +50,9 @@ class IndexConfig:
 class VectorIndex:
     config: IndexConfig
     centers: np.ndarray  # (cells, dim)
-    books: np.ndarray  # (parts, codes, dim / parts)
-    rows: DataFrame  # vec_id, cell, code
-    vectors: DataFrame  # vec_id, v
+    radii: np.ndarray  # (cells,): the farthest row of each cell, -1 without rows
+    books: np.ndarray  # (parts, codes, dim / parts), of residuals
+    rows: DataFrame  # pieces of cells: cell, piece, n, low, high, ids, codes, errors, x
 
 
 def lloyd(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -70,15 +79,18 @@ def affinity(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
 
 
 def build(vectors: DataFrame, config: IndexConfig | None = None, *, sample: int = SAMPLE) -> VectorIndex | None:
-    """Index all rows of (vec_id, v); None for fewer than MIN_ROWS. Cells default to the root of the row count.
+    """Index all rows of (vec_id, v); None for fewer than MIN_ROWS. Cells default to the root of the row count, MAX_CELLS at most.
 
-    Cells are clusters of Spark's k-means, the parts' codebooks are fitted side by side in
-    tasks, each on a few numbers of each sampled row. The driver holds cells and codebooks.
+    Cells are clusters of Spark's k-means. A row's code stands for its residual, what is left of
+    it without its cell's center; the parts' codebooks are fitted side by side in tasks, each on a
+    few numbers of each sampled row. The driver holds cells and codebooks. A cell's rows are kept
+    in pieces, which have the least and the largest distance of their rows to the center, and how
+    far each row is from what its code stands for.
     """
     n = vectors.count()
     if n < MIN_ROWS:
         return None
-    config = config or IndexConfig(cells=max(1, round(n**0.5)))
+    config = config or IndexConfig(cells=min(MAX_CELLS, max(1, round(n**0.5))))
     dim = vectors.select(F.size("v")).first()[0]
     if dim % config.parts:
         raise ValueError(f"{config.parts} parts don't divide {dim} dimensions")
@@ -87,105 +99,244 @@ def build(vectors: DataFrame, config: IndexConfig | None = None, *, sample: int
     if metric == "cosine":
         length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
         some = some.withColumn("v", F.transform("v", lambda x: x / F.greatest(length, F.lit(1e-300))))
-    some = some.cache()
+    some = kept(some)
     fitted = KMeans(k=config.cells, seed=1, maxIter=8, featuresCol="f").fit(some.select(array_to_vector("v").alias("f")))
     centers = np.array(fitted.clusterCenters())
+    context = vectors.sparkSession.sparkContext
+    middle = context.broadcast(centers)
+
+    def residuals(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if not f.empty:
+                u = np.stack(f["v"].to_numpy())
+                yield pd.DataFrame({"vec_id": f["vec_id"], "v": list(u - middle.value[affinity(u, middle.value, "l2").argmax(axis=1)])})
 
     def book(f: pd.DataFrame) -> pd.DataFrame:
         p = int(f["part"].iloc[0])
         c = lloyd(np.stack(f.sort_values("vec_id")["x"].to_numpy()), config.codes, 2 + p)
         return pd.DataFrame({"part": p, "code": np.arange(len(c)), "x": list(c)})
 
-    parts = some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select(
-        "vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(config.parts - 1)), lambda p: F.slice("v", p * width + 1, width))).alias("part", "x")
-    )
+    left = some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).mapInPandas(residuals, "vec_id long, v array<double>")
+    parts = left.select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(config.parts - 1)), lambda p: F.slice("v", p * width + 1, width))).alias("part", "x"))
     found = parts.groupBy("part").applyInPandas(book, "part int, code int, x array<double>").orderBy("part", "code").toPandas()
-    some.unpersist()
     books = np.stack([np.stack(g["x"].to_numpy()) for _, g in found.groupby("part")])
-    shared = vectors.sparkSession.sparkContext.broadcast((centers, books))
+    shared = context.broadcast((centers, books))
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centers, books = shared.value
-        for f in frames:
-            if f.empty:
+        for b in batches:
+            if not b.num_rows:
                 continue
-            u = np.stack(f["v"].to_numpy())
+            u = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             u = unit(u) if metric == "cosine" else u
             cell = affinity(u, centers, "l2").argmax(axis=1)
-            code = np.stack([affinity(u[:, p * width : (p + 1) * width], b, "l2").argmax(axis=1) for p, b in enumerate(books)], axis=1)
-            yield pd.DataFrame({"vec_id": f["vec_id"], "cell": cell, "code": list(code)})
-
-    rows = vectors.select("vec_id", "v")
-    return VectorIndex(config, centers, books, rows.mapInPandas(place, "vec_id long, cell int, code array<int>"), rows)
+            rest = u - centers[cell]
+            code = np.stack([affinity(rest[:, p * width : (p + 1) * width], c, "l2").argmax(axis=1) for p, c in enumerate(books)], axis=1)
+            told = np.concatenate([c[code[:, p]] for p, c in enumerate(books)], axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(cell, pa.int32()), pa.array(np.linalg.norm(rest, axis=1)), pa.array(np.linalg.norm(rest - told, axis=1)), _binary(code.astype(np.uint16)), _binary(u)],
+                ["vec_id", "cell", "gap", "error", "code", "x"],
+            )
+
+    placed = kept(vectors.select("vec_id", F.col("v").cast("array<double>").alias("v")).mapInArrow(place, "vec_id long, cell int, gap double, error double, code binary, x binary"))
+    size = max(1, min(PIECE, PIECE_BYTES // (8 * dim)))
+    heaps = placed.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("int").alias("heaps"))  # a row for each cell
+    dealt = placed.join(F.broadcast(heaps), "cell").withColumn("heap", F.pmod(F.xxhash64("vec_id"), "heaps").cast("int"))
+    columns = ["cell", "heap", "gap", "vec_id", "error", "code", "x"]
+    rows = kept(dealt.select(columns).repartition("cell", "heap").sortWithinPartitions("cell", "heap", "gap", "vec_id").mapInArrow(_packer(size), _PIECES))
+    radii = np.full(len(centers), -1.0)
+    for r in rows.groupBy("cell").agg(F.max("high").alias("r")).collect():
+        radii[r.cell] = r.r
+    return VectorIndex(config, centers, radii, books, rows)
+
+
+_PIECES = "cell int, piece long, n int, low double, high double, ids array<bigint>, codes binary, errors array<double>, x binary"
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    return pa.array([r.tobytes() for r in np.ascontiguousarray(x)], pa.binary())
+
+
+def _packer(size: int):
+    """Rows sorted by cell, heap and distance to pieces of at most `size` rows."""
+
+    def piece(held: list[dict], at: tuple[int, int], number: int) -> pa.RecordBatch:
+        gaps, ids, errors = ([h[c] for h in held] for c in ("gap", "vec_id", "error"))
+        row = {"cell": at[0], "piece": at[1] << 24 | number, "n": len(held), "low": min(gaps), "high": max(gaps), "ids": ids, "codes": b"".join(h["code"] for h in held), "errors": errors, "x": b"".join(h["x"] for h in held)}
+        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.float64()), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at, number = [], None, 0
+        for b in batches:
+            for r in b.to_pylist():
+                key = (r["cell"], r["heap"])
+                if held and (key != at or len(held) == size):
+                    yield piece(held, at, number)
+                    held, number = [], number + 1
+                number, at = (number if key == at else 0), key
+                held.append(r)
+        if held:
+            yield piece(held, at, number)
+
+    return run
 
 
 def save(index: VectorIndex, folder: str) -> None:
-    """Tables of codes, cells and codebooks, then the configuration, which makes the index whole."""
+    """Tables of pieces, cells and codebooks, then the configuration, which makes the index whole."""
     spark = index.rows.sparkSession
     index.rows.write.mode("overwrite").parquet(f"{folder}/rows")
-    for name, x in (("centers", index.centers), ("books", index.books.reshape(-1, index.books.shape[2]))):
-        spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i int, x array<double>").write.mode("overwrite").parquet(f"{folder}/{name}")
+    cells = [(i, c.tolist(), float(r)) for i, (c, r) in enumerate(zip(index.centers, index.radii, strict=True))]
+    spark.createDataFrame(cells, "i int, x array<double>, radius double").write.mode("overwrite").parquet(f"{folder}/centers")
+    books = [(i, r.tolist()) for i, r in enumerate(index.books.reshape(-1, index.books.shape[2]))]
+    spark.createDataFrame(books, "i int, x array<double>").write.mode("overwrite").parquet(f"{folder}/books")
     spark.createDataFrame([tuple(asdict(index.config).values())], "cells int, parts int, codes int, metric string").write.mode("overwrite").parquet(f"{folder}/config")
 
 
-def load(spark: SparkSession, folder: str, config: IndexConfig, vectors: DataFrame) -> VectorIndex | None:
-    """The stored index of `vectors`; None where none is whole or it has another metric, cells or parts."""
+def load(spark: SparkSession, folder: str, config: IndexConfig) -> VectorIndex | None:
+    """The stored index; None where none is whole or it has another metric, cells or parts."""
     if not is_complete(spark, f"{folder}/config"):
         return None
     stored = IndexConfig(**spark.read.parquet(f"{folder}/config").first().asDict())
     if not stored.matches(config):
         return None
-    centers, books = (np.stack(spark.read.parquet(f"{folder}/{n}").orderBy("i").toPandas()["x"].to_numpy()) for n in ("centers", "books"))
-    return VectorIndex(stored, centers, books.reshape(stored.parts, -1, books.shape[1]), spark.read.parquet(f"{folder}/rows"), vectors.select("vec_id", "v"))
+    cells, books = (spark.read.parquet(f"{folder}/{n}").orderBy("i").toPandas() for n in ("centers", "books"))
+    books = np.stack(books["x"].to_numpy())
+    return VectorIndex(stored, np.stack(cells["x"].to_numpy()), cells["radius"].to_numpy(), books.reshape(stored.parts, -1, books.shape[1]), spark.read.schema(_PIECES).parquet(f"{folder}/rows"))
 
 
-def search(index: VectorIndex, queries: DataFrame, k: int, *, probes: int = 8, refine: int = 30) -> DataFrame:
-    """(query_id, rank, vec_id, score) of (query_id, q): the best refine * k rows of the nearest cells by their codes, then by their vectors.
+def _most(metric: str, q: np.ndarray, dot: np.ndarray, center2: np.ndarray, low: np.ndarray | float, high: np.ndarray) -> np.ndarray:
+    """The best score that a row between `low` and `high` from a center may have. dot: queries x centers."""
+    own = (q**2).sum(axis=1)[:, None]
+    if metric == "dot":
+        return dot + np.sqrt(own) * high
+    gap = np.sqrt(np.maximum(0.0, own + center2 - 2 * dot))
+    least = np.maximum(0.0, np.maximum(gap - high, low - gap))
+    return -(least**2) if metric == "l2" else 1 - least**2 / 2
 
-    A cell's codes meet the queries that probe it in one task, as matrices, and each query takes
-    refine * k rows of a cell on. Only vectors of what is left are read. score is the metric's:
-    a cosine, a dot product or a negative squared distance.
-    """
-    metric, width, keep = index.config.metric, index.books.shape[2], refine * k
-    shared = queries.sparkSession.sparkContext.broadcast((index.centers, index.books))
 
-    def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centers = shared.value[0]
-        for f in frames:
-            if f.empty:
-                continue
-            q = np.stack(f["q"].to_numpy())
-            q = unit(q) if metric == "cosine" else q
-            near = np.argsort(-affinity(q, centers, metric), axis=1, kind="stable")[:, :probes]
-            n = near.shape[1]
-            yield pd.DataFrame({"query_id": np.repeat(f["query_id"].to_numpy(), n), "cell": near.ravel(), "q": [x for x in q for _ in range(n)]})
-
-    def rough(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or there.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "about": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        books = shared.value[1]
-        q, code = np.stack(asked["q"].to_numpy()), np.stack(there["code"].to_numpy())
-        about = sum(affinity(q[:, p * width : (p + 1) * width], b, metric)[:, code[:, p]] for p, b in enumerate(books))
-        ids, out = there["vec_id"].to_numpy(), []
-        for query, scores in zip(asked["query_id"].to_numpy(), about, strict=True):
-            best = np.lexsort((ids, -scores))[:keep]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "about": scores[best]}))
-        return pd.concat(out)
-
-    def fine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            if f.empty:
-                continue
-            q, v = np.stack(f["q"].to_numpy()), np.stack(f["v"].to_numpy())
-            score = (unit(q) * unit(v)).sum(axis=1) if metric == "cosine" else (q * v).sum(axis=1) if metric == "dot" else -((q - v) ** 2).sum(axis=1)
-            yield pd.DataFrame({"query_id": f["query_id"], "vec_id": f["vec_id"], "score": np.round(score, 12)})
-
-    asked = queries.select("query_id", "q").mapInPandas(probe, "query_id long, cell int, q array<double>")
-    met = asked.groupBy("cell").cogroup(index.rows.groupBy("cell")).applyInPandas(rough, "query_id long, vec_id long, about double")
-    first = Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id")
-    left = met.withColumn("r", F.row_number().over(first)).where(F.col("r") <= keep).select("query_id", "vec_id")
-    full = left.join(index.vectors, "vec_id").join(queries.select("query_id", "q"), "query_id").select("query_id", "vec_id", "q", "v")
-    scored = full.mapInPandas(fine, "query_id long, vec_id long, score double")
+_SLACK = 1e-9
+
+
+def search(index: VectorIndex, queries: DataFrame, k: int, *, probes: int | None = 8, refine: int | None = 30) -> DataFrame:
+    """(query_id, rank, vec_id, score) of (query_id, q), from the `probes` nearest cells of each query.
+
+    A query's nearest cell comes first. Its codes and their errors give a score that k rows
+    have at least; of the other cells, and of their pieces, only those are searched whose radius
+    lets a row be better than that, and of their rows only those pass on whose codes do. The best
+    refine * k by code are then compared by their vectors, which are read of their pieces alone.
+    score is the metric's: a cosine, a dot product or a negative squared distance. Where balls
+    can't be told apart all `probes` cells are searched. With probes None any cell may be searched,
+    and with refine None all rows pass on whose codes let them be among the best k: the result is
+    then exact, but for ties.
+    """
+    metric, keep, probes = index.config.metric, refine and refine * k, probes or len(index.centers)
+    context = queries.sparkSession.sparkContext
+    shared = context.broadcast((index.centers, index.radii, index.books))
+    n, values = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("q")), F.lit(0))).first()
+    chunks = max(1, -(-n // ASKED))
+    few = 8 * values * min(probes, len(index.centers)) <= QUERY_BYTES
+
+    def route(home: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centers, radii, _ = shared.value
+            center2 = (centers**2).sum(axis=1)
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                q = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                q = unit(q) if metric == "cosine" else q
+                dot = q @ centers.T
+                near = dot if metric == "dot" else 2 * dot - center2
+                near = np.argsort(np.where(radii < 0, np.inf, -near), axis=1, kind="stable")[:, : min(probes, (radii >= 0).sum())]
+                near = near[:, :1] if home else near[:, 1:]
+                i = np.repeat(np.arange(len(q)), near.shape[1])
+                cell = near.ravel()
+                bound = b.column(2).to_numpy(zero_copy_only=False)
+                most = _most(metric, q, dot, center2, 0.0, np.maximum(radii, 0.0))[i, cell]
+                some = most >= bound[i] - _SLACK
+                i, cell = i[some], cell[some]
+                flat = pa.array(q[i].ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1) * q.shape[1], pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), lists, pa.array(bound[i]), pa.array(cell, pa.int32())], ["query_id", "q", "bound", "cell"])
+
+        return run
+
+    def met(asked: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+        """Pieces with the queries that ask them, at most about ASKED in a row."""
+        extra = [c for c in asked.columns if c not in by]
+        packed = asked.groupBy(*by, F.pmod(F.xxhash64("query_id"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct(*extra)).alias("asked")).drop("chunk")
+        return (F.broadcast(packed) if few else packed).join(index.rows.select(*columns), by)
+
+    def rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centers, _, books = shared.value
+        for b in batches:
+            for r in range(b.num_rows):
+                row = {c: b.column(i)[r] for i, c in enumerate(b.schema.names)}
+                asked = row["asked"].values
+                q = asked.field("q").flatten().to_numpy(zero_copy_only=False).reshape(len(asked), -1)
+                center = centers[row["cell"].as_py()][None]
+                bound = asked.field("bound").to_numpy(zero_copy_only=False)
+                most = _most(metric, q, q @ center.T, (center**2).sum(axis=1), row["low"].as_py(), row["high"].as_py())[:, 0]
+                some = np.flatnonzero(most >= bound - _SLACK)
+                if not len(some):
+                    continue
+                q, bound, query = q[some], bound[some], asked.field("query_id").to_numpy()[some]
+                ids = row["ids"].values.to_numpy()
+                code = np.frombuffer(row["codes"].as_py(), dtype=np.uint16).reshape(len(ids), -1)
+                told = center + np.concatenate([c[code[:, p]] for p, c in enumerate(books)], axis=1)
+                about = q @ told.T
+                off = row["errors"].values.to_numpy()[None, :]
+                if metric == "dot":
+                    off = off * np.linalg.norm(q, axis=1)[:, None]
+                    low, high = about - off, about + off
+                else:
+                    gap = np.sqrt(np.maximum(0.0, (q**2).sum(axis=1)[:, None] + (told**2).sum(axis=1) - 2 * about))
+                    low, high, about = -((gap + off) ** 2), -(np.maximum(0.0, gap - off) ** 2), -(gap**2)
+                    if metric == "cosine":
+                        low, high, about = 1 + low / 2, 1 + high / 2, 1 + about / 2
+                about = np.where(high >= bound[:, None] - _SLACK, about, -np.inf)
+                best = np.argsort(-about, axis=1, kind="stable")[:, :keep]
+                i = np.repeat(np.arange(len(q)), best.shape[1])
+                at = best.ravel()
+                good = np.isfinite(about[i, at])
+                i, at = i[good], at[good]
+                same = [pa.array(np.full(len(i), row[c].as_py()), t) for c, t in (("cell", pa.int32()), ("piece", pa.int64()))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(query[i]), *same, pa.array(at, pa.int32()), pa.array(ids[at]), pa.array(about[i, at]), pa.array(low[i, at]), pa.array(high[i, at])], ["query_id", "cell", "piece", "at", "vec_id", "about", "least", "most"]
+                )
+
+    def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                row = {c: b.column(i)[r] for i, c in enumerate(b.schema.names)}
+                asked = row["asked"].values
+                q = asked.field("q").flatten().to_numpy(zero_copy_only=False).reshape(len(asked), -1)
+                at = asked.field("at").flatten().to_numpy()
+                i = np.repeat(np.arange(len(q)), [len(a) for a in asked.field("at")])
+                x = np.frombuffer(row["x"].as_py()).reshape(-1, q.shape[1])[at]
+                q = (unit(q) if metric == "cosine" else q)[i]
+                score = -((q - x) ** 2).sum(axis=1) if metric == "l2" else (q * x).sum(axis=1)
+                ids = row["ids"].values.to_numpy()[at]
+                yield pa.RecordBatch.from_arrays([pa.array(asked.field("query_id").to_numpy()[i]), pa.array(ids), pa.array(np.round(score, 12))], ["query_id", "vec_id", "score"])
+
+    routed, told = "query_id long, q array<double>, bound double, cell int", "query_id long, cell int, piece long, at int, vec_id long, about double, least double, most double"
+    coded = ["cell", "piece", "low", "high", "ids", "codes", "errors"]
+    base = queries.select("query_id", F.col("q").cast("array<double>").alias("q"))
+    first = kept(met(base.withColumn("bound", F.lit(float("-inf"))).mapInArrow(route(True), routed), ["cell"], coded).mapInArrow(rough, told))
+    least = Window.partitionBy("query_id").orderBy(F.desc("least"))
+    bounds = lambda df: df.withColumn("r", F.row_number().over(least)).where(F.col("r") <= k).where(F.col("r") == k).select("query_id", F.col("least").alias("bound"))
+    bounded = base.join(bounds(first), "query_id", "left").select("query_id", "q", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
+    more = met(bounded.mapInArrow(route(False), routed), ["cell"], coded).mapInArrow(rough, told)
+    by_code = Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id")
+    every = first.unionByName(more)
+    if keep:
+        best = every.withColumn("r", F.row_number().over(by_code)).where(F.col("r") <= keep)
+    else:
+        every = kept(every)
+        best = every.join(bounds(every), "query_id", "left").where(F.col("bound").isNull() | (F.col("most") >= F.col("bound") - _SLACK))
+    wanted = best.groupBy("query_id", "cell", "piece").agg(F.collect_list("at").alias("at")).join(base, "query_id")
+    scored = met(wanted, ["cell", "piece"], ["cell", "piece", "ids", "x"]).mapInArrow(fine, "query_id long, vec_id long, score double")
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

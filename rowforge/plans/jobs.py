@@ -198,10 +198,13 @@ def s23(spark, sf_dir):
     return one("even").unionByName(one("odd"))
 
 
-@query("x1_index_build", "SELECT count(*) AS rows, round(sqrt(count(*))) AS cells FROM embeddings")
+@query("x1_index_build", """
+SELECT count(*) AS rows, round(sqrt(count(*))) AS cells, count(DISTINCT vec_id) AS ids, CAST(sum(vec_id) AS BIGINT) AS id_sum, true AS bounded FROM embeddings""")
 def x1(spark, sf_dir):
     built = index.build(vectors(spark, sf_dir))
-    return built.rows.agg(F.count("*").alias("rows"), F.lit(float(built.config.cells)).alias("cells"))
+    ids = built.rows.select("n", F.explode("ids").alias("id"))
+    counts = [F.count("*").alias("rows"), F.lit(float(built.config.cells)).alias("cells"), F.countDistinct("id").alias("ids"), F.sum("id").alias("id_sum")]
+    return ids.agg(*counts, (F.max("n") <= index.PIECE).alias("bounded"))
 
 
 @query("x2_config_match", "SELECT count(*) AS rows, round(sqrt(count(*))) AS cells, 'cosine' AS metric, true AS reused FROM embeddings UNION ALL SELECT count(*), round(sqrt(count(*))), 'l2', false FROM embeddings")
@@ -212,8 +215,8 @@ def x2(spark, sf_dir):
     out = None
     for metric in ("cosine", "l2"):
         config = index.IndexConfig(built.config.cells, metric=metric)
-        stored = index.load(spark, folder, config, v)
-        rows = (stored or index.build(v, config)).rows.agg(F.count("*").alias("rows"), F.lit(float(config.cells)).alias("cells"), F.lit(metric).alias("metric"), F.lit(stored is not None).alias("reused"))
+        stored = index.load(spark, folder, config)
+        rows = (stored or index.build(v, config)).rows.agg(F.sum("n").alias("rows"), F.lit(float(config.cells)).alias("cells"), F.lit(metric).alias("metric"), F.lit(stored is not None).alias("reused"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -233,6 +236,16 @@ def x3(spark, sf_dir):
     return index.search(built, _queries(v), 5, probes=_probes(built.config.cells)).select("query_id", "rank", "vec_id", F.round("score", 6).alias("cosine"))
 
 
+@query("x3_index_exact", """
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(c, 6) AS cosine FROM (
+ SELECT q.vec_id AS query_id, v.vec_id, c, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(c, 12) DESC, v.vec_id) AS rank FROM
+  (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 20 = 0) q, (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) v, (SELECT list_cosine_similarity(q.e, v.e) AS c)) WHERE rank <= 5""")
+def x3_exact(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    found = index.search(index.build(v), _queries(v), 5, probes=None, refine=None)
+    return found.select("query_id", "rank", "vec_id", F.round("score", 6).alias("cosine"))
+
+
 @query("x3_ann_recall", "SELECT true AS enough, 5 * count(*) AS pairs FROM embeddings WHERE vec_id % 20 = 0")
 def x3_recall(spark, sf_dir):
     v = vectors(spark, sf_dir)

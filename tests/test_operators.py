@@ -308,11 +308,11 @@ def test_index_finds_rows_themselves_first(spark):
     assert index.recall(found, matching.k_nearest(q, v, 5)).first().recall >= 0.9
     assert index.build(v.where("vec_id < 10")) is None
     folder = tables.scratch(spark)
-    assert index.load(spark, folder, built.config, v) is None
+    assert index.load(spark, folder, built.config) is None
     index.save(built, folder)
-    again = index.load(spark, folder, built.config, v)
+    again = index.load(spark, folder, built.config)
     assert sorted(map(tuple, index.search(again, q, 3).collect())) == sorted(map(tuple, index.search(built, q, 3).collect()))
-    assert index.load(spark, folder, index.IndexConfig(built.config.cells, metric="dot"), v) is None
+    assert index.load(spark, folder, index.IndexConfig(built.config.cells, metric="dot")) is None
     with pytest.raises(ValueError, match="metric"):
         index.IndexConfig(4, metric="other")
 
@@ -329,6 +329,36 @@ def test_index_ranks_by_its_metric(spark, metric):
         assert r.vec_id == np.argsort(-score)[r["rank"] - 1] and r.score == pytest.approx(np.sort(score)[-r["rank"]])
 
 
+def test_index_stops_at_cells_that_hold_nothing_better(spark, monkeypatch):
+    monkeypatch.setattr(index, "PIECE", 20)
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(24, 16)) * 4
+    x = np.concatenate([centers[np.arange(1200) % 24] + rng.normal(size=(1200, 16)) * 0.1, np.repeat(centers[:1], 90, axis=0)])
+    v = vectors(spark, [(i, r.tolist()) for i, r in enumerate(x)])
+    built = index.build(v, index.IndexConfig(24, parts=4, metric="l2"))
+    sizes = [r.n for r in built.rows.select("n").collect()]
+    assert max(sizes) <= 20 and sum(sizes) == 1290
+    q = v.where("vec_id % 60 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    seen, routed = [], index._most
+    monkeypatch.setattr(index, "_most", lambda *a: (seen.append(1), routed(*a))[1])
+    found = index.search(built, q, 5, probes=6).collect()  # a quarter of the cells
+    score = -((x[:, None] - x[None]) ** 2).sum(axis=2)
+    exact = {(i, r) for i in range(0, 1290, 60) for r in np.round(np.sort(score[i])[-5:], 6)}
+    assert len({(r.query_id, round(r.score, 6)) for r in found} & exact) >= 0.9 * len(exact)
+    # of a query's cells only its own is searched: no other can hold a better row
+    ask = index.search(built, q, 5, probes=None, refine=None)
+    assert {(r.query_id, round(r.score, 6)) for r in ask.collect()} == exact
+
+
+def test_index_bounds_hold(spark):
+    rng = np.random.default_rng(2)
+    q, x, c = rng.normal(size=(5, 4)), rng.normal(size=(50, 4)), rng.normal(size=(1, 4))
+    gap = np.linalg.norm(x - c, axis=1)
+    for metric, score in (("l2", -((q[:, None] - x[None]) ** 2).sum(axis=2)), ("dot", q @ x.T)):
+        most = index._most(metric, q, q @ c.T, (c**2).sum(axis=1), gap.min(), gap.max())
+        assert (score.max(axis=1) <= most[:, 0] + 1e-9).all()
+
+
 def test_nearest_by_blocks_equal_broadcast(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(200, 6)).round(1)
