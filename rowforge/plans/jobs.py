@@ -178,12 +178,34 @@ def s21(spark, sf_dir):
     return snapshots.rows(spark, path)
 
 
-@query("s22_reuse", f"SELECT count(*) AS rows, true AS reused FROM ({_SUB})")
+#: A source that grows by the odd keys: what each request for it gives.
+_REUSE = """
+WITH n AS (SELECT count(*) FILTER (o_orderkey % 2 = 0) AS even, sum(o_totalprice) FILTER (o_orderkey % 2 = 0) AS s, count(*) AS every, sum(o_totalprice) AS t FROM orders)
+SELECT * FROM (SELECT 'first' AS step, even AS rows, round(s, 2) AS total, false AS reused FROM n UNION ALL SELECT 'again', even, round(s, 2), true FROM n
+ UNION ALL SELECT 'grown', every, round(t, 2), false FROM n UNION ALL SELECT 'pinned', even, round(s, 2), true FROM n UNION ALL SELECT 'old name', 0, NULL, NULL FROM n)"""
+
+
+@query("s22_reuse", _REUSE)
 def s22(spark, sf_dir):
-    root = tables.scratch(spark)
-    for _ in range(2):
-        path, reused = snapshots.snapshot(spark, f"{sf_dir}/orders.parquet", root, columns=["o_orderkey", "o_orderstatus"], order=["o_orderkey"], limit=500)
-    return snapshots.rows(spark, path).agg(F.count("*").alias("rows")).withColumn("reused", F.lit(reused))
+    root, orders = tables.scratch(spark), table(spark, sf_dir, "orders")
+    source, ask = f"{root}/orders", {"columns": ["o_orderkey", "o_totalprice"], "order": ["o_orderkey"]}
+    tables.overwrite(orders.where("o_orderkey % 2 = 0"), source)
+    pin = snapshots.live_version(spark, source)
+    found = {step: snapshots.snapshot(spark, source, f"{root}/cache", **ask) for step in ("first", "again")}
+    snapshots.snapshot(spark, source, f"{root}/cache", name="orders", **ask)
+    orders.where("o_orderkey % 2 = 1").write.mode("append").parquet(source)
+    found["grown"] = snapshots.snapshot(spark, source, f"{root}/cache", **ask)
+    found["pinned"] = snapshots.snapshot(spark, source, f"{root}/cache", pin=pin, **ask)
+    try:
+        found["old name"] = snapshots.snapshot(spark, source, f"{root}/cache", name="orders", **ask)
+    except snapshots.SnapshotMismatch:  # made of the version before
+        found["old name"] = None
+    out = None
+    for step, got in found.items():
+        kept = snapshots.rows(spark, got[0]) if got else orders.select("o_orderkey", "o_totalprice").limit(0)
+        one = kept.agg(F.lit(step).alias("step"), F.count("*").alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("total")).withColumn("reused", F.lit(got and got[1]).cast("boolean"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("s23_split_snapshots", "SELECT 'even' AS split, count(*) AS rows FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT 'odd', count(*) FROM orders WHERE o_orderkey % 2 = 1")
@@ -317,6 +339,27 @@ def t6(spark, sf_dir):
     return incremental.progress(table(spark, sf_dir, "events"))
 
 
+@query("t6_row_counters", """
+SELECT least((i // 1000 + 1) * 1000, n) AS upto, count(*) AS rows, count(*) FILTER (event_type = 'purchase') AS done
+FROM (SELECT event_type, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM events) GROUP BY 1""")
+def t6_rows(spark, sf_dir):
+    return incremental.counters_by_rows(table(spark, sf_dir, "events"), "event_id", 1000, F.col("event_type") == "purchase")
+
+
+@query("t6_observed_progress", """
+SELECT form, count(*) AS rows, count(*) FILTER (event_type = 'purchase') AS done, true AS often_enough FROM events, (VALUES ('batch'), ('stream')) f(form) GROUP BY form""")
+def t6_observed(spark, sf_dir):
+    folder, events, done = tables.scratch(spark), table(spark, sf_dir, "events"), F.col("event_type") == "purchase"
+    events.repartitionByRange(6, "event_id").write.parquet(f"{folder}/in")
+    live = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    found, every = [], max(1, events.count() // 4)
+    for form, df in (("batch", events), ("stream", live)):
+        told = incremental.run_with_progress(df, done, f"{folder}/{form}", rows=every)
+        found += [(form, c["rows"], c["done"], len(told) >= (3 if form == "stream" else 1)) for c in told]
+    counters = spark.createDataFrame(found, "form string, rows long, done long, often boolean")
+    return counters.groupBy("form").agg(F.sum("rows").alias("rows"), F.sum("done").alias("done"), F.bool_and("often").alias("often_enough"))
+
+
 @query("t7_finalise_once", "SELECT count(*) AS rows, true AS first, false AS second FROM orders")
 def t7(spark, sf_dir):
     out = tables.scratch(spark)

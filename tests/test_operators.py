@@ -298,6 +298,59 @@ def test_snapshot_is_reused_and_damage_is_an_error(spark):
     assert not [r.path for r in tables.listing(spark, root).collect() if "_staged" in r.path]
 
 
+def test_a_changed_source_never_gives_old_rows(spark):
+    root = tables.scratch(spark)
+    src, cache = f"{root}/src", f"{root}/cache"
+    spark.range(10).write.parquet(src)
+    ask = {"columns": ["id"], "order": ["id"]}
+    pin = snapshots.live_version(spark, src)
+    old, _ = snapshots.snapshot(spark, src, cache, **ask)
+    named, _ = snapshots.snapshot(spark, src, cache, name="mine", **ask)
+    assert snapshots.snapshot(spark, src, cache, name="mine", **ask) == (named, True)
+    spark.range(10, 12).write.mode("append").parquet(src)
+    assert snapshots.live_version(spark, src) != pin
+    new, reused = snapshots.snapshot(spark, src, cache, **ask)
+    assert new != old and not reused and snapshots.rows(spark, new).count() == 12
+    with pytest.raises(snapshots.SnapshotMismatch, match="version"):
+        snapshots.snapshot(spark, src, cache, name="mine", **ask)
+    assert snapshots.snapshot(spark, src, cache, pin=pin, **ask) == (old, True)
+    gone = spark._jvm.org.apache.hadoop.fs.Path(src)
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
+    assert snapshots.snapshot(spark, src, cache, pin=pin, **ask) == (old, True)  # no look at the source
+    spark.range(10).write.parquet(src)
+    with pytest.raises(snapshots.SnapshotMismatch, match="not at"):
+        snapshots.snapshot(spark, src, cache, pin="0" * 64, **ask)
+    spark.range(3).write.mode("append").parquet(f"{old}/rows")
+    with pytest.raises(snapshots.SnapshotMismatch, match="other files"):
+        snapshots.snapshot(spark, src, cache, pin=pin, **ask)
+
+
+def test_progress_counts_by_rows_and_by_time():
+    from types import SimpleNamespace as N
+
+    now, told = [0.0], []
+    p = incremental.RowProgress("x", rows=100, seconds=30, emit=told.append, clock=lambda: now[0])
+
+    def batch(i, rows, done=0):
+        p.onQueryProgress(N(progress=N(batchId=i, observedMetrics={"x": {"rows": rows, "done": done}})))
+
+    batch(0, 60, 1)
+    batch(1, 60, 2)  # 100 are full
+    batch(1, 60, 2)  # told again
+    batch(2, 10)
+    now[0] = 31
+    batch(3, 10)  # late
+    p.onQueryProgress(N(progress=N(batchId=4, observedMetrics={})))
+    batch(5, 500)
+    batch(6, 20, 1)
+    now[0] = 90
+    p.onQueryIdle(None)
+    batch(7, 5)
+    p.onQueryTerminated(None)
+    assert [(c["kind"], c["rows"], c["processed"]) for c in p.counters] == [("rows", 120, 120), ("time", 20, 140), ("rows", 500, 640), ("time", 20, 660), ("end", 5, 665)]
+    assert told == p.counters and sum(c["done"] for c in told) == 4
+
+
 def test_index_finds_rows_themselves_first(spark):
     rng = np.random.default_rng(1)
     v = vectors(spark, [(i, rng.normal(size=32).tolist()) for i in range(300)])
