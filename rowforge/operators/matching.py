@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowforge.functions import arrays as A
 from rowforge.functions.scalars import normal_label
@@ -115,10 +116,21 @@ def k_nearest(queries: DataFrame, vectors: DataFrame, k: int, *, block: int = 40
 
 
 def assignment(cost: np.ndarray) -> np.ndarray:
-    """Column of each row in a one-to-one pairing with the lowest total cost; shortest augmenting paths with potentials."""
+    """Column of each row in a one-to-one pairing with the lowest total cost, by the method of Jonker and Volgenant.
+
+    Prices of columns and rows are reduced first, and rows take columns that are then free of
+    charge; what is left is paired along shortest augmenting paths.
+    """
     n, m = cost.shape
-    u, v, match = np.zeros(n), np.zeros(m), np.full(m, -1)
+    v = cost.min(axis=0) if n == m and n else np.zeros(m)  # with columns to spare, none may have a price
+    u = (cost - v).min(axis=1) if n else np.zeros(n)
+    match, paired = np.full(m, -1), np.zeros(n, dtype=bool)
     for row in range(n):
+        for column in np.flatnonzero(cost[row] - v <= u[row]):
+            if match[column] < 0:
+                match[column], paired[row] = row, True
+                break
+    for row in np.flatnonzero(~paired):
         dist, parent, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, dtype=bool)
         at, low, column = row, 0.0, -1
         while True:
@@ -145,20 +157,39 @@ def assignment(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows of a and rows of b, by products: no array of all differences."""
+    square = (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * (a @ b.T)
+    return np.sqrt(np.maximum(square, 0.0))
+
+
 def pair_batches(df: DataFrame, batch: str, key: str, left: str, right: str) -> DataFrame:
-    """(batch, key, paired, distance): in each batch `left` vectors are paired with `right` ones of other rows at the lowest total squared distance.
+    """(batch, key, paired, distance): in each batch `left` vectors are paired with `right` ones of other rows at the lowest total Euclidean distance.
 
-    A batch is what one training step sees and so fits in a task.
+    A batch is what one training step sees and so fits in a task: 2,048 rows take a matrix of
+    32 MB. A task goes through its batches one after another.
     """
 
     def solve(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(key)
         a, b = np.stack(f[left].to_numpy()), np.stack(f[right].to_numpy())
-        cost = ((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2)
-        to = assignment(cost)
-        return pd.DataFrame({batch: f[batch], key: f[key], "paired": f[key].to_numpy()[to], "distance": cost[np.arange(len(to)), to]})
-
-    return df.groupBy(batch).applyInPandas(solve, f"{batch} {dict(df.dtypes)[batch]}, {key} long, paired long, distance double")
+        to = assignment(distances(a, b))
+        gap = np.sqrt(((a - b[to]) ** 2).sum(axis=1))
+        return pd.DataFrame({batch: f[batch].to_numpy(), key: f[key].to_numpy(), "paired": f[key].to_numpy()[to], "distance": gap})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for f in frames:
+            for name, part in f.groupby(batch, sort=False, dropna=False):
+                before = held[-1][batch].iloc[0] if held else name
+                if before != name and not (pd.isna(before) and pd.isna(name)):
+                    yield solve(pd.concat(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield solve(pd.concat(held))
+
+    rows = df.select(batch, key, left, right).repartition(batch).sortWithinPartitions(F.asc_nulls_last(batch), key)
+    return rows.mapInPandas(run, f"{batch} {dict(df.dtypes)[batch]}, {key} long, paired long, distance double")
 
 
 def sinkhorn(costs: DataFrame, iterations: int, reg: float) -> DataFrame:
@@ -202,12 +233,72 @@ def shuffle_probe(df: DataFrame, group: str, key: str, settings: str, seed: int)
     uniform = (F.col("__lo") == F.col("__hi")) & (F.col("__s") == F.col("__n")) | (F.col("__s") == 0)
     reason = F.when(F.col("__n") < 2, "too few rows").when(~F.coalesce(uniform, F.lit(False)), "settings differ")
     marked = df.select(group, key).join(facts.select(group, reason.alias("skipped")), group)
-    h = F.xxhash64(key, F.lit(seed))
-    # a group's rows in a circle by hash: the next one's key, and for the last one the first one's
-    w = Window.partitionBy(group).orderBy(h, key)
-    ends = marked.groupBy(group).agg(F.min_by(key, F.struct(h, F.col(key))).alias("__first"))
-    nxt = marked.withColumn("__next", F.lead(key).over(w)).join(ends, group)
-    return nxt.select(group, key, F.when(F.col("skipped").isNull(), F.coalesce("__next", "__first")).alias("partner"), "skipped")
+    # each row has a place in its group, and the partner is the row at the place that the permutation gives
+    placed = group_positions(marked, group, key, seed)
+    to = _partner_place("__i", "__n", F.lit(seed).cast("long"))
+    there = placed.select(group, F.col(key).alias("partner"), F.col("__i").alias("__to"))
+    asked = placed.withColumn("__to", F.when(F.col("skipped").isNull(), to))
+    same = asked[group].eqNullSafe(there[group]) & (asked["__to"] == there["__to"])
+    return asked.join(there, same, "left").select(asked[group], asked[key], "partner", "skipped")
+
+
+#: Rows of a group that are numbered in one piece, about.
+PLACES = 100_000
+
+
+def group_positions(df: DataFrame, group: str, key: str, seed: int, per: int = PLACES) -> DataFrame:
+    """Adds `__i`, a gapless place from 0 in each group, and `__n`, the group's rows; no task sees a group of more than about `per` rows.
+
+    Rows are dealt to pieces by a hash of their key, pieces follow one another by their counts, and rows are numbered in their piece.
+    """
+    sizes = df.groupBy(group).agg(F.count("*").alias("__n"))
+    pieces = F.ceil(F.col("__n") / per)
+    sized = df.drop("__n").join(sizes, df[group].eqNullSafe(sizes[group])).drop(sizes[group])
+    dealt = sized.withColumn("__p", F.pmod(F.xxhash64(key, F.lit(seed)), pieces))
+    counts = dealt.groupBy(group, "__p").agg(F.count("*").alias("__m"))
+    before = F.sum("__m").over(Window.partitionBy(group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))  # over pieces, not rows
+    starts = counts.select(F.col(group).alias("__g"), F.col("__p").alias("__q"), F.coalesce(before, F.lit(0)).alias("__s"))
+    within = F.row_number().over(Window.partitionBy(group, "__p").orderBy(key))
+    numbered = dealt.withColumn("__r", within)
+    joined = numbered.join(starts, numbered[group].eqNullSafe(starts["__g"]) & (numbered["__p"] == starts["__q"]))
+    return joined.withColumn("__i", F.col("__s") + F.col("__r") - 1).drop("__p", "__s", "__r", "__g", "__q")
+
+
+def permuted(i: np.ndarray, n: np.ndarray, seed: np.ndarray, *, back: bool = False) -> np.ndarray:
+    """A seeded permutation of 0 to n - 1, or its inverse: four Feistel rounds over the next even number of bits, again until the result is below n."""
+    i, n, seed = (np.asarray(x).astype(np.uint64) for x in (i, n, seed))
+    bits = np.ceil(np.log2(np.maximum(n, 2).astype(float)) / 2).astype(np.uint64)
+    bits = np.where(n > np.uint64(1) << (np.uint64(2) * bits), bits + np.uint64(1), bits)
+    mask = (np.uint64(1) << bits) - np.uint64(1)
+
+    def mixed(x: np.ndarray, key: np.ndarray, turn: int) -> np.ndarray:
+        x = (x + key) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(turn * 0x632BE59BD9B4E019 % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(27))
+
+    out, todo = i.copy(), np.arange(len(i))
+    while len(todo):
+        b, m, key = bits[todo], mask[todo], seed[todo]
+        left, right = out[todo] >> b, out[todo] & m
+        for turn in range(4):
+            if back:
+                left, right = right ^ (mixed(left, key, 3 - turn) & m), left
+            else:
+                left, right = right, left ^ (mixed(right, key, turn) & m)
+        out[todo] = (left << b) | right
+        todo = todo[out[todo] >= n[todo]]
+    return out.astype(np.int64)
+
+
+def partner_places(i: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """For each place the next one in a circle through all places in permuted order: a permutation that leaves none where it is, for two or more."""
+    i, n = np.asarray(i, dtype=np.int64), np.asarray(n, dtype=np.int64)
+    return permuted((permuted(i, n, seed) + 1) % np.maximum(n, 1), n, seed, back=True)
+
+
+@F.pandas_udf(T.LongType())
+def _partner_place(i: pd.Series, n: pd.Series, seed: pd.Series) -> pd.Series:
+    return pd.Series(partner_places(i.to_numpy(), n.to_numpy(), seed.to_numpy()))
 
 
 def checked_probe(probe: DataFrame) -> DataFrame:

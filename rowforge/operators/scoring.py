@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rowforge.functions import arrays as A
 from rowforge.operators.matching import assignment
+from rowforge.sources.tables import kept
 
 
 def per_position_mse(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -158,14 +159,49 @@ def bucket_means(df: DataFrame, value: str, at: str, n: int) -> DataFrame:
     return every.join(means, "bucket", "left").select("bucket", F.coalesce("mean", F.lit(float("nan"))).alias("mean"))
 
 
-def identity_digest(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, identity): a digest of the distinct values of a group, whatever their order in the table.
+#: Values of a leaf of a digest tree, about, at most.
+LEAF = 256
 
-    Values meet in 4,096 buckets by the first digits of their MD5, in order and framed by their
-    lengths; the identity is a digest of the buckets' digests. So a row holds a bucket's values, or a group's 4,096 digests.
+
+def digest_tree(df: DataFrame, group: str, value: str, *, leaf: int = LEAF, depth: int | None = None) -> DataFrame:
+    """(group, prefix, digest): a tree of digests over the distinct values of each group, whatever their order in the table.
+
+    A leaf holds the values whose MD5 starts with its prefix, in order and framed by their
+    lengths; a node above has the digests of its sixteen children at most; the root has an empty
+    prefix. Depth is such that the largest group has about `leaf` values in a leaf, so no row
+    holds more, however large the groups are; runs are compared at the same depth. A null value is none.
+    """
+    values = df.select(F.col(group).alias("g"), F.col(value).alias("k")).where("k is not null")
+    if depth is None:
+        n = values.groupBy("g").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        depth = next(d for d in range(33) if n <= leaf * 16**d)
+    framed = F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda x: F.concat_ws(":", F.length(x), x)), "|")
+    level = values.distinct().groupBy("g", F.substring(F.md5("k"), 1, depth).alias("prefix")).agg(F.sha2(framed, 256).alias("digest"))
+    tree = level = kept(level)
+    for d in range(depth - 1, -1, -1):
+        children = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("prefix", "digest"))), lambda s: s["digest"]), "|")
+        level = level.groupBy("g", F.substring("prefix", 1, d).alias("up")).agg(F.sha2(children, 256).alias("digest")).withColumnRenamed("up", "prefix")
+        tree = tree.unionByName(level)
+    return tree.select(F.col("g").alias(group), "prefix", "digest")
+
+
+def identity_digest(df: DataFrame, group: str, value: str, *, leaf: int = LEAF) -> DataFrame:
+    """(group, identity): the root of each group's digest tree."""
+    return digest_tree(df, group, value, leaf=leaf).where("prefix = ''").select(group, F.col("digest").alias("identity"))
+
+
+def first_differences(one: DataFrame, other: DataFrame, group: str) -> DataFrame:
+    """(group, prefix): of two digest trees of equal depth the first leaf that differs in each group; none for equal groups.
+
+    Only children of nodes that differ are looked at, level by level.
     """
-    distinct = df.select(group, F.col(value).alias("__k")).distinct()
-    framed = F.array_join(F.transform(F.array_sort(F.collect_list("__k")), lambda x: F.concat_ws(":", F.length(x), x)), "|")
-    parts = distinct.groupBy(group, F.substring(F.md5("__k"), 1, 3).alias("__b")).agg(F.sha2(framed, 256).alias("__d"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__b", "__d"))), lambda s: s["__d"]), "|")
-    return parts.groupBy(group).agg(F.sha2(joined, 256).alias("identity"))
+    a, b = (t.select(F.col(group).alias("g"), "prefix", F.col("digest").alias(n)) for t, n in ((one, "x"), (other, "y")))
+    both = kept(a.join(b, ["g", "prefix"], "full").where(~F.col("x").eqNullSafe(F.col("y"))).withColumn("depth", F.length("prefix")))
+    depth = both.agg(F.max("depth")).first()[0] or 0
+    open_ = both.where("depth = 0").select("g", "prefix")
+    for d in range(1, depth + 1):
+        below = both.where(F.col("depth") == d).select("g", "prefix")
+        first = open_.select("g", F.col("prefix").alias("up"))
+        open_ = below.join(first, (below["g"] == first["g"]) & (F.substring(below["prefix"], 1, d - 1) == first["up"]), "left_semi")
+        open_ = open_.groupBy("g").agg(F.min("prefix").alias("prefix"))
+    return open_.select(F.col("g").alias(group), "prefix")

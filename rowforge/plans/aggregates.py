@@ -273,7 +273,9 @@ def a30(spark, sf_dir):
 
 @query("a31_distinct_vectors", f"SELECT count(*) AS rows, count(DISTINCT list_transform(v, lambda x: round(x, 6))) AS different FROM {_E}")
 def a31(spark, sf_dir):
-    key = F.xxhash64(F.transform("v", lambda x: F.round(x, 6)))
+    # 128 bits of each rounded vector
+    rounded = F.transform("v", lambda x: F.round(x, 6) + 0.0)
+    key = F.struct(F.xxhash64(rounded), F.xxhash64(rounded, F.lit(1)))
     return vectors(spark, sf_dir).agg(F.count("*").alias("rows"), F.countDistinct(key).alias("different"))
 
 
@@ -300,13 +302,29 @@ def a33(spark, sf_dir):
 
 @query("a34_run_identity", """
 WITH d AS (SELECT DISTINCT l_returnflag, l_orderkey || ':' || l_linenumber || ':' || l_linestatus AS k FROM lineitem),
-b AS (SELECT l_returnflag, substr(md5(k), 1, 3) AS bucket, sha256(string_agg(len(k) || ':' || k, '|' ORDER BY k)) AS part FROM d GROUP BY 1, 2)
-SELECT l_returnflag, sha256(string_agg(part, '|' ORDER BY bucket)) AS identity FROM b GROUP BY l_returnflag""")
+m AS (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_returnflag)),
+z AS (SELECT CASE WHEN n <= 256 THEN 0 WHEN n <= 4096 THEN 1 WHEN n <= 65536 THEN 2 WHEN n <= 1048576 THEN 3 WHEN n <= 16777216 THEN 4 ELSE 5 END AS depth FROM m),
+n5 AS (SELECT l_returnflag AS g, substr(md5(k), 1, depth) AS p, sha256(string_agg(len(k) || ':' || k, '|' ORDER BY k)) AS x FROM d, z GROUP BY 1, 2),
+""" + ",\n".join(f"""n{i - 1} AS (SELECT g, substr(p, 1, {i - 1}) AS p, sha256(string_agg(x, '|' ORDER BY p)) AS x FROM n{i} WHERE len(p) = {i} GROUP BY 1, 2 UNION ALL SELECT * FROM n{i} WHERE len(p) < {i})""" for i in range(5, 0, -1)) + """
+SELECT g AS l_returnflag, x AS identity FROM n0""")
 def a34(spark, sf_dir):
     k = F.concat_ws(":", "l_orderkey", "l_linenumber", "l_linestatus")
     return scoring.identity_digest(table(spark, sf_dir, "lineitem").select("l_returnflag", k.alias("k")), "l_returnflag", "k")
 
 
+@query("a34_first_difference", """
+SELECT l_returnflag, min(substr(md5(l_orderkey || ':' || l_linenumber), 1, depth)) AS prefix FROM lineitem,
+ (SELECT CASE WHEN max(n) <= 256 THEN 0 WHEN max(n) <= 4096 THEN 1 WHEN max(n) <= 65536 THEN 2 WHEN max(n) <= 1048576 THEN 3 WHEN max(n) <= 16777216 THEN 4 ELSE 5 END AS depth
+  FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_returnflag))
+WHERE l_orderkey % 97 = 5 GROUP BY l_returnflag""")
+def a34_difference(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", F.concat_ws(":", "l_orderkey", "l_linenumber").alias("k"))
+    whole = scoring.digest_tree(rows, "l_returnflag", "k")
+    depth = whole.agg(F.max(F.length("prefix"))).first()[0] or 0
+    # another run that lost some orders
+    return scoring.first_differences(whole, scoring.digest_tree(rows.where("l_orderkey % 97 <> 5"), "l_returnflag", "k", depth=depth), "l_returnflag")
+
+
 @query("a35_stored_counts", """
 SELECT shard, n AS found, 1000 AS expected FROM (SELECT o_orderkey // 1000 AS shard, count(*) AS n FROM orders GROUP BY 1) WHERE n <> 1000""")
 def a35(spark, sf_dir):

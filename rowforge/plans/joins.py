@@ -146,7 +146,7 @@ def j12(spark, sf_dir):
 
 _J13 = f"""
 WITH RECURSIVE p AS (SELECT vec_id, vec_id // 6 AS batch, vec_id % 6 AS i, pred, target FROM {PAIRS}),
-c AS MATERIALIZED (SELECT a.batch, a.i, b.i AS j, list_sum(list_transform(list_zip(a.pred, b.target), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS cost FROM p a JOIN p b USING (batch)),
+c AS MATERIALIZED (SELECT a.batch, a.i, b.i AS j, sqrt(list_sum(list_transform(list_zip(a.pred, b.target), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS cost FROM p a JOIN p b USING (batch)),
 o AS (SELECT batch, min(i) AS i, max(i) AS last, 0::BIGINT AS used, 0.0::DOUBLE AS cost FROM p GROUP BY batch
  UNION ALL SELECT o.batch, o.i + 1, last, used | (1::BIGINT << c.j), o.cost + c.cost FROM o JOIN c ON c.batch = o.batch AND c.i = o.i AND (used & (1::BIGINT << c.j)) = 0 WHERE o.i <= last)
 SELECT o.batch, n AS rows, round(min(cost), 6) AS total FROM o JOIN (SELECT batch, count(*) AS n FROM p GROUP BY batch) m ON m.batch = o.batch WHERE i = last + 1 GROUP BY o.batch, n"""

@@ -1,5 +1,6 @@
 """Operators on small frames: edge cases, brute force and round trips."""
 
+import hashlib
 import itertools
 import uuid
 
@@ -212,7 +213,7 @@ def test_probe_refuses_when_a_seed_asks_for_it(spark):
     got = {r.k: (r.partner, r.skipped) for r in p.collect()}
     assert got == {1: (2, None), 2: (1, None), 3: (None, "settings differ"), 4: (None, "settings differ"), 5: (None, "too few rows"), 6: (7, None), 7: (6, None)}
     assert matching.checked_probe(p.where("g = 1")).count() == 2
-    with pytest.raises(Exception, match="settings differ"):
+    with pytest.raises(Exception, match="no shuffle probe"):
         matching.checked_probe(p).collect()
 
 
@@ -325,6 +326,71 @@ def test_a_changed_source_never_gives_old_rows(spark):
         snapshots.snapshot(spark, src, cache, pin=pin, **ask)
 
 
+def test_a_large_batch_is_paired_in_little_memory():
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(600, 64)), rng.normal(size=(600, 64))
+    cost = matching.distances(a, b)
+    assert cost == pytest.approx(np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2)))
+    to = matching.assignment(cost)
+    assert sorted(to) == list(range(600))
+    # no exchange of two partners, and no circle of three, is cheaper
+    own = cost[np.arange(600), to]
+    swap = cost[:, to]
+    assert (swap + swap.T >= own[:, None] + own[None, :] - 1e-9).all()
+
+
+def test_pairing_takes_the_distance_not_its_square(spark):
+    rows = [("b", 0, [0.0, 0.0], [1.0, 0.0]), ("b", 1, [1.0, 0.0], [2.0, 0.2]), (None, 5, [0.0], [1.0])]
+    df = spark.createDataFrame(rows, "batch string, k long, l array<double>, r array<double>")
+    got = {(r.batch, r.k): (r.paired, r.distance) for r in matching.pair_batches(df, "batch", "k", "l", "r").collect()}
+    # 2.01 crosswise against 2.02 straight; the squares are 4.04 against 2.04
+    assert [got[("b", i)][0] for i in (0, 1)] == [1, 0] and got[("b", 0)][1] + got[("b", 1)][1] == pytest.approx(4.04**0.5)
+    assert got[(None, 5)] == (5, 1.0)
+
+
+@pytest.mark.parametrize("seed", [0, 1, 42])
+def test_permutations_leave_none_in_place(seed):
+    for n in range(2, 101):
+        i = np.arange(n)
+        p = matching.permuted(i, np.full(n, n), np.full(n, seed))
+        assert sorted(p) == list(i) and (matching.permuted(p, np.full(n, n), np.full(n, seed), back=True) == i).all()
+        q = matching.partner_places(i, np.full(n, n), np.full(n, seed))
+        assert sorted(q) == list(i) and not (q == i).any()
+    assert matching.partner_places(np.array([0]), np.array([1]), np.array([seed])).tolist() == [0]
+
+
+def test_a_permutation_of_ten_million():
+    n = 10_000_000
+    q = matching.partner_places(np.arange(n), np.broadcast_to(np.int64(n), n), np.broadcast_to(np.int64(7), n))
+    seen = np.zeros(n, dtype=bool)
+    seen[q] = True
+    assert seen.all() and not (q == np.arange(n)).any()
+
+
+def test_places_in_groups_are_gapless(spark):
+    df = spark.range(5000).select(F.when(F.col("id") % 3 > 0, 7).when(F.col("id") % 50 > 0, F.col("id") % 11).alias("g"), "id", F.lit("x").alias("s"))
+    got = {}
+    for r in matching.group_positions(df, "g", "id", 3, per=100).collect():
+        got.setdefault((r.g, r["__n"]), []).append(r["__i"])
+    assert all(sorted(v) == list(range(n)) for (_, n), v in got.items()) and sum(map(len, got.values())) == 5000
+    probe = matching.shuffle_probe(df, "g", "id", "s", 5).collect()
+    for g in {r.g for r in probe}:
+        rows = [(r.id, r.partner) for r in probe if r.g == g]
+        assert sorted(a for a, _ in rows) == sorted(b for _, b in rows) and all(a != b for a, b in rows)
+
+
+def test_digest_trees_name_the_first_difference(spark):
+    df = spark.range(3000).select((F.col("id") % 2).alias("g"), F.col("id").cast("string").alias("k"))
+    tree = scoring.digest_tree(df.repartition(5), "g", "k", leaf=20)
+    again = scoring.digest_tree(df.unionByName(df).orderBy(F.desc("k")), "g", "k", leaf=20, depth=2)
+    assert scoring.first_differences(tree, again, "g").count() == 0
+    assert tree.groupBy("g", F.length("prefix")).count().agg(F.max("count")).first()[0] == 256
+    other = scoring.digest_tree(df.where("k not in ('17', '23')"), "g", "k", depth=2)
+    want = min(hashlib.md5(k.encode()).hexdigest()[:2] for k in ("17", "23"))
+    assert [tuple(r) for r in scoring.first_differences(tree, other, "g").collect()] == [(1, want)]
+    assert scoring.identity_digest(df.limit(0), "g", "k").count() == 0
+
+
 def test_progress_counts_by_rows_and_by_time():
     from types import SimpleNamespace as N
 
