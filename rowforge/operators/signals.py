@@ -68,8 +68,8 @@ def spectral_transport(pairs: DataFrame, window: int, hop: int) -> DataFrame:
 
 
 def scales_at(rate: int, scales: tuple[tuple[float, float, int], ...] = ((10, 5, 32), (25, 10, 64), (100, 50, 128))) -> tuple[tuple[int, int, int], ...]:
-    """(window, hop, bands) in samples, of milliseconds."""
-    return tuple((round(w * rate / 1000), round(h * rate / 1000), bands) for w, h, bands in scales)
+    """(window, hop, bands) in whole samples, of milliseconds; what is left of a sample is cut off."""
+    return tuple((int(w * rate / 1000), int(h * rate / 1000), bands) for w, h, bands in scales)
 
 
 def multi_scale(pairs: DataFrame, scales: tuple[tuple[int, int, int], ...] | None = None, *, rate: int = 44_100) -> DataFrame:
@@ -87,27 +87,6 @@ def multi_scale(pairs: DataFrame, scales: tuple[tuple[int, int, int], ...] | Non
     return score_pairs(pairs, "mss", kernel).select("vec_id", F.round("mss", 6).alias("mss"))
 
 
-def log_spectral(pairs: DataFrame, batch: str) -> DataFrame:
-    """One row: root mean squared difference of dB spectra per row, mean per batch, batches with equal weight."""
-
-    def kernel(a: np.ndarray, t: np.ndarray) -> np.ndarray:
-        p, q = (10 * np.log10(np.maximum(np.abs(np.fft.rfft(x, axis=1, norm="forward")) ** 2, 1e-8)) for x in (a, t))
-        return np.sqrt(((p - q) ** 2).mean(axis=1))
-
-    by_batch = score_pairs(pairs, "lsd", kernel).groupBy(batch).agg(F.avg("lsd").alias("lsd"))
-    return by_batch.agg(F.round(F.avg("lsd"), 6).alias("lsd"), F.count("*").alias("batches"))
-
-
-def spectral_l1(pairs: DataFrame, batch: str) -> DataFrame:
-    """One row: mean absolute difference of magnitudes, batches with equal weight."""
-
-    def kernel(a: np.ndarray, t: np.ndarray) -> np.ndarray:
-        return np.abs(np.abs(np.fft.rfft(a, axis=1)) - np.abs(np.fft.rfft(t, axis=1))).mean(axis=1)
-
-    by_batch = score_pairs(pairs, "l1", kernel).groupBy(batch).agg(F.avg("l1").alias("l1"))
-    return by_batch.agg(F.round(F.avg("l1"), 6).alias("l1"), F.count("*").alias("batches"))
-
-
 def frames(vectors: DataFrame, window: int, hop: int, *, floor_db: float = 80.0) -> DataFrame:
     """(vec_id, frame, loudness, centroid): loudness in [0, 1] over the range below the row's peak, centroid in octaves above the lowest bin."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rowforge.functions import arrays as A
 from rowforge.functions import scalars as S
-from rowforge.operators import moments, scoring, stats
+from rowforge.operators import metrics, moments, scoring, stats
 from rowforge.plans.predicates import vectors
 from rowforge.plans.registry import LONG, PAIRS, query
 from rowforge.plans.scalar_queries import pairs
@@ -170,8 +170,7 @@ def a15(spark, sf_dir):
 
 @query("a16_weighted_swap", f"SELECT round(sum(mse * n) / sum(n), 6) AS mse FROM (SELECT mse, 1 AS n FROM ({_SWAP.format(g='0', long=_LONGSQ).replace('round(avg((p - t) * (p - t)), 6)', 'avg((p - t) * (p - t))')}))")
 def a16(spark, sf_dir):
-    e = A.best_swap_error("pred", "target")
-    return pairs(spark, sf_dir).agg(F.round(F.sum(A.total(e)) / F.sum(F.size(e)), 6).alias("mse"))
+    return metrics.evaluate(pairs(spark, sf_dir), {"swap": metrics.SwapError()}).select(F.round("value", 6).alias("mse"))
 
 
 @query("a17_group_swap", _SWAP.format(g="pos % 8", long=_LONGSQ))
@@ -203,7 +202,8 @@ def a18(spark, sf_dir):
 
 @query("a19_weighted_group_swap", f"SELECT round(sum(m * n) / sum(n), 6) AS mse FROM (SELECT mse AS m, 1 AS n FROM ({_SWAP.format(g='pos % 8', long=_LONGSQ).replace('round(avg((p - t) * (p - t)), 6)', 'avg((p - t) * (p - t))')}))")
 def a19(spark, sf_dir):
-    return scoring.group_swap(pairs(spark, sf_dir), [list(range(g, 64, 8)) for g in range(8)]).agg(F.round(F.avg("mse"), 6).alias("mse"))
+    swap = metrics.SwapError(tuple(tuple(range(g, 64, 8)) for g in range(8)))
+    return metrics.evaluate(pairs(spark, sf_dir), {"swap": swap}).select(F.round("value", 6).alias("mse"))
 
 
 @query("a22_status_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")

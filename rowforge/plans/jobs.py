@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowforge.functions import arrays as A
-from rowforge.operators import derived, index, matching, moments, production, ranking, scoring, stats
+from rowforge.operators import derived, index, matching, metrics, moments, production, ranking, scoring, stats
 from rowforge.plans.predicates import vectors
 from rowforge.plans.registry import LONG, PAIRS, query
 from rowforge.plans.scalar_queries import pairs
-from rowforge.sources import snapshots, tables
+from rowforge.sources import signal_folder, snapshots, tables
 from rowforge.session import table
 from rowforge.streaming import incremental, ledger
 
@@ -64,6 +64,17 @@ def s6(spark, sf_dir):
     return vectors(spark, sf_dir).select("vec_id", A.stereo(fitted).alias("signal"))
 
 
+@query("s6_signal_folder", f"""
+SELECT label || '/' || vec_id || '.f4' AS path, 256 AS length, flatten(list_transform(range(2), lambda c: list_transform(range(1, 61), lambda i: CASE WHEN i <= 4 THEN 0 ELSE round(v[i - 4] * 0.5, 6) END))) AS signal FROM {_E}""")
+def s6_folder(spark, sf_dir):
+    folder = tables.scratch(spark)
+    path = F.concat(F.col("label"), F.lit("/"), F.col("vec_id"), F.lit(".f4"))
+    signal_folder.write_signals(vectors(spark, sf_dir).select(path.alias("path"), F.col("v").alias("signal")), folder)
+    rows = signal_folder.read_signals(spark, folder, bytesPerTask="100000")
+    fitted = F.transform(signal_folder.fitted("signal", left=4, length=60, gain=0.5), lambda x: F.round(x, 6))
+    return rows.select("path", "length", fitted.alias("signal"))
+
+
 @query("s7_typed_batches", "SELECT event_id, CAST(value AS FLOAT)::DOUBLE AS value, '{}' AS debug FROM events")
 def s7(spark, sf_dir):
     schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("value", T.FloatType()), T.StructField("debug", T.StringType())])
@@ -387,8 +398,8 @@ def g2(spark, sf_dir):
 
 @query("g3_metric_state", f"SELECT label, round(sum(e) / sum(n), 6) AS mse FROM (SELECT label, list_sum(list_transform(list_zip(pred, target), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS e, 64 AS n FROM {PAIRS}) GROUP BY label")
 def g3(spark, sf_dir):
-    state = pairs(spark, sf_dir).select("label", A.total(A.squared_error("pred", "target")).alias("e"), F.size("pred").alias("n"))
-    return state.groupBy("label").agg(F.round(F.sum("e") / F.sum("n"), 6).alias("mse"))
+    found = metrics.evaluate(pairs(spark, sf_dir), {"mse": metrics.SquaredError()}, "label")
+    return found.select(F.col("key").alias("label"), F.round("value", 6).alias("mse"))
 
 
 @query("g4_struct_scores", f"""

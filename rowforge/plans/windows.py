@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowforge.functions import arrays as A
-from rowforge.operators import ranking, signals
+from rowforge.operators import metrics, ranking, signals
 from rowforge.plans.joins import splits
 from rowforge.plans.predicates import vectors
 from rowforge.plans.registry import LONG, PAIRS, query
@@ -202,13 +202,15 @@ _BOTH = f"WITH {_SIDES}, sp AS ({_DFT.format('p')}), st AS ({_DFT.format('t')})
 @query("a20_log_spectral", _BOTH + """SELECT round(avg(l), 6) AS lsd, count(*) AS batches FROM (SELECT label, avg(x) AS l FROM (
  SELECT vec_id, label, sqrt(avg(pow(10 * log10(greatest(pow(p.m / 64, 2), 1e-8)) - 10 * log10(greatest(pow(t.m / 64, 2), 1e-8)), 2))) AS x FROM sp p JOIN st t USING (vec_id, label, k) GROUP BY vec_id, label) GROUP BY label)""")
 def a20(spark, sf_dir):
-    return signals.log_spectral(pairs(spark, sf_dir), batch="label")
+    found = metrics.over_updates(pairs(spark, sf_dir), {"lsd": metrics.LogSpectral()}, "label")
+    return found.select(F.round("value", 6).alias("lsd"), F.col("updates").alias("batches"))
 
 
 @query("a21_spectral_l1", _BOTH + """SELECT round(avg(l), 6) AS l1, count(*) AS batches FROM (SELECT label, avg(x) AS l FROM (
  SELECT vec_id, label, avg(abs(p.m - t.m)) AS x FROM sp p JOIN st t USING (vec_id, label, k) GROUP BY vec_id, label) GROUP BY label)""")
 def a21(spark, sf_dir):
-    return signals.spectral_l1(pairs(spark, sf_dir), batch="label")
+    found = metrics.over_updates(pairs(spark, sf_dir), {"l1": metrics.SpectralL1()}, "label")
+    return found.select(F.round("value", 6).alias("l1"), F.col("updates").alias("batches"))
 
 
 @query("w20_fit_frames", f"SELECT vec_id, list_transform(range(1, 81), lambda i: round(v[least(i, 64)], 6)) AS fitted FROM {_E}")

@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 from rowforge.functions import arrays as A
 from rowforge.functions import encoding as E
 from rowforge.functions import scalars as S
-from rowforge.operators import derived, index, matching, production, ranking, scoring, signals, stats, validation
+from rowforge.operators import derived, index, matching, metrics, production, ranking, scoring, signals, stats, validation
 from rowforge.plans.scalar_queries import spec
-from rowforge.sources import snapshots, tables
+from rowforge.sources import signal_folder, snapshots, tables
 from rowforge.streaming import incremental, ledger
 
 
@@ -495,8 +495,48 @@ def test_equal_signals_score_zero(spark):
     df = spark.createDataFrame([(1, 0, x, x)], "vec_id long, label int, pred array<double>, target array<double>")
     assert signals.spectral_transport(df, 16, 8).first().sot == 0
     assert signals.multi_scale(df, ((8, 4, 4),)).first().mss == 0
-    assert signals.log_spectral(df, "label").first().lsd == 0
-    assert signals.spectral_l1(df, "label").first().l1 == 0
+    both = {"lsd": metrics.LogSpectral(), "l1": metrics.SpectralL1()}
+    assert {r.metric: (r.value, r.updates) for r in metrics.over_updates(df, both, "label").collect()} == {"lsd": (0.0, 1), "l1": (0.0, 1)}
+
+
+def test_windows_are_cut_to_whole_samples():
+    assert signals.scales_at(11_025) == ((110, 55, 32), (275, 110, 64), (1102, 551, 128))
+
+
+def test_metric_states_merge_in_any_order(spark):
+    rng = np.random.default_rng(6)
+    p, t = rng.normal(size=(2, 90, 6))
+    rows = [(int(i % 4) if i % 4 else None, p[i].tolist(), t[i].tolist()) for i in range(90)]
+    df = spark.createDataFrame([*rows, (1, None, [1.0]), (1, [], [])], "k int, pred array<double>, target array<double>").repartition(5)
+    found = {"mse": metrics.SquaredError(), "swap": metrics.SwapError(), "pairs": metrics.SwapError(((0, 3), (1, 4)))}
+    got = {(r.key, r.metric): r.value for r in metrics.evaluate(df, found, "k").collect()}
+    assert len(got) == 12
+    for k in (None, 1, 2, 3):
+        at = [i for i in range(90) if (i % 4 or None) == k]
+        assert got[(k, "mse")] == pytest.approx(((p[at] - t[at]) ** 2).mean())
+        assert got[(k, "swap")] == pytest.approx(((np.sort(p[at]) - np.sort(t[at])) ** 2).mean())
+        two = [(np.sort(p[at][:, g]) - np.sort(t[at][:, g])) ** 2 for g in ([0, 3], [1, 4])]
+        assert got[(k, "pairs")] == pytest.approx(np.mean(two))
+    whole = {r.metric: r.value for r in metrics.evaluate(df, found).collect()}
+    assert whole["mse"] == pytest.approx(((p - t) ** 2).mean())
+    assert metrics.evaluate(df.limit(0), found).count() == 0 and np.isnan(metrics.SquaredError().compute(metrics.SquaredError().zero()))
+
+
+def test_a_folder_of_signals(spark):
+    folder = tables.scratch(spark)
+    rows = [(f"{i % 3}/{i}.f8", [float(i), 0.1, -1.0] * i) for i in range(1, 20)]
+    df = spark.createDataFrame(rows, "path string, signal array<double>")
+    assert signal_folder.write_signals(df, folder, kind="f8") == 19
+    assert signal_folder.write_signals(df.limit(1), f"{folder}-other", kind="f4") == 1
+    got = signal_folder.read_signals(spark, folder, suffix=".f8", kind="f8", bytesPerTask="900")
+    back = {r.path: (r.length, r.signal) for r in got.collect()}
+    assert back == {p: (8 * len(s), s) for p, s in rows}
+    assert got.rdd.getNumPartitions() > 3
+    assert signal_folder.read_signals(spark, folder, suffix=".wav").count() == 0
+    with pytest.raises(Exception, match="whole number"):
+        signal_folder.read_signals(spark, f"{folder}-other", suffix=".f8", kind="f8").collect()
+    one = spark.createDataFrame([([1.0, 2.0, 3.0],)], "s array<double>").select(signal_folder.fitted("s", left=1, length=3, gain=2.0).alias("x")).first().x
+    assert one == [0.0, 2.0, 4.0] * 2
 
 
 LOG = [
