@@ -188,20 +188,25 @@ def _residuals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     word, and rows carry the word's id only; what meets is compared letter by letter later.
     """
     for b in batches:
-        for i, w, cut in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            x = mix64(np.frombuffer(w.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) * _CODES + np.uint64(1))
-            place = np.arange(len(x), dtype=np.uint64)
-            # a letter before the gap keeps its place, one after it moves by one
-            kept = mix64(x + place * _WEIGHT)
-            moved = mix64(x[1:] + place[:-1] * _WEIGHT)
-            front = np.concatenate([[np.uint64(0)], np.cumsum(kept, dtype=np.uint64)])
-            back = np.concatenate([np.cumsum(moved[::-1], dtype=np.uint64)[::-1], [np.uint64(0)]])
-            keys = np.concatenate([front[-1:], front[:cut] + back[:cut]]).view(np.int64)
-            for k in range(0, cut + 1, 100_000):
-                some = keys[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(some), pa.array(np.arange(k - 1, k - 1 + len(some)), pa.int32()), pa.array(np.full(len(some), i))], ["key", "at", "id"]
-                )
+        if not b.num_rows:
+            continue
+        ids, words, cut = b.column(0).to_numpy(), b.column(1).to_pylist(), b.column(2).to_numpy().astype(np.int64)
+        x = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+        x = mix64(x * _CODES + np.uint64(1))
+        ends = np.cumsum([len(w) for w in words])
+        starts = ends - np.diff(ends, prepend=0)
+        place = (np.arange(len(x)) - np.repeat(starts, ends - starts)).astype(np.uint64)
+        # sums of letters where they stand, and of letters one place to the left, as they come after the gap
+        sums = [np.concatenate([[np.uint64(0)], np.cumsum(mix64(x + (place - np.uint64(k)) * _WEIGHT), dtype=np.uint64)]) for k in (0, 1)]
+        # a row for the whole word, then one for each place before its cut
+        per = np.cumsum(cut + 1)
+        for low in range(0, int(per[-1]), 100_000):
+            row = np.arange(low, min(low + 100_000, int(per[-1])))
+            i = np.searchsorted(per, row, side="right")
+            at = row - (per[i] - cut[i] - 1) - 1
+            gap = np.where(at < 0, ends[i] - starts[i], at)
+            key = sums[0][starts[i] + gap] - sums[0][starts[i]] + np.where(at < 0, np.uint64(0), sums[1][ends[i]] - sums[1][np.minimum(starts[i] + gap + 1, ends[i])])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(at, pa.int32()), pa.array(ids[i])], ["key", "at", "id"])
 
 
 def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
