@@ -293,10 +293,10 @@ WITH RECURSIVE ev AS MATERIALIZED (
  SELECT user_id AS shard, event_id, CASE WHEN event_type = 'purchase' THEN 'complete' ELSE 'claim' END AS action, 'w' || event_id % 2 AS owner, CAST(floor(epoch(ts)) AS BIGINT) AS sec,
   CASE WHEN event_type = 'purchase' THEN event_id // 2 % 2 + 1 END AS gen, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS rn FROM events),
 st AS (
- SELECT DISTINCT shard, 0::BIGINT AS rn, 0::BIGINT AS event_id, '' AS action, '' AS owner, false AS accepted, 'available' AS status, '' AS holder, 0::BIGINT AS expiry, 0::BIGINT AS attempts, 0::BIGINT AS gen FROM ev
+ SELECT DISTINCT shard, 0::BIGINT AS rn, 0::BIGINT AS event_id, '' AS action, '' AS owner, false AS accepted, 'available' AS status, '' AS holder, 0::BIGINT AS expiry, 0::BIGINT AS attempts, 0::BIGINT AS gen, 0::BIGINT AS sec FROM ev
  UNION ALL
  SELECT shard, rn, event_id, action, owner, ok, CASE WHEN NOT ok THEN status WHEN action = 'claim' THEN 'claimed' ELSE 'done' END, CASE WHEN ok AND action = 'claim' THEN owner ELSE holder END,
-  CASE WHEN ok AND action = 'claim' THEN sec + 7200 ELSE expiry END, attempts + CASE WHEN ok AND action = 'claim' THEN 1 ELSE 0 END, gen + CASE WHEN ok AND action = 'claim' THEN 1 ELSE 0 END
+  CASE WHEN ok AND action = 'claim' THEN sec + 7200 ELSE expiry END, attempts + CASE WHEN ok AND action = 'claim' THEN 1 ELSE 0 END, gen + CASE WHEN ok AND action = 'claim' THEN 1 ELSE 0 END, sec
  FROM (SELECT ev.shard, ev.rn, ev.event_id, ev.action, ev.owner, ev.sec, st.status, st.holder, st.expiry, st.attempts, st.gen,
    CASE WHEN ev.action = 'claim' THEN st.status = 'available' OR (st.status = 'claimed' AND st.expiry < ev.sec) ELSE st.status = 'claimed' AND st.holder = ev.owner AND st.gen = ev.gen END AS ok
   FROM st JOIN ev ON ev.shard = st.shard AND ev.rn = st.rn + 1))
@@ -314,6 +314,15 @@ def t1_stream(spark, sf_dir):
     return ledger.follow(ledger.applyable(table(spark, sf_dir, "events")), tables.scratch(spark)).select(*_VERDICT)
 
 
+@query("t1_lease_expiry", f"""
+WITH f AS MATERIALIZED (SELECT * FROM ({_FOLD.format("*")})),
+a AS (SELECT *, lead(sec) OVER (PARTITION BY shard ORDER BY rn) AS next FROM f WHERE accepted)
+SELECT {", ".join(_VERDICT)} FROM f UNION ALL
+SELECT shard, NULL, 'expire', holder, true, 'ended', attempts, gen FROM a WHERE action = 'claim' AND expiry < coalesce(next, (SELECT max(sec) FROM f))""")
+def t1_expiry(spark, sf_dir):
+    return ledger.follow(ledger.applyable(table(spark, sf_dir, "events")), tables.scratch(spark), expiries=True).select(*_VERDICT)
+
+
 @query("t2_fenced_completion", _FOLD.format("shard, event_id, owner, gen, accepted") + " AND action = 'complete'")
 def t2(spark, sf_dir):
     rows = ledger.replay(ledger.applyable(table(spark, sf_dir, "events")))
@@ -336,6 +345,15 @@ def t4(spark, sf_dir):
     return incremental.pending(ev.select("shard").distinct(), ev.where("event_type = 'purchase'"), "shard")
 
 
+@query("t4_completed_once", "SELECT user_id AS shard, 1::BIGINT AS completions FROM events WHERE event_type = 'purchase' GROUP BY user_id")
+def t4_stream(spark, sf_dir):
+    done = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("shard"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    # the second portion comes again, as after a writer's restart
+    parts = [done.where(F.pmod("event_id", F.lit(3)) == i) for i in (0, 1, 1, 2)]
+    once = incremental.follow_completions(parts, "shard", "ts", tables.scratch(spark))
+    return once.groupBy("shard").agg(F.count("*").alias("completions"))
+
+
 @query("t5_incremental_stats", f"SELECT CAST(pos AS INTEGER) AS pos, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std FROM {LONG} GROUP BY pos")
 def t5(spark, sf_dir):
     source = tables.scratch(spark)

@@ -146,5 +146,21 @@ def finalise_once(spark: SparkSession, path: str, build: Callable[[], DataFrame]
     return True
 
 
+def completed_once(completions: DataFrame, key: str, at: str, within: str = "3650 days") -> DataFrame:
+    """The first completion that arrives for each key, of a stream that repeats them; what is known of a key is forgotten once `at` is `within` later."""
+    return completions.withWatermark(at, within).dropDuplicatesWithinWatermark([key])
+
+
+def follow_completions(portions: list[DataFrame], key: str, at: str, folder: str, within: str = "3650 days") -> DataFrame:
+    """Completed work as a table: a stream that finds the portions one after another, with a restart between them; no restart or repetition counts twice."""
+    spark = portions[0].sparkSession
+    for i, part in enumerate(portions):
+        part.write.parquet(f"{folder}/in/{i}")
+        live = spark.readStream.schema(part.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+        query = completed_once(live, key, at, within).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+        query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
 def pending(all_work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return all_work.join(done.select(key), key, "left_anti")

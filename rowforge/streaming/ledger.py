@@ -138,12 +138,64 @@ class LeaseProcessor(StatefulProcessor):
         pass
 
 
-def stream(events: DataFrame, lease: int = LEASE) -> DataFrame:
-    """A streaming DataFrame of verdicts; the session needs the RocksDB state store."""
+class ExpiryProcessor(LeaseProcessor):
+    """Verdicts and, for each lease that ends, a row of its own as soon as event time has passed its end, not with the shard's next event.
+
+    The row has no event, the action 'expire' and the status 'ended'. It tells, but changes no
+    rule: until someone else has claimed the shard, its last owner may still complete it.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.handle = handle
+        self.told = handle.getValueState("told", "gen long")
+
+    def _ended(self, shard: int, ledger: Ledger, now: int) -> list[tuple]:
+        told = self.told.get()[0] if self.told.exists() else 0
+        if ledger.status != "claimed" or ledger.gen <= told or ledger.expiry >= now:
+            return []
+        self.told.update((ledger.gen,))
+        return [(shard, None, "expire", ledger.owner, True, "ended", ledger.attempts, ledger.gen, ledger.expiry)]
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ledger = Ledger(*self.state.get(), lease=self.lease) if self.state.exists() else Ledger(lease=self.lease)
+        shard = int(key[0])
+
+        def verdicts() -> Iterator[tuple]:
+            for e in in_order(rows):
+                if e.at is not None:
+                    yield from self._ended(shard, ledger, int(e.at))
+                yield from apply_events(ledger, shard, [e])
+
+        for part in _batched(verdicts()):
+            yield _frame(part)
+        self.state.update(ledger.row())
+        if ledger.status == "claimed":
+            # a millisecond later: a lease holds through the second that it ends in
+            self.handle.registerTimer(ledger.expiry * 1000 + 1)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        # timers of leases that were completed or claimed again find nothing to tell
+        if self.state.exists():
+            passed = -(-expiredTimerInfo.getExpiryTimeInMs() // 1000)
+            if rows := self._ended(int(key[0]), Ledger(*self.state.get(), lease=self.lease), passed):
+                yield _frame(rows)
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    f = pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
+    return f.astype({"event_id": "Int64"})
+
+
+def stream(events: DataFrame, lease: int = LEASE, *, expiries: bool = False) -> DataFrame:
+    """A streaming DataFrame of verdicts; the session needs the RocksDB state store. With `expiries` event time comes from `at`, and leases that end have rows too."""
+    if expiries:
+        timed = events.withColumn("at_time", F.timestamp_seconds("at")).withWatermark("at_time", "0 seconds")
+        return timed.groupBy("shard").transformWithStateInPandas(ExpiryProcessor(lease), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
     return events.groupBy("shard").transformWithStateInPandas(LeaseProcessor(lease), outputStructType=OUT, outputMode="Append", timeMode="None")
 
 
-def follow(events: DataFrame, folder: str, slices: int = 3, lease: int = LEASE) -> DataFrame:
+def follow(events: DataFrame, folder: str, slices: int = 3, lease: int = LEASE, *, expiries: bool = False) -> DataFrame:
     """Verdicts of a stream that finds the events in `slices` portions of time, one after another, with a restart between them.
 
     What a shard's state is after one portion comes back from the checkpoint for the next.
@@ -159,7 +211,7 @@ def follow(events: DataFrame, folder: str, slices: int = 3, lease: int = LEASE)
             low = (bounds.a or 0) + i * width
             events.where((F.col("at") >= low) & (F.col("at") < low + width)).write.parquet(f"{folder}/in/{i}")
             live = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
-            query = stream(live, lease).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+            query = stream(live, lease, expiries=expiries).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
             query.trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(key, before)
