@@ -116,10 +116,20 @@ def filtered(df: DataFrame, column: str, words: DataFrame, *, inside: bool) -> D
 
     The more ids it stands for the more rows pass that needn't; what follows must be exact.
     """
-    bit = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
-    known = df.withColumn("__word", (bit / 64).cast("int")).join(F.broadcast(words), "__word", "left")
-    hit = F.coalesce(F.getbit(F.col("__mask"), (bit % 64).cast("int")) == 1, F.lit(False)) & F.col(column).isNotNull()
-    return known.where(hit if inside else ~hit).select(*(f"`{c}`" for c in df.columns))
+    word, mask = (free_name(n, df.columns) for n in ("__word", "__mask"))
+    bit = F.pmod(F.xxhash64(F.col(f"`{column}`")), F.lit(FILTER_BITS))
+    held = words.select(F.col("__word").alias(word), F.col("__mask").alias(mask))
+    known = df.withColumn(word, (bit / 64).cast("int")).join(F.broadcast(held), word, "left")
+    hit = F.coalesce(F.getbit(F.col(mask), (bit % 64).cast("int")) == 1, F.lit(False)) & F.col(f"`{column}`").isNotNull()
+    return known.where(hit if inside else ~hit).select(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """A name for a helper column that no input column has, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def without_ids(df: DataFrame, column: str, gone: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowforge.llm._shared import joined_by_count, materialize
+from rowforge.llm._shared import free_name, joined_by_count, materialize
 
 #: Sources whose rates are broadcast; more of them are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
@@ -94,7 +94,7 @@ def mix_sources(
     0) and `n_copies`, replacing input columns of these names. Rows go to partitions and are
     ordered within them by a hash of (seed, id, replica). A source without weight, or weights
     that are all 0, give a rate of 0 and no rows; an empty table gives an empty result. Texts
-    aren't looked at. Input columns that begin with two underscores are reserved.
+    aren't looked at. Input columns may have any other names.
 
     The rates have a row per source. They are broadcast only after a count shows at most
     BROADCAST_SOURCES of them; of more sources the common ones are broadcast and the rest joined
@@ -103,16 +103,18 @@ def mix_sources(
     table = materialize(rates(docs, weights, total, source_col))
     few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
-    table = table.select(named("source").alias("__s"), F.col("n").alias("__m"), F.col("rate").alias("__rate"))
-    base = (docs.drop("replica", "n_copies") if extras else docs).withColumn("__s", named(f"`{source_col}`"))
-    joined = base.join(F.broadcast(table), "__s") if few else joined_by_count(base, table, "__s", "__m", prune=False)
-    drawn = joined.withColumn("__n", poisson_copies(F.coalesce(F.col(id_col).cast("string"), F.lit("null")), seed, F.col("__rate")))
-    copies = drawn.where("__n > 0").withColumn("__r", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-    mixed = copies.withColumn("__o", F.xxhash64(F.lit(seed), F.col(id_col), F.col("__r"))).repartition(F.col("__o"))
-    mixed = mixed.sortWithinPartitions("__o")
+    s, m, rate, n, r, o = (free_name(c, docs.columns) for c in ("__s", "__m", "__rate", "__n", "__r", "__o"))
+    key = F.col(f"`{id_col}`")
+    table = table.select(named("source").alias(s), F.col("n").alias(m), F.col("rate").alias(rate))
+    base = (docs.drop("replica", "n_copies") if extras else docs).withColumn(s, named(f"`{source_col}`"))
+    joined = base.join(F.broadcast(table), s) if few else joined_by_count(base, table, s, m, prune=False)
+    drawn = joined.withColumn(n, poisson_copies(F.coalesce(key.cast("string"), F.lit("null")), seed, F.col(rate)))
+    copies = drawn.where(F.col(n) > 0).withColumn(r, F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    mixed = copies.withColumn(o, F.xxhash64(F.lit(seed), key, F.col(r))).repartition(F.col(o))
+    mixed = mixed.sortWithinPartitions(o)
     if extras:
-        mixed = mixed.withColumns({"replica": F.col("__r").cast("long"), "n_copies": F.col("__n").cast("long")})
-    return mixed.drop("__s", "__m", "__rate", "__n", "__r", "__o")
+        mixed = mixed.withColumns({"replica": F.col(r).cast("long"), "n_copies": F.col(n).cast("long")})
+    return mixed.drop(s, m, rate, n, r, o)
 
 
 def expected_copies(rate: float, u: float) -> int:

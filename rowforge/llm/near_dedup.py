@@ -15,6 +15,8 @@ from rowforge.llm._shared import connected_components, filtered, id_filter, join
 
 #: Values of one hash function that a sketch retains.
 SKETCH = 32
+#: Values of the sketches by which members of large cells are divided again.
+FINE = 256
 #: Texts compared by one call in a task.
 BLOCK = 256
 #: Shingles of a block's texts together, about, at most.
@@ -82,6 +84,28 @@ def cells(sets: DataFrame, threshold: float, k: int = SKETCH) -> DataFrame:
     return joined_by_count(keys, leaders, "v", "c").select(F.col("m.rep").alias("leader"), "rep", "n").distinct()
 
 
+def _divided(members: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: float, block: int) -> DataFrame:
+    """The cells, those with more members than a block made anew from finer sketches.
+
+    SKETCH values tell sets that share two fifths from linked ones only by their numbers, so a
+    passage of that length makes one cell of all texts that have it. By FINE values the least
+    overlap is nearly the threshold (just that for sets which are whole in such a sketch), and
+    such texts have no key in common. What is linked stays together, as a pair of a large
+    cell is among the sets that are divided. Texts are sketched where they are.
+    """
+    members = materialize(members)
+    large = materialize(members.groupBy("leader").agg(F.count("*").alias("c")).where(F.col("c") > block))
+    if large.isEmpty():
+        return members
+    many = materialize(joined_by_count(members.select("leader", "rep"), large, "leader", "c").select("rep").distinct())
+    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("rep"), F.col(f"`{text_col}`").alias("text"))
+    texts = filtered(ids, "rep", id_filter(many, "rep"), inside=True)
+    fine = sketches(texts, "rep", "text", shingle, FINE).where("n_shingles > 0").withColumnRenamed("doc_id", "rep")
+    fine = materialize(fine.join(many.hint("merge"), "rep", "left_semi").dropDuplicates(["rep", "set_key"]))
+    rest = members.join(F.broadcast(large.select("leader")), "leader", "left_anti")  # a large cell has more than a block of all members
+    return rest.unionByName(cells(fine, threshold, FINE))
+
+
 _NO_VALUE = np.iinfo(np.int64).max
 
 
@@ -194,7 +218,7 @@ def near_duplicates(
     reps = materialize(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep")))
     # written once: every step over the sketches would shuffle them again
     sets = materialize(usable.join(reps.hint("merge"), "set_key").where("doc_id = rep").select("rep", "set_key", "n_shingles", "sketch").dropDuplicates(["set_key"]))
-    members = materialize(cells(sets, threshold).withColumn("of", F.xxhash64("rep")))
+    members = materialize(_divided(cells(sets, threshold), docs, id_col, text_col, shingle, threshold, block).withColumn("of", F.xxhash64("rep")))
     # a block has about `block` texts, or fewer that are long
     sizes = members.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"), F.count("*").alias("c"))
     placed = materialize(

@@ -483,6 +483,32 @@ def test_near_duplicates_equal_brute_force(spark, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_a_passage_of_two_fifths_makes_no_cell(spark):
+    rng = random.Random(4)
+    same = " ".join(f"p{i}" for i in range(40))
+    own = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(60)) for _ in range(900)]
+    rows = [(i, f"{same} {w}") for i, w in enumerate(own)] + [(900 + i, f"{same} {w} end") for i, w in enumerate(own[:30])]
+    df = docs(spark, rows)
+    sets = near_dedup.sketches(df, "doc_id", "text", 5).select(F.col("doc_id").alias("rep"), "set_key", "n_shingles", "sketch")
+    rough = near_dedup.cells(sets, 0.8)
+    assert rough.groupBy("leader").count().agg(F.max("count")).first()[0] > 800
+    fine = near_dedup._divided(rough, df, "doc_id", "text", 5, 0.8, 256)
+    assert fine.groupBy("leader").count().agg(F.max("count")).first()[0] <= 256 and fine.count() < 1000
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, shingle=5).collect()}
+    assert all(got[900 + i] == i for i in range(30)) and sum(c == i for i, c in got.items()) == 900
+
+
+def test_input_columns_may_have_the_names_of_helpers(spark):
+    extra = ["__mask", "__word", "__n", "__s", "__m", "__rate", "__r", "__o", "__row", "__w", "__v", "row", "rid", "digest"]
+    rows = [(i, f"text {i % 4} one two three four five six", f"s{i % 2}", *[f"{c}{i}" for c in extra]) for i in range(24)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *extra])
+    before = {r.doc_id: r.asDict() for r in df.collect()}
+    for out in (near_dedup.drop_near_copies(df), exact_dedup.drop_exact_copies(df), mixing.mix_sources(df, extras=False), mixing.mix_sources(df)):
+        found = out.collect()
+        assert found and set(df.columns) <= set(out.columns)
+        assert all({k: v for k, v in r.asDict().items() if k in df.columns} == before[r.doc_id] for r in found)
+
+
 def test_near_duplicates_of_odd_texts(spark):
     got = near_dedup.near_duplicates(docs(spark, ODD), shingle=4).collect()
     assert len(got) == len(ODD)
