@@ -188,7 +188,7 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def stream(events: DataFrame, lease: int = LEASE, *, expiries: bool = False) -> DataFrame:
-    """A streaming DataFrame of verdicts; the session needs the RocksDB state store. With `expiries` event time comes from `at`, and leases that end have rows too."""
+    """A streaming DataFrame of verdicts; the session needs the RocksDB state store. With `expiries` event time comes from `at`, later than 0, and leases that end have rows too."""
     if expiries:
         timed = events.withColumn("at_time", F.timestamp_seconds("at")).withWatermark("at_time", "0 seconds")
         return timed.groupBy("shard").transformWithStateInPandas(ExpiryProcessor(lease), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
