@@ -164,7 +164,7 @@ def _divided(words: DataFrame, block: int) -> DataFrame:
     for k, depth in enumerate(DEPTHS):
         prefix = F.left(F.col("word"), F.lit(depth))
         keyed = left.withColumn("__p", prefix)
-        large = materialize(keyed.groupBy("__p").agg(F.count("*").alias("m")).where(F.col("m") > block).select("__p"))
+        large = materialize(keyed.groupBy("__p").agg(F.count("*").alias("m")).where(F.col("m") > block).select("__p").repartition(1))
         if k + 1 == len(DEPTHS) or large.isEmpty():
             now = left.withColumn("cut", F.least(F.lit(depth), length))
             return ended.unionByName(now if done is None else done.unionByName(now))
@@ -302,6 +302,8 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     their own, and copies count each time. Only id and text are read, so other columns may have
     any names. An empty table gives an empty result.
     """
+    if ratio < 2:
+        raise ValueError("forms must be more frequent: a ratio of 2 at least")
     words = materialize(vocabulary(docs, id_col, text_col, least=least, seen=seen, noise=noise))
     pairs = materialize(near_words(words, block=block))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -315,12 +317,13 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.when(is_form, F.col("best.form")).alias("form"), F.when(is_form, -F.col("best.less")).alias("form_n")
         )
     )
-    step = materialize(forms.where("form is not null").select("word", F.col("form").alias("root")))
-    while True:
-        # twice as far each time: who is a root so far, and has one of its own
-        further = step.join(step.select(F.col("word").alias("root"), F.col("root").alias("next")), "root", "left")
-        further = materialize(further.select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
-        step = further.select("word", "root")
-        if further.where("moved").isEmpty():
-            break
+    up = forms.where("form is not null").select("word", "form")
+    step = up.withColumnRenamed("form", "root")
+    # a step multiplies n by `ratio` at least, which says how many there can be
+    most, steps = words.agg(F.max("n")).first()[0] or 0, 0
+    while seen * ratio ** (steps + 1) <= most:
+        steps += 1
+    for _ in range(steps - 1):
+        further = up.select(F.col("word").alias("root"), F.col("form").alias("next"))
+        step = step.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"))
     return forms.join(step, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
