@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +14,9 @@ from rowforge.llm._shared import connected_components, joined_by_count, material
 
 #: Vectors of one block; two blocks meet in one task.
 BLOCK = 8192
-#: Vectors that blocks of a larger group are cut around, at most.
+#: Children of a node above the blocks, at most.
 PIVOTS = 64
-#: Bytes of pivots of all groups together that the driver holds and broadcasts; groups beyond it are cut by hash alone.
+#: Bytes of pivots of all nodes together that the driver holds and broadcasts, one round's at a time; nodes beyond it are cut by hash alone.
 PIVOT_BYTES = 16 << 20
 #: Groups with more rows than a block whose names are broadcast; more of them are joined by their counts.
 MAX_GROUPS = 10_000
@@ -114,10 +115,10 @@ def near_vectors(
     component_id is the smallest id reachable. Labels may be of any type that can be grouped.
     Only the three columns are read; an empty table gives an empty result.
 
-    Vectors of a label go to blocks of at most about `block` rows; a block has a center and a
-    covering radius, and two blocks whose balls are farther apart than the limit never meet.
-    Blocks that meet do so in one task: each becomes a cover tree, both are traversed
-    together. A task gives a count for each vector and a spanning forest of its links, not
+    Vectors of a label are divided around pivots, in rounds, until a node has about `block` rows
+    at most; nodes have a center and a covering radius, and two whose balls are farther apart
+    than the limit never meet, nor does anything below them. Blocks that meet do so in one task:
+    each becomes a cover tree, both are traversed together. A task gives a count for each vector and a spanning forest of its links, not
     the pairs. Where no balls can be separated (random directions), work per label grows
     with the square of its blocks, as the exact result then demands.
     """
@@ -179,54 +180,97 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _met(usable: DataFrame, large: DataFrame, block: int, cosine: float) -> DataFrame:
     """(task, grp, side, own, vec_id, tie, u) of groups with more rows than a block: a task for each two blocks that may have links.
 
-    A vector goes to the nearest of its group's pivots; what a pivot has is cut evenly by hash.
-    A block's ball has its pivot for center and its farthest vector's distance for radius.
+    The top of a cover tree over each group, in rounds: the rows of a node with more than a block
+    go to the nearest of its pivots, which become its children, until nodes are small enough.
+    A node's ball has its pivot for center and its farthest vector's distance for radius. Pairs
+    of nodes descend from the roots, and only those whose balls may hold a link are opened.
     """
     spark = usable.sparkSession
+    limit = float(np.sqrt(2 - 2 * cosine)) + 1e-6
     few = large.limit(MAX_GROUPS + 1).count() <= MAX_GROUPS
-    wanted = large.select("grp", F.least(F.ceil(F.col("rows") / block), F.lit(PIVOTS)).cast("int").alias("slots"), F.col("rows").alias("__m"))
+    wanted = large.select("grp", F.xxhash64("grp").alias("node"), F.col("rows").alias("__m"))
     rows = (usable.join(F.broadcast(wanted), "grp") if few else joined_by_count(usable, wanted, "grp", "__m", prune=False)).drop("__m")
+    placed = rows.select("vec_id", "tie", "grp", "u", "node", F.lit(2.0).alias("dist"))
     longest = usable.agg(F.max(F.size("u"))).first()[0] or 1
-    slot = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("slots")).alias("slot")
-    pivots = rows.groupBy("grp", slot).agg(F.min_by("u", F.struct(F.xxhash64("vec_id"), "tie")).alias("u")).orderBy("grp", "slot").limit(max(1, PIVOT_BYTES // (8 * longest))).collect()
-    by_group: dict[str, list] = {}
-    for r in pivots:
-        by_group.setdefault(r.grp, []).append(r.u)
-    shared = spark.sparkContext.broadcast({g: np.array(us) for g, us in by_group.items()})
+    room = PIVOT_BYTES // (8 * longest)
+    levels: list[DataFrame] = []
+    centers: list[tuple[int, int, list[float]]] = []
+    most: list[tuple[int, int]] = []
+    while True:
+        placed = materialize(placed)
+        sizes = materialize(placed.groupBy("node").agg(F.first("grp").alias("grp"), F.count("*").alias("rows"), F.max("dist").alias("reach")))
+        # balls smaller than a link needn't be divided: all their rows may be linked
+        # and a child with nearly all rows of its parent isn't divided again
+        bound = F.broadcast(spark.createDataFrame(most, "node long, most long"))
+        open_ = sizes.where((F.col("rows") > block) & (F.col("reach") > limit / 2)).join(bound, "node", "left").where("rows <= coalesce(most, rows)")
+        open_ = open_.orderBy(F.desc("rows"), "node").limit(max(0, room // PIVOTS)).select("node", "rows", F.least(F.ceil(F.col("rows") / block), F.lit(PIVOTS)).cast("int").alias("slots"))
+        slot = F.pmod(F.xxhash64("vec_id", F.lit(1), "node"), F.col("slots")).alias("slot")
+        pivots = placed.join(F.broadcast(open_), "node").groupBy("node", "rows", slot).agg(F.min_by("u", F.struct(F.xxhash64("vec_id"), "tie")).alias("u"))
+        found = pivots.select("node", "rows", F.xxhash64("node", "slot").alias("child"), "u").orderBy("node", "child").collect()  # no more than `room` of them
+        by_node: dict[int, list] = {}
+        for r in found:
+            by_node.setdefault(r.node, []).append((r.child, r.u))
+        by_node = {n: c for n, c in by_node.items() if len(c) > 1}
+        most = [(r.child, r.rows * 9 // 10) for r in found]
+        listed = spark.createDataFrame([(n, True) for n in by_node], "node long, open boolean")
+        levels.append(sizes.join(F.broadcast(listed), "node", "left").withColumn("open", F.coalesce("open", F.lit(False))))
+        if not by_node:
+            break
+        room -= sum(map(len, by_node.values()))
+        centers += [(n, c, u) for n, cs in by_node.items() for c, u in cs]
+        placed = placed.mapInArrow(_placer(spark.sparkContext.broadcast({n: (np.array([c for c, _ in cs]), np.array([u for _, u in cs])) for n, cs in by_node.items()})), _USABLE + ", node long, dist double")
+    # a leaf is there in every later round, too
+    tree = reduce(DataFrame.unionByName, levels)
+    nodes = materialize(tree.groupBy("node").agg(F.first("grp").alias("grp"), F.max("rows").alias("rows"), F.max("reach").alias("reach"), F.max("open").alias("open")))
+    pairs = large.select(F.xxhash64("grp").alias("a"), F.xxhash64("grp").alias("b"))
+    if centers:
+        held = spark.createDataFrame(centers, "parent long, child long, center array<double>")
+        known = nodes.select(F.col("node").alias("child"), "reach")
+        below = held.join(known, "child").select("parent", F.col("child").alias("next"), "center", "reach", F.lit(False).alias("same"))
+        leaves = nodes.where("not open").join(held.select(F.col("child").alias("node"), "center"), "node", "left").select(F.col("node").alias("parent"), F.col("node").alias("next"), "center", "reach", F.lit(True).alias("same"))
+        steps = materialize(below.unionByName(leaves))
+        left, right = (steps.select(F.col("parent").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("next", "center", "reach", "same"))) for n in ("a", "b"))
+        dot = F.aggregate(F.zip_with("center_a", "center_b", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+        near = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot)) <= F.col("reach_a") + F.col("reach_b") + limit
+        keep = F.col("center_a").isNull() | F.col("center_b").isNull() | near
+        while True:
+            opened = pairs.join(left, "a").join(right, "b").where(keep)
+            # a node with itself gives each two children once
+            opened = opened.where((F.col("a") != F.col("b")) | (F.col("next_a") <= F.col("next_b")))
+            pairs = materialize(opened.select(F.col("next_a").alias("a"), F.col("next_b").alias("b"), (F.col("same_a") & F.col("same_b")).alias("done")))
+            if pairs.where("not done").isEmpty():
+                break
+            pairs = pairs.select("a", "b")
+    cuts = nodes.where("not open").select("node", "grp", F.ceil(F.col("rows") / block).cast("int").alias("cuts"))
+    a, b = (cuts.select(F.col("node").alias(n), *([F.col("grp")] if n == "a" else []), F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias(f"k{n}")) for n in ("a", "b"))
+    meets = pairs.select("a", "b").join(a, "a").join(b, "b").where("a <> b or ka <= kb")
+    meets = meets.withColumn("task", F.xxhash64("a", "ka", "b", "kb")).withColumn("own", F.expr("cast(a = b and ka = kb as int)"))
+    meets = materialize(meets.select("task", "a", "ka", "b", "kb", "own"))
+    first = meets.select("task", F.col("a").alias("node"), F.col("ka").alias("cut"), F.lit(0).alias("side"), "own")
+    second = meets.where("own = 0").select("task", F.col("b").alias("node"), F.col("kb").alias("cut"), F.lit(1).alias("side"), "own")
+    counted = nodes.where("not open").select("node", F.col("rows").alias("__m"), F.ceil(F.col("rows") / block).cast("int").alias("cuts"))
+    dealt = (placed.join(F.broadcast(counted), "node") if nodes.count() <= MAX_GROUPS else joined_by_count(placed, counted, "node", "__m", prune=False)).drop("__m")
+    dealt = materialize(dealt.withColumn("cut", F.pmod(F.xxhash64("vec_id", F.lit(2)), "cuts").cast("int")).drop("cuts", "dist"))
+    return dealt.join(first.unionByName(second), ["node", "cut"]).select("task", "grp", "side", "own", "vec_id", "tie", "u")
+
+
+def _placer(shared):
+    """Rows of a node that has children go to the nearest; others stay."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            grps = np.array(b.column(2).to_pylist(), dtype=object)
-            cell, dist = np.zeros(len(grps), dtype=np.int32), np.full(len(grps), 2.0)
-            for g in dict.fromkeys(grps):
-                if g in shared.value:
-                    at = np.flatnonzero(grps == g)
+            node, dist = b.column(4).to_numpy().copy(), b.column(5).to_numpy().copy()
+            for n in np.unique(node):
+                if n in shared.value:
+                    children, centers = shared.value[n]
+                    at = np.flatnonzero(b.column(4).to_numpy() == n)
                     u = b.column(3).take(pa.array(at)).flatten().to_numpy().reshape(len(at), -1)
-                    dot = u @ shared.value[g].T
-                    cell[at] = dot.argmax(axis=1)
+                    dot = u @ centers.T
+                    node[at] = children[dot.argmax(axis=1)]
                     dist[at] = np.sqrt(np.maximum(0.0, 2 - 2 * dot.max(axis=1)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(dist)], [*b.schema.names, "cell", "dist"])
-
-    near = materialize(rows.select("vec_id", "tie", "grp", "u").mapInArrow(place, _USABLE + ", cell int, dist double"))
-    cuts = near.groupBy("grp", "cell").agg(F.ceil(F.count("*") / block).alias("cuts"))
-    placed = materialize(near.join(cuts, ["grp", "cell"]).withColumn("cut", F.pmod(F.xxhash64("vec_id", F.lit(2)), "cuts").cast("int")).drop("cuts"))
-    gaps = [
-        (g, i, j, float(np.sqrt(max(0.0, 2 - 2 * us[i] @ us[j])))) for g, us in shared.value.items() for i in range(len(us)) for j in range(len(us))
-    ]
-    gap = spark.createDataFrame(gaps, "grp string, ca int, cb int, gap double")
-    balls = materialize(placed.groupBy("grp", "cell", "cut").agg(F.max("dist").alias("reach")))
-    a = balls.select("grp", F.col("cell").alias("ca"), F.col("cut").alias("ka"), F.col("reach").alias("ra"))
-    b = balls.select("grp", F.col("cell").alias("cb"), F.col("cut").alias("kb"), F.col("reach").alias("rb"))
-    limit = float(np.sqrt(2 - 2 * cosine)) + 1e-6
-    meets = (
-        a.join(b, "grp").where("(ca, ka) <= (cb, kb)").join(gap, ["grp", "ca", "cb"], "left")
-        .where(F.coalesce("gap", F.lit(0.0)) <= F.col("ra") + F.col("rb") + limit)
-        .withColumn("task", F.xxhash64("grp", "ca", "ka", "cb", "kb")).withColumn("own", F.expr("cast(ca = cb and ka = kb as int)"))
-    )
-    meets = materialize(meets.select("task", "grp", "ca", "ka", "cb", "kb", "own"))
-    left = meets.select("task", "grp", F.col("ca").alias("cell"), F.col("ka").alias("cut"), F.lit(0).alias("side"), "own")
-    right = meets.where("own = 0").select("task", "grp", F.col("cb").alias("cell"), F.col("kb").alias("cut"), F.lit(1).alias("side"), "own")
-    return placed.join(left.unionByName(right), ["grp", "cell", "cut"]).select("task", "grp", "side", "own", "vec_id", "tie", "u")
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(node), pa.array(dist)], b.schema.names)
+
+    return place
 
 
 def _compare(cosine: float):

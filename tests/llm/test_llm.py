@@ -814,6 +814,34 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark):
     assert {r.text for r in p.drop_exact_copies(spark, odd, SMALL).where("doc_id in (6, 11) or doc_id = 4").collect()} == {"word " * 30_000, "other", "a"}
 
 
+def clustered(n):
+    rng = np.random.default_rng(n)
+    centers = rng.normal(size=(n // 20, 16))
+    x = np.repeat(centers, 20, axis=0) + rng.normal(size=(n // 20 * 20, 16)) * 0.01
+    return [(i, [float(c) for c in r], 1) for i, r in enumerate(x)]
+
+
+def test_clusters_meet_only_themselves(spark):
+    """Beyond 64 blocks of a label, too, work grows with the vectors, not with their square."""
+    sent = {}
+    for n in (1000, 4000):
+        df = spark.createDataFrame(clustered(n), "vec_id long, embedding array<double>, label int")
+        usable = df.select("vec_id", F.xxhash64("vec_id").alias("tie"), F.lit("g").alias("grp"), F.col("embedding").alias("u")).withColumn("grp", F.lit("16:1"))
+        unit = usable.select("vec_id", "tie", "grp", F.expr("transform(u, c -> c / sqrt(aggregate(u, 0D, (s, x) -> s + x * x)))").alias("u"))
+        large = _shared.materialize(unit.groupBy("grp").agg(F.count("*").alias("rows")))
+        sent[n] = embedding_dedup._met(_shared.materialize(unit), large, 16, 0.98).count()
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df, cosine=0.98, block=16).collect()}
+        assert all(v == (19, i // 20 * 20) for i, v in got.items())
+    assert sent[4000] < 6 * sent[1000], sent
+
+
+def test_copies_and_outliers_end_the_division(spark):
+    rows = [(i, [1.0, 0.0], 1) for i in range(150)] + [(200, [0.0, 1.0], 1), (201, [-1.0, 0.1], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(df, cosine=0.98, block=10).collect()}
+    assert got[200] == (0, 200) and got[201] == (0, 201) and all(got[i] == (149, 0) for i in range(150))
+
+
 def test_vectors_of_many_large_groups(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = [(i, int(i % 5), rng.normal(size=4).round(1).tolist()) for i in range(200)]
