@@ -60,7 +60,7 @@ def snapshot(
             raise SnapshotMismatch(f"{source} has changed while it was read")
         manifest = (digest, source, version, _written(spark, staged))
         spark.createDataFrame([manifest], "digest string, source string, version string, written string").write.parquet(f"{staged}/manifest")
-        if _renamed(spark, staged, path):
+        if renamed(spark, staged, path):
             return path, False
     if _exists(spark, path):
         if not is_complete(spark, f"{path}/manifest") or not is_complete(spark, f"{path}/rows"):
@@ -110,7 +110,12 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def _renamed(spark: SparkSession, old: str, new: str) -> bool:
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def renamed(spark: SparkSession, old: str, new: str) -> bool:
     """Whether `old` now has the name `new`, which nothing may have had."""
     a, b = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (old, new))
     fs = a.getFileSystem(spark._jsc.hadoopConfiguration())

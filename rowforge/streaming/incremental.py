@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 from rowforge.operators import moments
 from rowforge.operators.ranking import positions
+from rowforge.sources import snapshots
 from rowforge.sources.tables import is_complete, scratch
 
 
@@ -139,11 +140,21 @@ def counters_by_rows(df: DataFrame, order: str, every: int, done: Column) -> Dat
 
 
 def finalise_once(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> bool:
-    """Write unless a finished result is there; True when this call wrote it."""
+    """Write unless a finished result is there; True when this call wrote it.
+
+    Rows are staged beside it and renamed when they are whole, so a reader never sees a part of
+    them; of two writers the later one finds the first one's result. What an older writer left
+    there unfinished is removed before.
+    """
+    if is_complete(spark, path):
+        return False
+    staged = f"{path}_staged-{uuid.uuid4().hex}"
+    build().write.parquet(staged)
     if is_complete(spark, path):
+        snapshots.remove(spark, staged)
         return False
-    build().write.mode("overwrite").parquet(path)
-    return True
+    snapshots.remove(spark, path)
+    return snapshots.renamed(spark, staged, path)
 
 
 def completed_once(completions: DataFrame, key: str, at: str, within: str = "3650 days") -> DataFrame:

@@ -326,6 +326,27 @@ def test_a_changed_source_never_gives_old_rows(spark):
         snapshots.snapshot(spark, src, cache, pin=pin, **ask)
 
 
+def test_results_are_put_in_place_whole(spark):
+    path = tables.scratch(spark)
+    spark.range(3).write.parquet(path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, False)  # an unfinished one
+    seen = []
+
+    def build():
+        seen.append(spark.read.parquet(path).count())
+        return spark.range(5)
+
+    assert incremental.finalise_once(spark, path, build) and spark.read.parquet(path).count() == 5
+    assert not incremental.finalise_once(spark, path, build) and seen == [3]
+
+    def late():
+        assert incremental.finalise_once(spark, f"{path}-2", lambda: spark.range(7))
+        return spark.range(9)
+
+    assert not incremental.finalise_once(spark, f"{path}-2", late) and spark.read.parquet(f"{path}-2").count() == 7
+
+
 def test_a_large_batch_is_paired_in_little_memory():
     rng = np.random.default_rng(8)
     a, b = rng.normal(size=(600, 64)), rng.normal(size=(600, 64))
