@@ -743,6 +743,41 @@ def test_quality_of_held_out_documents(spark):
     assert right >= 0.98 and clean >= 0.995
 
 
+def test_lasso_weights_are_the_optimum():
+    """The optimum of a convex function is where its gradients say so: 0 for the intercept, the penalty against each weight, no more than it where a weight is 0."""
+    rng = np.random.default_rng(3)
+    z = (rng.random((400, 12)) < rng.uniform(0.1, 0.9, 12)).astype(float)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(2 * z[:, 0] - 3 * z[:, 1] + z[:, 2] - 0.5)))).astype(float)
+    for penalty in (0.001, 0.01, 0.05):
+        b, w = quality.lasso_logistic(z, y, penalty, steps=5000)
+        r = 1 / (1 + np.exp(-(b + z @ w))) - y
+        gradient = r @ z / len(y)
+        on = np.abs(w) > 1e-9
+        assert abs(r.mean()) < 1e-6 and np.abs(gradient[on] + penalty * np.sign(w[on])).max(initial=0) < 1e-6
+        assert np.abs(gradient[~on]).max(initial=0) <= penalty + 1e-6 and on.sum() >= 2
+        short = quality.lasso_logistic(z, y, penalty)[1]
+        assert np.abs(short - w).max() < 0.02
+
+
+def test_a_tree_splits_where_a_plain_search_does():
+    data = np.random.default_rng(11)
+    x = data.normal(size=(600, 6)).round(1)
+    y = (x[:, 2] + x[:, 4] + data.normal(size=600) > 0.3).astype(float)
+    for seed in range(6):
+        found = quality.tree_rules(x, y, np.random.default_rng(seed), trees=1, depth=1)
+        rng = np.random.default_rng(seed)
+        rows, features = rng.choice(600, 300, replace=False), rng.choice(6, 3, replace=False)
+        gini = lambda p: p.mean() * (1 - p.mean()) if len(p) else 0.0
+        gains = {}
+        for j in features:
+            for cut in np.unique(np.quantile(x[:, j], np.linspace(0.01, 0.99, 99))):
+                low, high = y[rows][x[rows, j] <= cut], y[rows][x[rows, j] > cut]
+                if min(len(low), len(high)) >= 8:
+                    gains[(int(j), float(cut))] = gini(y[rows]) - (len(low) * gini(low) + len(high) * gini(high)) / 300
+        (j, side, cut), (k, other, same) = (r[0] for r in found)
+        assert (j, cut) == (k, same) and {side, other} == {"<=", ">"} and gains[(j, cut)] == pytest.approx(max(gains.values()))
+
+
 def test_rules_as_a_column_score_like_numpy(spark):
     rng = np.random.default_rng(0)
     x = rng.random((600, len(quality.STATISTICS)))
