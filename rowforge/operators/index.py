@@ -27,6 +27,8 @@ PIECE_BYTES = 4 << 20
 #: Queries that meet a piece together, at most, and bytes of queries that are broadcast.
 ASKED = 256
 QUERY_BYTES = 64 << 20
+#: Queries, at most, that go to every task, which then searches its own pieces for all of them.
+FEW = 4096
 METRICS = ("cosine", "l2", "dot")
 
 
@@ -225,6 +227,7 @@ def search(index: VectorIndex, queries: DataFrame, k: int, *, probes: int | None
     have at least; of the other cells, and of their pieces, only those are searched whose radius
     lets a row be better than that, and of their rows only those pass on whose codes do. The best
     refine * k by code are then compared by their vectors, which are read of their pieces alone.
+    Up to FEW queries go to all tasks instead, which search their pieces in one pass.
     score is the metric's: a cosine, a dot product or a negative squared distance. Where balls
     can't be told apart all `probes` cells are searched. With probes None any cell may be searched,
     and with refine None all rows pass on whose codes let them be among the best k: the result is
@@ -234,6 +237,10 @@ def search(index: VectorIndex, queries: DataFrame, k: int, *, probes: int | None
     context = queries.sparkSession.sparkContext
     shared = context.broadcast((index.centers, index.radii, index.books))
     n, values = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("q")), F.lit(0))).first()
+    last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best_k = lambda scored: scored.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    if n <= FEW and 8 * values <= QUERY_BYTES:
+        return best_k(_in_place(index, queries, k, probes, keep))
     chunks = max(1, -(-n // ASKED))
     few = 8 * values * min(probes, len(index.centers)) <= QUERY_BYTES
 
@@ -337,8 +344,66 @@ def search(index: VectorIndex, queries: DataFrame, k: int, *, probes: int | None
         best = every.join(bounds(every), "query_id", "left").where(F.col("bound").isNull() | (F.col("most") >= F.col("bound") - _SLACK))
     wanted = best.groupBy("query_id", "cell", "piece").agg(F.collect_list("at").alias("at")).join(base, "query_id")
     scored = met(wanted, ["cell", "piece"], ["cell", "piece", "ids", "x"]).mapInArrow(fine, "query_id long, vec_id long, score double")
-    last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return best_k(scored)
+
+
+def _nearest_cells(index: VectorIndex, q: np.ndarray, probes: int) -> np.ndarray:
+    """(queries, probes): the cells of each query, nearest first; cells without rows aren't among them."""
+    centers, radii = index.centers, index.radii
+    dot = q @ centers.T
+    near = dot if index.config.metric == "dot" else 2 * dot - (centers**2).sum(axis=1)
+    return np.argsort(np.where(radii < 0, np.inf, -near), axis=1, kind="stable")[:, : min(probes, int((radii >= 0).sum()))]
+
+
+def _in_place(index: VectorIndex, queries: DataFrame, k: int, probes: int, keep: int | None) -> DataFrame:
+    """(query_id, vec_id, score): the best k of each task, for few queries. A task goes through its pieces once; what it has found ends the search of pieces that hold nothing better."""
+    metric = index.config.metric
+    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).toPandas()
+    ids = asked["query_id"].to_numpy()
+    q = np.stack(asked["q"].to_numpy()) if len(asked) else np.empty((0, index.centers.shape[1]))
+    q = unit(q) if metric == "cosine" else q
+    by_cell: dict[int, list[np.ndarray]] = {}
+    for start in range(0, len(q), 64):
+        cells = _nearest_cells(index, q[start : start + 64], probes)
+        for c in np.unique(cells):
+            by_cell.setdefault(int(c), []).append(start + np.flatnonzero((cells == c).any(axis=1)))
+    shared = queries.sparkSession.sparkContext.broadcast((ids, q, {c: np.concatenate(a) for c, a in by_cell.items()}, index.centers, index.books))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q, by_cell, centers, books = shared.value
+        score, found = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        for b in batches:
+            for r in range(b.num_rows):
+                row = {c: b.column(i)[r] for i, c in enumerate(b.schema.names)}
+                cell = row["cell"].as_py()
+                mine = by_cell.get(cell)
+                if mine is None:
+                    continue
+                center = centers[cell][None]
+                most = _most(metric, q[mine], q[mine] @ center.T, (center**2).sum(axis=1), row["low"].as_py(), row["high"].as_py())[:, 0]
+                mine = mine[most >= score[mine, -1] - _SLACK]
+                if not len(mine):
+                    continue
+                there = row["ids"].values.to_numpy()
+                x = np.frombuffer(row["x"].as_py()).reshape(len(there), -1)
+                a = q[mine]
+                full = a @ x.T if metric != "l2" else 2 * (a @ x.T) - (a**2).sum(axis=1)[:, None] - (x**2).sum(axis=1)[None, :]
+                if keep and keep < len(there):  # what codes put behind the best isn't compared
+                    code = np.frombuffer(row["codes"].as_py(), dtype=np.uint16).reshape(len(there), -1)
+                    told = center + np.concatenate([c[code[:, p]] for p, c in enumerate(books)], axis=1)
+                    behind = np.argsort(-affinity(a, told, metric), axis=1, kind="stable")[:, keep:]
+                    np.put_along_axis(full, behind, -np.inf, axis=1)
+                full = np.concatenate([score[mine], np.round(full, 12)], axis=1)
+                names = np.concatenate([found[mine], np.broadcast_to(there, (len(mine), len(there)))], axis=1)
+                order = np.lexsort((names, -full), axis=1)[:, :k]
+                score[mine], found[mine] = np.take_along_axis(full, order, axis=1), np.take_along_axis(names, order, axis=1)
+        i, j = np.nonzero(np.isfinite(score))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(found[i, j]), pa.array(score[i, j])], ["query_id", "vec_id", "score"])
+
+    pieces = index.rows.select("cell", "low", "high", "ids", "codes", "x")
+    if len(by_cell) <= 1000:
+        pieces = pieces.where(F.col("cell").isin(list(by_cell)))  # reaches the scan
+    return pieces.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -457,8 +457,10 @@ def test_index_finds_rows_themselves_first(spark):
         index.IndexConfig(4, metric="other")
 
 
+@pytest.mark.parametrize("few", [0, 4096])
 @pytest.mark.parametrize("metric", ["l2", "dot"])
-def test_index_ranks_by_its_metric(spark, metric):
+def test_index_ranks_by_its_metric(spark, monkeypatch, metric, few):
+    monkeypatch.setattr(index, "FEW", few)
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 16)) * rng.uniform(0.2, 3, (300, 1))
     v = vectors(spark, [(i, r.tolist()) for i, r in enumerate(x)])
@@ -469,8 +471,10 @@ def test_index_ranks_by_its_metric(spark, metric):
         assert r.vec_id == np.argsort(-score)[r["rank"] - 1] and r.score == pytest.approx(np.sort(score)[-r["rank"]])
 
 
-def test_index_stops_at_cells_that_hold_nothing_better(spark, monkeypatch):
+@pytest.mark.parametrize("few", [0, 4096])
+def test_index_stops_at_cells_that_hold_nothing_better(spark, monkeypatch, few):
     monkeypatch.setattr(index, "PIECE", 20)
+    monkeypatch.setattr(index, "FEW", few)
     rng = np.random.default_rng(9)
     centers = rng.normal(size=(24, 16)) * 4
     x = np.concatenate([centers[np.arange(1200) % 24] + rng.normal(size=(1200, 16)) * 0.1, np.repeat(centers[:1], 90, axis=0)])
@@ -479,13 +483,10 @@ def test_index_stops_at_cells_that_hold_nothing_better(spark, monkeypatch):
     sizes = [r.n for r in built.rows.select("n").collect()]
     assert max(sizes) <= 20 and sum(sizes) == 1290
     q = v.where("vec_id % 60 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    seen, routed = [], index._most
-    monkeypatch.setattr(index, "_most", lambda *a: (seen.append(1), routed(*a))[1])
     found = index.search(built, q, 5, probes=6).collect()  # a quarter of the cells
     score = -((x[:, None] - x[None]) ** 2).sum(axis=2)
     exact = {(i, r) for i in range(0, 1290, 60) for r in np.round(np.sort(score[i])[-5:], 6)}
     assert len({(r.query_id, round(r.score, 6)) for r in found} & exact) >= 0.9 * len(exact)
-    # of a query's cells only its own is searched: no other can hold a better row
     ask = index.search(built, q, 5, probes=None, refine=None)
     assert {(r.query_id, round(r.score, 6)) for r in ask.collect()} == exact
 
