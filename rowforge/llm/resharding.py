@@ -161,7 +161,9 @@ def reshard(
     A row's size is its text's UTF-8 bytes (null: none) plus 8. Before, rows lie in `olds`
     shards, by `old` or else by a hash of their text. Blocks (hash ranges of texts in an old
     shard, so equal texts stay together) go to `shards` new shards of nearly equal bytes; the
-    blocks' sizes are all that the driver sees. A group of equal texts that is larger than a
+    blocks' sizes are all that the driver sees. That plan grows with the shards, not with the
+    rows: at most BLOCKS sizes for an old shard and an edge for each old and new one, so it's
+    meant for some hundreds of shards. A group of equal texts that is larger than a
     new shard is cut by id, as it fits in none; one that has more than a shard's share of rows
     is numbered in pieces. Slots are gapless from 0 in each shard, block by block, by id within
     a block; repeated and null ids get a slot each. Texts are shuffled once, to about CHUNK
