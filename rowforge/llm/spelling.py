@@ -278,7 +278,7 @@ def near_words(words: DataFrame, *, block: int = BLOCK) -> DataFrame:
         .mapInArrow(_composed, _PAIRS)
     )
     ids = divided.select(F.xxhash64("word").alias("id"), "word", "cut")
-    met = materialize(
+    met = (
         ids.mapInArrow(_residuals, "key long, at int, id long")
         .repartition(parts, "key")
         .sortWithinPartitions("key", "at", "id")
@@ -305,8 +305,9 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if ratio < 2:
         raise ValueError("forms must be more frequent: a ratio of 2 at least")
     words = materialize(vocabulary(docs, id_col, text_col, least=least, seen=seen, noise=noise))
-    pairs = materialize(near_words(words, block=block))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    # each pair both ways, in one pass
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = near_words(words, block=block).select(F.inline(ways))
     near = both.join(words.select(F.col("word").alias("b"), F.col("n").alias("m")), "b")
     # the smallest word of those with the largest n: both in one struct, smallest first
     best = near.groupBy("a").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("less"), F.col("b").alias("form"))).alias("best"))
