@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """A double rounded half up in magnitude, as Spark's `round` does; what becomes zero keeps its sign, as in IEEE arithmetic and SQL engines that follow it."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.when(F.abs(x) < float(f"5e-{digits + 1}"), x * 0.0).otherwise(F.round(x, digits))
+
+
 def sha_seed(*parts: Column) -> Column:
     """An unsigned 64-bit seed, the first 8 bytes of SHA-256 of the parts joined by a colon."""
     return F.conv(F.substring(F.sha2(F.concat_ws(":", *(p.cast("string") for p in parts)), 256), 1, 16), 16, 10).cast("decimal(20,0)")

@@ -277,7 +277,7 @@ def f35(spark, sf_dir):
 
 @query("f36_delay", f"SELECT vec_id, list_transform(range(1, 65), lambda i: CASE WHEN i <= label THEN 0 ELSE round(v[i - label], 6) END) AS delayed FROM {_E}")
 def f36(spark, sf_dir):
-    return vectors(spark, sf_dir).select("vec_id", F.transform(A.delayed("v", F.col("label").cast("int")), lambda x: F.round(x, 6)).alias("delayed"))
+    return vectors(spark, sf_dir).select("vec_id", F.transform(A.delayed("v", F.col("label").cast("int")), lambda x: S.rounded(x, 6)).alias("delayed"))
 
 
 @query("f37_fill_batch", """
