@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rowforge.functions import arrays as A
+from rowforge.functions import scalars as S
 from rowforge.operators import metrics, ranking, signals
 from rowforge.plans.joins import splits
 from rowforge.plans.predicates import vectors
@@ -215,7 +216,7 @@ def a21(spark, sf_dir):
 
 @query("w20_fit_frames", f"SELECT vec_id, list_transform(range(1, 81), lambda i: round(v[least(i, 64)], 6)) AS fitted FROM {_E}")
 def w20(spark, sf_dir):
-    return vectors(spark, sf_dir).select("vec_id", F.transform(A.fitted("v", 80), lambda x: F.round(x, 6)).alias("fitted"))
+    return vectors(spark, sf_dir).select("vec_id", F.transform(A.fitted("v", 80), lambda x: S.rounded(x, 6)).alias("fitted"))
 
 
 @query("w21_adaptive_pool", f"""
