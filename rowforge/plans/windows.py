@@ -223,7 +223,7 @@ def w20(spark, sf_dir):
 SELECT vec_id, list_transform(range(5), lambda i: round(list_avg(v[CAST(floor(i * 64 / 5.0) AS BIGINT) + 1:CAST(ceil((i + 1) * 64 / 5.0) AS BIGINT)]), 6)) AS mean,
  list_transform(range(5), lambda i: round(list_max(v[CAST(floor(i * 64 / 5.0) AS BIGINT) + 1:CAST(ceil((i + 1) * 64 / 5.0) AS BIGINT)]), 6)) AS top FROM {_E}""")
 def w21(spark, sf_dir):
-    rounded = lambda c: F.transform(c, lambda x: F.round(x, 6))
+    rounded = lambda c: F.transform(c, lambda x: S.rounded(x, 6))
     return vectors(spark, sf_dir).select("vec_id", rounded(A.adaptive_pool("v", 5)).alias("mean"), rounded(A.adaptive_pool("v", 5, F.array_max)).alias("top"))
 
 
