@@ -19,7 +19,7 @@ _LONGSQ = f"(SELECT vec_id, label, CAST(generate_subscripts(pred, 1) - 1 AS INTE
 
 
 def _round(df, *columns, digits=6):
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+    return df.withColumns({c: S.rounded(c, digits) for c in columns})
 
 
 def _seconds(ts):
@@ -49,7 +49,7 @@ def a2(spark, sf_dir):
 SELECT CAST(pos AS INTEGER) AS pos, CASE WHEN sd <= 0.127 THEN 1 ELSE round(sd, 6) END AS std FROM (SELECT pos, stddev_pop(v) AS sd FROM {LONG} GROUP BY pos)""")
 def a3(spark, sf_dir):
     done = stats.finalise(stats.channel_states(vectors(spark, sf_dir), []), mask=True, least=0.127)
-    return done.select("pos", F.round("std", 6).alias("std"))
+    return done.select("pos", S.rounded("std", 6).alias("std"))
 
 
 @query("a3_refusals", f"""
@@ -170,7 +170,7 @@ def a15(spark, sf_dir):
 
 @query("a16_weighted_swap", f"SELECT round(sum(mse * n) / sum(n), 6) AS mse FROM (SELECT mse, 1 AS n FROM ({_SWAP.format(g='0', long=_LONGSQ).replace('round(avg((p - t) * (p - t)), 6)', 'avg((p - t) * (p - t))')}))")
 def a16(spark, sf_dir):
-    return metrics.evaluate(pairs(spark, sf_dir), {"swap": metrics.SwapError()}).select(F.round("value", 6).alias("mse"))
+    return metrics.evaluate(pairs(spark, sf_dir), {"swap": metrics.SwapError()}).select(S.rounded("value", 6).alias("mse"))
 
 
 @query("a17_group_swap", _SWAP.format(g="pos % 8", long=_LONGSQ))
@@ -203,7 +203,7 @@ def a18(spark, sf_dir):
 @query("a19_weighted_group_swap", f"SELECT round(sum(m * n) / sum(n), 6) AS mse FROM (SELECT mse AS m, 1 AS n FROM ({_SWAP.format(g='pos % 8', long=_LONGSQ).replace('round(avg((p - t) * (p - t)), 6)', 'avg((p - t) * (p - t))')}))")
 def a19(spark, sf_dir):
     swap = metrics.SwapError(tuple(tuple(range(g, 64, 8)) for g in range(8)))
-    return metrics.evaluate(pairs(spark, sf_dir), {"swap": swap}).select(F.round("value", 6).alias("mse"))
+    return metrics.evaluate(pairs(spark, sf_dir), {"swap": swap}).select(S.rounded("value", 6).alias("mse"))
 
 
 @query("a22_status_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
@@ -224,7 +224,7 @@ def a24(spark, sf_dir):
     seconds = _seconds(F.max("ts")) - _seconds(F.min("ts"))
     return table(spark, sf_dir, "events").agg(
         done.alias("rendered"), F.count_if(F.col("event_type") == "error").alias("skipped"), F.count("*").alias("total"), seconds.alias("seconds"),
-        F.round(F.coalesce(F.try_divide(done, seconds), F.lit(0.0)), 6).alias("rate"),
+        S.rounded(F.coalesce(F.try_divide(done, seconds), F.lit(0.0)), 6).alias("rate"),
     )
 
 
@@ -236,7 +236,7 @@ def a25(spark, sf_dir):
 
     key = F.concat("l_returnflag", "l_linestatus").alias("l_shipmode")
     d = table(spark, sf_dir, "lineitem").groupBy(key).agg(F.avg(F.col("l_extendedprice") * F.col("l_discount")).alias("d"))
-    return d.select("l_shipmode", F.row_number().over(Window.orderBy(F.desc("d"), "l_shipmode")).alias("rank"), F.round("d", 5).alias("distance"))
+    return d.select("l_shipmode", F.row_number().over(Window.orderBy(F.desc("d"), "l_shipmode")).alias("rank"), S.rounded("d", 5).alias("distance"))
 
 
 @query("a26_value_counts", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
@@ -256,7 +256,7 @@ SELECT CAST(ts AS DATE) AS day, round(avg(value), 5) AS mean, round(avg(value) -
 def a28(spark, sf_dir):
     m, s = F.avg("value"), F.stddev_samp("value")
     return table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(
-        F.round(m, 5).alias("mean"), F.round(m - 2 * s, 5).alias("low"), F.round(m + 2 * s, 5).alias("high")
+        S.rounded(m, 5).alias("mean"), S.rounded(m - 2 * s, 5).alias("low"), S.rounded(m + 2 * s, 5).alias("high")
     )
 
 
@@ -286,7 +286,7 @@ def a32(spark, sf_dir):
     # an oracle's predictions, some of which a clipped copy spoils: the gate passes only where the total is exactly 0
     spoilt = F.transform("v", lambda x: F.when((F.col("vec_id") % 50 == 7) & (F.abs(x) > 0.3), x / 2).otherwise(x))
     e = rows.select("label", A.total(A.squared_error("v", spoilt)).alias("e")).groupBy("label").agg(F.sum("e").alias("total"))
-    return e.select("label", F.round("total", 6).alias("total"), (F.col("total") == 0).alias("passed"))
+    return e.select("label", S.rounded("total", 6).alias("total"), (F.col("total") == 0).alias("passed"))
 
 
 @query("a33_slot_cosine", f"""
@@ -297,7 +297,7 @@ def a33(spark, sf_dir):
     u = vectors(spark, sf_dir).select("vec_id", unit.alias("u"))
     summed = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: A.total(F.transform("u", lambda s: F.get(s, j))))
     own = A.total(F.transform("u", lambda s: A.dot(s, s)))
-    return u.select("vec_id", F.round((A.dot(summed, summed) - own) / 56, 6).alias("cosine"))
+    return u.select("vec_id", S.rounded((A.dot(summed, summed) - own) / 56, 6).alias("cosine"))
 
 
 @query("a34_run_identity", """

@@ -74,7 +74,7 @@ def j5(spark, sf_dir):
     kind = F.when(F.pmod("l_linenumber", F.lit(3)) == 0, "stepped").when(F.pmod("l_linenumber", F.lit(3)) == 1, "continuous").otherwise("category")
     x = matching.native_value(F.col("l_discount") * 10, F.lit(1.0), F.col("p_size").cast("double"), kind, F.array(*map(F.lit, (0.0, 0.26, 0.52, 0.77, 1.0))))
     problem = F.when(F.col("p_partkey").isNull(), "unknown key")
-    return rows.select("l_orderkey", "l_linenumber", F.round(x, 6).alias("native"), problem.alias("problem"))
+    return rows.select("l_orderkey", "l_linenumber", S.rounded(x, 6).alias("native"), problem.alias("problem"))
 
 
 @query("j6_pair_by_id", "SELECT p.vec_id, t.vec_id IS NOT NULL AS paired FROM embeddings p LEFT JOIN embeddings t ON t.vec_id = p.vec_id + 1")
@@ -128,7 +128,7 @@ def j11(spark, sf_dir):
     a, b = m.alias("a"), m.alias("b")
     both = a.join(b, (F.col("a.l_partkey") == F.col("b.l_partkey")) & (F.col("a.l_returnflag") < F.col("b.l_returnflag")))
     return both.groupBy(F.col("a.l_returnflag").alias("a"), F.col("b.l_returnflag").alias("b")).agg(
-        F.count("*").alias("n"), F.round(F.avg(F.abs(F.col("a.x") - F.col("b.x"))), 4).alias("d")
+        F.count("*").alias("n"), S.rounded(F.avg(F.abs(F.col("a.x") - F.col("b.x"))), 4).alias("d")
     )
 
 
@@ -141,7 +141,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(c, 6) AS cosine FR
 def j12(spark, sf_dir):
     v = vectors(spark, sf_dir)
     q = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    return matching.k_nearest(q, v, 5).select("query_id", "rank", "vec_id", F.round("cosine", 6).alias("cosine"))
+    return matching.k_nearest(q, v, 5).select("query_id", "rank", "vec_id", S.rounded("cosine", 6).alias("cosine"))
 
 
 _J13 = f"""
@@ -156,7 +156,7 @@ SELECT o.batch, n AS rows, round(min(cost), 6) AS total FROM o JOIN (SELECT batc
 def j13(spark, sf_dir):
     rows = pairs(spark, sf_dir).withColumn("batch", F.floor(F.col("vec_id") / 6).cast("long"))
     paired = matching.pair_batches(rows, "batch", "vec_id", "pred", "target")
-    return paired.groupBy("batch").agg(F.countDistinct("paired").alias("rows"), F.round(F.sum("distance"), 6).alias("total"))
+    return paired.groupBy("batch").agg(F.countDistinct("paired").alias("rows"), S.rounded(F.sum("distance"), 6).alias("total"))
 
 
 def _sinkhorn_sql(rounds: int, reg: float) -> str:
@@ -173,7 +173,7 @@ def j14(spark, sf_dir):
     s = vectors(spark, sf_dir).select(F.col("vec_id").alias("g"), A.bands("v", 8).alias("s"))
     grid = s.select("g", "s", F.posexplode("s").alias("i", "a")).select("g", "i", "a", F.posexplode("s").alias("j", "b"))
     costs = grid.select("g", "i", "j", A.total(A.squared_error("a", "b")).alias("cost"))
-    return matching.sinkhorn(costs, 5, 0.5).select("g", "i", "j", F.round("cost", 6).alias("cost"), F.round("p", 6).alias("p"))
+    return matching.sinkhorn(costs, 5, 0.5).select("g", "i", "j", S.rounded("cost", 6).alias("cost"), S.rounded("p", 6).alias("p"))
 
 
 @query("j15_shuffle_probe", """

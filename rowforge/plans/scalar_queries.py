@@ -112,7 +112,7 @@ def f14(spark, sf_dir):
 
 @query("f15_cosine", f"SELECT vec_id, round(least(greatest(list_cosine_similarity(pred, target), -1), 1), 6) AS cosine FROM {PAIRS}")
 def f15(spark, sf_dir):
-    return pairs(spark, sf_dir).select("vec_id", F.round(A.cosine("pred", "target"), 6).alias("cosine"))
+    return pairs(spark, sf_dir).select("vec_id", S.rounded(A.cosine("pred", "target"), 6).alias("cosine"))
 
 
 @query("f16_self_similarity", f"""
@@ -121,25 +121,25 @@ SELECT a.vec_id, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(lis
 def f16(spark, sf_dir):
     s = vectors(spark, sf_dir).select("vec_id", A.bands("v", 8).alias("s"))
     grid = s.select("vec_id", "s", F.posexplode("s").alias("i", "a")).select("vec_id", "i", "a", F.posexplode("s").alias("j", "b"))
-    return grid.select("vec_id", "i", "j", F.round(A.dot("a", "b") / A.dot("b", "b"), 5).alias("s"))
+    return grid.select("vec_id", "i", "j", S.rounded(A.dot("a", "b") / A.dot("b", "b"), 5).alias("s"))
 
 
 @query("f17_latent_mse", f"""
 SELECT vec_id, round(list_sum(list_transform(list_zip(pred, target), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 64
  / (list_aggregate(target, 'var_pop') + 1e-6), 5) AS d FROM {PAIRS}""")
 def f17(spark, sf_dir):
-    return pairs(spark, sf_dir).select("vec_id", F.round(A.mean(A.squared_error("pred", "target")) / (A.var_pop("target") + 1e-6), 5).alias("d"))
+    return pairs(spark, sf_dir).select("vec_id", S.rounded(A.mean(A.squared_error("pred", "target")) / (A.var_pop("target") + 1e-6), 5).alias("d"))
 
 
 @query("f18_decibels", f"SELECT vec_id, list_transform(range(1, 33), lambda i: round(10 * log10(greatest(v[i] * v[i] + v[i + 32] * v[i + 32], 1e-8)), 5)) AS db FROM {_E}")
 def f18(spark, sf_dir):
     power = F.zip_with(F.slice("v", 1, 32), F.slice("v", 33, 32), lambda r, i: r * r + i * i)
-    return vectors(spark, sf_dir).select("vec_id", F.transform(power, lambda p: F.round(S.decibels(p), 5)).alias("db"))
+    return vectors(spark, sf_dir).select("vec_id", F.transform(power, lambda p: S.rounded(S.decibels(p), 5)).alias("db"))
 
 
 @query("f19_midi", "SELECT p_partkey, round(69 + 12 * log2(greatest(p_retailprice, 8) / 440), 6) AS pitch FROM part")
 def f19(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(S.midi_pitch(F.col("p_retailprice")), 6).alias("pitch"))
+    return table(spark, sf_dir, "part").select("p_partkey", S.rounded(S.midi_pitch(F.col("p_retailprice")), 6).alias("pitch"))
 
 
 @query("f20_frame_count", "SELECT doc_id, 1 + n_chars // 160 AS frames FROM documents")
@@ -150,7 +150,7 @@ def f20(spark, sf_dir):
 @query("f21_min_max", "SELECT l_orderkey, l_linenumber, round(l_discount / 0.1, 6) AS u, round(l_discount, 6) AS back FROM lineitem")
 def f21(spark, sf_dir):
     u = S.scaled(F.col("l_discount"), 0.0, 0.1)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(u, 6).alias("u"), F.round(S.unscaled(u, 0.0, 0.1), 6).alias("back"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", S.rounded(u, 6).alias("u"), S.rounded(S.unscaled(u, 0.0, 0.1), 6).alias("back"))
 
 
 @query("f22_one_hot", "SELECT p_partkey, list_transform(range(1, 51), lambda i: CASE WHEN i = p_size THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS hot, p_size AS back FROM part")
@@ -191,7 +191,7 @@ _ENC = "[(p_size - 1) / 49.0::DOUBLE, (p_retailprice - 900) / 1200.0::DOUBLE, (p
 
 @query("f25_encode_row", f"SELECT p_partkey AS id, list_transform({_ENC}, lambda x: round(x, 6)) AS encoded FROM part")
 def f25(spark, sf_dir):
-    return E.encode(part_settings(spark, sf_dir), spec(spark)).select("id", F.transform("encoded", lambda x: F.round(x, 6)).alias("encoded"))
+    return E.encode(part_settings(spark, sf_dir), spec(spark)).select("id", F.transform("encoded", lambda x: S.rounded(x, 6)).alias("encoded"))
 
 
 @query("f26_decode_row", """
@@ -199,7 +199,7 @@ SELECT p_partkey AS id, p_size AS size, round(p_retailprice, 4) AS price, CAST(p
 def f26(spark, sf_dir):
     back = E.decode(E.encode(part_settings(spark, sf_dir), spec(spark)), spec(spark))
     wide = back.groupBy("id").pivot("name", ["p_size", "p_retailprice", "p_group"]).agg(F.first("value"))
-    return wide.select("id", F.col("p_size").cast("int").alias("size"), F.round(F.col("p_retailprice").cast("double"), 4).alias("price"), F.col("p_group").alias("grp"))
+    return wide.select("id", F.col("p_size").cast("int").alias("size"), S.rounded(F.col("p_retailprice").cast("double"), 4).alias("price"), F.col("p_group").alias("grp"))
 
 
 @query("f27_weighted_draw", f"""
@@ -214,7 +214,7 @@ SELECT o_orderkey, round(CASE WHEN {_UNIT.format("'a:' || o_orderkey")} < 0.25 T
 def f28(spark, sf_dir):
     key = F.col("o_orderkey")
     x = E.point_mass(S.unit_draw(F.lit("a"), key), S.unit_draw(F.lit("b"), key), 2.0, 8.0, 0.25, 0.0)
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(x, 6).alias("x"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", S.rounded(x, 6).alias("x"))
 
 
 @query("f29_round_robin", "SELECT o_orderkey, CAST(o_orderkey % 3 AS INTEGER) AS parameter FROM orders")
@@ -231,7 +231,7 @@ def f30(spark, sf_dir):
     u = S.unit_draw(F.lit("redraw"), F.col("id"))
     shifted = F.transform("encoded", lambda x, i: F.when(i == which, u).otherwise(x))
     change = A.norm(F.zip_with(shifted, "encoded", lambda a, b: a - b))
-    return rows.select("id", which.alias("parameter"), F.round(change, 6).alias("change"))
+    return rows.select("id", which.alias("parameter"), S.rounded(change, 6).alias("change"))
 
 
 @query("f31_envelope_report", f"""

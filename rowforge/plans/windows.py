@@ -122,7 +122,7 @@ def w13(spark, sf_dir):
 def w14(spark, sf_dir):
     mass = F.transform("v", lambda x: F.abs(x))
     moment = A.total(F.transform(mass, lambda x, i: x * i))
-    return vectors(spark, sf_dir).select("vec_id", F.round(moment / A.total(mass), 5).alias("center")).orderBy("center", "vec_id")
+    return vectors(spark, sf_dir).select("vec_id", S.rounded(moment / A.total(mass), 5).alias("center")).orderBy("center", "vec_id")
 
 
 @query("w15_onset", f"SELECT vec_id, coalesce(min(pos) FILTER (abs(v) > 0.2), -1) AS onset FROM {LONG} GROUP BY vec_id")
@@ -136,7 +136,7 @@ WITH h AS (SELECT vec_id, pos, abs(a) / sum(abs(a)) OVER (PARTITION BY vec_id) -
 SELECT vec_id, round(avg(abs(c)), 6) AS distance FROM (SELECT vec_id, sum(d) OVER (PARTITION BY vec_id ORDER BY pos) AS c FROM h) GROUP BY vec_id""")
 def w16(spark, sf_dir):
     hist = lambda c: F.transform(c, lambda x: F.abs(x) / A.total(F.transform(c, lambda y: F.abs(y))))
-    return pairs(spark, sf_dir).select("vec_id", F.round(A.wasserstein(hist("pred"), hist("target")), 6).alias("distance"))
+    return pairs(spark, sf_dir).select("vec_id", S.rounded(A.wasserstein(hist("pred"), hist("target")), 6).alias("distance"))
 
 
 _ENV = """list_transform(range(0, 9), lambda f: sqrt(list_sum(list_transform(range(f * 8 - 8, f * 8 + 8), lambda i: CASE WHEN i >= 0 AND i < 64 THEN {x}[i + 1] * {x}[i + 1] ELSE 0 END)) / 16))"""
@@ -146,7 +146,7 @@ _ENV = """list_transform(range(0, 9), lambda f: sqrt(list_sum(list_transform(ran
 def w17(spark, sf_dir):
     a, b = (A.rms_envelope(c, 16, 8) for c in ("pred", "target"))
     guarded = F.when(A.norm(a) * A.norm(b) < 1e-12, 0.0).otherwise(A.cosine(a, b))
-    return pairs(spark, sf_dir).select("vec_id", F.round(guarded, 6).alias("cosine"))
+    return pairs(spark, sf_dir).select("vec_id", S.rounded(guarded, 6).alias("cosine"))
 
 
 def _frames_sql(rows: str, name: str, window: int, hop: int) -> str:
@@ -204,14 +204,14 @@ _BOTH = f"WITH {_SIDES}, sp AS ({_DFT.format('p')}), st AS ({_DFT.format('t')})
  SELECT vec_id, label, sqrt(avg(pow(10 * log10(greatest(pow(p.m / 64, 2), 1e-8)) - 10 * log10(greatest(pow(t.m / 64, 2), 1e-8)), 2))) AS x FROM sp p JOIN st t USING (vec_id, label, k) GROUP BY vec_id, label) GROUP BY label)""")
 def a20(spark, sf_dir):
     found = metrics.over_updates(pairs(spark, sf_dir), {"lsd": metrics.LogSpectral()}, "label")
-    return found.select(F.round("value", 6).alias("lsd"), F.col("updates").alias("batches"))
+    return found.select(S.rounded("value", 6).alias("lsd"), F.col("updates").alias("batches"))
 
 
 @query("a21_spectral_l1", _BOTH + """SELECT round(avg(l), 6) AS l1, count(*) AS batches FROM (SELECT label, avg(x) AS l FROM (
  SELECT vec_id, label, avg(abs(p.m - t.m)) AS x FROM sp p JOIN st t USING (vec_id, label, k) GROUP BY vec_id, label) GROUP BY label)""")
 def a21(spark, sf_dir):
     found = metrics.over_updates(pairs(spark, sf_dir), {"l1": metrics.SpectralL1()}, "label")
-    return found.select(F.round("value", 6).alias("l1"), F.col("updates").alias("batches"))
+    return found.select(S.rounded("value", 6).alias("l1"), F.col("updates").alias("batches"))
 
 
 @query("w20_fit_frames", f"SELECT vec_id, list_transform(range(1, 81), lambda i: round(v[least(i, 64)], 6)) AS fitted FROM {_E}")
