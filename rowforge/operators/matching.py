@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,56 +62,113 @@ def native_value(u: Column, low: Column, high: Column, kind: Column, choices: Co
     return F.when(kind == "category", low + index).when(kind == "stepped", F.bround(lerp)).otherwise(lerp)
 
 
-def _best_k(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """The k largest cosines of each query, ties to the smaller id."""
-    q, x = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (q, x))
-    out = []
-    for start in range(0, len(q), 512):
-        for query, scores in zip(query_ids[start : start + 512], np.round(q[start : start + 512] @ x.T, 12), strict=True):
-            near = np.argpartition(-scores, k - 1)[:k] if len(scores) > k else np.arange(len(scores))
-            near = np.flatnonzero(scores >= scores[near].min())  # ties with the last one too
-            best = near[np.lexsort((ids[near], -scores[near]))[:k]]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "cosine": scores[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "cosine": []}).astype({"query_id": "int64", "vec_id": "int64"})
+#: Scores that are made at a time in a task, about.
+TILE = 1 << 20
+
+
+class Best:
+    """The k best rows of each query, of scores to 12 digits, ties to the smaller id; rows come in any portions."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.score, self.ids = np.full((queries, k), -np.inf), np.full((queries, k), np.iinfo(np.int64).max)
+
+    def floor(self, queries: np.ndarray) -> np.ndarray:
+        """The score that a row needs at least; -inf while there are fewer than k."""
+        return self.score[queries, -1]
+
+    def add(self, queries: np.ndarray, scores: np.ndarray, ids: np.ndarray, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> None:
+        """scores: of the queries, by their numbers, with rows of these ids; of those good enough `wanted` may leave out more."""
+        k, floor = self.k, self.floor(queries)
+        if wanted is None and len(ids) > k and np.isneginf(floor).any():
+            floor = np.maximum(floor, -np.partition(-scores, k - 1, axis=1)[:, k - 1])
+        i, j = np.nonzero(scores >= floor[:, None] - 1e-11)
+        score, to = np.round(scores[i, j], 12), queries[i]
+        last = self.score[to, -1]
+        good = (score > last) | ((score == last) & (ids[j] < self.ids[to, -1]))
+        i, j, score = i[good], j[good], score[good]
+        if wanted is not None and len(i):
+            good = wanted(i, j)
+            i, j, score = i[good], j[good], score[good]
+        if not len(i):
+            return
+        some, place = np.unique(i, return_inverse=True)
+        held = queries[some]
+        place = np.concatenate([np.repeat(np.arange(len(some)), k), place])
+        score, ids = np.concatenate([self.score[held].ravel(), score]), np.concatenate([self.ids[held].ravel(), ids[j]])
+        order = np.lexsort((ids, -score, place))
+        first = np.searchsorted(place[order], np.arange(len(some)))
+        order = order[first[:, None] + np.arange(k)]
+        self.score[held], self.ids[held] = score[order], ids[order]
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of queries, ids and scores."""
+        i, j = np.nonzero(np.isfinite(self.score))
+        return i, self.ids[i, j], self.score[i, j]
+
+
+#: Queries, and bytes of them, at most, that go to every task.
+QUERIES = 131_072
+QUERY_BYTES = 64 << 20
 
 
-#: Bytes of queries that are broadcast, at most.
-QUERY_BYTES = 64 << 20
+def _directions(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.empty((0, 1))
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
 
+def _compare(best: Best, q: np.ndarray, ids: np.ndarray, x: np.ndarray) -> None:
+    """All queries with all rows, in tiles of about TILE scores."""
+    for b in range(0, len(x), 4096):
+        for a in range(0, len(q), TILE // 4096):
+            best.add(np.arange(a, min(a + TILE // 4096, len(q))), q[a : a + TILE // 4096] @ x[b : b + 4096].T, ids[b : b + 4096])
 
-def k_nearest(queries: DataFrame, vectors: DataFrame, k: int, *, block: int = 4096, chunk: int = 65_536) -> DataFrame:
+
+def k_nearest(queries: DataFrame, vectors: DataFrame, k: int, *, block: int = QUERIES, chunk: int = 65_536) -> DataFrame:
     """(query_id, rank, vec_id, cosine) of (query_id, q) in (vec_id, v), exact.
 
     Up to `block` queries, of QUERY_BYTES together, are broadcast and every task compares them
     with its own vectors. More of them meet the vectors in blocks: each block of queries with
     each chunk of vectors in a task, so rows of either side are sent once for every block of the
-    other. Tasks pass on k candidates a query; the best of them win. Ties go to the smaller id.
+    other. A task holds a tile of scores and its best k rows of each query, which it passes on;
+    the best of them win. Ties go to the smaller id. The work is all pairs.
     """
     schema = "query_id long, vec_id long, cosine double"
     n, values = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("q")), F.lit(0))).first()
-    if n <= block and 8 * values <= QUERY_BYTES:
-        asked = queries.select("query_id", "q").toPandas()
-        ids, q = asked["query_id"].to_numpy(), np.stack(asked["q"].to_numpy()) if n else np.empty((0, 1))
-        shared = queries.sparkSession.sparkContext.broadcast((ids, q))
 
-        def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                if not f.empty and len(shared.value[0]):
-                    yield _best_k(*shared.value, f["vec_id"].to_numpy(), np.stack(f["v"].to_numpy()), k)
+    def told(best: Best, ids: np.ndarray) -> pa.RecordBatch:
+        i, found, score = best.rows()
+        return pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(found, pa.int64()), pa.array(score)], ["query_id", "vec_id", "cosine"])
 
-        found = vectors.select("vec_id", "v").mapInPandas(near, schema)
+    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q"))
+    rows = vectors.select("vec_id", F.col("v").cast("array<double>").alias("v"))
+    if n <= block and 8 * values <= QUERY_BYTES:
+        t = asked.toArrow()
+        shared = queries.sparkSession.sparkContext.broadcast((t["query_id"].to_numpy(), _directions(t["q"])))
+
+        def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            best = Best(len(ids), k)
+            for b in batches:
+                if b.num_rows and len(ids):
+                    _compare(best, q, b.column(0).to_numpy(), _directions(b.column(1)))
+            yield told(best, ids)
+
+        found = rows.mapInArrow(near, schema)
     else:
-        parts, chunks = -(-n // block), max(1, -(-vectors.count() // chunk))
+        parts, chunks = -(-n // min(block, 65_536)), max(1, -(-vectors.count() // chunk))
         every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-        left = queries.select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"), every(chunks).alias("chunk"))
-        right = vectors.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"), every(parts).alias("part"))
+        left = asked.select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"), every(chunks).alias("chunk"))
+        right = rows.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"), every(parts).alias("part"))
 
-        def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if a.empty or b.empty:
-                return _best_k(np.empty(0), np.empty((0, 1)), np.empty(0), np.empty((0, 1)), k)
-            return _best_k(a["query_id"].to_numpy(), np.stack(a["q"].to_numpy()), b["vec_id"].to_numpy(), np.stack(b["v"].to_numpy()), k)
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            best = Best(a.num_rows, k)
+            if a.num_rows and b.num_rows:
+                _compare(best, _directions(a["q"]), b["vec_id"].to_numpy(), _directions(b["v"]))
+            return pa.Table.from_batches([told(best, a["query_id"].to_numpy())])
 
-        found = left.groupBy("part", "chunk").cogroup(right.groupBy("part", "chunk")).applyInPandas(meet, schema)
+        found = left.groupBy("part", "chunk").cogroup(right.groupBy("part", "chunk")).applyInArrow(meet, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
