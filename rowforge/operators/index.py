@@ -13,6 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rowforge.operators.matching import TILE, Best
 from rowforge.sources.tables import is_complete, kept
 
 #: Rows that cells and codebooks are fitted on: those with the smallest hashes of their ids, so many or PER_CELL for each cell. All rows are indexed.
@@ -24,11 +25,13 @@ MAX_CELLS = 65_536
 #: Rows and bytes of vectors that a piece of a cell holds, at most.
 PIECE = 4096
 PIECE_BYTES = 4 << 20
-#: Queries that meet a piece together, at most, and bytes of queries that are broadcast.
-ASKED = 256
+#: Queries, and bytes of them, at most, that go to every task, which then searches its own pieces for all of them.
+FEW = 131_072
 QUERY_BYTES = 64 << 20
-#: Queries, at most, that go to every task, which then searches its own pieces for all of them.
-FEW = 4096
+#: Of more queries: those that meet a chunk of rows in a task, about, and rows and bytes of a chunk.
+ASKED = 65_536
+CHUNK = 65_536
+CHUNK_BYTES = 64 << 20
 METRICS = ("cosine", "l2", "dot")
 
 
@@ -80,6 +83,14 @@ def affinity(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return dot if metric != "l2" else 2 * dot - (q**2).sum(axis=1)[:, None] - (x**2).sum(axis=1)[None, :]
 
 
+def _cells(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """The nearest center of each row, some rows at a time: memory doesn't grow with the number of cells."""
+    out = np.empty(len(x), dtype=np.int64)
+    for at in _tiles(len(x), len(centers)):
+        out[at] = _nearness(x[at], centers, "l2").argmax(axis=1)
+    return out
+
+
 def build(vectors: DataFrame, config: IndexConfig | None = None, *, sample: int = SAMPLE) -> VectorIndex | None:
     """Index all rows of (vec_id, v); None for fewer than MIN_ROWS. Cells default to the root of the row count, MAX_CELLS at most.
 
@@ -111,7 +122,7 @@ def build(vectors: DataFrame, config: IndexConfig | None = None, *, sample: int
         for f in frames:
             if not f.empty:
                 u = np.stack(f["v"].to_numpy())
-                yield pd.DataFrame({"vec_id": f["vec_id"], "v": list(u - middle.value[affinity(u, middle.value, "l2").argmax(axis=1)])})
+                yield pd.DataFrame({"vec_id": f["vec_id"], "v": list(u - middle.value[_cells(u, middle.value)])})
 
     def book(f: pd.DataFrame) -> pd.DataFrame:
         p = int(f["part"].iloc[0])
@@ -131,7 +142,7 @@ def build(vectors: DataFrame, config: IndexConfig | None = None, *, sample: int
                 continue
             u = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             u = unit(u) if metric == "cosine" else u
-            cell = affinity(u, centers, "l2").argmax(axis=1)
+            cell = _cells(u, centers)
             rest = u - centers[cell]
             code = np.stack([affinity(rest[:, p * width : (p + 1) * width], c, "l2").argmax(axis=1) for p, c in enumerate(books)], axis=1)
             told = np.concatenate([c[code[:, p]] for p, c in enumerate(books)], axis=1)
@@ -223,187 +234,144 @@ _SLACK = 1e-9
 def search(index: VectorIndex, queries: DataFrame, k: int, *, probes: int | None = 8, refine: int | None = 30) -> DataFrame:
     """(query_id, rank, vec_id, score) of (query_id, q), from the `probes` nearest cells of each query.
 
-    A query's nearest cell comes first. Its codes and their errors give a score that k rows
-    have at least; of the other cells, and of their pieces, only those are searched whose radius
-    lets a row be better than that, and of their rows only those pass on whose codes do. The best
-    refine * k by code are then compared by their vectors, which are read of their pieces alone.
-    Up to FEW queries go to all tasks instead, which search their pieces in one pass.
-    score is the metric's: a cosine, a dot product or a negative squared distance. Where balls
-    can't be told apart all `probes` cells are searched. With probes None any cell may be searched,
-    and with refine None all rows pass on whose codes let them be among the best k: the result is
-    then exact, but for ties.
+    A task goes through its pieces once with all queries that it has, and holds the best k rows
+    of each query: cells beyond the probes, and pieces whose bounds hold nothing better than what
+    was found, end there. Of a piece the best refine * k rows by code count. Up to FEW queries, of
+    QUERY_BYTES together, go to every task and the pieces stay where they are; of more queries
+    each block meets each chunk of pieces in a task. Candidates, k for each query and task, are
+    all that is passed on. score is the metric's: a cosine, a dot product or a negative squared
+    distance. Where balls can't be told apart all `probes` cells are searched. With probes None
+    any cell may be searched, and with refine None codes leave out no row: the result is then
+    exact, but for ties.
     """
-    metric, keep, probes = index.config.metric, refine and refine * k, probes or len(index.centers)
-    context = queries.sparkSession.sparkContext
-    shared = context.broadcast((index.centers, index.radii, index.books))
+    keep, probes = refine and refine * k, probes or len(index.centers)
     n, values = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("q")), F.lit(0))).first()
+    asked = _asked(index, queries, probes)
+    found = _in_place(index, asked, k, keep) if n <= FEW and 8 * values <= QUERY_BYTES else _by_blocks(index, asked, n, k, keep)
     last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best_k = lambda scored: scored.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-    if n <= FEW and 8 * values <= QUERY_BYTES:
-        return best_k(_in_place(index, queries, k, probes, keep))
-    chunks = max(1, -(-n // ASKED))
-    few = 8 * values * min(probes, len(index.centers)) <= QUERY_BYTES
-
-    def route(home: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            centers, radii, _ = shared.value
-            center2 = (centers**2).sum(axis=1)
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                q = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                q = unit(q) if metric == "cosine" else q
-                dot = q @ centers.T
-                near = dot if metric == "dot" else 2 * dot - center2
-                near = np.argsort(np.where(radii < 0, np.inf, -near), axis=1, kind="stable")[:, : min(probes, (radii >= 0).sum())]
-                near = near[:, :1] if home else near[:, 1:]
-                i = np.repeat(np.arange(len(q)), near.shape[1])
-                cell = near.ravel()
-                bound = b.column(2).to_numpy(zero_copy_only=False)
-                most = _most(metric, q, dot, center2, 0.0, np.maximum(radii, 0.0))[i, cell]
-                some = most >= bound[i] - _SLACK
-                i, cell = i[some], cell[some]
-                flat = pa.array(q[i].ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1) * q.shape[1], pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i)), lists, pa.array(bound[i]), pa.array(cell, pa.int32())], ["query_id", "q", "bound", "cell"])
-
-        return run
-
-    def met(asked: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-        """Pieces with the queries that ask them, at most about ASKED in a row."""
-        extra = [c for c in asked.columns if c not in by]
-        packed = asked.groupBy(*by, F.pmod(F.xxhash64("query_id"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct(*extra)).alias("asked")).drop("chunk")
-        return (F.broadcast(packed) if few else packed).join(index.rows.select(*columns), by)
-
-    def rough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centers, _, books = shared.value
-        for b in batches:
-            for r in range(b.num_rows):
-                row = {c: b.column(i)[r] for i, c in enumerate(b.schema.names)}
-                asked = row["asked"].values
-                q = asked.field("q").flatten().to_numpy(zero_copy_only=False).reshape(len(asked), -1)
-                center = centers[row["cell"].as_py()][None]
-                bound = asked.field("bound").to_numpy(zero_copy_only=False)
-                most = _most(metric, q, q @ center.T, (center**2).sum(axis=1), row["low"].as_py(), row["high"].as_py())[:, 0]
-                some = np.flatnonzero(most >= bound - _SLACK)
-                if not len(some):
-                    continue
-                q, bound, query = q[some], bound[some], asked.field("query_id").to_numpy()[some]
-                ids = row["ids"].values.to_numpy()
-                code = np.frombuffer(row["codes"].as_py(), dtype=np.uint16).reshape(len(ids), -1)
-                told = center + np.concatenate([c[code[:, p]] for p, c in enumerate(books)], axis=1)
-                about = q @ told.T
-                off = row["errors"].values.to_numpy()[None, :]
-                if metric == "dot":
-                    off = off * np.linalg.norm(q, axis=1)[:, None]
-                    low, high = about - off, about + off
-                else:
-                    gap = np.sqrt(np.maximum(0.0, (q**2).sum(axis=1)[:, None] + (told**2).sum(axis=1) - 2 * about))
-                    low, high, about = -((gap + off) ** 2), -(np.maximum(0.0, gap - off) ** 2), -(gap**2)
-                    if metric == "cosine":
-                        low, high, about = 1 + low / 2, 1 + high / 2, 1 + about / 2
-                about = np.where(high >= bound[:, None] - _SLACK, about, -np.inf)
-                best = np.argsort(-about, axis=1, kind="stable")[:, :keep]
-                i = np.repeat(np.arange(len(q)), best.shape[1])
-                at = best.ravel()
-                good = np.isfinite(about[i, at])
-                i, at = i[good], at[good]
-                same = [pa.array(np.full(len(i), row[c].as_py()), t) for c, t in (("cell", pa.int32()), ("piece", pa.int64()))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(query[i]), *same, pa.array(at, pa.int32()), pa.array(ids[at]), pa.array(about[i, at]), pa.array(low[i, at]), pa.array(high[i, at])], ["query_id", "cell", "piece", "at", "vec_id", "about", "least", "most"]
-                )
-
-    def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                row = {c: b.column(i)[r] for i, c in enumerate(b.schema.names)}
-                asked = row["asked"].values
-                q = asked.field("q").flatten().to_numpy(zero_copy_only=False).reshape(len(asked), -1)
-                at = asked.field("at").flatten().to_numpy()
-                i = np.repeat(np.arange(len(q)), [len(a) for a in asked.field("at")])
-                x = np.frombuffer(row["x"].as_py()).reshape(-1, q.shape[1])[at]
-                q = (unit(q) if metric == "cosine" else q)[i]
-                score = -((q - x) ** 2).sum(axis=1) if metric == "l2" else (q * x).sum(axis=1)
-                ids = row["ids"].values.to_numpy()[at]
-                yield pa.RecordBatch.from_arrays([pa.array(asked.field("query_id").to_numpy()[i]), pa.array(ids), pa.array(np.round(score, 12))], ["query_id", "vec_id", "score"])
-
-    routed, told = "query_id long, q array<double>, bound double, cell int", "query_id long, cell int, piece long, at int, vec_id long, about double, least double, most double"
-    coded = ["cell", "piece", "low", "high", "ids", "codes", "errors"]
-    base = queries.select("query_id", F.col("q").cast("array<double>").alias("q"))
-    first = kept(met(base.withColumn("bound", F.lit(float("-inf"))).mapInArrow(route(True), routed), ["cell"], coded).mapInArrow(rough, told))
-    least = Window.partitionBy("query_id").orderBy(F.desc("least"))
-    bounds = lambda df: df.withColumn("r", F.row_number().over(least)).where(F.col("r") <= k).where(F.col("r") == k).select("query_id", F.col("least").alias("bound"))
-    bounded = base.join(bounds(first), "query_id", "left").select("query_id", "q", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
-    more = met(bounded.mapInArrow(route(False), routed), ["cell"], coded).mapInArrow(rough, told)
-    by_code = Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id")
-    every = first.unionByName(more)
-    if keep:
-        best = every.withColumn("r", F.row_number().over(by_code)).where(F.col("r") <= keep)
-    else:
-        every = kept(every)
-        best = every.join(bounds(every), "query_id", "left").where(F.col("bound").isNull() | (F.col("most") >= F.col("bound") - _SLACK))
-    wanted = best.groupBy("query_id", "cell", "piece").agg(F.collect_list("at").alias("at")).join(base, "query_id")
-    scored = met(wanted, ["cell", "piece"], ["cell", "piece", "ids", "x"]).mapInArrow(fine, "query_id long, vec_id long, score double")
-    return best_k(scored)
-
-
-def _nearest_cells(index: VectorIndex, q: np.ndarray, probes: int) -> np.ndarray:
-    """(queries, probes): the cells of each query, nearest first; cells without rows aren't among them."""
-    centers, radii = index.centers, index.radii
+    return found.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _nearness(q: np.ndarray, centers: np.ndarray, metric: str) -> np.ndarray:
     dot = q @ centers.T
-    near = dot if index.config.metric == "dot" else 2 * dot - (centers**2).sum(axis=1)
-    return np.argsort(np.where(radii < 0, np.inf, -near), axis=1, kind="stable")[:, : min(probes, int((radii >= 0).sum()))]
+    return dot if metric == "dot" else 2 * dot - (centers**2).sum(axis=1)
 
 
-def _in_place(index: VectorIndex, queries: DataFrame, k: int, probes: int, keep: int | None) -> DataFrame:
-    """(query_id, vec_id, score): the best k of each task, for few queries. A task goes through its pieces once; what it has found ends the search of pieces that hold nothing better."""
+def _asked(index: VectorIndex, queries: DataFrame, probes: int) -> DataFrame:
+    """(query_id, q, cut): queries as the metric takes them, and how near the last of its `probes` cells with rows is to each."""
     metric = index.config.metric
-    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).toPandas()
-    ids = asked["query_id"].to_numpy()
-    q = np.stack(asked["q"].to_numpy()) if len(asked) else np.empty((0, index.centers.shape[1]))
-    q = unit(q) if metric == "cosine" else q
-    by_cell: dict[int, list[np.ndarray]] = {}
-    for start in range(0, len(q), 64):
-        cells = _nearest_cells(index, q[start : start + 64], probes)
-        for c in np.unique(cells):
-            by_cell.setdefault(int(c), []).append(start + np.flatnonzero((cells == c).any(axis=1)))
-    shared = queries.sparkSession.sparkContext.broadcast((ids, q, {c: np.concatenate(a) for c, a in by_cell.items()}, index.centers, index.books))
+    filled = index.centers[index.radii >= 0]
+    shared = queries.sparkSession.sparkContext.broadcast(filled)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            q = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            q = unit(q) if metric == "cosine" else q
+            cut = np.full(len(q), -np.inf)
+            if probes < len(shared.value):
+                for at in _tiles(len(q), len(shared.value)):
+                    cut[at] = -np.partition(-_nearness(q[at], shared.value, metric), probes - 1, axis=1)[:, probes - 1]
+            ends = pa.array(np.arange(len(q) + 1) * q.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(q.ravel())), pa.array(cut)], ["query_id", "q", "cut"])
+
+    return queries.select("query_id", F.col("q").cast("array<double>").alias("q")).mapInArrow(run, "query_id long, q array<double>, cut double")
+
+
+def _tiles(rows: int, columns: int) -> Iterator[slice]:
+    """Slices of rows, so that one with all columns has about TILE numbers."""
+    step = max(1, TILE // max(1, columns))
+    return (slice(i, i + step) for i in range(0, rows, step))
+
+
+class _Searched:
+    """The best k rows of each of a task's queries, piece by piece."""
+
+    def __init__(self, index: tuple[np.ndarray, np.ndarray, str], q: np.ndarray, cut: np.ndarray, k: int, keep: int | None):
+        self.centers, self.books, self.metric = index
+        self.q, self.cut, self.keep = q, cut, keep
+        self.best = Best(len(q), k)
+
+    def add(self, row: dict) -> None:
+        """A piece: cell, low, high, ids, codes, x as Arrow scalars."""
+        center = self.centers[row["cell"].as_py()][None]
+        near = _nearness(self.q, center, self.metric)[:, 0]
+        mine = np.flatnonzero(near >= self.cut - _SLACK)
+        most = _most(self.metric, self.q[mine], self.q[mine] @ center.T, (center**2).sum(axis=1), row["low"].as_py(), row["high"].as_py())[:, 0]
+        mine = mine[most >= self.best.floor(mine) - _SLACK]
+        if not len(mine):
+            return
+        ids = row["ids"].values.to_numpy()
+        x = np.frombuffer(row["x"].as_py()).reshape(len(ids), -1)
+        told = None
+        if self.keep and self.keep < len(ids):
+            code = np.frombuffer(row["codes"].as_py(), dtype=np.uint16).reshape(len(ids), -1)
+            told = center + np.concatenate([c[code[:, p]] for p, c in enumerate(self.books)], axis=1)
+        for at in _tiles(len(mine), len(ids)):
+            a = self.q[mine[at]]
+            self.best.add(mine[at], affinity(a, x, self.metric), ids, None if told is None else self._ahead(a, told))
+
+    def _ahead(self, a: np.ndarray, told: np.ndarray):
+        """Of some (query, row): which rows codes put among the query's first `keep`."""
+
+        def ahead(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            some, at = np.unique(i, return_inverse=True)
+            about = affinity(a[some], told, self.metric)
+            return about[at, j] >= -np.partition(-about, self.keep - 1, axis=1)[at, self.keep - 1]
+
+        return ahead
+
+    def batch(self, query_ids: np.ndarray) -> pa.RecordBatch:
+        i, ids, score = self.best.rows()
+        return pa.RecordBatch.from_arrays([pa.array(query_ids[i], pa.int64()), pa.array(ids, pa.int64()), pa.array(score)], ["query_id", "vec_id", "score"])
+
+
+_FOUND = "query_id long, vec_id long, score double"
+_SEARCHED = ["cell", "low", "high", "ids", "codes", "x"]
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 1))
+
+
+def _in_place(index: VectorIndex, asked: DataFrame, k: int, keep: int | None) -> DataFrame:
+    """(query_id, vec_id, score): the best k of each task, with all queries in each."""
+    t = asked.toArrow()
+    if not t.num_rows:
+        return asked.sparkSession.createDataFrame([], _FOUND)
+    shared = asked.sparkSession.sparkContext.broadcast((t["query_id"].to_numpy(), _matrix(t["q"]), t["cut"].to_numpy(), (index.centers, index.books, index.config.metric)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, by_cell, centers, books = shared.value
-        score, found = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        query_ids, q, cut, parts = shared.value
+        searched = _Searched(parts, q, cut, k, keep)
         for b in batches:
             for r in range(b.num_rows):
-                row = {c: b.column(i)[r] for i, c in enumerate(b.schema.names)}
-                cell = row["cell"].as_py()
-                mine = by_cell.get(cell)
-                if mine is None:
-                    continue
-                center = centers[cell][None]
-                most = _most(metric, q[mine], q[mine] @ center.T, (center**2).sum(axis=1), row["low"].as_py(), row["high"].as_py())[:, 0]
-                mine = mine[most >= score[mine, -1] - _SLACK]
-                if not len(mine):
-                    continue
-                there = row["ids"].values.to_numpy()
-                x = np.frombuffer(row["x"].as_py()).reshape(len(there), -1)
-                a = q[mine]
-                full = a @ x.T if metric != "l2" else 2 * (a @ x.T) - (a**2).sum(axis=1)[:, None] - (x**2).sum(axis=1)[None, :]
-                if keep and keep < len(there):  # what codes put behind the best isn't compared
-                    code = np.frombuffer(row["codes"].as_py(), dtype=np.uint16).reshape(len(there), -1)
-                    told = center + np.concatenate([c[code[:, p]] for p, c in enumerate(books)], axis=1)
-                    behind = np.argsort(-affinity(a, told, metric), axis=1, kind="stable")[:, keep:]
-                    np.put_along_axis(full, behind, -np.inf, axis=1)
-                full = np.concatenate([score[mine], np.round(full, 12)], axis=1)
-                names = np.concatenate([found[mine], np.broadcast_to(there, (len(mine), len(there)))], axis=1)
-                order = np.lexsort((names, -full), axis=1)[:, :k]
-                score[mine], found[mine] = np.take_along_axis(full, order, axis=1), np.take_along_axis(names, order, axis=1)
-        i, j = np.nonzero(np.isfinite(score))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[i], pa.int64()), pa.array(found[i, j]), pa.array(score[i, j])], ["query_id", "vec_id", "score"])
-
-    pieces = index.rows.select("cell", "low", "high", "ids", "codes", "x")
-    if len(by_cell) <= 1000:
-        pieces = pieces.where(F.col("cell").isin(list(by_cell)))  # reaches the scan
-    return pieces.mapInArrow(run, "query_id long, vec_id long, score double")
+                searched.add({c: b.column(i)[r] for i, c in enumerate(b.schema.names)})
+        yield searched.batch(query_ids)
+
+    return index.rows.select(_SEARCHED).mapInArrow(run, _FOUND)
+
+
+def _by_blocks(index: VectorIndex, asked: DataFrame, n: int, k: int, keep: int | None) -> DataFrame:
+    """The same for any number of queries: blocks of about ASKED queries meet chunks of about CHUNK rows."""
+    dim = index.centers.shape[1]
+    parts = max(1, -(-n // max(1, min(ASKED, QUERY_BYTES // (8 * dim)))))
+    rows = index.rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    chunks = max(1, -(-rows // max(1, min(CHUNK, CHUNK_BYTES // (8 * dim)))))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = asked.select("*", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"), every(chunks).alias("chunk"))
+    right = index.rows.select(*_SEARCHED, F.pmod(F.xxhash64("cell", "piece"), F.lit(chunks)).cast("int").alias("chunk"), every(parts).alias("part"))
+    shared = asked.sparkSession.sparkContext.broadcast((index.centers, index.books, index.config.metric))
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        searched = _Searched(shared.value, _matrix(a["q"]), a["cut"].to_numpy(), k, keep)
+        for r in range(b.num_rows if a.num_rows else 0):
+            searched.add({c: b[c][r] for c in _SEARCHED})
+        return pa.Table.from_batches([searched.batch(a["query_id"].to_numpy())])
+
+    return left.groupBy("part", "chunk").cogroup(right.groupBy("part", "chunk")).applyInArrow(meet, _FOUND)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -500,6 +500,40 @@ def test_index_bounds_hold(spark):
         assert (score.max(axis=1) <= most[:, 0] + 1e-9).all()
 
 
+def test_exact_search_keeps_no_candidates(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(400, 16))
+    v = vectors(spark, [(i, r.tolist()) for i, r in enumerate(x)])
+    built = index.build(v)
+    monkeypatch.setattr(index, "FEW", 0)
+    monkeypatch.setattr(index, "kept", None)  # where candidates of all pairs were written
+    q = v.where("vec_id % 4 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    found = index.search(built, q, 5, probes=None, refine=None)
+    assert {(r.query_id, r["rank"], r.vec_id) for r in found.collect()} == {(r.query_id, r["rank"], r.vec_id) for r in matching.k_nearest(q, v, 5).collect()}
+
+
+def test_codes_rank_rows_of_a_piece_not_of_the_table(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(1200, 32))
+    v = vectors(spark, [(i, r.tolist()) for i, r in enumerate(x)])
+    monkeypatch.setattr(index, "FEW", 0)
+    q = v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    found = index.search(index.build(v), q, 5, probes=None, refine=1)
+    assert index.recall(found, matching.k_nearest(q, v, 5)).first().recall >= 0.9
+
+
+def test_scores_and_cells_are_made_in_tiles(monkeypatch):
+    rng, sizes = np.random.default_rng(6), []
+    q, x = rng.normal(size=(600, 4)), rng.normal(size=(9000, 4)).round(1)
+    x[8000:8100] = x[0]
+    monkeypatch.setattr(index, "_nearness", lambda *a, made=index._nearness: sizes.append(len(a[0]) * len(a[1])) or made(*a))
+    assert (index._cells(x, q) == (2 * x @ q.T - (q**2).sum(axis=1)).argmax(axis=1)).all()
+    best, add = matching.Best(600, 5), matching.Best.add
+    monkeypatch.setattr(matching.Best, "add", lambda self, queries, scores, ids: sizes.append(scores.size) or add(self, queries, scores, ids))
+    matching._compare(best, q, np.arange(9000), x)
+    assert max(sizes) <= matching.TILE
+    scores = np.round(q @ x.T, 12)
+    assert (best.ids == np.array([np.lexsort((np.arange(9000), -s))[:5] for s in scores])).all()
+
+
 def test_nearest_by_blocks_equal_broadcast(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(200, 6)).round(1)
