@@ -520,6 +520,18 @@ def test_codes_rank_rows_of_a_piece_not_of_the_table(spark, monkeypatch):
     assert index.recall(found, matching.k_nearest(q, v, 5)).first().recall >= 0.9
 
 
+def test_a_few_events_need_no_table_and_no_folder(monkeypatch):
+    f = ledger.pd.DataFrame({"event_id": [3, 1, 2, 4], "action": ["claim", "claim", "complete", "claim"], "owner": ["a", "b", None, "c"], "at": [5.0, 5.0, 1.0, None], "gen": [None, None, 1.0, None]})
+    monkeypatch.setattr(ledger, "FEW", 0, raising=False)
+    by_runs = list(ledger.in_order([f[:2], f[2:]]))
+    monkeypatch.setattr(ledger, "FEW", 2000, raising=False)
+    monkeypatch.setattr(ledger.tempfile, "TemporaryDirectory", None)
+    monkeypatch.setattr(ledger.pa, "table", None)
+    assert list(ledger.in_order([f[:2], f[2:]])) == by_runs
+    assert [e.event_id for e in by_runs] == [2, 1, 3, 4] and by_runs[0] == (2, "complete", None, 1, 1)
+    assert list(ledger.in_order([])) == []
+
+
 def test_scores_and_cells_are_made_in_tiles(monkeypatch):
     rng, sizes = np.random.default_rng(6), []
     q, x = rng.normal(size=(600, 4)), rng.normal(size=(9000, 4)).round(1)
