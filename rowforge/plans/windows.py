@@ -114,7 +114,7 @@ def w12(spark, sf_dir):
 
 @query("w13_sort_by_argsort", f"SELECT vec_id, list_transform(list_grade_up(v), lambda i: CAST(i - 1 AS INTEGER)) AS keys FROM {_E}")
 def w13(spark, sf_dir):
-    keys = F.transform(F.array_sort(F.transform("v", lambda x, i: F.struct(x.alias("x"), i.alias("i")))), lambda s: s["i"])
+    keys = F.transform(F.array_sort(F.transform("v", lambda x, i: F.struct(x.isNull().alias("none"), x.alias("x"), i.alias("i")))), lambda s: s["i"])
     return vectors(spark, sf_dir).select("vec_id", keys.alias("keys")).orderBy("keys", "vec_id")
 
 

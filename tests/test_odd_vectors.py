@@ -32,3 +32,12 @@ def test_odd_vectors_give_what_sql_gives(spark, odd, name):
     names = [d[0] for d in found.description]
     theirs = sorted(repr(signed(tuple(r[names.index(c)] for c in sorted(names)))) for r in found.fetchall())
     assert len(ours) == len(VECTORS) and ours == theirs
+
+
+def test_argsort_puts_nulls_last_as_sql_does(spark, tmp_path):
+    """Of few components, where DuckDB's sort keeps equal ones in order."""
+    lists = ["[3, NULL, 1, CAST('nan' AS FLOAT), 2, NULL]", "[NULL, 0.5]", "[NULL, NULL]", "[]", "NULL", "[CAST('inf' AS FLOAT), CAST('-inf' AS FLOAT), NULL]", "[2, 1, 2, 1]"]
+    rows = " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS vec_id, CAST({v} AS FLOAT[]) AS embedding, CAST(1 AS INTEGER) AS label" for i, v in enumerate(lists))
+    duckdb.sql(f"COPY ({rows}) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    ours = {r["vec_id"]: r["keys"] for r in QUERIES["w13_sort_by_argsort"](spark, str(tmp_path)).collect()}
+    assert ours == dict(connect(str(tmp_path)).execute(ORACLES["w13_sort_by_argsort"]).fetchall())
