@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from rowforge.llm._shared import materialize, mix64
 
 ORDER = 4
-#: Training texts, about, that temperature and rejection limits are fitted on.
-CALIBRATION = 2000
+#: Steps, as decimal digits, of the cross-entropies that rejection limits are quantiles of: as counts of steps they have a bound that doesn't follow the data.
+STEPS = 4
 #: Bytes of text, about, that meet their part of the model in one task, and the least number of such portions.
 PORTION = 16 << 20
 PORTIONS = 16
@@ -23,6 +23,7 @@ PORTIONS = 16
 HELD = 2_000_000
 TEMPERATURES = (1, 2, 5, 10, 20, 50)
 _CHUNK = 1 << 20
+_BLOCK = 1 << 18
 _letter: list[np.ndarray] = []
 
 
@@ -183,7 +184,7 @@ def model_tables(counts: DataFrame, n: int = ORDER) -> Tables | None:
 
 
 _TABLE = "key long, lang int, a double, b double"
-_SCORED = "doc_id long, held_out boolean, lang string, best int, top double, own double, sums array<double>"
+_SCORED = "doc_id long, held_out boolean, lang string, best int, top double, own double, shares array<double>, sums array<double>"
 
 
 def _slices(texts: pa.ChunkedArray) -> Iterator[tuple[list[int], list[np.ndarray]]]:
@@ -209,9 +210,12 @@ def _distinct(texts: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def scored(rows: DataFrame, model: Tables, temperatures: tuple[float, ...]) -> DataFrame:
-    """Of (doc_id, held_out, lang, text): the best language and its score, the score of `lang`, and for each temperature the sum of exp(t * (score - top)).
+    """Of (doc_id, held_out, lang, text): the best language and its score, and for each temperature the sum of exp(t * (score - top)).
 
     A score is the mean natural log probability of a character. Texts without letters have none.
+    Rows with a `lang` must be rows that the counts have under it: `own` is the score of `lang` by
+    counts without this text (`_left_out`), `shares` its share among the languages at each
+    temperature. Both are null for other rows, and where nothing else is in that language.
     Tables of at most HELD rows, by count, are sorted arrays in every task, and texts stay where they
     are. Of larger ones each portion of the texts gets what it needs by a join (`_met`). Both
     give the same scores from all grams.
@@ -240,39 +244,91 @@ def _scorer(model: Tables, temperatures: tuple[float, ...]):
         truth = np.array([bisect.bisect_left(languages, x) if x is not None else -1 for x in docs.column("lang").to_pylist()], dtype=np.int64)
         count, t = docs.num_rows, np.array(temperatures, dtype=float)
         best, top, own, sums = np.full(count, -1), np.full(count, -np.inf), np.full(count, np.nan), np.zeros((count, len(t)))
+        other, rest = np.full(count, -np.inf), np.zeros((count, len(t)))  # of the languages other than `lang`: the highest score and the sums
         for at, texts in _slices(docs.column("text")):
             at = np.array(at)
             unique, which = _distinct(texts, n)
             keys = list(_all_keys(unique))
             lengths = np.array([len(x) - n + 1 for x in texts])
             starts = np.cumsum(lengths) - lengths
+            known = truth[at]
+            ids = [[np.unique(x, return_inverse=True)[1] for x in pair] for pair in keys] if (known >= 0).any() else []
             for j in range(len(languages)):
                 mine, values, kinds = (x[ends[j] : ends[j + 1]] for x in (key, a, b))
-                p = np.full(len(unique), 1.0 / letters)
+                p, orders, its = np.full(len(unique), 1.0 / letters), [], np.flatnonzero(known == j)
                 for d, (gram, context) in zip(discounts[:, j], keys, strict=True):
                     seen, place = _places(mine, context)
                     total = values[place]
                     p[seen] *= d * kinds[place] / total
-                    whole = np.zeros(len(unique))
-                    whole[seen] = total
+                    whole, sorts, times = (np.zeros(len(unique)) for _ in range(3))
+                    whole[seen], sorts[seen] = total, kinds[place]
                     seen, place = _places(mine, gram)
                     p[seen] += (values[place] - d) / whole[seen]
+                    times[seen] = values[place]
+                    orders.append((d, times, whole, sorts))
                 s = np.add.reduceat(np.log(p)[which], starts) / lengths
+                if len(its):
+                    own[at[its]] = _left_out(orders, ids, which, starts[its], lengths[its], letters)
+                out = known != j
+                new, old, now = np.maximum(other[at], s)[out], other[at][out], at[out]
+                rest[now] = rest[now] * np.exp(t * (old - new)[:, None]) + np.exp(t * (s[out] - new)[:, None])
+                other[now] = new
                 new = np.maximum(top[at], s)
                 sums[at] = sums[at] * np.exp(t * (top[at] - new)[:, None]) + np.exp(t * (s - new)[:, None])
                 best[at] = np.where(s > top[at], j, best[at])
                 top[at] = new
-                own[at] = np.where(truth[at] == j, s, own[at])
-        lists = pa.ListArray.from_arrays(np.arange(0, sums.size + 1, len(t), dtype=np.int32), sums.ravel())
-        none = best < 0
+        none, unknown = best < 0, np.isnan(own)
+        high = np.where(unknown, 0.0, np.maximum(own, other))
+        mine = np.exp(t * (np.where(unknown, 0.0, own) - high)[:, None])
+        shares = mine / (mine + rest * np.exp(t * np.minimum(other - high, 0.0)[:, None]))
+        listed = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, len(t), dtype=np.int32), x.ravel())
         return pa.table({
             "doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "lang": docs.column("lang"), "best": pa.array(best, pa.int32(), mask=none),
-            "top": pa.array(top, mask=none), "own": pa.array(own, mask=np.isnan(own)), "sums": lists,
+            "top": pa.array(top, mask=none), "own": pa.array(own, mask=unknown), "shares": listed(shares), "sums": listed(sums),
         })
 
     return score
 
 
+def _left_out(orders: list, ids: list, which: np.ndarray, starts: np.ndarray, lengths: np.ndarray, letters: int) -> np.ndarray:
+    """Scores of texts of one language by its counts without each text itself; discounts and letters stay. NaN where no other text is left.
+
+    `orders`: for each order its discount and, for each distinct gram, the count of what it ends
+    with, and total and kinds of that one's context; `ids`: numbers of these endings and contexts.
+    A gram that occurs in this text alone goes, and with it one from the count below.
+    """
+    out, size = np.full(len(starts), np.nan), len(orders[0][1])
+    ends = np.cumsum(lengths)
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + _BLOCK, "right")))
+        n = lengths[first:last]
+        doc = np.repeat(np.arange(last - first), n)
+        place = np.arange(len(doc)) + np.repeat(starts[first:last] - (np.cumsum(n) - n), n)
+        pair, less = np.unique(doc * size + which[place], return_counts=True)
+        of, gram = np.divmod(pair, size)
+        doc, times, up, parts = of, less, None, []
+        for (d, count, total, kinds), (ending, context) in zip(reversed(orders), reversed(ids), strict=True):
+            if parts:  # endings, one order lower, of what this text has
+                _, at, up = np.unique(doc * size + ending[gram], return_index=True, return_inverse=True)
+                doc, gram, less = doc[at], gram[at], np.bincount(up, gone)
+            left = count[gram] - less
+            gone = left < 0.5
+            _, met = np.unique(doc * size + context[gram], return_inverse=True)
+            whole, sorts = total[gram] - np.bincount(met, less)[met], kinds[gram] - np.bincount(met, gone)[met]
+            parts.append((d, up, left, whole, sorts))
+        p = 1.0 / letters
+        for d, up, left, whole, sorts in reversed(parts):
+            some = whole > 0.5
+            safe = np.where(some, whole, 1.0)
+            p = np.where(some, d * sorts / safe, 1.0) * p + np.where(some & (left > 0.5), (left - d) / safe, 0.0)
+            p = p if up is None else p[up]
+        bare = np.bincount(doc, parts[-1][3] < 0.5, last - first) > 0  # single characters have one context, the empty one
+        out[first:last] = np.where(bare, np.nan, np.bincount(of, np.log(p) * times, last - first) / n)
+        first = last
+    return out
+
+
 def _met(rows: DataFrame, model: Tables, temperatures: tuple[float, ...]) -> DataFrame:
     """`scored` for tables of any size: portions of about PORTION bytes of text, dealt by a hash, get by a join those rows whose grams and contexts occur in them."""
     n = len(model.discounts)
@@ -307,39 +363,40 @@ def _places(held: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return seen, place[seen]
 
 
+def _counted(docs: DataFrame, text_col: str, lang_col: str) -> Tables | None:
+    """Models of all counts, with no text rejected."""
+    model = model_tables(materialize(gram_counts(docs, text_col, lang_col)))
+    if model is not None:
+        model.limits = np.full(len(model.languages), np.inf)
+    return model
+
+
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Tables | None:
     """Models of all languages of the rows with text and language, from all their grams; None where there are none.
 
-    Temperature and rejection limits are fitted first, on about CALIBRATION rows (a tenth at
-    most) chosen by a hash of the id, with models whose counts leave these rows out; only
-    losses and quantiles reach the driver. The models returned count all rows.
+    Temperature and rejection limits come from all these rows too, each scored by counts
+    without itself; only losses and quantiles reach the driver.
     """
     usable = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    share = min(0.1, CALIBRATION / max(usable.count(), 1))
-    back = F.pmod(F.xxhash64(F.col(id_col), F.lit(5)), F.lit(1_000_000)) < max(1, round(1_000_000 * share))
-    counts = materialize(gram_counts(usable, text_col, lang_col, back=back))
-    model = model_tables(counts)
-    if model is None:
-        return None
-    model.limits = np.full(len(model.languages), np.inf)
-    before = model_tables(counts.where("rest > 0").select("lang", "gram", F.col("rest").alias("c")))
-    if before is not None:
-        sample = usable.where(back).select(F.col(id_col).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-        model.temperature, limits = _calibrate(before, sample)
-        for lang, limit in limits.items():
-            model.limits[model.languages.index(lang)] = limit
+    model = _counted(usable, text_col, lang_col)
+    if model is not None:
+        rows = usable.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(False).alias("held_out"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+        _calibrate(model, materialize(scored(rows, model, TEMPERATURES)))
     return model
 
 
-def _calibrate(model: Tables, sample: DataFrame) -> tuple[float, dict[str, float]]:
-    """The temperature with the least loss on the sample, and for each language with 20 rows there the cross-entropy beyond which a text is rejected."""
-    found = materialize(scored(sample, model, TEMPERATURES).where("own is not null"))
-    share = lambda i, t: F.exp(t * (F.col("own") - F.col("top"))) / F.col("sums")[i]
-    losses = found.agg(*(F.avg(-F.log(F.greatest(share(i, t), F.lit(1e-9)))).alias(str(t)) for i, t in enumerate(TEMPERATURES))).first()
+def _calibrate(model: Tables, found: DataFrame) -> None:
+    """Sets the temperature with the least loss on the rows scored without themselves, and for each language with 20 of them the cross-entropy beyond which a text is rejected."""
+    found = found.where("own is not null")
+    losses = found.agg(*(F.avg(-F.log(F.greatest(F.col("shares")[i], F.lit(1e-9)))).alias(str(t)) for i, t in enumerate(TEMPERATURES))).first()
     if losses[0] is None:
-        return model.temperature, {}
-    own = found.groupBy("lang").agg(F.count("*").alias("n"), F.percentile(-F.col("own"), F.lit(0.99)).alias("q"), F.stddev_pop("own").alias("s"))
-    return float(min(zip(losses, TEMPERATURES, strict=True))[1]), {r.lang: r.q + 3 * r.s for r in own.where("n >= 20").collect()}
+        return
+    model.temperature = float(min(zip(losses, TEMPERATURES, strict=True))[1])
+    spread = found.groupBy("lang").agg(F.count("*").alias("n"), F.stddev_pop("own").alias("s")).where("n >= 20")
+    steps = found.groupBy("lang", F.round(-F.col("own"), STEPS).alias("x")).agg(F.count("*").alias("k"))
+    limits = steps.groupBy("lang").agg(F.percentile("x", F.lit(0.99), F.col("k")).alias("q")).join(spread, "lang")
+    for r in limits.collect():
+        model.limits[model.languages.index(r.lang)] = r.q + 3 * r.s
 
 
 def predict(docs: DataFrame, model: Tables | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -355,6 +412,11 @@ def predict(docs: DataFrame, model: Tables | None, *, id_col: str = "doc_id", te
     )
     if model is None:
         return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+    return _judged(scored(rows, model, (model.temperature,)), model, 0)
+
+
+def _judged(found: DataFrame, model: Tables, i: int) -> DataFrame:
+    """Predictions of scored rows, by the temperature numbered i among those they are scored at."""
     names, limits = model.languages, model.limits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,12 +426,12 @@ def predict(docs: DataFrame, model: Tables | None, *, id_col: str = "doc_id", te
             rejected = pa.array([j is None or -x > limits[j] for j, x in zip(best, top, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pred, b.column(4), rejected], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
-    out = scored(rows, model, (model.temperature,)).select("doc_id", "held_out", "best", "top", F.when(F.col("best").isNull(), 0.0).otherwise(1 / F.col("sums")[0]).alias("score"))
+    out = found.select("doc_id", "held_out", "best", "top", F.when(F.col("best").isNull(), 0.0).otherwise(1 / F.col("sums")[i]).alias("score"))
     return out.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Fit on the rows that aren't held out, predict all, one row per input row (see `predict`).
+    """Fit on the rows that aren't held out, predict all, one row per input row (see `fit` and `predict`); one pass over the texts scores them for both.
 
     A null id is neither held out nor learnt from; rows without text or language aren't
     learnt from. Repeated rows count and are predicted each. An empty table gives an empty
@@ -377,5 +439,13 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     calibrate on has no limit, so no text is rejected for it. Texts are read whole: a task's memory
     grows with its longest text. Only the three columns are read, whatever others are named.
     """
-    train = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col))
-    return predict(docs, fit(train, id_col=id_col, text_col=text_col, lang_col=lang_col), id_col=id_col, text_col=text_col)
+    learnt = F.col(id_col).isNotNull() & ~held_out(id_col)
+    model = _counted(docs.where(learnt), text_col, lang_col)
+    if model is None:
+        return predict(docs, None, id_col=id_col, text_col=text_col)
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.when(learnt, F.col(lang_col)).alias("lang"), F.col(text_col).alias("text")
+    )
+    found = materialize(scored(rows, model, TEMPERATURES))
+    _calibrate(model, found)
+    return _judged(found, model, TEMPERATURES.index(model.temperature))
